@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfwise.llm import fingerprints, mixing, sharding, simhash
+from shelfwise.llm import embeddings, fingerprints, mixing, sharding, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,9 +14,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_document_fingerprints": fingerprints.query,
         "op2_simhash_near_dedup": simhash.query,
         "op3_mixing_sources": mixing.query,
+        "op5_embedding_near_dedup": embeddings.query,
         "op6_sharding": sharding.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mixing_sources": mixing.SQL}
+    return {"op3_mixing_sources": mixing.SQL, "op5_embedding_near_dedup": embeddings.SQL}
