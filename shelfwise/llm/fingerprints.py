@@ -36,10 +36,24 @@ def _place(key: Column, seed: int) -> Column:
     return F.xxhash64(key, F.lit(seed))
 
 
+def let(value: Column, body) -> Column:
+    """body(value), with value computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def placed_digests(keys: Column, seed: int) -> Column:
+    """Each digest with the hash that holds its places and its check."""
+    return F.transform(keys, lambda d: F.struct(d.alias("k"), _place(d, seed).alias("g")))
+
+
 def sketch(keys: Column, seed: int, width: int) -> Column:
     """Cells array<struct<n, k, h>> of a digest array."""
+    return let(placed_digests(keys, seed), lambda placed: sketch_of(placed, width))
+
+
+def sketch_of(placed: Column, width: int) -> Column:
+    """Cells of digests with their places; `placed` is read once for each cell."""
     bits = width.bit_length() - 1
-    placed = F.transform(keys, lambda d: F.struct(d.alias("k"), _place(d, seed).alias("g")))
 
     def row(r: int) -> Column:
         empty = F.struct(F.lit(0).alias("n"), F.lit(0).cast("long").alias("k"), F.lit(0).cast("long").alias("h"))
@@ -82,7 +96,7 @@ def peel(cells: Column, seed: int, width: int) -> Column:
         go_on = lambda taken: F.when(F.size(taken) == 0, state).otherwise(
             F.struct(without(state["cells"], taken).alias("cells"), F.concat(state["found"], F.transform(taken, lambda x: x["k"])).alias("found"))
         )
-        return F.element_at(F.transform(F.array(pure(state["cells"])), go_on), 1)
+        return let(pure(state["cells"]), go_on)
 
     start = F.struct(cells.alias("cells"), F.array().cast("array<bigint>").alias("found"))
     finish = lambda s: F.struct(F.forall(s["cells"], lambda c: (c["n"] == 0) & (c["k"] == 0) & (c["h"] == 0)).alias("ok"), s["found"].alias("found"))
@@ -93,13 +107,12 @@ def retry(a: Column, b: Column, attempt: int) -> Column:
     """Rebuild both sketches as sub-tables, subtract and peel each."""
     seed, parts = 100 + attempt, F.ceil((F.size(a) + F.size(b)) * F.lit(4.0 ** (attempt - 1) / PLANNED)).cast("int")
     parts = F.greatest(parts, F.lit(1))
-    own = lambda keys, p: F.filter(keys, lambda d: F.pmod(F.xxhash64(d, F.lit(seed + 50)), parts) == p)
-    done = F.transform(
-        F.sequence(F.lit(0), parts - 1),
-        lambda p: peel(subtract(sketch(own(a, p), seed, RETRY_WIDTH), sketch(own(b, p), seed, RETRY_WIDTH)), seed, RETRY_WIDTH),
-    )
-    whole = lambda rs: F.struct(F.forall(rs, lambda r: r["ok"]).alias("ok"), F.flatten(F.transform(rs, lambda r: r["found"])).alias("found"))
-    return F.element_at(F.transform(F.array(done), whole), 1)
+    dealt = lambda keys: F.transform(placed_digests(keys, seed), lambda x: F.struct(x["k"].alias("k"), x["g"].alias("g"), F.pmod(F.xxhash64(x["k"], F.lit(seed + 50)), parts).alias("p")))
+    own = lambda xs, p: F.filter(xs, lambda x: x["p"] == p)
+    one = lambda xs, p: let(own(xs, p), lambda mine: sketch_of(mine, RETRY_WIDTH))
+    sub = lambda x, p: peel(subtract(one(x["a"], p), one(x["b"], p)), seed, RETRY_WIDTH)
+    done = let(F.struct(dealt(a).alias("a"), dealt(b).alias("b")), lambda x: F.transform(F.sequence(F.lit(0), parts - 1), lambda p: sub(x, p)))
+    return let(done, lambda rs: F.struct(F.forall(rs, lambda r: r["ok"]).alias("ok"), F.flatten(F.transform(rs, lambda r: r["found"])).alias("found")))
 
 
 def differing(df: DataFrame, a: str, b: str, sketch_a: str, sketch_b: str, out: str) -> DataFrame:

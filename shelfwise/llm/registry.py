@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfwise.llm import embeddings, fingerprints, mixing, sharding, simhash
+from shelfwise.llm import embeddings, fingerprints, mixing, pii, sharding, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_mixing_sources": mixing.query,
         "op5_embedding_near_dedup": embeddings.query,
         "op6_sharding": sharding.query,
+        "op8_personal_data": pii.query,
     }
 
 
