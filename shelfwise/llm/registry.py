@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfwise.llm import embeddings, fingerprints, mixing, pii, sharding, simhash
+import corpus_pipeline
+from shelfwise.llm import embeddings, fingerprints, licenses, mixing, pieces, pii, quality, rollups, sharding, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,11 +15,19 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_document_fingerprints": fingerprints.query,
         "op2_simhash_near_dedup": simhash.query,
         "op3_mixing_sources": mixing.query,
+        "op4_pieces": pieces.query,
         "op5_embedding_near_dedup": embeddings.query,
         "op6_sharding": sharding.query,
+        "op7_license_scan": licenses.query,
         "op8_personal_data": pii.query,
+        "op9_token_counts": rollups.query,
+        "op10_quality_classifier": quality.query,
+        "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mixing_sources": mixing.SQL, "op5_embedding_near_dedup": embeddings.SQL}
+    found = {"op3_mixing_sources": mixing.SQL, "op5_embedding_near_dedup": embeddings.SQL, "op9_token_counts": rollups.SQL}
+    if corpus_pipeline.ORACLE_SQL:
+        found["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return found
