@@ -103,15 +103,27 @@ def angle(a: Column, b: Column) -> Column:
     return F.acos(F.least(F.lit(1.0), F.greatest(F.lit(-1.0), dot(a, b))))
 
 
+def _unit(vector) -> np.ndarray | None:
+    """The vector at length one in double precision, None if it can't link."""
+    if vector is None or not len(vector):
+        return None
+    v = np.array([np.nan if x is None else x for x in vector] if vector.dtype == object else vector, np.float64)
+    top = np.abs(v).max()
+    if not np.isfinite(top) or top == 0:
+        return None
+    v = v / top
+    return v / np.sqrt((v * v).sum()) + 0.0
+
+
+def _unit_batch(vectors: pd.Series) -> pd.Series:
+    return pd.Series([_unit(v) for v in vectors], dtype=object)
+
+
 def unit_vectors(df: DataFrame, id_col: str, vec_col: str, label_col: str) -> DataFrame:
     """(id, label, dim, unit): unit is null where the vector cannot link."""
-    v = F.transform(F.col(vec_col), lambda x: x.cast("double"))
-    finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))
-    fit = F.col(label_col).isNotNull() & (F.size("v") > 0) & F.coalesce(F.forall("v", finite), F.lit(False))
-    rows = df.select(F.col(id_col).alias("id"), F.col(label_col).alias("label"), v.alias("v"))
-    rows = rows.withColumn("top", F.when(fit, F.array_max(F.transform("v", lambda x: F.abs(x))))).withColumn("v", F.when(F.col("top") > 0, F.transform("v", lambda x: x / F.col("top"))))
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
-    return rows.withColumn("norm", norm).select("id", "label", F.size("v").alias("dim"), F.transform("v", lambda x: x / F.col("norm") + F.lit(0.0)).alias("unit"))
+    unit = F.pandas_udf(_unit_batch, "array<double>")(F.col(vec_col).cast("array<double>"))
+    rows = df.select(F.col(id_col).alias("id"), F.col(label_col).alias("label"), unit.alias("unit"))
+    return rows.select("id", "label", F.size("unit").alias("dim"), F.when(F.col("label").isNotNull(), F.col("unit")).alias("unit"))
 
 
 def _blocks(members: DataFrame, visits: DataFrame, keys: list[str], block: int) -> DataFrame:
@@ -149,7 +161,7 @@ def _ball_pairs(cosine: float):
 def near_duplicates(df: DataFrame, cosine: float = 0.93, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", recall: float = RECALL) -> DataFrame:
     """(id, n_links, component_id) for every row."""
     spark = df.sparkSession
-    rows = unit_vectors(df, id_col, vec_col, label_col)
+    rows = cut(unit_vectors(df, id_col, vec_col, label_col))
     fit = rows.where("unit is not null")
     same = ["label", "dim", "unit"]
     vectors = cut(fit.groupBy(*same).agg(F.min("id").alias("least_id"), F.count("*").alias("copies")).withColumn("vec", F.xxhash64(F.coalesce("least_id", F.lit(-1)), *same)))
