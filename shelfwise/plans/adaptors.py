@@ -43,6 +43,11 @@ SPECS = """SELECT p_partkey AS k, lower(p_name) AS name, p_type AS category,
 # Pages with listing JSON.
 LISTING = """SELECT p_partkey AS page_id, concat('<html><script>dataLayer = {{"impressions": [', CASE WHEN p_partkey % 5 = 0 THEN '"skip", ' ELSE '' END, '{{"name": "', p_name, '", "id": "', cast(p_partkey AS STRING), '", "variant": "reddark"}}, {{"name": "", "id": "0"}}', ']}};</script><img src="//cdn.example/image/upload/w_', cast(p_size AS STRING), '/a.jpg"><img data-src="/b.png"><img src="/b.png"><link rel="canonical" href="https://shop.example/', cast(p_partkey AS STRING), '"><div class="price">€ ', cast(p_size AS STRING), ',50</div> "name":"', p_name, '","color":["c', cast(p_partkey AS STRING), '"]</html>') AS html FROM {part} WHERE p_partkey % 3 <> 0
   UNION ALL SELECT p_partkey AS page_id, concat('<html><script>ecommerce: {{"items": [{{"item_name": "', p_name, '", "item_id": "', cast(p_partkey AS STRING), '", "item_variant": "green_greenlight"}}]}}</script></html>') AS html FROM {part} WHERE p_partkey % 3 = 0"""
+# Product pages with a table, a definition list, a component, swatches and text blocks.
+DETAIL_PAGES = """SELECT p_partkey AS page_id, concat('<html><h1>', p_name, '</h1><table><tr><td>* Frame:</td><td> Carbon <b>', cast(p_size AS STRING), '</b></td></tr><tr><td>Rem</td><td>Old</td></tr><tr><td>Rem</td><td>Disc ', p_type, '</td></tr><tr><td>same</td><td>same</td></tr></table>',
+  CASE WHEN p_partkey % 2 = 0 THEN concat('<dl><dt>Rem</dt><dd>Hydraulic</dd><dt>Weight</dt><dd>', cast(p_size AS STRING), ' kg</dd><dt>alone</dt></dl>') ELSE '' END,
+  '<div class="description">short</div><div class="description">A long enough description of this very good bicycle ', p_name, '.</div><ul><li class="component"><h4>Wiel</h4><span class="name">', p_brand, '</span><ul><li class="feature">', CASE WHEN p_partkey % 3 = 0 THEN '12x100' ELSE '12x142' END, '</li></ul></li></ul>',
+  '<a class="color" data-color-id="', cast(p_partkey AS STRING), '" data-color-name="Red" href="/r"></a><a class="color" data-color-id="2" data-color-name="Members only"></a><p class="classification">Use: max ', cast(100 + p_size AS STRING), ' kg</p></html>') AS html FROM {part}"""
 
 
 def frame(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:

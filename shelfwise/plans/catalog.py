@@ -12,11 +12,14 @@ from shelfwise.functions import text as T
 from shelfwise.operators import dedupe as D
 from shelfwise.operators import export as X
 from shelfwise.operators import extract as E
+from shelfwise.operators import html_blocks as H
 from shelfwise.operators import lifecycle as L
 from shelfwise.operators import reshape as W
 from shelfwise.operators import summary as S
 from shelfwise.plans import adaptors as A
 from shelfwise.sources import files as IO
+from shelfwise.sources.scratch import scratch
+from shelfwise.streaming import jobs
 
 AS_OF = "2025-08-03"
 Query = Callable[[SparkSession, str], DataFrame]
@@ -330,6 +333,106 @@ _UNIFIED = f"SELECT {_IMPORT}, {_STATE}, {_IMG1}, '{AS_OF}' AS \"meta:import_dat
 add_frame("export_unified", _SNAP, lambda df: X.export_unified(df.drop("k"), _BRANDS, AS_OF), _UNIFIED)
 add_frame("export_per_brand_and_all", _SNAP, lambda df: X.export_unified(df.drop("k"), _BRANDS, AS_OF).groupBy("brand").agg(F.count("*").alias("n")), f"SELECT brand, count(*) AS n FROM ({_UNIFIED}) GROUP BY brand")
 
+# --- HTML blocks ------------------------------------------------------------------------------------------------------------
+_TABLE = "SELECT page_id, 'Frame' AS key, 'Carbon' || p_size AS value FROM p UNION ALL SELECT page_id, 'Rem', {rem} FROM p"
+_P = "WITH p AS (SELECT p_partkey AS page_id, * FROM part) "
+_blocks = lambda df: H.extract_blocks(df)
+add_frame("extract_spec_table", A.DETAIL_PAGES, lambda df: H.extract_spec_table(_blocks(df)), _P + _TABLE.format(rem="'Disc ' || p_type"))
+add_frame("extract_spec_dl", A.DETAIL_PAGES, lambda df: H.extract_spec_dl(_blocks(df)), _P + _TABLE.format(rem="CASE WHEN page_id % 2 = 0 THEN 'Hydraulic' ELSE 'Disc ' || p_type END") + " UNION ALL SELECT page_id, 'Weight', p_size || ' kg' FROM p WHERE page_id % 2 = 0")
+add_frame("extract_spec_rows_mapped", A.DETAIL_PAGES, lambda df: H.extract_spec_rows_mapped(_blocks(df)), _P + _TABLE.format(rem="CASE WHEN page_id % 2 = 0 THEN 'Hydraulic' ELSE 'Disc ' || p_type END").replace("AS key", "AS field") + " UNION ALL SELECT page_id, 'Weight', p_size || ' kg' FROM p WHERE page_id % 2 = 0")
+add_frame("extract_components", A.DETAIL_PAGES, lambda df: H.extract_components(_blocks(df)).select("page_id", "title", "name", F.array_join("features", "|").alias("features")), _P + "SELECT page_id, 'Wiel' AS title, p_brand AS name, CASE WHEN page_id % 3 = 0 THEN '12x100' ELSE '12x142' END AS features FROM p")
+add_frame("component_special_rules", A.DETAIL_PAGES, lambda df: E.component_special_rules(H.extract_components(_blocks(df))), _P + "SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'Naaf_voor' ELSE 'Naaf_achter' END AS field, p_brand AS value FROM p UNION ALL SELECT page_id, 'Velg', p_brand FROM p")
+add_frame("extract_description", A.DETAIL_PAGES, lambda df: H.extract_description(_blocks(df)), _P + "SELECT page_id, 'A long enough description of this very good bicycle ' || p_name || '.' AS description FROM p")
+add_frame("extract_color_picker", A.DETAIL_PAGES, lambda df: H.extract_color_picker(_blocks(df)).select("page_id", F.array_join(F.transform("colors", lambda x: F.concat_ws(":", x["id"], x["name"], x["url"])), "|").alias("colors")), _P + "SELECT page_id, page_id || ':Red:/r' AS colors FROM p")
+add_frame("extract_classification_limit", A.DETAIL_PAGES, lambda df: H.extract_classification_limit(_blocks(df)), _P + "SELECT page_id, (100 + p_size) || ' kg' AS weight_limit FROM p")
+
+
+def _enriched(df: DataFrame) -> DataFrame:
+    specs = F.create_map(*[x for k in ("cassette", "crank", "rear", "weight", "shifter", "frame", "weight_limit") for x in (F.lit(_SPEC_NAMES[k]), c(k))])
+    rows = E.enrich_specs(df.select("k", "name", "category", c("note").alias("text"), specs.alias("specs")))
+    return rows.select("k", *[c("specs")[n].alias(n) for n in ("Gewicht", "Gewichtslimiet", "Frame", "Shifter_speed", "Ketting", "Voorderailleur")])
+
+
+_SPEC_NAMES = {"cassette": "Cassette", "crank": "Crankstel", "rear": "Achterderailleur", "weight": "Gewicht", "shifter": "Shifter", "frame": "Frame", "weight_limit": "Gewichtslimiet"}
+# Composed of the functions above, so its SQL is composed of theirs.
+_sql_of = lambda name: _SQL[name].split(", ", 1)[1].rsplit(" AS out FROM", 1)[0]
+_SIZED = _sql_of("size_in_weight").replace("weight", "w1")
+_REASON0 = _REASON.replace("contains(chainring, 'x') AND NOT contains(chainring, '2x')", "false")
+add_frame(
+    "enrich_specs",
+    A.SPECS,
+    _enriched,
+    f"SELECT k, (SELECT {_SIZED} FROM (SELECT {_sql_of('clean_weight').replace('weight', 't.weight')} AS w1)) AS Gewicht, {_sql_of('extract_weight_limit')} AS Gewichtslimiet, {_sql_of('frame_material')} AS Frame, {_sql_of('shifter_speed')} AS Shifter_speed, {_sql_of('predict_chain')} || '*' AS Ketting, CASE WHEN ({_REASON0}) IS NOT NULL OR {_SCORE} >= 3 THEN '1x, geen voorderailleur' WHEN {_DOUBLE} THEN '2x systeem, voorderailleur aanwezig' END AS Voorderailleur FROM {{t}} t",
+)
+
+# --- writers and readers: each query writes to a shared scratch folder and reads back -----------------------------------------
+_ROWS = "SELECT cast(p_partkey AS STRING) AS k, concat('a \"', p_name, '\", b', chr(10), 'c') AS name, CASE WHEN p_partkey % 3 = 0 THEN '' WHEN p_partkey % 3 = 1 THEN p_type END AS note, p_brand AS brand FROM {part}"
+_BACK = "SELECT k, name, nullif(note, '') AS note, brand FROM {t}"
+
+
+def _round_trip(write: Callable, read: Callable) -> Query:
+    def query(spark: SparkSession, d: str) -> DataFrame:
+        path = scratch(spark, "catalog")
+        write(A.frame(spark, d, _ROWS), path)
+        return read(spark, path)
+
+    return query
+
+
+for _name, _write in (("read_snapshot_csv", IO.write_csv_quote_all), ("write_csv_quote_all", IO.write_csv_quote_all), ("write_csv_minimal", IO.write_csv_minimal)):
+    add(_name, _round_trip(_write, IO.read_snapshot_csv), _BACK.replace("{t}", A.duck(_ROWS)))
+add("write_json_records", _round_trip(IO.write_json_records, lambda s, p: s.read.schema("k string, name string, note string, brand string").json(p)), f"SELECT * FROM {A.duck(_ROWS)}")
+_ARRAY = "SELECT p_brand AS brand, concat('[', array_join(array_sort(collect_list(concat('{{\"name\": \"', p_name, ' ', p_partkey, '\", \"price\": ', p_size, ', \"specifications\": {{\"Frame\": \"', p_type, '\"}}}}'))), ','), ']') AS value FROM {part} GROUP BY p_brand"
+
+
+def _json(spark: SparkSession, d: str) -> DataFrame:
+    path = scratch(spark, "json")
+    A.frame(spark, d, _ARRAY).repartition("brand").write.partitionBy("brand").text(path)
+    return IO.read_snapshot_json(spark, path).select("name", "price", c("specifications")["Frame"].alias("frame"))
+
+
+add("read_snapshot_json", _json, "SELECT p_name || ' ' || p_partkey AS name, p_size::VARCHAR AS price, p_type AS frame FROM part")
+
+
+def _versioned(spark: SparkSession, d: str) -> DataFrame:
+    base, df = scratch(spark, "versions"), A.frame(spark, d, _ROWS)
+    IO.write_versioned_latest(df.withColumn("note", F.lit("old")), base, "20250718_102343")
+    IO.write_versioned_latest(df.where("note is not null"), base, "20250718_102836")
+    return IO.read_latest(spark, base)
+
+
+add("write_versioned_latest", _versioned, f"SELECT * FROM {A.duck(_ROWS)} WHERE note IS NOT NULL")
+add("write_by_brand", _round_trip(IO.write_by_brand, lambda s, p: s.read.parquet(p).groupBy(c("brand").cast("string").alias("brand")).agg(F.count("*").alias("n"))), f"SELECT brand, count(*) AS n FROM {A.duck(_ROWS)} GROUP BY brand")
+
+# --- streaming: each query runs its stream to the end ---------------------------------------------------------------------------
+
+
+def _first_users(spark: SparkSession, d: str) -> DataFrame:
+    schema, out = spark.read.parquet(f"{d}/events.parquet").schema, scratch(spark, "stream")
+    firsts = jobs.stream_first_by_key(spark.readStream.schema(schema).parquet(f"{d}/events*.parquet"), ["user_id"], delay="3650 days")
+    firsts.select("user_id").writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("user_id long").parquet(f"{out}/rows")
+
+
+add("stream_first_by_key", _first_users, "SELECT DISTINCT user_id FROM events")
+
+
+def _streamed(spark: SparkSession, d: str) -> DataFrame:
+    base = scratch(spark, "master")
+    schema = "brand string, name string, price string, category string, as_of string"
+    for day, source in (("2025-08-01", A.CURRENT), ("2025-08-02", A.ARCHIVE)):
+        A.frame(spark, d, source).select("brand", "name", "price", "category", F.lit(day).alias("as_of")).write.mode("append").parquet(f"{base}/in")
+        jobs.stream_master_update(spark, f"{base}/in", f"{base}/out", schema, KEYS).awaitTermination()
+    return jobs.latest_master(spark, f"{base}/out")
+
+
+add(
+    "stream_master_update",
+    _streamed,
+    f"SELECT n.brand, n.name, coalesce(a.price, c.price) AS price, coalesce(a.category, c.category) AS category, CASE WHEN a.name IS NULL THEN 'Discontinued' WHEN c.name IS NULL THEN 'New' ELSE 'Available' END AS status, CASE WHEN c.name IS NULL THEN '02-08-2025' ELSE '01-08-2025' END AS first_seen_date, CASE WHEN a.name IS NULL THEN '01-08-2025' ELSE '02-08-2025' END AS last_seen_date, '2025-08-02' AS last_updated FROM (SELECT brand, name FROM {_C} UNION SELECT brand, name FROM {_A}) n LEFT JOIN {_C} c ON n.name = c.name AND n.brand = c.brand LEFT JOIN {_A} a ON n.name = a.name AND n.brand = a.brand",
+)
+add("sorted_custom_fields", lambda s, d: s.createDataFrame([(i, n) for i, n in enumerate(W.sorted_custom_fields(X.export_single(A.frame(s, d, _SNAP).drop("k"), AS_OF, "shop")))], "place long, field string"), "SELECT row_number() OVER (ORDER BY f) - 1 AS place, f AS field FROM (SELECT unnest(['meta:additional_image_2', 'meta:frame', 'meta:image_1_local_path', 'meta:import_date', 'meta:import_source', 'meta:rem']) AS f)")
+
 
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
