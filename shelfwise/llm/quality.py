@@ -3,7 +3,8 @@
 Tokens are runs of letters or digits and runs of other signs; a token belongs to a hashed row. Every row has a sparse ternary
 index vector made from its number; its context vector sums the index vectors of its neighbours over ALL documents: tasks keep
 one bounded table each, and the tables are added up by Spark. A document is the mean of the normalised context vectors of
-its tokens beside the mean of their index vectors. The network is fitted on a bounded sample of labelled rows
+its tokens, the mean of their index vectors, and the mean of the products of neighbours' index vectors (large where words repeat).
+The network is fitted on a bounded sample of labelled rows
 (TRAIN_ROWS) and its temperature on a fifth of that sample. Labels, language, source and ids are no inputs.
 
 Cases: null and empty texts have the zero vector and get a score like any other; null labels are not learned from; several labels
@@ -28,6 +29,7 @@ from shelfwise.llm.common import cut, table
 ROWS, DIM, SIGNS, WINDOW = 8192, 32, 4, 2
 #: Labelled rows that the network is fitted on at most, hidden units, decision threshold.
 TRAIN_ROWS, HIDDEN, THRESHOLD = 12000, 24, 0.3
+_BLOCK = 1 << 15
 _TOKEN = re.compile(r"\w+|[^\w\s]+")
 
 
@@ -90,11 +92,16 @@ def word_table(contexts: np.ndarray) -> np.ndarray:
 
 
 def pooled(texts, words: np.ndarray, known: Rows) -> np.ndarray:
-    out = np.zeros((len(texts), words.shape[1]))
+    """One row a text; long texts are read in blocks."""
+    out = np.zeros((len(texts), words.shape[1] + DIM))
     for i, text in enumerate(texts):
         ids = rows_of(text, known)
-        if len(ids):
-            out[i] = np.bincount(ids, minlength=ROWS) @ words / len(ids) if len(ids) > ROWS else words[ids].mean(0, dtype=np.float64)
+        for at in range(0, len(ids), _BLOCK):
+            vectors = words[ids[at : at + _BLOCK + 1]]
+            out[i, : words.shape[1]] += vectors[:_BLOCK].sum(0)
+            if len(vectors) > 1:
+                out[i, words.shape[1] :] += np.einsum("ij,ij->j", vectors[:-1, DIM:], vectors[1:, DIM:])
+        out[i] /= max(1, len(ids))
     return out
 
 
@@ -166,7 +173,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     found = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "_id")
     found = found.select(F.col("_id").cast("long").alias("id"), F.col("_quality").alias("y"), "text").mapInPandas(pool, "id long, y double, x array<double>")
     sample = found.orderBy(F.xxhash64("id", F.lit(11)), "id", F.xxhash64("x")).limit(rows).toPandas()
-    x = np.stack(sample["x"].to_numpy()) if len(sample) else np.zeros((0, words.shape[1]))
+    x = np.stack(sample["x"].to_numpy()) if len(sample) else np.zeros((0, words.shape[1] + DIM))
     return words, Network().fit(x, (sample["y"].to_numpy(float) >= 0.5).astype(float))
 
 
