@@ -77,11 +77,11 @@ class RollupTable:
         return rows.groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).where("docs <> 0 or tokens <> 0")
 
 
-def copies(docs: DataFrame) -> DataFrame:
-    """Rows of documents with a flag: whether the same text stands under a lesser id."""
-    keyed = docs.select("doc_id", "source", "lang", "text", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("digest"))
-    first = keyed.groupBy("digest").agg(F.min("doc_id").alias("first_id"))
-    return keyed.join(first, "digest").withColumn("is_copy", F.col("doc_id") > F.col("first_id"))
+def copies(docs: DataFrame, *kept: str) -> DataFrame:
+    """The columns `kept` of documents and whether the same text stands under a lesser id; texts are not shuffled, only their digests."""
+    keyed = docs.select("doc_id", *kept, F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("_digest"))
+    first = keyed.groupBy("_digest").agg(F.min("doc_id").alias("_first_id"))
+    return keyed.join(first, "_digest").select("doc_id", *kept, (F.col("doc_id") > F.col("_first_id")).alias("is_copy"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,8 +92,8 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     none = F.lit(None).cast("string")
     insert = counted.select(F.lit("insert").alias("op"), "source", "lang", none.alias("old_version"), F.lit(0).alias("old_tokens"), F.lit(old).alias("tokenizer_version"), F.col("n_old").alias("tokens"))
     revise = counted.select(F.lit("revise").alias("op"), "source", "lang", F.lit(old).alias("old_version"), F.col("n_old").alias("old_tokens"), F.lit(new).alias("tokenizer_version"), F.col("n_new").alias("tokens"))
-    gone = copies(docs).where("is_copy").withColumn("n", token_count(F.col("text"), new))
-    delete = gone.select(F.lit("delete").alias("op"), "source", "lang", F.lit(new).alias("old_version"), F.col("n").alias("old_tokens"), none.alias("tokenizer_version"), F.lit(0).alias("tokens"))
+    gone = copies(counted, "source", "lang", "n_new").where("is_copy")
+    delete = gone.select(F.lit("delete").alias("op"), "source", "lang", F.lit(new).alias("old_version"), F.col("n_new").alias("old_tokens"), none.alias("tokenizer_version"), F.lit(0).alias("tokens"))
     rollup = RollupTable(spark, f"{ensure_checkpoint_dir(spark)}/rollup-{uuid.uuid4().hex}")
     for name, changes in (("0001", insert), ("0002", revise), ("0003", delete), ("0002", revise)):
         rollup.commit(name, changes)
