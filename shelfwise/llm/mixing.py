@@ -94,9 +94,9 @@ def repeat_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix as documents: each whole row of `docs` as often as it is taken, the boundary document rounded."""
     mixed = mix(docs, **options)
     copies = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(F.greatest(F.col("epochs"), F.lit(1))).cast("int")
-    counts = mixed.groupBy(F.col("id").alias("_id")).agg(F.max(copies).alias("_copies")).where("_copies > 0")
-    joined = docs.join(counts, docs["doc_id"].eqNullSafe(F.col("_id")))
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*[docs[c] for c in docs.columns])
+    counts = mixed.groupBy(F.col("id").alias("__mix_id")).agg(F.max(copies).alias("__mix_copies")).where("__mix_copies > 0")
+    joined = docs.join(counts, docs["doc_id"].eqNullSafe(F.col("__mix_id")))
+    return joined.withColumn("__mix_copy", F.explode(F.sequence(F.lit(1), F.col("__mix_copies")))).select(*[docs[c] for c in docs.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

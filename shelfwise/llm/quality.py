@@ -200,7 +200,7 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 def accepted(docs: DataFrame, labels: DataFrame, text_col: str = "text") -> DataFrame:
     """The rows of `docs` that are not rejected."""
     model = train(docs, labels, text_col=text_col)
-    return docs.withColumn("_score", score_column(F.col(text_col), model, docs.sparkSession)).where(F.col("_score") >= THRESHOLD).select(*[docs[c] for c in docs.columns])
+    return docs.where(score_column(F.col(text_col), model, docs.sparkSession) >= THRESHOLD)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
