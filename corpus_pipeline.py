@@ -39,8 +39,9 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def pieces_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Piece ids of every document, and whether they decode to its text."""
-    coded = pieces.decode_documents(pieces.encode_documents(docs), out="decoded")
-    return coded.select("doc_id", "source", "lang", "pieces", F.size("pieces").cast("long").alias("n_pieces"), F.col("decoded").eqNullSafe(F.col("text")).alias("lossless"))
+    coded = pieces.encode_documents(docs, proof="decoded_sha256")
+    lossless = F.col("decoded_sha256").eqNullSafe(F.sha2(F.col("text").cast("binary"), 256))
+    return coded.select("doc_id", "source", "lang", "pieces", F.size("pieces").cast("long").alias("n_pieces"), lossless.alias("lossless"))
 
 
 STAGES = [("quality", quality_stage), ("near_dedup", near_dedup_stage), ("pii", pii_stage), ("mixing", mixing_stage), ("pieces", pieces_stage)]
