@@ -191,29 +191,34 @@ def component_special_rules(components: DataFrame) -> DataFrame:
 
 
 def enrich_specs(products: DataFrame) -> DataFrame:
-    """products(name, category, text, specs map): page text and predictions fill the map, then the value rules run, in this order."""
-    get = lambda k: F.coalesce(F.try_element_at("specs", F.lit(k)), F.lit(""))
-
-    def put(df: DataFrame, key: str, value: Column) -> DataFrame:
-        """Empty values change nothing."""
-        rest, df = F.map_filter("specs", lambda k, v: k != key), df.withColumn("_v", T.nonempty(value))
-        merged = F.map_concat(rest, F.map_from_entries(F.array(F.struct(F.lit(key), F.col("_v")))))
-        return df.withColumn("specs", F.when(F.col("_v").isNull(), F.col("specs")).otherwise(merged)).drop("_v")
+    """products(name, category, text, specs map): page text and predictions fill the map, then the value rules run, in this order.
 
-    df = products.withColumn("specs", F.coalesce("specs", F.create_map().cast("map<string,string>")))
-    df = put(df, "Voorvork", T.page_fork(F.col("text")))
-    df = put(df, "Framefit", T.mark_prediction(get("Framefit"), F.lit(None).cast("string"), T.fit_from_name_category(F.col("name"), F.col("category"))))
-    df = put(df, "Bottom bracket", T.mark_prediction(get("Bottom bracket"), T.page_bottom_bracket(F.col("text")), T.predict_bottom_bracket(F.col("name"))))
-    df = put(df, "Ketting", T.mark_prediction(get("Ketting"), T.page_chain(F.col("text")), T.predict_chain(get("Achterderailleur"), get("Cassette"))))
-    df = put(df, "Frame", T.frame_material(T.nonempty(get("Frame"))))
-    df = put(df, "Gewichtslimiet", T.extract_weight_limit(T.nonempty(get("Gewichtslimiet"))))
-    df = put(df, "Gewicht", T.size_in_weight(T.clean_weight(T.nonempty(get("Gewicht")))))
-    df = put(df, "Shifter", T.clean_shifter_sizes(T.nonempty(get("Shifter"))))
-    df = put(df, "Shifter_speed", T.shifter_speed(T.nonempty(get("Shifter"))))
-    df = put(df, "Shifter", T.strip_shifter_speed(T.nonempty(get("Shifter"))))
+    New values are worked out as columns and go into the map once; empty ones change nothing.
+    """
+    get = lambda k: F.coalesce(F.try_element_at("specs", F.lit(k)), F.lit(""))
     low = lambda k: F.lower(get(k))
     name = F.lower(F.coalesce("name", F.lit("")))
     parts = (low("Crankstel"), low("Cassette"), low("Achterderailleur"), name)
-    reason = T.classify_drivetrain(low("Voortandwiel"), *parts)
-    return put(df, "Voorderailleur", T.fill_front_derailleur(get("Voorderailleur"), reason, T.score_1x(*parts), low("Crankstel")))
-
+    none = F.lit(None).cast("string")
+    first = {
+        "Voorvork": T.page_fork(F.col("text")),
+        "Framefit": T.mark_prediction(get("Framefit"), none, T.fit_from_name_category(F.col("name"), F.col("category"))),
+        "Bottom bracket": T.mark_prediction(get("Bottom bracket"), T.page_bottom_bracket(F.col("text")), T.predict_bottom_bracket(F.col("name"))),
+        "Ketting": T.mark_prediction(get("Ketting"), T.page_chain(F.col("text")), T.predict_chain(get("Achterderailleur"), get("Cassette"))),
+        "Frame": T.frame_material(T.nonempty(get("Frame"))),
+        "Gewichtslimiet": T.extract_weight_limit(T.nonempty(get("Gewichtslimiet"))),
+        "Gewicht": T.size_in_weight(T.clean_weight(T.nonempty(get("Gewicht")))),
+    }
+    sized = T.clean_shifter_sizes(T.nonempty(get("Shifter")))
+    second = {
+        "Shifter_speed": T.shifter_speed(F.col("__shifter")),
+        "Shifter": T.strip_shifter_speed(F.col("__shifter")),
+        "Voorderailleur": T.fill_front_derailleur(get("Voorderailleur"), F.col("__reason"), T.score_1x(*parts), low("Crankstel")),
+    }
+    df = products.withColumn("specs", F.coalesce("specs", F.create_map().cast("map<string,string>")))
+    df = df.withColumns({"__shifter": sized, "__reason": T.classify_drivetrain(low("Voortandwiel"), *parts)})
+    values = {**first, **second}
+    pairs = F.map_from_arrays(F.array(*map(F.lit, values)), F.array(*values.values()))
+    df = df.withColumn("__new", F.map_filter(pairs, lambda k, v: v != ""))
+    rest = F.map_filter("specs", lambda k, v: ~F.array_contains(F.map_keys("__new"), k))
+    return df.withColumn("specs", F.map_concat(rest, "__new")).drop("__shifter", "__reason", "__new")
