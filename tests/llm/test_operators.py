@@ -161,7 +161,7 @@ def test_pieces(docs):
             assert coder.encode(t, 5) == pieces.Pieces().encode(t, 5)
             if "▁" not in t:
                 assert plain.encode(t) == library.encode(t)
-    assert len({tuple(coder.encode("understanding representation", k)) for k in range(50)}) > 1
+    assert len({tuple(coder.encode(f"understanding representation of {w}", k)) for k in range(50) for w in "ab"}) > 1
     unit = "abcthenrestion" * 30
     assert coder.merge(unit, 1) == coder._merge_long(list(unit), 1)
     both = pieces.decode_documents(pieces.encode_documents(docs), out="back")
