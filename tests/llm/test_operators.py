@@ -314,3 +314,12 @@ def test_context_vectors_against_loop(spark):
                     want[x] += index[ids[j]]
     got = quality.context_vectors(spark.createDataFrame([(t,) for t in texts], "text string"))
     assert np.allclose(got, want)
+
+
+def test_merging_many_words_equals_merging_each():
+    coder = pieces.Pieces(dropout=0.2)
+    rng = np.random.default_rng(6)
+    units = ["▁" + "".join(rng.choice(list("abcdeinorstéçTH"), rng.integers(1, 30))) for _ in range(2000)] + ["", "▁", "日", "a" * 80, "▁▁▁▁the"]
+    variants = [int(x) for x in rng.integers(0, 2, len(units))]
+    want = [tuple(coder.merge(u, v)) if u else () for u, v in zip(units, variants)]
+    assert [tuple(x) for x in coder.merge_many(units[:2000] + units[2001:], variants[:2000] + variants[2001:])] == want[:2000] + want[2001:]
