@@ -39,7 +39,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def pieces_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Piece ids of every document, and whether they decode to its text."""
-    coded = pieces.encode_documents(docs, proof="decoded_sha256", forget=True)
+    coded = pieces.encode_documents(docs, proof="decoded_sha256", forget=True, remembered=100_000)
     lossless = F.col("decoded_sha256").eqNullSafe(F.sha2(F.col("text").cast("binary"), 256))
     return coded.select("doc_id", "source", "lang", "pieces", F.size("pieces").cast("long").alias("n_pieces"), lossless.alias("lossless"))
 
