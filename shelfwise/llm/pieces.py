@@ -1,10 +1,10 @@
 """SentencePiece encoding with seeded merge-dropout, and decoding.
 
 The vocabulary is a public merge-type (BPE) model, given by path. Spaces become U+2581, one is put in front, and the agenda takes
-the pair of neighbours whose joined piece ranks first, leftmost on ties, until none is left. With dropout every candidate is kept or
-skipped by a keyed hash of (seed, variant, word, place and rank), so a word has several segmentations, and equal
-calls give equal ones. The variant of a word in a document comes from a hash of the document id and the word's number, over a fixed number
-of variants; this lets a task remember words it has seen. No piece holds U+2581 behind another character, and characters that are in no
+the pair of neighbours whose joined piece ranks first, leftmost on ties, until none is left. With dropout every pair it takes is skipped
+at that rate, as in the public library: a keyed hash of (seed, document id, number of the word, number of the skip) says how many joins
+come before each skip, so every occurrence of a word has its own segmentation, and equal calls give equal ones. A task remembers
+words by the skips that matter to them: most occurrences have none. No piece holds U+2581 behind another character, and characters that are in no
 longer piece join with nothing: texts are cut there without changing the result. Characters outside the vocabulary, and a U+2581 of the
 text itself, become byte pieces, so decoding returns every text exactly.
 
@@ -17,7 +17,6 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
-import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
@@ -33,11 +32,12 @@ from shelfwise.llm.common import table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-DROPOUT, SEED, VARIANTS, REMEMBERED = 0.1, 42, 2, 400_000
-#: Rows of a slice.
-STEP = 250
+DROPOUT, SEED, REMEMBERED = 0.1, 42, 400_000
+#: Rows of a slice, characters that are encoded together, fewest words that numpy merges.
+STEP, TOGETHER, MANY = 250, 1 << 20, 48
 _M = (1 << 64) - 1
 NONE = 1 << 60
+_STRIDE = 0x9E3779B97F4A7C15
 
 
 def mixed(*parts: int) -> int:
@@ -49,37 +49,58 @@ def mixed(*parts: int) -> int:
     return h
 
 
-def skip_table(dropout: float, seed: int) -> list[bool]:
-    """Keyed decisions, true at the rate of the dropout; a candidate reads the one at its word's key, place and rank."""
-    return [mixed(seed, i) >> 11 < dropout * 2**53 for i in range(1 << 16)]
+def scattered(h: np.ndarray) -> np.ndarray:
+    """A bijective hash of 64-bit numbers."""
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def gap_table(dropout: float) -> np.ndarray:
+    """Thresholds of 53-bit numbers: the number of joins before a skip is geometric."""
+    out, left = [], 1.0
+    while len(out) < 1 << 16 and left * 2**53 >= 1:
+        left *= 1 - dropout
+        out.append(int((1 - left) * 2**53))
+    return np.array(out, np.uint64)
 
 
 class Memory(dict):
-    """Unit -> piece ids for one variant. Full, it becomes the old generation, from which words that come again are taken over."""
+    """Name -> piece ids; a name is a word, or (name, joins before one more skip). Full, it becomes the old generation, from which names that come again are taken over."""
 
-    def __init__(self, coder: Pieces, variant: int, size: int):
+    def __init__(self, coder: Pieces, size: int):
         super().__init__()
-        self.coder, self.variant, self.size, self.old = coder, variant, size, {}
+        self.coder, self.size, self.old = coder, size, {}
 
-    def __missing__(self, unit: str) -> tuple[int, ...]:
-        ids = self.old.get(unit)
+    def __missing__(self, name: str | tuple) -> tuple[int, ...]:
+        ids = self.old.get(name)
+        unit, gaps = unwound(name)
         if ids is None:
-            ids = tuple(self.coder.merge(unit, self.variant))
+            ids = tuple(self.coder.merge(unit, gaps))
         if len(unit) <= 64:
-            self.put(unit, ids)
+            self.put(name, ids)
         return ids
 
-    def put(self, unit: str, ids: tuple[int, ...]) -> None:
+    def put(self, name: str | tuple, ids: tuple[int, ...]) -> None:
         if len(self) >= self.size:
             self.old = dict(self)
             self.clear()
-        self[unit] = ids
+        self[name] = ids
+
+
+def unwound(name: str | tuple) -> tuple[str, tuple[int, ...]]:
+    """The word of a name, and the joins before each of its skips."""
+    gaps = []
+    while not isinstance(name, str):
+        name, gap = name
+        gaps.append(gap)
+    return name, tuple(reversed(gaps))
 
 
 class Pieces:
     """Encoder and decoder over one model file."""
 
-    def __init__(self, path: str = MODEL, dropout: float = DROPOUT, seed: int = SEED, variants: int = VARIANTS, remembered: int = REMEMBERED):
+    def __init__(self, path: str = MODEL, dropout: float = DROPOUT, seed: int = SEED, remembered: int = REMEMBERED):
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -93,9 +114,8 @@ class Pieces:
         joining = {c for p in self.rank for c in p if c != SPACE}
         letters = "".join(re.escape(c) for c in sorted(joining))
         self.units = re.compile(f"{SPACE}*[{letters}]+|{SPACE}+|[^{SPACE}{letters}]")
-        self.seed, self.variants = seed, variants if dropout else 1
-        self.skips = skip_table(dropout, seed) if dropout else None
-        self.memory = [Memory(self, v, max(1000, remembered // self.variants)) for v in range(self.variants)]
+        self.seed, self.chances = seed, gap_table(dropout) if dropout else None
+        self.memory = Memory(self, max(1000, remembered))
         self._tables()
         self.text_of = [None if i in self.byte_of else p.replace(SPACE, " ") for i, p in enumerate(self.piece)]
 
@@ -108,141 +128,182 @@ class Pieces:
         rows = [(self.ids[p[:k]] << 20 | self.ids[p[k:]], r, self.ids[p]) for p, r in self.rank.items() for k in range(1, len(p)) if p[:k] in self.ids and p[k:] in self.ids]
         table = np.array(sorted(rows), np.int64)
         self.pair_keys, self.pair_ranks, self.pair_joined = (np.ascontiguousarray(table[:, j]) for j in range(3))
-        self.skip_array = None if self.skips is None else np.array(self.skips)
 
-    def _ranked(self, left: np.ndarray, right: np.ndarray, word: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Rank (NONE where nothing joins or dropout skips) and joined piece of candidates."""
+    def _ranked(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rank (NONE where nothing joins) and joined piece of candidates."""
         key = left << 20 | right
         at = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
         good = (left >= 0) & (right >= 0) & (self.pair_keys[at] == key)
-        rank = self.pair_ranks[at]
-        if self.skip_array is not None:
-            good &= ~self.skip_array[(word + rank * 7919 + place * 40503) & 0xFFFF]
-        return np.where(good, rank, NONE), self.pair_joined[at]
-
-    def merge_many(self, units: list[str], variants: list[int]) -> list[tuple[int, ...]]:
-        """`merge` on many units together: each round joins the best candidate of every unit that has one."""
+        return np.where(good, self.pair_ranks[at], NONE), self.pair_joined[at]
+
+    def gap(self, keys: np.ndarray, number) -> np.ndarray:
+        """Joins of the occurrences `keys` between two skips."""
+        drawn = scattered(keys + (np.atleast_1d(np.asarray(number, np.uint64)) + np.uint64(1)) * np.uint64(_STRIDE))
+        return np.searchsorted(self.chances, drawn >> np.uint64(11), side="right")
+
+    def gaps(self, key: int | tuple[int, ...], n: int) -> tuple[int, ...]:
+        """The joins before each skip of an occurrence of n characters; given ones stay."""
+        if isinstance(key, tuple):
+            return key
+        if self.chances is None:
+            return ()
+        return tuple(self.gap(np.full(3 * n, key & _M, np.uint64), np.arange(3 * n)).tolist())
+
+    def merge_many(self, units: list[str], keys: list) -> list[tuple[int, ...]]:
+        """`merge` on many units together: each round takes the best candidate of every unit that has one."""
         lengths = np.fromiter(map(len, units), np.int64, len(units))
         out: list = [None] * len(units)
         for low, high in ((0, 8), (8, 16), (16, 64)):
             rows = np.flatnonzero((lengths > low) & (lengths <= high))
-            if not len(rows):
+            if len(rows) < MANY:
                 continue
             some, n = [units[i] for i in rows], lengths[rows]
             width = int(n.max())
             sym = np.full((len(rows), width), -1, np.int64)
             sym[np.arange(width) < n[:, None]] = self.of_char[np.frombuffer("".join(some).encode("utf-32-le", "surrogatepass"), np.uint32)]
             known = (sym >= 0).sum(1) == n
-            word = np.array([self.word_key(u, variants[i]) for u, i in zip(some, rows)], np.int64) if self.skips else np.zeros(len(rows), np.int64)
-            place = np.broadcast_to(np.arange(width), sym.shape).copy()
-            rank, joined = self._ranked(sym[:, :-1], sym[:, 1:], word[:, None], place[:, :-1])
+            gaps = [self.gaps(keys[i], len(u)) for u, i in zip(some, rows)]
+            skips = np.full((len(rows), max(map(len, gaps)) + 1), NONE, np.int64)
+            for row, g in enumerate(gaps):
+                skips[row, : len(g)] = g
+            skipped, until = np.zeros(len(rows), np.int64), skips[:, 0].copy()
+            rank, joined = self._ranked(sym[:, :-1], sym[:, 1:])
             live = np.flatnonzero(known & (rank.min(1, initial=NONE) < NONE)) if width > 1 else np.zeros(0, np.int64)
             while len(live):
-                r, j, y, a = rank[live], joined[live], sym[live], place[live]
-                i, row = r.argmin(1), np.arange(len(live))
-                new = j[row, i]
-                keep = np.minimum(np.arange(width) + (np.arange(width) > i[:, None]), width - 1)
-                y, a = np.take_along_axis(y, keep, 1), np.take_along_axis(a, keep, 1)
-                n[live] -= 1
-                y[np.arange(width) >= n[live][:, None]] = -1
-                y[row, i] = new
-                drop = np.minimum(np.arange(width - 1) + (np.arange(width - 1) >= i[:, None]), width - 2)
-                r, j = np.take_along_axis(r, drop, 1), np.take_along_axis(j, drop, 1)
-                r[np.arange(width - 1) >= (n[live] - 1)[:, None]] = NONE
-                for at in (i - 1, i):
-                    ok = np.flatnonzero((at >= 0) & (at < n[live] - 1))
-                    c = at[ok]
-                    r[ok, c], j[ok, c] = self._ranked(y[ok, c], y[ok, c + 1], word[live[ok]], a[ok, c])
-                rank[live], joined[live], sym[live], place[live] = r, j, y, a
-                live = live[r.min(1) < NONE]
-            for i, u, good, ids, k in zip(rows.tolist(), some, known.tolist(), sym.tolist(), n.tolist()):
-                out[i] = tuple(ids[:k]) if good else tuple(self.merge(u, variants[i]))
-        return [tuple(self.merge(u, v)) if ids is None else ids for u, v, ids in zip(units, variants, out)]
-
-    def remember(self, texts: list[str], keys: list[int]) -> None:
-        """Works out the new words of many texts together."""
-        wanted: list[set[str]] = [set() for _ in range(self.variants)]
-        for text, key in zip(texts, keys):
-            units, start = self.units.findall(SPACE + text.replace(" ", SPACE)), mixed(self.seed, key)
-            for o in range(min(self.variants, len(units))):
-                wanted[(start + o) % self.variants].update(units[o :: self.variants])
-        for v, units in enumerate(wanted):
-            memory = self.memory[v]
-            new = [u for u in units.difference(memory).difference(memory.old) if len(u) <= 64]
-            for u, ids in zip(new, self.merge_many(new, [v] * len(new))):
-                memory.put(u, ids)
+                best, skip = rank[live].argmin(1), until[live] == 0
+                over, go, i = live[skip], live[~skip], best[~skip]
+                rank[over, best[skip]] = NONE
+                skipped[over] += 1
+                until[over] = skips[over, skipped[over]]
+                until[go] -= 1
+                if len(go):
+                    r, j, y, row = rank[go], joined[go], sym[go], np.arange(len(go))
+                    new = j[row, i]
+                    keep = np.minimum(np.arange(width) + (np.arange(width) > i[:, None]), width - 1)
+                    y = np.take_along_axis(y, keep, 1)
+                    n[go] -= 1
+                    y[np.arange(width) >= n[go][:, None]] = -1
+                    y[row, i] = new
+                    drop = np.minimum(np.arange(width - 1) + (np.arange(width - 1) >= i[:, None]), width - 2)
+                    r, j = np.take_along_axis(r, drop, 1), np.take_along_axis(j, drop, 1)
+                    r[np.arange(width - 1) >= (n[go] - 1)[:, None]] = NONE
+                    for at in (i - 1, i):
+                        ok = np.flatnonzero((at >= 0) & (at < n[go] - 1))
+                        c = at[ok]
+                        r[ok, c], j[ok, c] = self._ranked(y[ok, c], y[ok, c + 1])
+                    rank[go], joined[go], sym[go] = r, j, y
+                live = live[rank[live].min(1) < NONE]
+            for i, good, ids, k in zip(rows.tolist(), known.tolist(), sym.tolist(), n.tolist()):
+                out[i] = tuple(ids[:k]) if good else None
+        return [tuple(self.merge(u, key)) if ids is None else ids for u, key, ids in zip(units, keys, out)]
+
+    def remembered(self, names: list) -> list[tuple[int, ...]]:
+        """The piece ids of names; new ones are worked out together."""
+        memory = self.memory
+        new = [(name, *unwound(name)) for name in set(names).difference(memory).difference(memory.old)]
+        new = [x for x in new if len(x[1]) <= 64]
+        for (name, _, _), ids in zip(new, self.merge_many([u for _, u, _ in new], [g for _, _, g in new])):
+            memory.put(name, ids)
+        return list(map(memory.__getitem__, names))
 
     def encode_many(self, texts: list[str], keys: list[int]) -> list[list[int]]:
-        self.remember([t for t in texts if t and SPACE not in t], [k for t, k in zip(texts, keys) if t and SPACE not in t])
-        return [self.encode(t, k) for t, k in zip(texts, keys)]
+        out: list = [None] * len(texts)
+        some, size = [], 0
+        for i, text in enumerate(texts):
+            if not text or SPACE in text:
+                out[i] = self.encode(text, keys[i])
+                continue
+            some.append(i)
+            size += len(text)
+            if size >= TOGETHER or i == len(texts) - 1:
+                self._fill(out, some, texts, keys)
+                some, size = [], 0
+        self._fill(out, some, texts, keys)
+        return out
+
+    def _fill(self, out: list, some: list[int], texts: list[str], keys: list[int]) -> None:
+        for i, ids in zip(some, self._units([SPACE + texts[i].replace(" ", SPACE) for i in some], [keys[i] for i in some])):
+            out[i] = ids
 
     def encode(self, text: str, key: int = 0) -> list[int]:
-        """Piece ids; `key` (a document id) picks the variants of the words."""
+        """Piece ids; `key` (a document id) picks the skips."""
         if not text:
             return []
         if SPACE in text:
             return self._literal(text, key)
-        return self._units(SPACE + text.replace(" ", SPACE), key)
-
-    def _units(self, marked: str, key: int) -> list[int]:
-        """The variant of a unit is its number plus a hash of the document, modulo the number of variants."""
-        units, n, start = self.units.findall(marked), self.variants, mixed(self.seed, key)
-        found: list = [()] * len(units)
-        for o in range(min(n, len(units))):
-            found[o::n] = map(self.memory[(start + o) % n].__getitem__, units[o::n])
-        return list(chain.from_iterable(found))
+        return self._units([SPACE + text.replace(" ", SPACE)], [key])[0]
+
+    def _units(self, marked: list[str], keys: list[int]) -> list[list[int]]:
+        """Piece ids of marked texts. Words without a skip come first; those with a skip before their last join get it, and so on."""
+        words = [self.units.findall(m) for m in marked]
+        names: list = list(chain.from_iterable(words))
+        counts = np.fromiter(map(len, words), np.int64, len(words))
+        ends = np.cumsum(counts)
+        ids = self.remembered(names)
+        if self.chances is not None and names:
+            starts = np.array([mixed(self.seed, k) for k in keys], np.uint64)
+            numbers = np.arange(1, len(names) + 1) - np.repeat(ends - counts, counts)
+            key = scattered(np.repeat(starts, counts) + numbers.astype(np.uint64) * np.uint64(_STRIDE))
+            length = np.fromiter(map(len, names), np.int64, len(names))
+            rows, done, found, number = np.arange(len(names)), np.zeros(len(names), np.int64), ids, 0
+            while len(rows):
+                # What is left of a word's joins after its last skip; characters outside the vocabulary have none.
+                left = length[rows] - np.fromiter(map(len, found), np.int64, len(rows)) - done
+                gap = self.gap(key[rows], number)
+                some = np.flatnonzero(gap < left)
+                rows, done, number = rows[some], done[some] + gap[some], number + 1
+                names = list(zip(map(names.__getitem__, some.tolist()), gap[some].tolist()))
+                found = self.remembered(names)
+                for i, new in zip(rows.tolist(), found):
+                    ids[i] = new
+        return [list(chain.from_iterable(ids[b - n : b])) for n, b in zip(counts.tolist(), ends.tolist())]
 
     def _literal(self, text: str, key: int) -> list[int]:
         """A text with U+2581 of its own: its parts are encoded one by one, with byte pieces between; only the first has a space in front."""
         marks = [self.of_byte[b] for b in SPACE.encode()]
         first, *rest = text.split(SPACE)
-        out = self._units(SPACE + first.replace(" ", SPACE), key)
+        out = self._units([SPACE + first.replace(" ", SPACE)], [key])[0]
         for i, part in enumerate(rest, 1):
-            out += marks + self._units(part.replace(" ", SPACE), key + i)
+            out += marks + self._units([part.replace(" ", SPACE)], [key + i])[0]
         return out
 
-    def merge(self, unit: str, variant: int) -> list[int]:
-        """The agenda on one unit."""
+    def merge(self, unit: str, key: int | tuple[int, ...]) -> list[int]:
+        """The agenda on one unit; `key` is an occurrence, or the joins before each skip."""
         symbols = list(unit)
         n = len(symbols)
         if n == 1:
             return self._ids(symbols)
         if n > 512:
-            return self._merge_long(symbols, variant)
-        rank, at = self.rank.get, list(range(n))
-        pairs = [rank(a + b, NONE) for a, b in zip(symbols, symbols[1:])]
-        skips = self.skips
-        if skips:
-            word = self.word_key(unit, variant)
-            pairs = [NONE if p < NONE and skips[(word + p * 7919 + i * 40503) & 0xFFFF] else p for i, p in enumerate(pairs)]
+            return self._merge_long(symbols, key)
+        rank, gaps = self.rank.get, iter(self.gaps(key, n))
+        pairs, until = [rank(a + b, NONE) for a, b in zip(symbols, symbols[1:])], next(gaps, NONE)
         while (best := min(pairs)) < NONE:
             i = pairs.index(best)
+            if not until:
+                pairs[i], until = NONE, next(gaps, NONE)
+                continue
+            until -= 1
             joined = symbols[i] = symbols[i] + symbols.pop(i + 1)
-            del at[i + 1], pairs[i]
+            del pairs[i]
             if not pairs:
                 break
             if i:
-                p = rank(symbols[i - 1] + joined, NONE)
-                pairs[i - 1] = NONE if skips and p < NONE and skips[(word + p * 7919 + at[i - 1] * 40503) & 0xFFFF] else p
+                pairs[i - 1] = rank(symbols[i - 1] + joined, NONE)
             if i < len(pairs):
-                p = rank(joined + symbols[i + 1], NONE)
-                pairs[i] = NONE if skips and p < NONE and skips[(word + p * 7919 + at[i] * 40503) & 0xFFFF] else p
+                pairs[i] = rank(joined + symbols[i + 1], NONE)
         return self._ids(symbols)
 
-    def word_key(self, unit: str, variant: int) -> int:
-        """A keyed hash of the unit and its variant; the seed is in the table of decisions."""
-        return (zlib.crc32(unit.encode("utf-8", "surrogatepass"), variant) * 0x9E3779B1 >> 16) & 0xFFFF
-
-    def _merge_long(self, symbols: list[str], variant: int) -> list[int]:
+    def _merge_long(self, symbols: list[str], key: int | tuple[int, ...]) -> list[int]:
         """The same agenda with a heap and links, for units of any length."""
         n, rank = len(symbols), self.rank.get
         left, right = list(range(-1, n - 1)), [*range(1, n), -1]
-        word, heap = self.word_key("".join(symbols), variant), []
+        gaps, heap = iter(self.gaps(key, n)), []
+        until = next(gaps, NONE)
 
         def offer(i: int, j: int) -> None:
             if i >= 0 and j >= 0:
                 p = rank(symbols[i] + symbols[j], NONE)
-                if p < NONE and not (self.skips and self.skips[(word + p * 7919 + i * 40503) & 0xFFFF]):
+                if p < NONE:
                     heapq.heappush(heap, (p, i, j, len(symbols[i]), len(symbols[j])))
 
         for i in range(n - 1):
@@ -251,6 +312,10 @@ class Pieces:
             _, i, j, a, b = heapq.heappop(heap)
             if len(symbols[i]) != a or len(symbols[j]) != b or right[i] != j:
                 continue
+            if not until:
+                until = next(gaps, NONE)
+                continue
+            until -= 1
             symbols[i] += symbols[j]
             symbols[j] = ""
             right[i] = right[j]
@@ -289,12 +354,12 @@ class Pieces:
 
 
 @lru_cache(maxsize=4)
-def shared(path: str, dropout: float, seed: int, variants: int, remembered: int = REMEMBERED) -> Pieces:
+def shared(path: str, dropout: float, seed: int, remembered: int = REMEMBERED) -> Pieces:
     """One encoder in each Python worker."""
-    return Pieces(path, dropout, seed, variants, remembered)
+    return Pieces(path, dropout, seed, remembered)
 
 
-def encode_documents(docs: DataFrame, path: str = MODEL, dropout: float = DROPOUT, seed: int = SEED, variants: int = VARIANTS, id_col: str = "doc_id", text_col: str = "text", out: str = "pieces", proof: str | None = None, forget: bool = False, remembered: int = REMEMBERED) -> DataFrame:
+def encode_documents(docs: DataFrame, path: str = MODEL, dropout: float = DROPOUT, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", out: str = "pieces", proof: str | None = None, forget: bool = False, remembered: int = REMEMBERED) -> DataFrame:
     """`docs` with the piece ids of every text; with `proof` also the SHA-256 of what they decode to, in a column of that name.
 
     Record batches go through in slices of STEP rows, so a task holds few encoded texts at a time. With `forget` a worker drops the words
@@ -306,7 +371,7 @@ def encode_documents(docs: DataFrame, path: str = MODEL, dropout: float = DROPOU
     schema = T.StructType([*kept, T.StructField(out, T.ArrayType(T.IntegerType())), *([T.StructField(proof, T.StringType())] if proof else [])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = shared(path, dropout, seed, variants, remembered)
+        coder = shared(path, dropout, seed, remembered)
         for whole in batches:
             for at in range(0, whole.num_rows, STEP):
                 part = whole.slice(at, STEP)
@@ -328,7 +393,7 @@ def decode_documents(docs: DataFrame, path: str = MODEL, pieces_col: str = "piec
     """`docs` with the text of the pieces."""
 
     def batch(pieces: pd.Series) -> pd.Series:
-        coder = shared(path, 0.0, 0, 1)
+        coder = shared(path, 0.0, 0)
         return pd.Series([None if p is None else coder.decode(p.tolist() if hasattr(p, "tolist") else p) for p in pieces], dtype=object)
 
     return docs.withColumn(out, F.pandas_udf(batch, "string")(F.col(pieces_col)))
