@@ -48,9 +48,25 @@ def best_archive(scores: DataFrame) -> DataFrame:
 
 
 def retention(manifest: DataFrame, n: int, by: list[str], mtime: str = "mtime", tie: str = "path") -> DataFrame:
-    """Manifest with archive = beyond the newest n of its group; an empty `by` counts all files together."""
-    w = Window.partitionBy(*(by or [F.lit(0)])).orderBy(F.col(mtime).desc(), F.col(tie).desc())
-    return manifest.withColumn("archive", F.row_number().over(w) > n)
+    """Manifest with archive = beyond the newest n of its group; an empty `by` counts all files together.
+
+    All files together need no window: a distributed top n gives the n-th newest, and every row is compared with it. Only rows that equal
+    it in both columns are numbered.
+    """
+    if by:
+        w = Window.partitionBy(*by).orderBy(F.col(mtime).desc(), F.col(tie).desc())
+        return manifest.withColumn("archive", F.row_number().over(w) > n)
+    if n <= 0:
+        return manifest.withColumn("archive", F.lit(True))
+    key = F.struct(F.col(mtime).alias("m"), F.col(tie).alias("t"))
+    top = manifest.select(key.alias("_key")).orderBy(F.col("_key").desc()).limit(n)
+    last = top.agg(F.when(F.count("*") == n, F.min("_key")).alias("_last"))
+    newer = top.crossJoin(F.broadcast(last)).agg(F.first("_last").alias("_last"), F.count_if(F.col("_key") > F.col("_last")).alias("_newer"))
+    rows = manifest.crossJoin(F.broadcast(newer))
+    tied = F.coalesce(key == F.col("_last"), F.lit(False))
+    numbered = rows.where(tied).withColumn("archive", F.row_number().over(Window.partitionBy("_last").orderBy(F.col(tie).desc())) + F.col("_newer") > n)
+    others = rows.where(~tied).withColumn("archive", F.coalesce(key < F.col("_last"), F.lit(False)))
+    return others.unionByName(numbered).drop("_last", "_newer")
 
 
 def archive_target_name(to_archive: DataFrame, archived: DataFrame, ts: str, name: str = "file_name") -> DataFrame:

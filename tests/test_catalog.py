@@ -166,3 +166,21 @@ def test_lifecycle_replay(spark):
     d = lambda n: datetime.date(2025, 7, n)
     df = spark.createDataFrame([("b", "x", d(1)), ("b", "x", d(3)), ("b", "y", d(2)), ("b", "z", d(3))], "brand string, name string, snapshot_date date")
     assert {r["name"]: r["status"] for r in L.lifecycle_replay(df, ["brand", "name"]).collect()} == {"x": "Available", "y": "Discontinued", "z": "New"}
+
+
+def test_global_retention_over_the_whole_manifest(spark, sf_dir):
+    from shelfwise.plans import adaptors as A
+
+    rows = A.frame(spark, sf_dir, A.MANIFEST)
+    newest = sorted(((r["mtime"], r["path"]) for r in rows.collect()), reverse=True)[:5]
+    flagged = D.retention(rows, 5, [])
+    assert flagged.count() == rows.count()
+    assert sorted(((r["mtime"], r["path"]) for r in flagged.where("not archive").collect()), reverse=True) == newest
+    plan = flagged._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" in plan[plan.index("Window [") :]  # only rows that tie with the n-th newest are numbered
+    odd = spark.createDataFrame([(3, "a"), (3, "b"), (2, "c"), (2, "c"), (2, "c"), (1, None), (None, "x"), (None, None)], "mtime int, path string")
+    for n, kept in ((0, 0), (1, 1), (2, 2), (3, 3), (4, 4), (6, 6), (7, 7), (8, 8), (20, 8)):
+        out = D.retention(odd, n, [])
+        assert (out.count(), out.where("not archive").count()) == (8, kept), n
+        want = sorted([(3, "b"), (3, "a"), (2, "c"), (2, "c"), (2, "c"), (1, None), (None, "x"), (None, None)][:n], key=str)
+        assert sorted([(r["mtime"], r["path"]) for r in out.where("not archive").collect()], key=str) == want
