@@ -89,23 +89,29 @@ def link_fingerprints(fps: DataFrame, distance: int = 3) -> DataFrame:
     return a.join(b, on).select(fa.alias("a"), fb.alias("b"))
 
 
+def with_component(fps: DataFrame, distance: int = 3) -> DataFrame:
+    """`fps`, a row for each fingerprint, with the least fingerprint that links reach."""
+    parts = connected_components(link_fingerprints(fps, distance))
+    return fps.join(parts.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = 3) -> DataFrame:
     """(id, fp, component_id): 64-bit fingerprint of each whole text and the least id that links reach."""
     marked = cut(docs.select(F.col(id_col).alias("id"), simhash_column(F.col(text_col)).alias("fp")))
-    fps = marked.groupBy("fp").agg(F.min("id").alias("least_id"))
-    parts = connected_components(link_fingerprints(fps, distance))
-    named = fps.join(parts.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    named = with_component(marked.groupBy("fp").agg(F.min("id").alias("least_id")), distance)
     least = named.groupBy("component").agg(F.min("least_id").alias("component_id"))
     by_fp = named.join(least, "component").select("fp", "component_id")
     return marked.join(by_fp, "fp").select("id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """The rows of `docs` (all their columns) whose doc_id names its group; a repeated doc_id stays once."""
-    groups = near_duplicates(docs, **options)
-    chosen = groups.where(F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias("_kept_id")).distinct()
-    kept = docs.join(chosen, docs["doc_id"].eqNullSafe(F.col("_kept_id")), "left_semi")
-    return kept.dropDuplicates(["doc_id"])
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = 3) -> DataFrame:
+    """One row of `docs` (all its columns) for each group: the least by id (null last), fingerprint, text hash and row hash."""
+    marked = cut(docs.withColumns({"__fp": simhash_column(F.col(text_col)), "__row": F.xxhash64(*docs.columns)}))
+    place = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("__fp").alias("fp"), F.xxhash64(text_col).alias("text"), F.col("__row").alias("row"))
+    named = with_component(marked.groupBy(F.col("__fp").alias("fp")).agg(F.min(place).alias("least")), distance)
+    chosen = named.groupBy("component").agg(F.min("least").alias("least")).select(F.col("least.fp").alias("__fp"), F.col("least.row").alias("__row"))
+    # Rows with one fingerprint and one row hash are repeats of each other.
+    return marked.join(chosen, ["__fp", "__row"], "left_semi").dropDuplicates(["__fp", "__row"]).select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
