@@ -1,9 +1,10 @@
 """License scans: winnowed fingerprints of templates in an inverted index, then banded alignment.
 
 Templates are cut into words (lower case, letters and digits). Hashes of their k-word grams are winnowed (the least of every window of
-w), and the inverted index maps each kept hash to its templates and positions; it is bounded by the templates and sent to every
-task. A document looks up all of its grams; hits of one template on nearby diagonals make a candidate window, and a banded sequence
-alignment of window and template gives the matched words. A match is reported if enough of the template is covered, with its
+w); a template whose matches may have no run of k + w - 1 words keeps all grams, of fewer words if need be (`TemplateIndex`). The inverted
+index maps each kept hash to its templates and positions; it is bounded by the templates and sent to every task. A document looks up all of its grams; hits of one template on nearby diagonals make a candidate window, and a banded sequence
+alignment of window and template gives the matched words. Windows that match are aligned again without the words of the matches
+found, until none matches. A match is reported if enough of the template is covered, with its
 span in code points.
 
 Cases: null and empty texts match nothing; repeated rows are scanned again; of overlapping matches the one with more matched words
@@ -63,15 +64,20 @@ def winnow(hashes: list[int], window: int = WINDOW) -> list[int]:
 class TemplateIndex:
     """The inverted index: word gram hash -> [(template, position)], and the words of each template."""
 
-    def __init__(self, templates: dict[str, str], k: int = GRAM, window: int = WINDOW):
+    def __init__(self, templates: dict[str, str], k: int = GRAM, window: int = WINDOW, coverage: float = COVERAGE):
         self.k, self.names = k, sorted(templates)
         self.words = [words(templates[n]) for n in self.names]
         self.post: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        self.sizes: set[int] = set()
         for t, ws in enumerate(self.words):
-            size = min(k, len(ws))
+            # Of a match with `missing` words of the template replaced, the longest run without one has at least `run` words.
+            missing = int((1 - coverage) * len(ws) + 1e-9)
+            run = -(-(len(ws) - missing) // (missing + 1))
+            size = min(k, run)
             if size:
+                self.sizes.add(size)
                 hashes = [gram_hash(tuple(ws[i : i + size])) for i in range(len(ws) - size + 1)]
-                for i in winnow(hashes, window):
+                for i in winnow(hashes, window) if run >= size + window - 1 else range(len(hashes)):
                     self.post[hashes[i]].append((t, i))
         self.vocabulary = {w for ws in self.words for w in ws}
         # Only words that begin a kept gram can begin a hit: a quick test that leaves out most of a text.
@@ -108,7 +114,7 @@ def scan(text: str, index: TemplateIndex, coverage: float = COVERAGE, band: int
     ws = [w for w, _, _ in found]
     known = np.fromiter(map(index.vocabulary.__contains__, ws), bool, len(ws))
     hits: dict[int, list[tuple[int, int]]] = defaultdict(list)
-    for size in {min(index.k, len(t)) for t in index.words if t}:
+    for size in index.sizes:
         if len(ws) < size:
             continue
         run = known[: len(ws) - size + 1].copy()
@@ -126,12 +132,21 @@ def scan(text: str, index: TemplateIndex, coverage: float = COVERAGE, band: int
                 groups[-1].append(start)
             else:
                 groups.append([start])
-        for g in groups:
-            for base in range(g[0], g[-1] + 1, 2 * band + 1):
+        bases, left = [(base, g[-1]) for g in groups for base in range(g[0], g[-1] + 1, 2 * band + 1)], list(ws)
+        while bases:
+            again, matches = [], set()
+            for base, end in bases:
                 a, b = max(0, base - band), min(len(ws), base + len(template) + 3 * band)
-                matched, first, last = align(ws[a:b], template, base + min(band, g[-1] - base) - a, 2 * band)
-                if matched >= coverage * len(template):
-                    out.append((matched, found[a + first][1], found[a + last][2], t))
+                cuts = [a - 1, *(i for i in range(a, b) if left[i] is None), b]
+                tried = [(c + 1, align(left[c + 1 : d], template, base + min(band, end - base) - c - 1, 2 * band)) for c, d in zip(cuts, cuts[1:]) if d - c - 1 >= coverage * len(template)]
+                good = {(-matched, c + first, c + last) for c, (matched, first, last) in tried if matched >= coverage * len(template)}
+                matches |= good
+                again += [(base, end)] if good else []
+            for matched, first, last in sorted(matches):
+                if None not in left[first : last + 1]:
+                    left[first : last + 1] = [None] * (last + 1 - first)
+                    out.append((-matched, found[first][1], found[last][2], t))
+            bases = again
     chosen: list[tuple[int, int, int, int]] = []
     for m in sorted(out, key=lambda m: (-m[0], m[1], m[3])):
         if all(m[2] <= c[1] or m[1] >= c[2] for c in chosen):
@@ -141,7 +156,7 @@ def scan(text: str, index: TemplateIndex, coverage: float = COVERAGE, band: int
 
 def find(docs: DataFrame, templates: dict[str, str] | None = None, id_col: str = "doc_id", text_col: str = "text", coverage: float = COVERAGE) -> DataFrame:
     """(id, license, coverage, span_start, span_end), a row for each match."""
-    index = TemplateIndex(templates or TEMPLATES)
+    index = TemplateIndex(templates or TEMPLATES, coverage=coverage)
     # A text without any word that opens a kept gram has no hit.
     opens = re.compile("|".join(sorted(map(re.escape, index.openings), key=len, reverse=True)) or r"(?!)", re.IGNORECASE)
 
