@@ -3,8 +3,8 @@ r"""Personal data: fixed patterns, and a linear-chain conditional random field o
 The patterns find e-mail addresses, IPv4 addresses, payment cards (Luhn) and international phone numbers. The random field is
 trained on the small labelled table below: emission weights on word-shape features, transition weights between labels. Words
 without digit, "@" or "+" can only have the label O, so a text falls exactly into runs of other words; runs
-of one length are decoded together by Viterbi in numpy. Spans of the field that touch no pattern span are added, with the kinds
-of the labels.
+of one length are decoded together by Viterbi in numpy. Spans of the field are cut at line breaks and at words that touch pattern
+spans; what is left is added, with the kinds of the labels.
 
 Cases: null and empty texts have no spans; repeated rows each get a row; very long texts are read in time linear in
 their length; an empty table gives no rows; other columns are kept by `redact` and ignored by `find`.
@@ -30,6 +30,7 @@ _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _MARK = re.compile(r"[0-9@+]")
+_BREAK = re.compile(r"[\n\x0B\f\r]")
 
 #: Labelled sentences: [kind:span].
 LABELLED = """
@@ -232,7 +233,7 @@ def train() -> ConditionalRandomField:
 
 
 def added_spans(texts: list[str], bases: list[list[tuple[int, int, int]]], model: ConditionalRandomField) -> list[list[tuple[int, int, int]]]:
-    """Spans of the field that touch no pattern span, for a batch of texts."""
+    """Spans of the field, without the words that touch pattern spans and in one line each, for a batch of texts."""
     runs, places = [], []
     for k, text in enumerate(texts):
         if not _MARK.search(text):
@@ -244,11 +245,15 @@ def added_spans(texts: list[str], bases: list[list[tuple[int, int, int]]], model
             runs.append(np.stack([model.emission(context, i + 1) for i in range(b - a)]))
             places.append((k, found[a:b]))
     out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
+    known = [(np.array([s[0] for s in sorted(b)]), np.maximum.accumulate([s[2] for s in sorted(b)])) if b else None for b in bases]
     for (k, where), labels in zip(places, model.viterbi(runs)):
+        if known[k] and labels.any():
+            starts, ends = known[k]
+            labels = [0 if (n := int(np.searchsorted(starts, b))) and ends[n - 1] > a else y for (a, b), y in zip(where, labels)]
         i = 0
         while i < len(labels):
             j = i + 1
-            while j < len(labels) and labels[j] == labels[i]:
+            while j < len(labels) and labels[j] == labels[i] and not (labels[i] and _BREAK.search(texts[k], where[j - 1][1], where[j][0])):
                 j += 1
             if labels[i]:
                 span = texts[k][where[i][0] : where[j - 1][1]]
@@ -257,11 +262,6 @@ def added_spans(texts: list[str], bases: list[list[tuple[int, int, int]]], model
                 if a < b:
                     out[k].append((a, int(labels[i]) - 1, b))
             i = j
-    for k, spans in enumerate(out):
-        if spans and bases[k]:
-            starts = np.array([s[0] for s in sorted(bases[k])])
-            ends = np.maximum.accumulate([s[2] for s in sorted(bases[k])])
-            out[k] = [s for s in spans if not ((i := int(np.searchsorted(starts, s[2]))) and ends[i - 1] > s[0])]
     return out
 
 
