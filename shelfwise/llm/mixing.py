@@ -4,8 +4,8 @@ Every document gets the key -ln(u) / quality with u a keyed hash of its id: in a
 a weighted sample without replacement. Targets share a total by source weights, capped at `max_epochs` times a source's size; the excess
 goes to the other sources by weight (water-filling, solved in closed form on the table of sources). A source first repeats
 all its documents floor(target / size) times; the rest of its target is a budget that documents take in key order, the
-one at the boundary with the words that are left. Prefix sums go in two steps: over slices of the key range of a source, then in the
-slices, so no task sees a whole source.
+one at the boundary with the words that are left. Prefix sums go in two steps: over slices of the key range of a source, cut at
+quantiles of its keys so that they are even for every quality, then in the slices, so no task sees a whole source.
 
 Cases: null text has size 0 and quality of its own like an empty text; null source is a source, the last; null ids share one
 key and go by text hash; repeated rows are separate documents; an empty table, and a total of 0, take nothing;
@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 
 from shelfwise.llm.common import WORD, cut, table
 
-#: Rows a slice of a source is planned for, and the least number of slices.
-SLICE_ROWS, MIN_SLICES = 4096, 64
+#: Rows a slice of a source is planned for, and the least and largest number of slices.
+SLICE_ROWS, MIN_SLICES, MAX_SLICES = 4096, 64, 4096
 MAX_EPOCHS = 3
 
 
@@ -58,6 +58,16 @@ def source_targets(sizes: DataFrame, total: Column | None = None, max_epochs: in
     return ranked.select("source", "source_size", "weight", target.alias("target"))
 
 
+def with_slices(rows: DataFrame, slices: int) -> DataFrame:
+    """`rows` with their slice: how many of the quantiles of their source's order keys they are past, found by halving steps."""
+    shares = [i / slices for i in range(1, slices)]
+    cuts = rows.groupBy(F.col("source").alias("_source")).agg(F.array_distinct(F.percentile_approx("order_key", shares, max(10_000, 10 * slices))).alias("_cuts"))
+    steps = F.array(*[F.lit(1 << b) for b in reversed(range(slices.bit_length()))])
+    past = lambda at, step: (at + step <= F.size("_cuts")) & (F.get("_cuts", at + step - 1) < F.col("order_key"))
+    place = F.aggregate(steps, F.lit(0), lambda at, step: F.when(past(at, step), at + step).otherwise(at))
+    return rows.join(F.broadcast(cuts), F.col("source").eqNullSafe(F.col("_source"))).withColumn("slice", place).drop("_source", "_cuts")
+
+
 def mix(docs: DataFrame, seed: int = 42, max_epochs: int = MAX_EPOCHS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", quality: Column | None = None) -> DataFrame:
     """(id, source, size, source_size, target, epochs, order_key, taken) for every row; taken counts repeats."""
     text = F.col(text_col)
@@ -73,8 +83,7 @@ def mix(docs: DataFrame, seed: int = 42, max_epochs: int = MAX_EPOCHS, id_col: s
     most = sizes.agg(F.max("n")).first()[0] or 0
     slices = max(MIN_SLICES, -(-most // SLICE_ROWS))
     targets = source_targets(sizes.select("source", "source_size"), max_epochs=max_epochs)
-    # Keys of weight 1 are exponential: this maps them evenly to slices; lower weights only shift rows to later slices.
-    rows = rows.withColumn("slice", F.least(F.lit(slices - 1), F.floor((1 - F.exp(-F.col("order_key"))) * slices)).cast("int"))
+    rows = with_slices(rows, min(slices, MAX_SLICES))
     by_slice = rows.groupBy("source", "slice").agg(F.sum("size").alias("slice_size"))
     before = Window.partitionBy("source").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     by_slice = by_slice.withColumn("slice_start", F.coalesce(F.sum("slice_size").over(before), F.lit(0)))
