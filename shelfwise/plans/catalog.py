@@ -382,12 +382,13 @@ def _round_trip(write: Callable, read: Callable) -> Query:
 for _name, _write in (("read_snapshot_csv", IO.write_csv_quote_all), ("write_csv_quote_all", IO.write_csv_quote_all), ("write_csv_minimal", IO.write_csv_minimal)):
     add(_name, _round_trip(_write, IO.read_snapshot_csv), _BACK.replace("{t}", A.duck(_ROWS)))
 add("write_json_records", _round_trip(IO.write_json_records, lambda s, p: s.read.schema("k string, name string, note string, brand string").json(p)), f"SELECT * FROM {A.duck(_ROWS)}")
-_ARRAY = "SELECT p_brand AS brand, concat('[', array_join(array_sort(collect_list(concat('{{\"name\": \"', p_name, ' ', p_partkey, '\", \"price\": ', p_size, ', \"specifications\": {{\"Frame\": \"', p_type, '\"}}}}'))), ','), ']') AS value FROM {part} GROUP BY p_brand"
+# Arrays of bounded size: a brand has a file for each 1,000 part keys.
+_ARRAY = "SELECT p_brand AS brand, p_partkey div 1000 AS part_range, concat('[', array_join(array_sort(collect_list(concat('{{\"name\": \"', p_name, ' ', p_partkey, '\", \"price\": ', p_size, ', \"specifications\": {{\"Frame\": \"', p_type, '\"}}}}'))), ','), ']') AS value FROM {part} GROUP BY p_brand, p_partkey div 1000"
 
 
 def _json(spark: SparkSession, d: str) -> DataFrame:
     path = scratch(spark, "json")
-    A.frame(spark, d, _ARRAY).repartition("brand").write.partitionBy("brand").text(path)
+    A.frame(spark, d, _ARRAY).repartition("brand", "part_range").write.partitionBy("brand", "part_range").text(path)
     return IO.read_snapshot_json(spark, path).select("name", "price", c("specifications")["Frame"].alias("frame"))
 
 

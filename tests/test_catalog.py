@@ -184,3 +184,22 @@ def test_global_retention_over_the_whole_manifest(spark, sf_dir):
         assert (out.count(), out.where("not archive").count()) == (8, kept), n
         want = sorted([(3, "b"), (3, "a"), (2, "c"), (2, "c"), (2, "c"), (1, None), (None, "x"), (None, None)][:n], key=str)
         assert sorted([(r["mtime"], r["path"]) for r in out.where("not archive").collect()], key=str) == want
+
+
+def test_snapshot_json_arrays_are_bounded(spark):
+    import json
+
+    from shelfwise.plans import catalog
+
+    part = spark.range(5500).selectExpr("id AS p_partkey", "concat('n', id) AS p_name", "'hot' AS p_brand", "1 AS p_size", "'t' AS p_type")
+    rows = spark.sql(catalog._ARRAY, part=part).collect()
+    sizes = [len(json.loads(r["value"])) for r in rows]
+    assert sum(sizes) == 5500 and max(sizes) <= 1000
+
+
+def test_snapshot_json_query_returns_all_parts(spark, sf_dir):
+    from shelfwise.plans import catalog
+
+    found = catalog.queries()["read_snapshot_json"](spark, sf_dir)
+    want = spark.read.parquet(f"{sf_dir}/part.parquet").selectExpr("p_name || ' ' || p_partkey AS name", "string(p_size) AS price", "p_type AS frame")
+    assert found.exceptAll(want).isEmpty() and want.exceptAll(found).isEmpty()
