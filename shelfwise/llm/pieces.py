@@ -1,15 +1,18 @@
 """SentencePiece encoding with seeded merge-dropout, and decoding.
 
-The vocabulary is a public merge-type (BPE) model, given by path. Spaces become U+2581, one is put in front, and the agenda takes
-the pair of neighbours whose joined piece ranks first, leftmost on ties, until none is left. With dropout every pair it takes is skipped
-at that rate, as in the public library: a keyed hash of (seed, document id, number of the word, number of the skip) says how many joins
-come before each skip, so every occurrence of a word has its own segmentation, and equal calls give equal ones. A task remembers
-words by the skips that matter to them: most occurrences have none. No piece holds U+2581 behind another character, and characters that are in no
-longer piece join with nothing: texts are cut there without changing the result. Characters outside the vocabulary, and a U+2581 of the
-text itself, become byte pieces, so decoding returns every text exactly.
+The vocabulary is a public merge-type (BPE) model, given by path. A space is put in front of a text, and the agenda takes the pair of
+neighbours whose joined piece ranks first, leftmost on ties, until none is left. With dropout every candidate that the agenda takes is
+skipped if its own keyed hash, of (seed, document id, epoch, number of the word, place in the word, rank), falls below the rate; a
+skipped candidate is gone until one of its sides changes. Equal calls give equal pieces, whatever the batches.
+
+No piece holds a space behind another character, and characters that are in no longer piece join with nothing: texts are cut there without
+changing the result. The words of a slice go through the agenda together in numpy: a state is a word with the decisions made so far, every
+round takes the best candidate of every state, decides it for every occurrence by itself, and makes the states that were reached. Nothing is
+remembered from slice to slice. Characters outside the vocabulary, and a U+2581 of the text itself, become byte pieces, so decoding
+returns every text exactly.
 
 Cases: null text encodes to null, empty text to no pieces; without dropout the result is the public library's; repeated rows with one
-id have one segmentation; an empty table gives no rows; other columns are kept.
+id and epoch have one segmentation, null ids share a key, null epochs count as 0; an empty table gives no rows; other columns are kept.
 """
 
 from __future__ import annotations
@@ -24,6 +27,7 @@ from itertools import chain
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,359 +36,313 @@ from shelfwise.llm.common import table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-DROPOUT, SEED, REMEMBERED = 0.1, 42, 400_000
-#: Rows of a slice, characters that are encoded together, fewest words that numpy merges.
-STEP, TOGETHER, MANY = 250, 1 << 20, 48
+DROPOUT, SEED = 0.1, 42
+#: Characters that are encoded together; lengths of words that share a table of states (longer words go one by one).
+TOGETHER, WIDTHS = 1 << 21, (8, 16, 64)
+NONE = np.int32((1 << 31) - 1)
 _M = (1 << 64) - 1
-NONE = 1 << 60
-_STRIDE = 0x9E3779B97F4A7C15
-
-
-def mixed(*parts: int) -> int:
-    """A keyed hash of integers: a multiply-and-shift round for each."""
-    h = 0x9E3779B97F4A7C15
-    for p in parts:
-        h = ((h ^ (p & _M)) * 0xBF58476D1CE4E5B9) & _M
-        h ^= h >> 29
-    return h
+_STRIDE, _PLACE, _RANK = 0x9E3779B97F4A7C15, 0xD1B54A32D192ED03, 0x8CB92BA72F3D8DD7
 
 
-def scattered(h: np.ndarray) -> np.ndarray:
-    """A bijective hash of 64-bit numbers."""
+def scattered(h):
+    """A bijective hash of 64-bit numbers: of an array, or of an int."""
+    if isinstance(h, int):
+        h = ((h ^ (h >> 30)) * 0xBF58476D1CE4E5B9) & _M
+        h = ((h ^ (h >> 27)) * 0x94D049BB133111EB) & _M
+        return h ^ (h >> 31)
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return h ^ (h >> np.uint64(31))
 
 
-def gap_table(dropout: float) -> np.ndarray:
-    """Thresholds of 53-bit numbers: the number of joins before a skip is geometric."""
-    out, left = [], 1.0
-    while len(out) < 1 << 16 and left * 2**53 >= 1:
-        left *= 1 - dropout
-        out.append(int((1 - left) * 2**53))
-    return np.array(out, np.uint64)
-
-
-class Memory(dict):
-    """Name -> piece ids; a name is a word, or (name, joins before one more skip). Full, it becomes the old generation, from which names that come again are taken over."""
+def text_key(seed: int, key: int, epoch: int = 0) -> int:
+    """The hash that a text's decisions start from."""
+    return scattered((scattered((scattered(seed & _M) ^ key) & _M) + epoch * _STRIDE) & _M)
 
-    def __init__(self, coder: Pieces, size: int):
-        super().__init__()
-        self.coder, self.size, self.old = coder, size, {}
 
-    def __missing__(self, name: str | tuple) -> tuple[int, ...]:
-        ids = self.old.get(name)
-        unit, gaps = unwound(name)
-        if ids is None:
-            ids = tuple(self.coder.merge(unit, gaps))
-        if len(unit) <= 64:
-            self.put(name, ids)
-        return ids
+class Numbers(dict):
+    """Word -> its number among the words seen."""
 
-    def put(self, name: str | tuple, ids: tuple[int, ...]) -> None:
-        if len(self) >= self.size:
-            self.old = dict(self)
-            self.clear()
-        self[name] = ids
+    def __missing__(self, word: str) -> int:
+        n = self[word] = len(self)
+        return n
 
 
-def unwound(name: str | tuple) -> tuple[str, tuple[int, ...]]:
-    """The word of a name, and the joins before each of its skips."""
-    gaps = []
-    while not isinstance(name, str):
-        name, gap = name
-        gaps.append(gap)
-    return name, tuple(reversed(gaps))
+def _joined(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Lists of piece ids in one array, and how many each has."""
+    return np.array(list(chain.from_iterable(lists)), np.int32), np.fromiter(map(len, lists), np.int64, len(lists))
 
 
 class Pieces:
     """Encoder and decoder over one model file."""
 
-    def __init__(self, path: str = MODEL, dropout: float = DROPOUT, seed: int = SEED, remembered: int = REMEMBERED):
+    def __init__(self, path: str = MODEL, dropout: float = DROPOUT, seed: int = SEED):
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
         n = sp.get_piece_size()
         self.piece = [sp.id_to_piece(i) for i in range(n)]
-        self.byte_of = {i: int(p[3:5], 16) for i, p in enumerate(self.piece) if sp.is_byte(i)}
-        self.of_byte = {b: i for i, b in self.byte_of.items()}
+        byte_of = {i: int(p[3:5], 16) for i, p in enumerate(self.piece) if sp.is_byte(i)}
+        self.of_byte = {b: i for i, b in byte_of.items()}
         normal = [i for i in range(n) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))]
-        self.ids = {self.piece[i]: i for i in normal}
-        self.rank = {self.piece[i]: int(-sp.get_score(i)) for i in normal if len(self.piece[i]) > 1}
-        joining = {c for p in self.rank for c in p if c != SPACE}
+        plain = {i: self.piece[i].replace(SPACE, " ") for i in normal}
+        self.ids = {p: i for i, p in plain.items()}
+        place = {s: r for r, s in enumerate(sorted({-sp.get_score(i) for i, p in plain.items() if len(p) > 1}))}
+        self.rank = {p: place[-sp.get_score(i)] for i, p in plain.items() if len(p) > 1}
+        joining = {c for p in self.rank for c in p if c != " "}
         letters = "".join(re.escape(c) for c in sorted(joining))
-        self.units = re.compile(f"{SPACE}*[{letters}]+|{SPACE}+|[^{SPACE}{letters}]")
-        self.seed, self.chances = seed, gap_table(dropout) if dropout else None
-        self.memory = Memory(self, max(1000, remembered))
+        self.units = re.compile(f" *[{letters}]+| +|[^ {letters}]")
+        self.seed, self.threshold = seed, int(dropout * 2**53)
+        self.bytes_of = [bytes([byte_of[i]]) if i in byte_of else plain.get(i, p).encode("utf-8", "surrogatepass") for i, p in enumerate(self.piece)]
         self._tables()
-        self.text_of = [None if i in self.byte_of else p.replace(SPACE, " ") for i, p in enumerate(self.piece)]
 
     def _tables(self) -> None:
-        """Numpy tables of the agenda: code point -> piece, and (left piece, right piece) -> rank and joined piece."""
-        self.of_char = np.full(0x110000, -1, np.int64)
+        """Numpy tables: code point -> piece, (left piece, right piece) -> rank and joined piece, rank -> piece, piece -> its bytes."""
+        self.of_char = np.full(0x110000, -1, np.int32)
         for p, i in self.ids.items():
             if len(p) == 1:
                 self.of_char[ord(p)] = i
-        rows = [(self.ids[p[:k]] << 20 | self.ids[p[k:]], r, self.ids[p]) for p, r in self.rank.items() for k in range(1, len(p)) if p[:k] in self.ids and p[k:] in self.ids]
-        table = np.array(sorted(rows), np.int64)
-        self.pair_keys, self.pair_ranks, self.pair_joined = (np.ascontiguousarray(table[:, j]) for j in range(3))
-
-    def _ranked(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Rank (NONE where nothing joins) and joined piece of candidates."""
-        key = left << 20 | right
+        rows = sorted((self.ids[p[:k]] << 20 | self.ids[p[k:]], r, self.ids[p]) for p, r in self.rank.items() for k in range(1, len(p)) if p[:k] in self.ids and p[k:] in self.ids)
+        pairs = np.array(rows or [(-1, 0, 0)], np.int64)
+        self.pair_keys, (self.pair_ranks, self.pair_joined) = np.ascontiguousarray(pairs[:, 0]), np.ascontiguousarray(pairs[:, 1:].T.astype(np.int32))
+        # Runs of spaces share a rank: there only the pair tells the piece.
+        self.of_rank = np.full(int(self.pair_ranks.max()) + 1, -2, np.int32)
+        for p, r in self.rank.items():
+            self.of_rank[r] = self.ids[p] if self.of_rank[r] == -2 else -1
+        self.byte_length = np.fromiter(map(len, self.bytes_of), np.int64, len(self.bytes_of))
+        self.byte_start, self.byte_pool = np.cumsum(self.byte_length) - self.byte_length, np.frombuffer(b"".join(self.bytes_of), np.uint8)
+
+    def _ranked(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Rank of candidates, NONE where nothing joins."""
+        key = left.astype(np.int64) << 20 | right
         at = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
-        good = (left >= 0) & (right >= 0) & (self.pair_keys[at] == key)
-        return np.where(good, self.pair_ranks[at], NONE), self.pair_joined[at]
-
-    def gap(self, keys: np.ndarray, number) -> np.ndarray:
-        """Joins of the occurrences `keys` between two skips."""
-        drawn = scattered(keys + (np.atleast_1d(np.asarray(number, np.uint64)) + np.uint64(1)) * np.uint64(_STRIDE))
-        return np.searchsorted(self.chances, drawn >> np.uint64(11), side="right")
-
-    def gaps(self, key: int | tuple[int, ...], n: int) -> tuple[int, ...]:
-        """The joins before each skip of an occurrence of n characters; given ones stay."""
-        if isinstance(key, tuple):
-            return key
-        if self.chances is None:
-            return ()
-        return tuple(self.gap(np.full(3 * n, key & _M, np.uint64), np.arange(3 * n)).tolist())
-
-    def merge_many(self, units: list[str], keys: list) -> list[tuple[int, ...]]:
-        """`merge` on many units together: each round takes the best candidate of every unit that has one."""
-        lengths = np.fromiter(map(len, units), np.int64, len(units))
-        out: list = [None] * len(units)
-        for low, high in ((0, 8), (8, 16), (16, 64)):
-            rows = np.flatnonzero((lengths > low) & (lengths <= high))
-            if len(rows) < MANY:
-                continue
-            some, n = [units[i] for i in rows], lengths[rows]
-            width = int(n.max())
-            sym = np.full((len(rows), width), -1, np.int64)
-            sym[np.arange(width) < n[:, None]] = self.of_char[np.frombuffer("".join(some).encode("utf-32-le", "surrogatepass"), np.uint32)]
-            known = (sym >= 0).sum(1) == n
-            gaps = [self.gaps(keys[i], len(u)) for u, i in zip(some, rows)]
-            skips = np.full((len(rows), max(map(len, gaps)) + 1), NONE, np.int64)
-            for row, g in enumerate(gaps):
-                skips[row, : len(g)] = g
-            skipped, until = np.zeros(len(rows), np.int64), skips[:, 0].copy()
-            rank, joined = self._ranked(sym[:, :-1], sym[:, 1:])
-            live = np.flatnonzero(known & (rank.min(1, initial=NONE) < NONE)) if width > 1 else np.zeros(0, np.int64)
-            while len(live):
-                best, skip = rank[live].argmin(1), until[live] == 0
-                over, go, i = live[skip], live[~skip], best[~skip]
-                rank[over, best[skip]] = NONE
-                skipped[over] += 1
-                until[over] = skips[over, skipped[over]]
-                until[go] -= 1
-                if len(go):
-                    r, j, y, row = rank[go], joined[go], sym[go], np.arange(len(go))
-                    new = j[row, i]
-                    keep = np.minimum(np.arange(width) + (np.arange(width) > i[:, None]), width - 1)
-                    y = np.take_along_axis(y, keep, 1)
-                    n[go] -= 1
-                    y[np.arange(width) >= n[go][:, None]] = -1
-                    y[row, i] = new
-                    drop = np.minimum(np.arange(width - 1) + (np.arange(width - 1) >= i[:, None]), width - 2)
-                    r, j = np.take_along_axis(r, drop, 1), np.take_along_axis(j, drop, 1)
-                    r[np.arange(width - 1) >= (n[go] - 1)[:, None]] = NONE
-                    for at in (i - 1, i):
-                        ok = np.flatnonzero((at >= 0) & (at < n[go] - 1))
-                        c = at[ok]
-                        r[ok, c], j[ok, c] = self._ranked(y[ok, c], y[ok, c + 1])
-                    rank[go], joined[go], sym[go] = r, j, y
-                live = live[rank[live].min(1) < NONE]
-            for i, good, ids, k in zip(rows.tolist(), known.tolist(), sym.tolist(), n.tolist()):
-                out[i] = tuple(ids[:k]) if good else None
-        return [tuple(self.merge(u, key)) if ids is None else ids for u, key, ids in zip(units, keys, out)]
-
-    def remembered(self, names: list) -> list[tuple[int, ...]]:
-        """The piece ids of names; new ones are worked out together."""
-        memory = self.memory
-        new = [(name, *unwound(name)) for name in set(names).difference(memory).difference(memory.old)]
-        new = [x for x in new if len(x[1]) <= 64]
-        for (name, _, _), ids in zip(new, self.merge_many([u for _, u, _ in new], [g for _, _, g in new])):
-            memory.put(name, ids)
-        return list(map(memory.__getitem__, names))
-
-    def encode_many(self, texts: list[str], keys: list[int]) -> list[list[int]]:
-        out: list = [None] * len(texts)
-        some, size = [], 0
+        return np.where((left >= 0) & (right >= 0) & (self.pair_keys[at] == key), self.pair_ranks[at], NONE)
+
+    def skips(self, key: int, place: int, rank: int) -> bool:
+        """Whether the occurrence `key` of a word skips the candidate of this rank whose left side starts at `place`."""
+        return scattered((key + place * _PLACE + rank * _RANK) & _M) >> 11 < self.threshold
+
+    def _skipped(self, keys: np.ndarray, place: np.ndarray, rank: np.ndarray) -> np.ndarray:
+        """`skips` for arrays."""
+        drawn = scattered(keys + place.astype(np.uint64) * np.uint64(_PLACE) + rank.astype(np.uint64) * np.uint64(_RANK))
+        return drawn >> np.uint64(11) < np.uint64(self.threshold)
+
+    def encode(self, text: str, key: int = 0, epoch: int = 0) -> list[int]:
+        """Piece ids; (key, epoch), a document id's hash and the number of its repeat, pick the skips."""
+        return self.encode_many([text], [text_key(self.seed, key, epoch)])[0].tolist()
+
+    def encode_many(self, texts: list[str], starts: list[int]) -> list[np.ndarray]:
+        """Piece ids of texts, `starts` being their text keys."""
+        flat, counts = self.encode_flat(texts, starts)
+        return np.split(flat, np.cumsum(counts)[:-1]) if texts else []
+
+    def encode_flat(self, texts: list[str], starts: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """Piece ids of all texts in one array, and how many each has."""
+        counts, found, held, size = np.zeros(len(texts), np.int64), [np.zeros(0, np.int32)], [], 0
+
+        def together() -> None:
+            texts_of, words, keys, before = zip(*held)
+            ids, n = self._together(words, np.array(keys, np.uint64), np.array(before, np.int64))
+            np.add.at(counts, list(texts_of), n)
+            found.append(ids)
+            held.clear()
+
         for i, text in enumerate(texts):
-            if not text or SPACE in text:
-                out[i] = self.encode(text, keys[i])
-                continue
-            some.append(i)
-            size += len(text)
-            if size >= TOGETHER or i == len(texts) - 1:
-                self._fill(out, some, texts, keys)
-                some, size = [], 0
-        self._fill(out, some, texts, keys)
-        return out
-
-    def _fill(self, out: list, some: list[int], texts: list[str], keys: list[int]) -> None:
-        for i, ids in zip(some, self._units([SPACE + texts[i].replace(" ", SPACE) for i in some], [keys[i] for i in some])):
-            out[i] = ids
-
-    def encode(self, text: str, key: int = 0) -> list[int]:
-        """Piece ids; `key` (a document id) picks the skips."""
-        if not text:
-            return []
-        if SPACE in text:
-            return self._literal(text, key)
-        return self._units([SPACE + text.replace(" ", SPACE)], [key])[0]
-
-    def _units(self, marked: list[str], keys: list[int]) -> list[list[int]]:
-        """Piece ids of marked texts. Words without a skip come first; those with a skip before their last join get it, and so on."""
-        words = [self.units.findall(m) for m in marked]
-        names: list = list(chain.from_iterable(words))
+            before = 0
+            for part in self._portions(" " + text if text else ""):
+                held.append((i, self.units.findall(part), starts[i], before))
+                before += len(held[-1][1])
+                size += len(part)
+                if size >= TOGETHER:
+                    together()
+                    size = 0
+        if held:
+            together()
+        return np.concatenate(found), counts
+
+    @staticmethod
+    def _portions(text: str) -> Iterator[str]:
+        """A text in portions of about TOGETHER characters, cut in front of white space, where no word is cut."""
+        at = 0
+        while at < len(text):
+            end = at + TOGETHER
+            if end < len(text):
+                cut = text.rfind(" ", at + 1, end)
+                while cut > at and text[cut - 1] == " ":
+                    cut = text.rfind(" ", at + 1, cut)
+                if cut <= at:
+                    m = re.compile("(?<=[^ ]) ").search(text, end)
+                    cut = m.start() if m else len(text)
+                end = cut
+            yield text[at:end]
+            at = end
+
+    def _together(self, words: tuple[list[str], ...], starts: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Piece ids of lists of words, and how many each list has; starts: their text keys, before: words of the text in front of them."""
         counts = np.fromiter(map(len, words), np.int64, len(words))
-        ends = np.cumsum(counts)
-        ids = self.remembered(names)
-        if self.chances is not None and names:
-            starts = np.array([mixed(self.seed, k) for k in keys], np.uint64)
-            numbers = np.arange(1, len(names) + 1) - np.repeat(ends - counts, counts)
-            key = scattered(np.repeat(starts, counts) + numbers.astype(np.uint64) * np.uint64(_STRIDE))
-            length = np.fromiter(map(len, names), np.int64, len(names))
-            rows, done, found, number = np.arange(len(names)), np.zeros(len(names), np.int64), ids, 0
-            while len(rows):
-                # What is left of a word's joins after its last skip; characters outside the vocabulary have none.
-                left = length[rows] - np.fromiter(map(len, found), np.int64, len(rows)) - done
-                gap = self.gap(key[rows], number)
-                some = np.flatnonzero(gap < left)
-                rows, done, number = rows[some], done[some] + gap[some], number + 1
-                names = list(zip(map(names.__getitem__, some.tolist()), gap[some].tolist()))
-                found = self.remembered(names)
-                for i, new in zip(rows.tolist(), found):
-                    ids[i] = new
-        return [list(chain.from_iterable(ids[b - n : b])) for n, b in zip(counts.tolist(), ends.tolist())]
-
-    def _literal(self, text: str, key: int) -> list[int]:
-        """A text with U+2581 of its own: its parts are encoded one by one, with byte pieces between; only the first has a space in front."""
-        marks = [self.of_byte[b] for b in SPACE.encode()]
-        first, *rest = text.split(SPACE)
-        out = self._units([SPACE + first.replace(" ", SPACE)], [key])[0]
-        for i, part in enumerate(rest, 1):
-            out += marks + self._units([part.replace(" ", SPACE)], [key + i])[0]
-        return out
-
-    def merge(self, unit: str, key: int | tuple[int, ...]) -> list[int]:
-        """The agenda on one unit; `key` is an occurrence, or the joins before each skip."""
-        symbols = list(unit)
-        n = len(symbols)
-        if n == 1:
-            return self._ids(symbols)
-        if n > 512:
-            return self._merge_long(symbols, key)
-        rank, gaps = self.rank.get, iter(self.gaps(key, n))
-        pairs, until = [rank(a + b, NONE) for a, b in zip(symbols, symbols[1:])], next(gaps, NONE)
-        while (best := min(pairs)) < NONE:
-            i = pairs.index(best)
-            if not until:
-                pairs[i], until = NONE, next(gaps, NONE)
+        total, kinds = int(counts.sum()), Numbers()
+        kind = np.fromiter(map(kinds.__getitem__, chain.from_iterable(words)), np.int64, total)
+        number = np.arange(1, total + 1) - np.repeat(np.cumsum(counts) - counts - before, counts)
+        key = scattered(np.repeat(starts, counts) + number.astype(np.uint64) * np.uint64(_STRIDE))
+        names = list(kinds)
+        length = np.fromiter(map(len, names), np.int64, len(names))
+        points = self.of_char[np.frombuffer("".join(names).encode("utf-32-le", "surrogatepass"), np.uint32)]
+        start = np.cumsum(length) - length
+        known = np.logical_and.reduceat(points >= 0, start) if len(names) else np.zeros(0, bool)
+        place, size, pool, used = np.zeros(total, np.int64), np.zeros(total, np.int64), [], 0
+
+        def put(rows: np.ndarray, which: np.ndarray, ids: np.ndarray, n: np.ndarray) -> None:
+            """Occurrences `rows` have the pieces number `which` of those in ids, n a piece list."""
+            nonlocal used
+            place[rows], size[rows] = (used + np.cumsum(n) - n)[which], n[which]
+            pool.append(ids)
+            used += len(ids)
+
+        low = 0
+        for width in WIDTHS:
+            some = np.flatnonzero(known & (length > low) & (length <= width))
+            low = width
+            if not len(some):
                 continue
-            until -= 1
-            joined = symbols[i] = symbols[i] + symbols.pop(i + 1)
-            del pairs[i]
-            if not pairs:
-                break
-            if i:
-                pairs[i - 1] = rank(symbols[i - 1] + joined, NONE)
-            if i < len(pairs):
-                pairs[i] = rank(joined + symbols[i + 1], NONE)
-        return self._ids(symbols)
-
-    def _merge_long(self, symbols: list[str], key: int | tuple[int, ...]) -> list[int]:
-        """The same agenda with a heap and links, for units of any length."""
-        n, rank = len(symbols), self.rank.get
-        left, right = list(range(-1, n - 1)), [*range(1, n), -1]
-        gaps, heap = iter(self.gaps(key, n)), []
-        until = next(gaps, NONE)
+            state = np.full(len(names), -1, np.int64)
+            state[some] = np.arange(len(some))
+            rows = np.flatnonzero(state[kind] >= 0)
+            sym = np.full((len(some), width), -1, np.int32)
+            inside = np.arange(width) < length[some][:, None]
+            sym[inside] = points[(start[some][:, None] + np.arange(width))[inside]]
+            self._agenda(sym, rows, state[kind[rows]], key[rows], put)
+        # A single character outside the vocabulary has no candidates; other words without a table go one by one.
+        alone = ~known & (length == 1)
+        rows, merged = np.flatnonzero(alone[kind]), [self.merge(names[k], 0) for k in np.flatnonzero(alone)]
+        put(rows, (np.cumsum(alone) - 1)[kind[rows]], *_joined(merged))
+        rows = np.flatnonzero(~(alone | known & (length <= WIDTHS[-1]))[kind])
+        put(rows, np.arange(len(rows)), *_joined([self.merge(names[kind[i]], int(key[i])) for i in rows]))
+        ids = np.concatenate(pool) if pool else np.zeros(0, np.int32)
+        offset = np.cumsum(size) - size
+        out = ids[np.repeat(place - offset, size) + np.arange(int(size.sum()))]
+        return out, np.add.reduceat(np.append(size, 0), np.minimum(np.cumsum(counts) - counts, total)) * (counts > 0)
+
+    def _agenda(self, sym: np.ndarray, rows: np.ndarray, state: np.ndarray, key: np.ndarray, put) -> None:
+        """Take candidates until none is left; state: the row of `sym` (pieces by place, -1 where none starts) of each of the occurrences."""
+        width = sym.shape[1]
+        right = np.where(np.append(sym[:, 1:] >= 0, np.zeros((len(sym), 1), bool), axis=1), np.arange(1, width + 1), -1).astype(np.int8)
+        left = np.broadcast_to(np.arange(-1, width - 1, dtype=np.int8), sym.shape).copy()
+        rank = np.full(sym.shape, NONE, np.int32)
+        rank[:, :-1] = self._ranked(sym[:, :-1], sym[:, 1:])
+        while len(rows):
+            place = rank.argmin(1)
+            best = rank[np.arange(len(rank)), place]
+            over = best == NONE
+            if over.any():
+                done, which = sym[over], np.cumsum(over) - 1
+                there, ended = done >= 0, over[state]
+                put(rows[ended], which[state[ended]], done[there], there.sum(1))
+                rows, state, key = rows[~ended], state[~ended], key[~ended]
+            reached = np.zeros(2 * len(sym), bool)
+            code = 2 * state + self._skipped(key, place[state], best[state]) if self.threshold else 2 * state
+            reached[code] = True
+            state = (np.cumsum(reached) - 1)[code]
+            come = np.flatnonzero(reached)
+            parent, skip = come >> 1, (come & 1).astype(bool)
+            sym, left, right, rank, place, best = (x[parent] for x in (sym, left, right, rank, place, best))
+            rank[np.flatnonzero(skip), place[skip]] = NONE
+            s = np.flatnonzero(~skip)
+            p = place[s]
+            q = right[s, p].astype(np.int64)
+            after = right[s, q].astype(np.int64)
+            joined = self.of_rank[best[s]]
+            if (joined < 0).any():
+                joined = self.pair_joined[np.searchsorted(self.pair_keys, sym[s, p].astype(np.int64) << 20 | sym[s, q])]
+            sym[s, p], sym[s, q] = joined, -1
+            rank[s, q], right[s, p] = NONE, after
+            more = np.flatnonzero(after >= 0)
+            left[s[more], after[more]] = p[more]
+            rank[s, p] = NONE
+            rank[s[more], p[more]] = self._ranked(sym[s[more], p[more]], sym[s[more], after[more]])
+            prior = left[s, p].astype(np.int64)
+            more = np.flatnonzero(prior >= 0)
+            rank[s[more], prior[more]] = self._ranked(sym[s[more], prior[more]], sym[s[more], p[more]])
+
+    def merge(self, unit: str, key: int) -> list[int]:
+        """The agenda on one word of any length, with a heap and links."""
+        symbols, n, rank = list(unit), len(unit), self.rank.get
+        left, right, heap = list(range(-1, n - 1)), [*range(1, n), -1], []
 
         def offer(i: int, j: int) -> None:
-            if i >= 0 and j >= 0:
-                p = rank(symbols[i] + symbols[j], NONE)
-                if p < NONE:
-                    heapq.heappush(heap, (p, i, j, len(symbols[i]), len(symbols[j])))
+            if i >= 0 and j >= 0 and (r := rank(symbols[i] + symbols[j])) is not None:
+                heapq.heappush(heap, (r, i, j, len(symbols[i]), len(symbols[j])))
 
         for i in range(n - 1):
             offer(i, i + 1)
         while heap:
-            _, i, j, a, b = heapq.heappop(heap)
-            if len(symbols[i]) != a or len(symbols[j]) != b or right[i] != j:
+            r, i, j, a, b = heapq.heappop(heap)
+            if len(symbols[i]) != a or len(symbols[j]) != b or right[i] != j or self.skips(key, i, r):
                 continue
-            if not until:
-                until = next(gaps, NONE)
-                continue
-            until -= 1
-            symbols[i] += symbols[j]
-            symbols[j] = ""
-            right[i] = right[j]
+            symbols[i], symbols[j], right[i] = symbols[i] + symbols[j], "", right[j]
             if right[j] >= 0:
                 left[right[j]] = i
             offer(left[i], i)
             offer(i, right[i])
-        return self._ids([s for s in symbols if s])
-
-    def _ids(self, symbols: list[str]) -> list[int]:
-        out = []
-        for s in symbols:
-            if (i := self.ids.get(s)) is not None:
-                out.append(i)
-            else:
-                out += [self.of_byte[b] for b in s.encode("utf-8", "surrogatepass")]
-        return out
+        ids = self.ids.get
+        return list(chain.from_iterable([i] if (i := ids(s)) is not None else [self.of_byte[b] for b in s.encode("utf-8", "surrogatepass")] for s in symbols if s))
 
     def decode(self, ids) -> str:
         """The text of the pieces, without the space in front."""
-        texts = [self.text_of[i] for i in ids]
-        if None in texts:
-            out, run = [], bytearray()
-            for i, t in zip(ids, texts):
-                if t is None:
-                    run.append(self.byte_of[i])
-                    continue
-                if run:
-                    out.append(run.decode("utf-8", "surrogatepass"))
-                    run = bytearray()
-                out.append(t)
-            if run:
-                out.append(run.decode("utf-8", "surrogatepass"))
-            texts = out
-        return "".join(texts)[1:]
+        return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "surrogatepass")[1:]
+
+    def decoded_bytes(self, ids: np.ndarray, counts: np.ndarray) -> list[memoryview]:
+        """UTF-8 of the texts of piece lists that stand in one array, without the spaces in front."""
+        n = self.byte_length[ids]
+        ends = np.cumsum(n)
+        whole = memoryview(self.byte_pool[np.repeat(self.byte_start[ids] - ends + n, n) + np.arange(int(n.sum()))].tobytes())
+        stops = np.append(0, ends)[np.append(0, np.cumsum(counts))].tolist()
+        return [whole[a + 1 : b] for a, b in zip(stops, stops[1:])]
 
 
 @lru_cache(maxsize=4)
-def shared(path: str, dropout: float, seed: int, remembered: int = REMEMBERED) -> Pieces:
+def shared(path: str, dropout: float, seed: int) -> Pieces:
     """One encoder in each Python worker."""
-    return Pieces(path, dropout, seed, remembered)
+    return Pieces(path, dropout, seed)
+
+
+def _slices(sizes: list[int]) -> Iterator[tuple[int, int]]:
+    """Ranges of rows with about TOGETHER characters, at least one row each."""
+    at, total = 0, 0
+    for i, size in enumerate(sizes):
+        total += size
+        if total >= TOGETHER:
+            yield at, i + 1
+            at, total = i + 1, 0
+    if at < len(sizes):
+        yield at, len(sizes)
 
 
-def encode_documents(docs: DataFrame, path: str = MODEL, dropout: float = DROPOUT, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", out: str = "pieces", proof: str | None = None, forget: bool = False, remembered: int = REMEMBERED) -> DataFrame:
+def encode_documents(docs: DataFrame, path: str = MODEL, dropout: float = DROPOUT, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", epoch_col: str | None = None, out: str = "pieces", proof: str | None = None) -> DataFrame:
     """`docs` with the piece ids of every text; with `proof` also the SHA-256 of what they decode to, in a column of that name.
 
-    Record batches go through in slices of STEP rows, so a task holds few encoded texts at a time. With `forget` a worker drops the words
-    it remembers after every task: less memory between stages, more work.
+    `epoch_col` numbers the repeats of a document, which then have segmentations of their own. Record batches go through in slices of about
+    TOGETHER characters, so a task holds few encoded texts at a time.
     """
     new = [out, proof] if proof else [out]
-    keyed = docs.select(*[docs[c] for c in docs.columns if c not in new], F.xxhash64(docs[id_col]).alias("__piece_key"))
+    epoch = F.coalesce(docs[epoch_col].cast("long"), F.lit(0)) if epoch_col else F.lit(0)
+    keyed = docs.select(*[docs[c] for c in docs.columns if c not in new], F.xxhash64(docs[id_col]).alias("__piece_key"), epoch.cast("long").alias("__piece_epoch"))
     kept = [f for f in docs.schema.fields if f.name not in new]
     schema = T.StructType([*kept, T.StructField(out, T.ArrayType(T.IntegerType())), *([T.StructField(proof, T.StringType())] if proof else [])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = shared(path, dropout, seed, remembered)
+        coder = shared(path, dropout, seed)
         for whole in batches:
-            for at in range(0, whole.num_rows, STEP):
-                part = whole.slice(at, STEP)
-                texts, keys = part.column(text_col).to_pylist(), part.column("__piece_key").to_pylist()
-                known = iter(coder.encode_many([t for t in texts if t is not None], [k for t, k in zip(texts, keys) if t is not None]))
-                coded = [None if t is None else next(known) for t in texts]
+            for a, b in _slices(pc.fill_null(pc.binary_length(whole.column(text_col)), 0).to_pylist()):
+                part = whole.slice(a, b - a)
+                texts = part.column(text_col).to_pylist()
+                starts = [text_key(seed, k & _M, e) for k, e in zip(part.column("__piece_key").to_pylist(), part.column("__piece_epoch").to_pylist())]
+                ids, counts = coder.encode_flat([t or "" for t in texts], starts)
+                none = np.array([t is None for t in texts])
                 columns = [part.column(f.name) for f in kept]
-                columns.append(pa.array([None if c is None else np.array(c, np.int32) for c in coded], pa.list_(pa.int32())))
+                columns.append(pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)), pa.int32()), pa.array(ids, pa.int32()), mask=pa.array(none)))
                 if proof:
-                    columns.append(pa.array([None if c is None else hashlib.sha256(coder.decode(c).encode("utf-8", "surrogatepass")).hexdigest() for c in coded], pa.string()))
+                    columns.append(pa.array([None if t is None else hashlib.sha256(d).hexdigest() for t, d in zip(texts, coder.decoded_bytes(ids, counts))], pa.string()))
                 yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in schema.fields])
-        if forget:
-            shared.cache_clear()
 
     return keyed.mapInArrow(run, schema)
 

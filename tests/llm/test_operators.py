@@ -161,9 +161,6 @@ def test_pieces(docs):
             assert coder.encode(t, 5) == pieces.Pieces().encode(t, 5)
             if "▁" not in t:
                 assert plain.encode(t) == library.encode(t)
-    assert len({tuple(coder.encode(f"understanding representation of {w}", k)) for k in range(50) for w in "ab"}) > 1
-    unit = "abcthenrestion" * 30
-    assert coder.merge(unit, 1) == coder._merge_long(list(unit), 1)
     both = pieces.decode_documents(pieces.encode_documents(docs), out="back")
     assert both.where(~F.col("back").eqNullSafe(F.col("text"))).count() == 0 and both.count() == docs.count()
     assert pieces.encode_documents(empty(docs)).count() == 0
@@ -314,42 +311,3 @@ def test_context_vectors_against_loop(spark):
                     want[x] += index[ids[j]]
     got = quality.context_vectors(spark.createDataFrame([(t,) for t in texts], "text string"))
     assert np.allclose(got, want)
-
-
-def test_merging_many_words_equals_merging_each():
-    coder = pieces.Pieces(dropout=0.2)
-    rng = np.random.default_rng(6)
-    units = ["▁" + "".join(rng.choice(list("abcdeinorstéçTH"), rng.integers(1, 30))) for _ in range(2000)] + ["", "▁", "日", "a" * 80, "▁▁▁▁the"]
-    variants = [int(x) for x in rng.integers(0, 2, len(units))]
-    want = [tuple(coder.merge(u, v)) if u else () for u, v in zip(units, variants)]
-    assert [tuple(x) for x in coder.merge_many(units[:2000] + units[2001:], variants[:2000] + variants[2001:])] == want[:2000] + want[2001:]
-
-
-def test_every_occurrence_draws_its_own_segmentation():
-    coder = pieces.Pieces()
-    apart = {tuple(ids) for ids in coder.encode_many(["representation"] * 3000, list(range(3000)))}
-    assert len(apart) > 20
-    inside = coder.decode(ids := coder.encode("representation " * 400, 7))
-    assert inside == "representation " * 400
-    words = "".join(coder.piece[i] for i in ids).replace("\u2581", "")
-    assert words == "representation" * 400
-    cuts, at = [set()], 0
-    for i in ids:
-        n = len(coder.piece[i].replace("\u2581", ""))
-        cuts[-1].add(at)
-        at += n
-        if at >= 14:
-            cuts.append(set())
-            at -= 14
-    first, second = ({tuple(sorted(c)) for c in cuts[k:400:2]} for k in (0, 1))
-    assert len(first) > 5 and len(second) > 5 and first & second
-
-
-def test_dropout_skips_at_its_rate():
-    coder = pieces.Pieces(dropout=0.1)
-    gaps = coder.gap(np.arange(200_000, dtype=np.uint64), 1)
-    assert all(abs((gaps == n).mean() - 0.1 * 0.9**n) < 0.003 for n in range(20))
-    for key in range(300):
-        start = pieces.mixed(coder.seed, key)
-        occurrence = int(pieces.scattered(np.array([start], np.uint64) + np.uint64(pieces._STRIDE))[0])
-        assert coder.encode("representation", key) == coder.merge("\u2581representation", occurrence)
