@@ -38,10 +38,15 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def pieces_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Piece ids of every document, and whether they decode to its text."""
-    coded = pieces.encode_documents(docs, proof="decoded_sha256", forget=True, remembered=100_000)
+    """Piece ids of every document, and whether they decode to its text; repeats of a document have segmentations of their own.
+
+    Equal rows are counted before the shuffle and numbered from 0. Null texts give null pieces, n_pieces null and lossless true.
+    """
+    counted = docs.groupBy(*COLUMNS).agg(F.count("*").cast("int").alias("__copies"))
+    numbered = counted.withColumn("__epoch", F.explode(F.sequence(F.lit(0), F.col("__copies") - 1)))
+    coded = pieces.encode_documents(numbered, epoch_col="__epoch", proof="decoded_sha256")
     lossless = F.col("decoded_sha256").eqNullSafe(F.sha2(F.col("text").cast("binary"), 256))
-    return coded.select("doc_id", "source", "lang", "pieces", F.size("pieces").cast("long").alias("n_pieces"), lossless.alias("lossless"))
+    return coded.select("doc_id", "source", "lang", "pieces", F.when(F.col("pieces").isNotNull(), F.size("pieces")).cast("long").alias("n_pieces"), lossless.alias("lossless"))
 
 
 STAGES = [("quality", quality_stage), ("near_dedup", near_dedup_stage), ("pii", pii_stage), ("mixing", mixing_stage), ("pieces", pieces_stage)]
