@@ -4,27 +4,33 @@ A paragraph is a line, and a line longer than 400 characters counts as several.
 digests of its paragraphs. The sketch has cells in three rows; a digest falls into one cell of each row, which keeps a
 count, the XOR of its digests and the XOR of their check hashes. Sketches subtract cell by cell; what is left belongs to
 paragraphs that only one version has. Peeling takes the cells that hold exactly one digest, notes these, removes them
-from their other cells, and goes on until all cells are empty. Where it gets stuck, the sketches are rebuilt larger, with other hash
-keys, as many small sub-tables (four times as many each time); after the last try, which fails less than once in a million
-pairs, the two digest sets are compared directly. The first size is the stored fingerprint.
+from their other cells, and goes on until all cells are empty. Where it gets stuck, the squared counts of the cells estimate the number of
+differing paragraphs, and the sketches are rebuilt for that number, with other hash keys, as small sub-tables; a sub-table that
+gets stuck is rebuilt four times as wide. The digests are sorted by sub-table once, so work grows in
+proportion to the paragraphs (times a logarithm). After the last try, which fails about once in a hundred thousand pairs, the two digest sets
+are compared directly. The first size is the stored fingerprint.
 
 Cases: null text counts as empty and has the sketch of the empty set; two empty texts are alike (1.0), an empty and
 another text are not (0.0); repeated paragraphs count once; repeated rows and ids each get a row, ordered by text hash;
-null ids come first; an empty table gives no rows; other columns are ignored.
+null ids come first; an id that many rows share (null too) is cut at text hashes, only rows of one id and one text stay together; an empty
+table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shelfwise.llm.common import table
 
 PARAGRAPH = r"[^\n]{1,400}"
-#: Cells in each of the three rows: of the stored sketch, and of the sub-tables of a retry.
-STORED_WIDTH, RETRY_WIDTH = 8, 16
-#: Differing digests that a sub-table is planned for at the first retry, and the number of retries.
-PLANNED, RETRIES, ROUNDS = 6, 4, 12
+#: Cells in each of the three rows: of the stored sketch, of the sub-tables of a retry, and of those that got stuck.
+STORED_WIDTH, RETRY_WIDTH, WIDE = 8, 16, 64
+#: Differing digests that a sub-table is planned for, growth of their estimate at each retry, and rounds of peeling.
+PLANNED, GROWTH, ROUNDS = 6, (1.5, 4.0), 12
+_LEAST = -(1 << 63)
 
 
 def digests(text: Column) -> Column:
@@ -93,35 +99,63 @@ def peel(cells: Column, seed: int, width: int) -> Column:
         return F.transform(now, one)
 
     def step(state: Column, _: Column) -> Column:
-        go_on = lambda taken: F.when(F.size(taken) == 0, state).otherwise(
-            F.struct(without(state["cells"], taken).alias("cells"), F.concat(state["found"], F.transform(taken, lambda x: x["k"])).alias("found"))
+        ended = F.struct(state["cells"].alias("cells"), state["found"].alias("found"), F.lit(True).alias("ended"))
+        go_on = lambda taken: F.when(F.size(taken) == 0, ended).otherwise(
+            F.struct(without(state["cells"], taken).alias("cells"), F.concat(state["found"], F.transform(taken, lambda x: x["k"])).alias("found"), F.lit(False).alias("ended"))
         )
-        return let(pure(state["cells"]), go_on)
+        return F.when(state["ended"], state).otherwise(let(pure(state["cells"]), go_on))
 
-    start = F.struct(cells.alias("cells"), F.array().cast("array<bigint>").alias("found"))
+    start = F.struct(cells.alias("cells"), F.array().cast("array<bigint>").alias("found"), F.lit(False).alias("ended"))
     finish = lambda s: F.struct(F.forall(s["cells"], lambda c: (c["n"] == 0) & (c["k"] == 0) & (c["h"] == 0)).alias("ok"), s["found"].alias("found"))
     return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, step, finish)
 
 
-def retry(a: Column, b: Column, attempt: int) -> Column:
-    """Rebuild both sketches as sub-tables, subtract and peel each."""
-    seed, parts = 100 + attempt, F.ceil((F.size(a) + F.size(b)) * F.lit(4.0 ** (attempt - 1) / PLANNED)).cast("int")
-    parts = F.greatest(parts, F.lit(1))
-    dealt = lambda keys: F.transform(placed_digests(keys, seed), lambda x: F.struct(x["k"].alias("k"), x["g"].alias("g"), F.pmod(F.xxhash64(x["k"], F.lit(seed + 50)), parts).alias("p")))
-    own = lambda xs, p: F.filter(xs, lambda x: x["p"] == p)
-    one = lambda xs, p: let(own(xs, p), lambda mine: sketch_of(mine, RETRY_WIDTH))
-    sub = lambda x, p: peel(subtract(one(x["a"], p), one(x["b"], p)), seed, RETRY_WIDTH)
-    done = let(F.struct(dealt(a).alias("a"), dealt(b).alias("b")), lambda x: F.transform(F.sequence(F.lit(0), parts - 1), lambda p: sub(x, p)))
+def estimated_difference(cells: Column, width: int) -> Column:
+    """The number of differing digests, from the counts of a subtracted sketch: a row's squares sum to d + (s * s - d) / width on average, s being the sum of its counts."""
+    total = lambda f: F.aggregate(cells, F.lit(0).cast("long"), lambda s, c: s + f(c["n"].cast("long")))
+    squares, s = total(lambda n: n * n) / 3, total(lambda n: n) / 3
+    return F.greatest(F.lit(0.0), (squares * width - s * s) / (width - 1))
+
+
+def dealt(keys: Column, seed: int, parts: Column) -> Column:
+    """The digests of each of the sub-tables, as an array of arrays: sorted by sub-table once, then cut where a binary search finds the next."""
+    placed = F.array_sort(F.transform(keys, lambda k: F.struct(F.pmod(F.xxhash64(k, F.lit(seed + 50)), parts).alias("p"), k.alias("k"))))
+
+    def cuts(xs: Column) -> Column:
+        steps = F.transform(F.sequence(F.lit(0), F.ceil(F.log2(F.size(xs) + 1.0)).cast("int")), lambda i: F.call_function("shiftright", F.lit(1 << 30), 30 - F.ceil(F.log2(F.size(xs) + 1.0)).cast("int") + i))
+
+        def own(x: Column) -> Column:
+            past = lambda at, step, p: (at + step <= F.size(x["xs"])) & (F.get(x["xs"], at + step - 1)["p"] < p)
+            first = lambda p: F.aggregate(x["steps"], F.lit(0), lambda at, step: F.when(past(at, step, p), at + step).otherwise(at))
+            starts = F.transform(F.sequence(F.lit(0), parts), lambda p: first(p))
+            mine = lambda at: F.transform(F.sequence(F.lit(0), parts - 1), lambda p: F.transform(F.slice(x["xs"], F.get(at, p) + 1, F.get(at, p + 1) - F.get(at, p)), lambda y: y["k"]))
+            return let(starts, mine)
+
+        return let(F.struct(xs.alias("xs"), steps.alias("steps")), own)
+
+    return let(placed, cuts)
+
+
+def retry(a: Column, b: Column, planned: Column, attempt: int) -> Column:
+    """Rebuild both sketches as sub-tables for `planned` differing digests, subtract and peel each; stuck ones are rebuilt wide."""
+    seed = 100 * attempt
+    parts = F.greatest(F.lit(1), F.ceil(F.least(planned, (F.size(a) + F.size(b)).cast("double")) / PLANNED)).cast("int")
+    once = lambda x, at, width: peel(subtract(sketch(x["a"], at, width), sketch(x["b"], at, width)), at, width)
+    sub = lambda x: let(once(x, seed, RETRY_WIDTH), lambda r: F.when(r["ok"], r).otherwise(once(x, seed + 1, WIDE)))
+    both = lambda n: F.zip_with(dealt(a, seed, n), dealt(b, seed, n), lambda x, y: F.struct(x.alias("a"), y.alias("b")))
+    done = let(parts, lambda n: F.transform(both(n), sub))
     return let(done, lambda rs: F.struct(F.forall(rs, lambda r: r["ok"]).alias("ok"), F.flatten(F.transform(rs, lambda r: r["found"])).alias("found")))
 
 
 def differing(df: DataFrame, a: str, b: str, sketch_a: str, sketch_b: str, out: str) -> DataFrame:
     """Adds column `out`: the digests in one of the arrays a, b and not in the other, recovered from their sketches."""
-    df = df.withColumn(out, peel(subtract(F.col(sketch_a), F.col(sketch_b)), 1, STORED_WIDTH))
-    for attempt in range(1, RETRIES + 1):
-        df = df.withColumn(out, F.when(F.col(out)["ok"], F.col(out)).otherwise(retry(F.col(a), F.col(b), attempt)))
+    cells = subtract(F.col(sketch_a), F.col(sketch_b))
+    df = df.withColumn(out, let(cells, lambda c: F.struct(peel(c, 1, STORED_WIDTH).alias("peeled"), estimated_difference(c, STORED_WIDTH).alias("d"))))
+    df = df.withColumn("__d", F.col(out)["d"]).withColumn(out, F.col(out)["peeled"])
+    for attempt, growth in enumerate(GROWTH, 1):
+        df = df.withColumn(out, F.when(F.col(out)["ok"], F.col(out)).otherwise(retry(F.col(a), F.col(b), F.col("__d") * growth, attempt)))
     direct = F.concat(F.array_except(a, b), F.array_except(b, a))
-    return df.withColumn(out, F.when(F.col(out)["ok"], F.col(out)["found"]).otherwise(direct))
+    return df.withColumn(out, F.when(F.col(out)["ok"], F.col(out)["found"]).otherwise(direct)).drop("__d")
 
 
 def likeness(a: Column, b: Column, diff: Column) -> Column:
@@ -140,26 +174,36 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", b
     """(id, text, next_text): the next text in ascending order of id; after the last comes the first.
 
     Rows are dealt by quantile splitters of the id, a bounded array; the first row of each bucket is copied into the bucket before it, so one
-    shuffle does, and no bucket holds more than its share of distinct ids.
+    shuffle does. An id that holds several quantiles (null, say) is cut at text hashes, so no bucket holds more than its share of rows
+    that differ.
     """
-    ids = F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)))
-    rows = docs.select(F.col(id_col).alias("id"), ids.alias("ord"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    n = buckets or 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ids = F.coalesce(F.col(id_col).cast("long"), F.lit(_LEAST))
+    rows = docs.select(F.col(id_col).alias("id"), ids.alias("ord"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text"))
+    n = max(2, buckets or 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     found = rows.agg(F.min("ord").alias("least"), F.percentile_approx("ord", [i / n for i in range(1, n)], 10 * n).alias("q")).first()
-    first = [] if found["least"] is None else sorted({found["least"], *found["q"]})
+    times = Counter([] if found["least"] is None else [found["least"], *found["q"]])
+    first = sorted((v, _LEAST) for v in times)
+    if hot := {v: m for v, m in times.items() if m > 2}:
+        # Text hashes are even over their range; the least of each stretch is a row's own. At most n rows reach the driver.
+        stretches = F.element_at(F.create_map(*[F.lit(x).cast("long") for v, m in hot.items() for x in (v, m)]), F.col("ord"))
+        stretch = F.floor((F.shiftrightunsigned("tie", 11).cast("double") / F.lit(float(1 << 53)) + F.when(F.col("tie") < 0, -0.5).otherwise(0.5)) * stretches)
+        least = rows.where(F.col("ord").isin(list(hot))).groupBy("ord", stretch.alias("stretch")).agg(F.min("tie").alias("tie")).collect()
+        first = sorted({*first, *[(r["ord"], r["tie"]) for r in least if r["stretch"] > 0]})
     side = max(1, int(len(first) ** 0.5))
-    array = lambda xs: F.array(*[F.lit(x).cast("long") for x in xs]).cast("array<bigint>")
-    fine, coarse = array(first), array(first[::side])
-    below = F.size(F.filter(coarse, lambda s: s <= F.col("ord")))
-    bucket = (below - 1) * side + F.size(F.filter(F.slice(fine, (below - 1) * side + 1, F.lit(side)), lambda s: s <= F.col("ord")))
+    one = lambda v, tie: F.struct(F.lit(v).cast("long").alias("ord"), F.lit(tie).cast("long").alias("tie"))
+    array = lambda xs: F.array(*[one(*x) for x in xs]).cast("array<struct<ord:bigint,tie:bigint>>")
+    fine, coarse, here = array(first), array(first[::side]), F.struct("ord", "tie")
+    below = F.size(F.filter(coarse, lambda s: s <= here))
+    bucket = (below - 1) * side + F.size(F.filter(F.slice(fine, (below - 1) * side + 1, F.lit(side)), lambda s: s <= here))
     rows = rows.withColumn("bucket", bucket.cast("int"))
     last = len(first)
     as_copy = lambda b, kind: F.struct(b.cast("int").alias("bucket"), F.lit(kind).alias("copy"))
-    opens = F.element_at(fine, F.col("bucket")) == F.col("ord") if first else F.lit(False)
+    opening = F.element_at(fine, F.col("bucket"))
+    opens = (opening["ord"] == F.col("ord")) & opening["tie"].isin(F.lit(_LEAST), F.col("tie")) if first else F.lit(False)
     sent = F.array(as_copy(F.col("bucket"), 0), F.when(F.col("bucket") == 1, as_copy(F.lit(last), 2)).otherwise(as_copy(F.col("bucket") - 1, 1)))
     rows = rows.withColumn("to", F.explode(F.when(opens, sent).otherwise(F.array(as_copy(F.col("bucket"), 0)))))
     w = Window.partitionBy("b").orderBy((F.col("copy") == 2).asc(), "ord", "tie")
-    rows = rows.select("id", "ord", "text", F.col("to.bucket").alias("b"), F.col("to.copy").alias("copy"), F.xxhash64("text").alias("tie"))
+    rows = rows.select("id", "ord", "text", F.col("to.bucket").alias("b"), F.col("to.copy").alias("copy"), "tie")
     return rows.withColumn("next_text", F.lead("text").over(w)).where("copy = 0").select("id", "text", "next_text")
 
 
