@@ -1,17 +1,20 @@
 """Sharding by sampled splitters.
 
-Records are ordered by (hash of the text, hash of the id). A size-weighted Poisson sample of text hashes (its expected
+Records are ordered by the hash of their text. A size-weighted Poisson sample of these hashes (its expected
 size is a parameter) gives quantile boundaries of many more ranges than shards; records are range-partitioned by
-them. A range that holds more than twice its share (a hot group of equal texts) is subdivided by its second key into
-equal slices. Measured range sizes are prefix-summed and every range goes to the shard where its middle lies, so
-shards are near equal in bytes, and equal texts stay together unless their group had to be subdivided.
+them. A range that holds more than twice its share is subdivided by key first: a text whose copies alone hold that much becomes a cell of its
+own, and what is left of the range is cut at even distances of the hash. Cells of one text stay whole: they go to the emptiest shard, the
+largest first. Only a text whose copies don't fit into any shard is dealt out by the hash of the id. The other cells then fill the room that
+is left, in the order of keys, so shards are near equal in bytes.
 
-Cases: null text is a record of size 1 (no bytes) and groups with other null texts; repeated rows are separate records;
-an empty table gives no rows; other columns are ignored.
+Cases: null text is a record of size 1 (no bytes) and groups with other null texts; repeated rows are separate records; equal texts
+stand in one shard unless their group exceeds what a shard can take; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
+from collections import defaultdict, deque
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -21,6 +24,8 @@ from shelfwise.llm.common import cut, table, unit_hash
 
 #: Ranges for each shard, and expected sample rows for each range.
 RANGES_PER_SHARD, SAMPLE_PER_RANGE = 128, 8
+#: A group of equal texts is dealt out if it would fill the emptiest shard beyond its share by more than this.
+SLACK = 0.01
 
 
 def record_size(text: Column) -> Column:
@@ -53,36 +58,70 @@ def range_of(bounds: np.ndarray):
     return find
 
 
+def planned(counts: list[dict], n_shards: int) -> dict[tuple[int, int, int], tuple[int, int]]:
+    """(shard, rows in front of it there) of every (range, cell, part); `counts` has a row for each, a few times the number of ranges in all."""
+    room = max(1.0, sum(r["bytes"] for r in counts) / n_shards)
+    load, place, groups = np.zeros(n_shards), {}, defaultdict(list)
+    for r in sorted(counts, key=lambda r: (r["range"], r["cell"], r["part"])):
+        groups[(r["range"], r["cell"]) if r["cell"] < 0 else ()].append(r)
+    others = groups.pop((), [])
+    units = deque(sorted(groups.values(), key=lambda g: -sum(r["bytes"] for r in g)))
+    while units:
+        group = units.popleft()
+        size, at = sum(r["bytes"] for r in group), int(load.argmin())
+        if len(group) > 1 and load[at] + size > room * (1 + SLACK):
+            units.extend([r] for r in group)
+            continue
+        load[at] += size
+        place |= {(r["range"], r["cell"], r["part"]): at for r in group}
+    left = np.maximum(room - load, 0)
+    ends = np.cumsum(left) * sum(r["bytes"] for r in others) / max(left.sum(), 1e-9)
+    before = 0
+    for r in others:
+        place[r["range"], r["cell"], r["part"]] = min(n_shards - 1, int(np.searchsorted(ends, before + r["bytes"] / 2, side="right")))
+        before += r["bytes"]
+    rows, out = np.zeros(n_shards, np.int64), {}
+    for r in sorted(counts, key=lambda r: (r["range"], r["cell"], r["part"])):
+        key = r["range"], r["cell"], r["part"]
+        out[key] = place[key], int(rows[place[key]])
+        rows[place[key]] += r["rows"]
+    return out
+
+
 def shard(docs: DataFrame, n_shards: int = 16, id_col: str = "doc_id", text_col: str = "text", ranges_per_shard: int = RANGES_PER_SHARD) -> DataFrame:
-    """(id, size, text_crc32, range, part, shard, slot) for every record; slot counts from 0 in each shard."""
-    text = F.col(text_col)
+    """(id, size, text_crc32, range, cell, part, shard, slot) for every record; slot counts from 0 in each shard."""
+    spark, text = docs.sparkSession, F.col(text_col)
     records = docs.select(
         F.col(id_col).alias("id"),
         record_size(text).alias("size"),
         F.coalesce(F.crc32(text), F.lit(0)).cast("long").alias("text_crc32"),
         F.xxhash64(text, F.lit(3)).alias("key"),
-        F.xxhash64(F.col(id_col), F.lit(5)).alias("sub"),
+        F.xxhash64(F.col(id_col), text, F.lit(5)).alias("sub"),
     )
     records = cut(records)
     total = records.agg(F.sum("size")).first()[0] or 0
     n_ranges = n_shards * ranges_per_shard
     ideal = max(total / n_ranges, 1.0)
     placed = records.withColumn("range", range_of(splitters(records, total, n_ranges))(F.col("key")))
-    sizes = placed.groupBy("range").agg(F.sum("size").alias("bytes"))
-    parts = sizes.select("range", F.when(F.col("bytes") > 2 * ideal, F.ceil(F.col("bytes") / ideal)).otherwise(1).cast("int").alias("parts"))
-    # n_ranges rows at most, a parameter: small enough to send to every task.
-    split = placed.join(F.broadcast(parts), "range").withColumn("part", F.floor(unit_hash(F.lit(23), F.col("key"), F.col("sub")) * F.col("parts")).cast("int")).drop("parts")
-    split = cut(split.select("id", "size", "text_crc32", "key", "sub", "range", "part"))
-    counts = split.groupBy("range", "part").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows"))
-    # A row for each range or part of one: at most about three times n_ranges, whatever the number of records.
-    along = Window.orderBy("range", "part").rowsBetween(Window.unboundedPreceding, -1)
-    middle = F.coalesce(F.sum("bytes").over(along), F.lit(0)) + F.col("bytes") / 2
-    cells = counts.withColumn("shard", F.least(F.lit(n_shards - 1), F.floor(middle / F.lit(max(total, 1) / n_shards))).cast("int"))
-    inside = Window.partitionBy("shard").orderBy("range", "part").rowsBetween(Window.unboundedPreceding, -1)
-    cells = cells.select("range", "part", "shard", F.coalesce(F.sum("rows").over(inside), F.lit(0)).alias("before"))
-    row = Window.partitionBy("range", "part").orderBy("key", "sub", "id")
-    out = split.join(cells, ["range", "part"]).withColumn("slot", F.col("before") + F.row_number().over(row) - 1)
-    return out.select("id", "size", "text_crc32", "range", "part", "shard", F.col("slot").cast("long").alias("slot"))
+    sizes = placed.groupBy("range").agg(F.sum("size").alias("bytes"), F.min("key").alias("low"), F.max("key").alias("high"))
+    # At most n_ranges / 2 ranges hold more than twice their share, and at most as many texts do.
+    over = F.broadcast(sizes.where(F.col("bytes") > 2 * ideal))
+    hot = placed.join(F.broadcast(over.select("range")), "range", "left_semi").groupBy("range", "key").agg(F.sum("size").alias("hot_bytes")).where(F.col("hot_bytes") > 2 * ideal)
+    hot = cut(hot.withColumn("hot_cell", -F.row_number().over(Window.partitionBy("range").orderBy("key"))))
+    rest = sizes.join(hot.groupBy("range").agg(F.sum("hot_bytes").alias("taken")), "range", "left").select("range", "low", "high", F.greatest(F.lit(1), F.ceil((F.col("bytes") - F.coalesce("taken", F.lit(0))) / ideal)).cast("int").alias("cells"))
+    along = (F.col("key").cast("double") - F.col("low").cast("double")) / (F.col("high").cast("double") - F.col("low").cast("double") + 1.0)
+    celled = placed.join(F.broadcast(hot), ["range", "key"], "left").join(F.broadcast(rest), "range")
+    celled = celled.withColumn("cell", F.coalesce("hot_cell", F.least(F.col("cells") - 1, F.floor(along * F.col("cells")).cast("int"))))
+    parts = F.coalesce(F.ceil(F.col("hot_bytes") / (2 * ideal)), F.lit(1))
+    celled = celled.withColumn("part", F.floor(unit_hash(F.lit(23), F.col("sub")) * parts).cast("int"))
+    celled = cut(celled.select("id", "size", "text_crc32", "key", "sub", "range", "cell", "part"))
+    # A row for each part: at most about three times n_ranges, whatever the number of records.
+    counts = celled.groupBy("range", "cell", "part").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows")).collect()
+    found = [(*k, *v) for k, v in planned([r.asDict() for r in counts], n_shards).items()]
+    cells = spark.createDataFrame(found, "range int, cell int, part int, shard int, before long")
+    row = Window.partitionBy("range", "cell", "part").orderBy("key", "sub", "id")
+    out = celled.join(F.broadcast(cells), ["range", "cell", "part"]).withColumn("slot", F.col("before") + F.row_number().over(row) - 1)
+    return out.select("id", "size", "text_crc32", "range", "cell", "part", "shard", F.col("slot").cast("long").alias("slot"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
