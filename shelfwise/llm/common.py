@@ -17,9 +17,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; a temporary one only where that is unset (local tests)."""
+    """The shared folder named by spark.checkpoint.dir; a temporary one only where that is unset and the master is local."""
     found = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if spark.sparkContext.getCheckpointDir() is None:
+        if not found and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = found or tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(found)
     return found
@@ -36,6 +38,16 @@ def unit_hash(*cols: Column) -> Column:
     return (F.shiftrightunsigned(F.xxhash64(*cols), 11).cast("double") + 0.5) / F.lit(float(1 << 53))
 
 
+#: Names of the two hashes that stand for a whole row.
+ROW_KEY = ["__row_a", "__row_b"]
+
+
+def row_key(*cols: str) -> dict[str, Column]:
+    """128 bits that stand for the values of a row, nulls included: equal rows have equal keys, whatever their ids."""
+    values = [F.col(f"`{c}`") for c in cols]
+    return {name: F.xxhash64(F.lit(seed), *values, *[v.isNull() for v in values]) for name, seed in zip(ROW_KEY, (1, 2))}
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, component) for every node of `edges` (a, b), the component being the least node that can be reached.
 

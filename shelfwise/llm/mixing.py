@@ -1,15 +1,15 @@
 """Mixing sources to target weights: Efraimidis-Spirakis order, complete epochs first, then a prefix of the order.
 
-Every document gets the key -ln(u) / quality with u a keyed hash of its id: in ascending order of keys this is
+Every document gets the key -ln(u) / quality with u a keyed hash of its id and text: in ascending order of keys this is
 a weighted sample without replacement. Targets share a total by source weights, capped at `max_epochs` times a source's size; the excess
 goes to the other sources by weight (water-filling, solved in closed form on the table of sources). A source first repeats
 all its documents floor(target / size) times; the rest of its target is a budget that documents take in key order, the
 one at the boundary with the words that are left. Prefix sums go in two steps: over slices of the key range of a source, cut at
 quantiles of its keys so that they are even for every quality, then in the slices, so no task sees a whole source.
 
-Cases: null text has size 0 and quality of its own like an empty text; null source is a source, the last; null ids share one
-key and go by text hash; repeated rows are separate documents; an empty table, and a total of 0, take nothing;
-other columns are ignored.
+Cases: null text has size 0 and quality of its own like an empty text; null source is a source, the last; rows of one id
+(null too) have keys of their own by their texts; repeated rows are separate documents with one key; an empty table, and a total of 0, take
+nothing; other columns are ignored, and kept by `repeat_documents`.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from shelfwise.llm.common import WORD, cut, table
+from shelfwise.llm.common import ROW_KEY, WORD, cut, row_key, table
 
 #: Rows a slice of a source is planned for, and the least and largest number of slices.
 SLICE_ROWS, MIN_SLICES, MAX_SLICES = 4096, 64, 4096
@@ -35,10 +35,10 @@ def quality_weight(text: Column) -> Column:
     return F.when(n > 0, F.greatest(F.lit(0.05), F.pow(clean / n, F.lit(4.0)))).otherwise(0.05)
 
 
-def order_key(id_col: Column, weight: Column, seed: int) -> Column:
-    """-ln(u) / weight; u comes from the first 13 hexadecimal digits of an MD5, so SQL engines agree on it."""
-    text = F.concat_ws(":", F.coalesce(id_col.cast("string"), F.lit("null")), F.lit(str(seed)))
-    u = (F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("double") + 0.5) / F.lit(float(1 << 52))
+def order_key(id_col: Column, weight: Column, seed: int, text: Column | None = None) -> Column:
+    """-ln(u) / weight; u comes from the first 13 hexadecimal digits of an MD5 of id, seed and text, so SQL engines agree on it."""
+    named = F.concat_ws(":", F.coalesce(id_col.cast("string"), F.lit("null")), F.lit(str(seed)), F.lit("") if text is None else text)
+    u = (F.conv(F.substring(F.md5(named.cast("binary")), 1, 13), 16, 10).cast("double") + 0.5) / F.lit(float(1 << 52))
     return -F.log(u) / weight
 
 
@@ -68,15 +68,17 @@ def with_slices(rows: DataFrame, slices: int) -> DataFrame:
     return rows.join(F.broadcast(cuts), F.col("source").eqNullSafe(F.col("_source"))).withColumn("slice", place).drop("_source", "_cuts")
 
 
-def mix(docs: DataFrame, seed: int = 42, max_epochs: int = MAX_EPOCHS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", quality: Column | None = None) -> DataFrame:
-    """(id, source, size, source_size, target, epochs, order_key, taken) for every row; taken counts repeats."""
+def mix(docs: DataFrame, seed: int = 42, max_epochs: int = MAX_EPOCHS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", quality: Column | None = None, extra: tuple[str, ...] = ()) -> DataFrame:
+    """(id, source, size, source_size, target, epochs, order_key, taken, and the columns `extra`) for every row; taken counts repeats."""
     text = F.col(text_col)
+    weight = quality if quality is not None else quality_weight(F.coalesce(text, F.lit("")))
     rows = docs.select(
         F.col(id_col).alias("id"),
         F.col(source_col).alias("source"),
         n_words(text).alias("size"),
-        F.coalesce(order_key(F.col(id_col), quality if quality is not None else quality_weight(F.coalesce(text, F.lit(""))), seed), F.lit(0.0)).alias("order_key"),
+        F.coalesce(order_key(F.col(id_col), weight, seed, F.coalesce(text, F.lit(""))), F.lit(0.0)).alias("order_key"),
         F.xxhash64(text).alias("tie"),
+        *extra,
     )
     rows = cut(rows)
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
@@ -89,23 +91,28 @@ def mix(docs: DataFrame, seed: int = 42, max_epochs: int = MAX_EPOCHS, id_col: s
     by_slice = by_slice.withColumn("slice_start", F.coalesce(F.sum("slice_size").over(before), F.lit(0)))
     by_slice = by_slice.alias("s").join(targets.alias("t"), F.col("s.source").eqNullSafe(F.col("t.source"))).select("s.source", "s.slice", "slice_start", "source_size", "target")
     joined = rows.alias("r").join(by_slice.alias("s"), F.col("r.source").eqNullSafe(F.col("s.source")) & (F.col("r.slice") == F.col("s.slice")))
-    joined = joined.select("id", "r.source", "r.slice", "size", "order_key", "tie", "slice_start", "source_size", "target")
+    joined = joined.select("id", "r.source", "r.slice", "size", "order_key", "tie", "slice_start", "source_size", "target", *extra)
     inside = Window.partitionBy("source", "slice").orderBy("order_key", "id", "tie").rowsBetween(Window.unboundedPreceding, -1)
     start = F.col("slice_start") + F.coalesce(F.sum("size").over(inside), F.lit(0))
     epochs = F.when(F.col("source_size") > 0, F.least(F.lit(max_epochs), F.floor(F.col("target") / F.col("source_size")))).otherwise(0).cast("long")
     out = joined.withColumn("start", start).withColumn("epochs", epochs)
     budget = F.round(F.col("target")).cast("long") - F.col("epochs") * F.col("source_size")
     part = F.least(F.col("size"), F.greatest(F.lit(0), budget - F.col("start")))
-    return out.select("id", "source", "size", "source_size", "target", "epochs", "order_key", (F.col("epochs") * F.col("size") + part).alias("taken"))
+    return out.select("id", "source", "size", "source_size", "target", "epochs", "order_key", (F.col("epochs") * F.col("size") + part).alias("taken"), *extra)
 
 
 def repeat_documents(docs: DataFrame, **options) -> DataFrame:
-    """The mix as documents: each whole row of `docs` as often as it is taken, the boundary document rounded."""
-    mixed = mix(docs, **options)
+    """The mix as documents: each whole row of `docs` as often as it is taken, the boundary document rounded.
+
+    The mix itself works on ids and row keys; a second read of `docs` fetches the rows taken, so a text is shuffled once. Rows equal in
+    every column are combined before that shuffle and come as often as all of them together are taken.
+    """
+    keyed = docs.withColumns(row_key(*docs.columns))
+    mixed = mix(keyed, extra=tuple(ROW_KEY), **options)
     copies = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(F.greatest(F.col("epochs"), F.lit(1))).cast("int")
-    counts = mixed.groupBy(F.col("id").alias("__mix_id")).agg(F.max(copies).alias("__mix_copies")).where("__mix_copies > 0")
-    joined = docs.join(counts, docs["doc_id"].eqNullSafe(F.col("__mix_id")))
-    return joined.withColumn("__mix_copy", F.explode(F.sequence(F.lit(1), F.col("__mix_copies")))).select(*[docs[c] for c in docs.columns])
+    counts = mixed.groupBy(*ROW_KEY).agg(F.sum(copies).cast("int").alias("__mix_copies")).where("__mix_copies > 0")
+    joined = keyed.dropDuplicates(ROW_KEY).join(counts, ROW_KEY)
+    return joined.withColumn("__mix_copy", F.explode(F.sequence(F.lit(1), F.col("__mix_copies")))).select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,7 +127,7 @@ WITH d AS (
   FROM documents
 ), k AS (
   SELECT doc_id, source, size,
-         -ln((('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null') || ':42'), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0)
+         -ln((('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null') || ':42:' || t), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0)
          / CASE WHEN length(t) > 0 THEN greatest(0.05, pow(length(translate(t, '#$%&*!|<>{}[]\~^_=', '')) / length(t)::DOUBLE, 4.0)) ELSE 0.05 END AS key
   FROM d
 ), s AS (

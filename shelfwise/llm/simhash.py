@@ -2,10 +2,10 @@
 
 A 64-bit fingerprint is cut into 32 segments of two bits. Its embedding holds the number of one bits of every segment,
 packed as unary digits (0 -> 00, 1 -> 01, 2 -> 11), so the Manhattan distance of two embeddings is the bit count of
-their XOR and never exceeds the Hamming distance of the fingerprints. Fingerprints within d bits are within Manhattan
-distance d, so of d + 3 groups of segments at least three agree: the cells of a grid are the coordinates of three
-groups, one grid for each choice of three, and an equi-join on cells meets every pair. Inside the join the Manhattan
-bound goes first, then the exact Hamming distance, and a pair counts only in the first grid that holds it.
+their XOR and never exceeds the Hamming distance of the fingerprints. The space of either half of the segments is a grid whose cells are
+its points (16 counts, so 3**16 cells). Of two fingerprints within d bits one half is within Manhattan distance d // 2: the range join
+looks up, on both halves, the own cell and all cells within that distance, of two cells always the upper from the lower one.
+Inside the join the Manhattan bound of the whole embedding goes first, then the exact Hamming distance, and a pair counts only in the first half that holds it.
 
 Cases: null text counts as empty; texts without words have fingerprint zero and link like any other; repeated texts
 and rows share one fingerprint, which enters the join once; an empty table gives no rows; other columns are ignored.
@@ -13,18 +13,17 @@ and rows share one fingerprint, which enters the join once; an empty table gives
 
 from __future__ import annotations
 
-from itertools import combinations
-
 import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfwise.llm.common import connected_components, cut, table
+from shelfwise.llm.common import ROW_KEY, connected_components, cut, row_key, table
 
 BITS, SEGMENT_BITS, SHINGLE, SEED = 64, 2, 3, 42
 _BLOCK = 1 << 15
+_M = (1 << 64) - 1
 
 
 def simhash(text: str | None, width: int = SHINGLE) -> int:
@@ -63,30 +62,74 @@ def embedding(fp: Column) -> Column:
     return fp.bitwiseOR(half).bitwiseAND(low).bitwiseOR(F.shiftleft(fp.bitwiseAND(half).bitwiseAND(low), 1))
 
 
-def grids(distance: int) -> list[int]:
-    """Masks over the embedding: one grid for each three of distance + 3 groups of segments."""
-    segments = BITS // SEGMENT_BITS
-    groups = distance + 3
-    edges = [round(g * segments / groups) for g in range(groups + 1)]
-    mask = [sum(3 << (SEGMENT_BITS * s) for s in range(edges[g], edges[g + 1])) for g in range(groups)]
-    signed = lambda x: x - (1 << 64) if x >> 63 else x
-    return [signed(mask[a] | mask[b] | mask[c]) for a, b, c in combinations(range(groups), 3)]
+def halves() -> list[int]:
+    """Masks of the two halves of the embedding, as signed 64-bit integers."""
+    return [(1 << 32) - 1, -(1 << 32)]
+
+
+def upward(cells: Column, half: int) -> Column:
+    """The cells that are one step up from `cells` (an array) on one segment of a half: a count of 0 becomes 1, of 1 becomes 2."""
+    first = half * BITS // 2
+
+    def steps(cell: Column) -> Column:
+        moved = [
+            cell.bitwiseOR(F.lit(signed(1 << s))).bitwiseOR(F.shiftleft(cell, 1).bitwiseAND(F.lit(signed(2 << s))))
+            for s in range(first, first + BITS // 2, SEGMENT_BITS)
+        ]
+        return F.filter(F.array(*moved), lambda x: x != cell)
+
+    return F.array_distinct(F.flatten(F.transform(cells, steps)))
+
+
+def downward(cells: Column, half: int) -> Column:
+    """The cells that are one step down from `cells`."""
+    first = half * BITS // 2
+
+    def steps(cell: Column) -> Column:
+        moved = []
+        for s in range(first, first + BITS // 2, SEGMENT_BITS):
+            two = cell.bitwiseAND(F.lit(signed(2 << s))) != 0
+            moved.append(F.when(two, cell.bitwiseAND(F.lit(signed(~(2 << s) & _M)))).otherwise(cell.bitwiseAND(F.lit(signed(~(1 << s) & _M)))))
+        return F.filter(F.array(*moved), lambda x: x != cell)
+
+    return F.array_distinct(F.flatten(F.transform(cells, steps)))
+
+
+def signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
+def looked_up(cell: Column, half: int, reach: int) -> Column:
+    """The cells within Manhattan distance `reach` that are not below `cell` in the order of (sum of counts, cell): every pair of cells meets from one side."""
+    near, ring = [F.array(cell)], F.array(cell)
+    for _ in range(reach):
+        ring = F.array_union(upward(ring, half), downward(ring, half)) if reach > 1 else upward(ring, half)
+        near.append(ring)
+    found = F.array_distinct(F.concat(*near))
+    if reach > 1:
+        place = lambda c: F.struct(F.bit_count(c).alias("sum"), c.alias("cell"))
+        found = F.filter(found, lambda c: place(c) >= place(cell))
+    return found
 
 
 def link_fingerprints(fps: DataFrame, distance: int = 3) -> DataFrame:
     """Pairs (a, b), a < b, of the distinct values of column `fp` with at most `distance` differing bits."""
-    masks = grids(distance)
+    reach, masks = distance // 2, halves()
     e = fps.select("fp", embedding(F.col("fp")).alias("e"))
-    cells = e.select("fp", F.explode(F.array(*[F.struct(F.lit(i).alias("grid"), F.col("e").bitwiseAND(F.lit(m)).alias("cell")) for i, m in enumerate(masks)])).alias("x")).select("fp", "x.grid", "x.cell")
-    a, b = cells.alias("a"), cells.alias("b")
+    own = [F.col("e").bitwiseAND(F.lit(m)) for m in masks]
+    cells = e.select("fp", F.explode(F.array(*[F.struct(F.lit(h).alias("half"), c.alias("cell")) for h, c in enumerate(own)])).alias("x")).select("fp", "x.half", "x.cell")
+    at = lambda h: lambda x: F.struct(F.lit(h).alias("half"), x.alias("cell"))
+    visits = [F.transform(looked_up(c, h, reach), at(h)) for h, c in enumerate(own)]
+    visits = e.select("fp", F.explode(F.concat(*visits)).alias("x")).select("fp", "x.half", "x.cell")
+    a, b = visits.alias("a"), cells.alias("b")
     fa, fb = F.col("a.fp"), F.col("b.fp")
     apart = embedding(fa).bitwiseXOR(embedding(fb))
-    first = F.lit(-1)
-    for i in reversed(range(len(masks))):
-        first = F.when(apart.bitwiseAND(F.lit(masks[i])) == 0, i).otherwise(first)
-    on = (F.col("a.grid") == F.col("b.grid")) & (F.col("a.cell") == F.col("b.cell")) & (fa < fb)
-    on = on & (F.bit_count(apart) <= distance) & (F.bit_count(fa.bitwiseXOR(fb)) <= distance) & (first == F.col("a.grid"))
-    return a.join(b, on).select(fa.alias("a"), fb.alias("b"))
+    there = [F.bit_count(apart.bitwiseAND(F.lit(m))) for m in masks]
+    # Two fingerprints of one cell meet from both sides; two of different cells from one.
+    once = F.when(F.col("a.half") == 0, (there[0] > 0) | (fa < fb)).otherwise((there[0] > reach) & ((there[1] > 0) | (fa < fb)))
+    on = (F.col("a.half") == F.col("b.half")) & (F.col("a.cell") == F.col("b.cell")) & (fa != fb)
+    on = on & (F.bit_count(apart) <= distance) & (F.bit_count(fa.bitwiseXOR(fb)) <= distance) & once
+    return a.join(b, on).select(F.least(fa, fb).alias("a"), F.greatest(fa, fb).alias("b"))
 
 
 def with_component(fps: DataFrame, distance: int = 3) -> DataFrame:
@@ -105,13 +148,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = 3) -> DataFrame:
-    """One row of `docs` (all its columns) for each group: the least by id (null last), fingerprint, text hash and row hash."""
-    marked = cut(docs.withColumns({"__fp": simhash_column(F.col(text_col)), "__row": F.xxhash64(*docs.columns)}))
-    place = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("__fp").alias("fp"), F.xxhash64(text_col).alias("text"), F.col("__row").alias("row"))
-    named = with_component(marked.groupBy(F.col("__fp").alias("fp")).agg(F.min(place).alias("least")), distance)
-    chosen = named.groupBy("component").agg(F.min("least").alias("least")).select(F.col("least.fp").alias("__fp"), F.col("least.row").alias("__row"))
-    # Rows with one fingerprint and one row hash are repeats of each other.
-    return marked.join(chosen, ["__fp", "__row"], "left_semi").dropDuplicates(["__fp", "__row"]).select(*docs.columns)
+    """One row of `docs` (all its columns) for each group: the least by id (null last), fingerprint and row key.
+
+    Groups are found on ids and keys alone; a second read of `docs` then fetches the chosen rows, so a text is shuffled once. Rows
+    that are equal in every column are repeats of each other and are combined before that shuffle.
+    """
+    keyed = docs.withColumns(row_key(*docs.columns))
+    marked = cut(keyed.select(F.col(id_col).alias("id"), *ROW_KEY, simhash_column(F.col(text_col)).alias("fp")))
+    place = F.struct(F.col("id").isNull().alias("none"), "id", "fp", *ROW_KEY)
+    named = with_component(marked.groupBy("fp").agg(F.min(place).alias("least")), distance)
+    chosen = named.groupBy("component").agg(F.min("least").alias("least")).select(*[F.col("least")[k].alias(k) for k in ROW_KEY])
+    return keyed.dropDuplicates(ROW_KEY).join(chosen, ROW_KEY, "left_semi").select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

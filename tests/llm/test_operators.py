@@ -108,6 +108,30 @@ def test_simhash_links(spark):
     assert len(found) == len(want) and {(r["a"], r["b"]) for r in found} == want
 
 
+@pytest.mark.parametrize("distance", [0, 1, 2, 5])
+def test_simhash_links_at_other_distances(spark, distance):
+    rng = np.random.default_rng(10 + distance)
+    base = [int(x) for x in rng.integers(-(2**63), 2**63, 12)] + [0, -1]
+    fps = sorted({(x ^ sum(1 << int(b) for b in rng.choice(64, bits, replace=False))) % 2**64 for x in base for bits in (0, 1, 2, 3, 5)})
+    fps = sorted(x - 2**64 if x >= 2**63 else x for x in fps)
+    want = {(a, b) for i, a in enumerate(fps) for b in fps[i + 1 :] if ((a ^ b) & (2**64 - 1)).bit_count() <= distance}
+    found = simhash.link_fingerprints(spark.createDataFrame([(x,) for x in fps], "fp long"), distance).collect()
+    assert len(found) == len(want) and {(r["a"], r["b"]) for r in found} == want
+
+
+def test_simhash_bits_against_counting():
+    import xxhash
+
+    def count(text):
+        words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m.group().lower(), text or ""))
+        grams = [" ".join(words[i : i + 3]) for i in range(len(words) - 2)] or ([" ".join(words)] if words else [])
+        hashes = [xxhash.xxh64(g.encode(), seed=42).intdigest() for g in grams]
+        return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+    for text in (None, "", " \t", "One", "Two WORDS", "ÄÖ İ ẞ Straße A\u00a0b c\x85d\x1ce", "a b c a b c a b c", "the cat sat on the mat " * 50, "x\ny\x0bz\x0cw\rv"):
+        assert simhash.simhash(text) == count(text), text
+
+
 def test_simhash_cases(docs):
     rows = {r["id"]: r for r in simhash.near_duplicates(docs).collect()}
     assert rows[2]["fp"] == rows[3]["fp"] == 0 and rows[3]["component_id"] == 2
@@ -138,7 +162,23 @@ def test_mixing(docs):
     assert sum(rs[0]["target"] for rs in by.values()) == pytest.approx(sum(r["size"] for r in rows))
     assert sorted(map(str, rows)) == sorted(map(str, mixing.mix(docs).collect()))
     assert mixing.mix(empty(docs)).count() == 0
-    assert mixing.repeat_documents(docs).columns == docs.columns
+    assert mixing.repeat_documents(docs).columns == docs.columns and mixing.repeat_documents(empty(docs)).count() == 0
+
+
+def test_repeats_go_by_rows_not_ids(spark):
+    rows = [(i if i % 3 else None, f"text {i} of its own " * (1 + i % 4), "abc"[i % 7 % 3], "x" if i % 2 else None) for i in range(90)]
+    rows += [(7, "one id", "a", None), (7, "one id and another text", "a", None), (7, "one id", "b", None), (8, None, "a", None), (None, "swap", "b", None), (None, "swap", None, "b")] + [(9, "same", "c", "y")] * 5
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, size string")
+    mixed, out = mixing.mix(docs).collect(), [tuple(r) for r in mixing.repeat_documents(docs).collect()]
+    assert set(out) <= set(rows)
+    want, texts = {}, {}
+    for r in mixed:
+        taken = int(r["taken"] / r["size"] + 0.5) if r["size"] else max(1, r["epochs"])
+        want[r["id"], r["source"]] = want.get((r["id"], r["source"]), 0) + taken
+    for r in out:
+        texts[r[0], r[2]] = texts.get((r[0], r[2]), 0) + 1
+    assert texts == {k: v for k, v in want.items() if v}
+    assert len({r["order_key"] for r in mixed if r["id"] is None}) == 31
 
 
 def test_mixing_order_favours_quality(spark):
