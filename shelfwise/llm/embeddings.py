@@ -19,7 +19,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfwise.llm.common import connected_components, cut, table
@@ -158,6 +158,39 @@ def _ball_pairs(cosine: float):
     return pairs
 
 
+def _verified(sides: DataFrame, members: DataFrame, balls: DataFrame, cosine: float, block: int = BLOCK) -> DataFrame:
+    """(a, b, vec, n): links that each vector of ball a (rows of `sides`) or b has to members of the other.
+
+    A pair of balls is cut into blocks of `block` rows of either side, and blocks are dealt to groups of a few blocks' rows, so neither a large pair
+    nor many small ones cost more than their comparisons; only sums for each vector leave a block.
+    """
+    n_blocks = lambda n: F.ceil(n / block).cast("int")
+    sizes = sides.groupBy("a", "b").agg(F.count("*").alias("nx")).join(balls.select(F.col("ball").alias("b"), F.col("n").alias("ny")), "b")
+    sizes = cut(sizes.select("a", "b", "nx", "ny", n_blocks(F.col("nx")).alias("xs"), n_blocks(F.col("ny")).alias("ys")))
+    rows = sizes.agg(F.sum(F.col("nx") * F.col("ys") + F.col("ny") * F.col("xs"))).first()[0] or 0
+    own = lambda vec, name: F.pmod(F.xxhash64(vec, F.lit(name)), F.col(name)).cast("int")
+    every = lambda name: F.explode(F.sequence(F.lit(0), F.col(name) - 1))
+    inner = members.select(F.col("ball").alias("b"), F.col("vec").alias("x"), F.col("unit").alias("u"), F.col("copies").alias("n"))
+    columns = ["a", "b", "x", "u", "n", "kind", "xb", "yb"]
+    left = sides.join(sizes, ["a", "b"]).withColumns({"kind": F.lit(0), "xb": own("x", "xs")}).withColumn("yb", every("ys"))
+    right = sizes.join(inner, "b").withColumns({"kind": F.lit(1), "yb": own("x", "ys")}).withColumn("xb", every("xs"))
+    both = left.select(columns).unionByName(right.select(columns))
+    dealt = both.withColumn("group", F.pmod(F.xxhash64("a", "b", "xb", "yb"), F.lit(max(1, rows // (4 * block)))))
+
+    def links(group: pd.DataFrame) -> pd.DataFrame:
+        unit, at = _matrix(group.u), group.drop(columns="u").reset_index(drop=True)
+        out = []
+        for (a, b), part in [((k[0], k[1]), v) for k, v in at.groupby(["a", "b", "xb", "yb"])]:
+            x, y = part[part.kind == 0], part[part.kind == 1]
+            linked = unit[x.index] @ unit[y.index].T >= cosine
+            for side, n in ((x, linked @ y.n.to_numpy()), (y, linked.T @ x.n.to_numpy())):
+                out.append(pd.DataFrame({"a": a, "b": b, "vec": side.x[n > 0], "n": n[n > 0]}))
+        return pd.concat(out)
+
+    found = dealt.groupBy("group").applyInPandas(links, "a long, b long, vec long, n long")
+    return found.groupBy("a", "b", "vec").agg(F.sum("n").alias("n"))
+
+
 def near_duplicates(df: DataFrame, cosine: float = 0.93, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", recall: float = RECALL) -> DataFrame:
     """(id, n_links, component_id) for every row."""
     spark = df.sparkSession
@@ -183,14 +216,14 @@ def near_duplicates(df: DataFrame, cosine: float = 0.93, id_col: str = "vec_id",
     cell_of, visits_of = F.pandas_udf(cell_batch, "long"), F.pandas_udf(visit_batch, "array<long>")
     celled = cut(vectors.select("label", "dim", "vec", "least_id", "copies", padded(F.col("unit")).alias("unit")).withColumn("cell", cell_of("unit")))
     keys = ["label", "dim", "cell"]
-    order = Window.partitionBy(*keys).orderBy(F.xxhash64("vec"), "vec")
-    leaders = celled.withColumn("place", F.row_number().over(order)).where(F.col("place") <= LEADERS)
-    leaders = leaders.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("place", "vec", "unit"))).alias("leaders"))
+    # The least vector of each of LEADERS hash classes of a cell: minima combine before the shuffle, so a hot cell sends few rows.
+    leaders = celled.groupBy(*keys, F.pmod(F.xxhash64("vec"), F.lit(LEADERS)).alias("place")).agg(F.min_by(F.struct("vec", "unit"), "vec").alias("first"))
+    leaders = leaders.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("place", "first.vec", "first.unit"))).alias("leaders"))
     half = math.cos(math.acos(cosine) / 2 - 1e-6)
     led = celled.join(leaders, keys).withColumn("led", F.get(F.filter("leaders", lambda x: dot(x["unit"], F.col("unit")) >= half), F.lit(0)))
     led = led.withColumn("ball", F.coalesce("led.vec", "vec")).withColumn("center", F.coalesce("led.unit", "unit"))
     members = cut(led.withColumn("off", F.when(F.col("ball") == F.col("vec"), 0.0).otherwise(angle(F.col("center"), F.col("unit")))).drop("leaders", "led"))
-    balls = cut(members.groupBy("ball").agg(*[F.first(k).alias(k) for k in (*keys, "center")], F.max("off").alias("radius"), F.sum("copies").alias("weight"), F.min("least_id").alias("least_id")))
+    balls = cut(members.groupBy("ball").agg(*[F.first(k).alias(k) for k in (*keys, "center")], F.max("off").alias("radius"), F.sum("copies").alias("weight"), F.count("*").alias("n"), F.min("least_id").alias("least_id")))
     around = balls.withColumn("cell", F.explode(visits_of("center", "radius")))
     blocks = _blocks(balls, around, keys, BLOCK)
     found = blocks.groupBy(*keys, "mb", "vb").applyInPandas(_ball_pairs(cosine), "a long, b long, whole boolean")
@@ -202,18 +235,16 @@ def near_duplicates(df: DataFrame, cosine: float = 0.93, id_col: str = "vec_id",
     # Pairs of balls that only partly link: members of the one against the centre of the other, then against its members.
     partly = pairs.where("not whole").select("a", "b")
     other = balls.select(F.col("ball").alias("b"), F.col("center").alias("c"), F.col("radius").alias("r"), F.col("weight").alias("w"))
-    mine = members.select(F.col("ball").alias("a"), F.col("vec").alias("x"), F.col("unit").alias("xu"), F.col("copies").alias("xn"))
-    sides = partly.join(mine, "a").join(other, "b").withColumn("off", angle(F.col("xu"), F.col("c")))
+    mine = members.select(F.col("ball").alias("a"), F.col("vec").alias("x"), F.col("unit").alias("u"), F.col("copies").alias("n"))
+    sides = partly.join(mine, "a").join(other, "b").withColumn("off", angle(F.col("u"), F.col("c")))
     alpha = math.acos(cosine)
-    sides = cut(sides.where(F.col("off") - F.col("r") <= alpha + _TINY).select("a", "b", "x", "xu", "xn", "w", (F.col("off") + F.col("r") <= alpha - _TINY).alias("all")))
-    inner = members.select(F.col("ball").alias("b"), F.col("vec").alias("y"), F.col("unit").alias("yu"), F.col("copies").alias("yn"))
-    checked = sides.where("not all").join(inner, "b").where(dot(F.col("xu"), F.col("yu")) >= cosine).select("a", "b", "x", "xn", "y", "yn")
-    checked = cut(checked)
+    sides = cut(sides.where(F.col("off") - F.col("r") <= alpha + _TINY).select("a", "b", "x", "u", "n", "w", (F.col("off") + F.col("r") <= alpha - _TINY).alias("all")))
+    checked = cut(_verified(sides.where("not all"), members, balls, cosine))
     whole = sides.where("all")
-    by_vec = whole.select(F.col("x").alias("vec"), F.col("w").alias("n")).unionByName(checked.select(F.col("x").alias("vec"), F.col("yn").alias("n"))).unionByName(checked.select(F.col("y").alias("vec"), F.col("xn").alias("n")))
+    by_vec = whole.select(F.col("x").alias("vec"), F.col("w").alias("n")).unionByName(checked.select("vec", "n"))
     by_vec = by_vec.groupBy("vec").agg(F.sum("n").alias("vec_n"))
-    by_ball = by_ball.unionByName(whole.select(F.col("b").alias("ball"), F.col("xn").alias("n"))).groupBy("ball").agg(F.sum("n").alias("ball_n"))
-    edges = pairs.where("whole").select("a", "b").unionByName(whole.select("a", "b")).unionByName(checked.select("a", "b"))
+    by_ball = by_ball.unionByName(whole.select(F.col("b").alias("ball"), "n")).groupBy("ball").agg(F.sum("n").alias("ball_n"))
+    edges = pairs.where("whole").select("a", "b").unionByName(whole.select("a", "b")).unionByName(checked.select("a", "b").distinct())
     parts = connected_components(edges).withColumnRenamed("node", "ball")
     named = balls.select("ball", "weight", "least_id").join(parts, "ball", "left").join(by_ball, "ball", "left").withColumn("component", F.coalesce("component", "ball"))
     least = named.groupBy("component").agg(F.min("least_id").alias("component_id"))

@@ -226,7 +226,7 @@ def test_embeddings_against_brute_force(spark):
     want = components(len(x), zip(*np.nonzero(link)))
     got = {r["id"]: r for r in embeddings.near_duplicates(vectors(spark, rows + bad)).collect()}
     found = sum(got[i]["n_links"] for i in range(len(x)))
-    assert found <= link.sum() and found >= 0.99 * link.sum()
+    assert found <= link.sum() and found >= 0.99 * link.sum() and sum(got[i]["n_links"] == link[i].sum() for i in range(len(x))) >= 0.98 * len(x)
     assert np.mean([got[i]["component_id"] == want[i] for i in range(len(x))]) > 0.99
     for i in range(900, 906):
         assert got[i]["n_links"] == 0 and got[i]["component_id"] == i
@@ -352,3 +352,25 @@ def test_context_vectors_against_loop(spark):
                     want[x] += index[ids[j]]
     got = quality.context_vectors(spark.createDataFrame([(t,) for t in texts], "text string"))
     assert np.allclose(got, want)
+
+
+def test_partly_linked_balls_are_counted_in_blocks(spark):
+    rng = np.random.default_rng(12)
+    unit = rng.standard_normal((90, 8))
+    unit[:60] = unit[0] + 0.3 * unit[:60]
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    ball = np.repeat([7, 8, 9], 30)
+    copies = rng.integers(1, 4, 90)
+    members = spark.createDataFrame([(int(b), i, [float(v) for v in u], int(n)) for i, (b, u, n) in enumerate(zip(ball, unit, copies))], "ball long, vec long, unit array<double>, copies long")
+    balls = members.groupBy("ball").agg(F.count("*").alias("n"))
+    pairs = [(7, 8), (8, 9), (7, 9)]
+    sides = spark.createDataFrame(pairs, "a long, b long").join(members.select(F.col("ball").alias("a"), F.col("vec").alias("x"), F.col("unit").alias("u"), F.col("copies").alias("n")), "a")
+    want = {}
+    for a, b in pairs:
+        for i, j in zip(*np.nonzero((unit @ unit.T >= 0.8) & (ball[:, None] == a) & (ball[None, :] == b))):
+            for v, n in ((i, copies[j]), (j, copies[i])):
+                want[a, b, int(v)] = want.get((a, b, int(v)), 0) + int(n)
+    for block in (4, 1000):
+        got = embeddings._verified(sides, members, balls, 0.8, block).collect()
+        assert want and {(r["a"], r["b"], r["vec"]): r["n"] for r in got} == want
+    assert embeddings._verified(sides.limit(0), members, balls, 0.8).count() == 0
