@@ -14,6 +14,8 @@ other columns are ignored.
 
 from __future__ import annotations
 
+import bisect
+import math
 import re
 import zlib
 from collections import defaultdict
@@ -25,29 +27,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfwise.llm.common import table
+from shelfwise.llm.license_texts import NOTICES, TEXTS
 
-#: Words of a gram, grams of a winnowing window, half width of the band, least share of the template that must match.
-GRAM, WINDOW, BAND, COVERAGE = 3, 2, 8, 0.8
+#: Words of a gram, grams of a winnowing window, least half width of the band, least share of the template that must match.
+GRAM, WINDOW, BAND, COVERAGE = 4, 3, 8, 0.8
 _WORD = re.compile(r"[^\W_]+")
 
-#: Notices as they stand in public license texts.
-TEMPLATES = {
-    "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
-    "Apache-2.0-header": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
-    "MIT": "Released under the MIT License.",
-    "MIT-grant": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction",
-    "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
-    "GPL-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation",
-    "BSD": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
-    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
-    "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
-    "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
-    "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted",
-}
+TEMPLATES = NOTICES | TEXTS
 
 
 def words(text: str) -> list[str]:
-    return _WORD.findall(text.lower())
+    """The words in lower case; as many as in the text as it stands."""
+    low = text.lower()
+    # Letters that grow in lower case (a dotted capital i) would fall apart.
+    return _WORD.findall(low) if len(low) == len(text) else [w.lower() for w in _WORD.findall(text)]
 
 
 def gram_hash(gram: tuple[str, ...]) -> int:
@@ -80,8 +73,6 @@ class TemplateIndex:
                 for i in winnow(hashes, window) if run >= size + window - 1 else range(len(hashes)):
                     self.post[hashes[i]].append((t, i))
         self.vocabulary = {w for ws in self.words for w in ws}
-        # Only words that begin a kept gram can begin a hit: a quick test that leaves out most of a text.
-        self.openings = {" ".join(ws[i : i + 1]) for t, ws in enumerate(self.words) for post in self.post.values() for u, i in post if u == t}
 
 
 def align(window: list[str], template: list[str], shift: int, band: int = BAND) -> tuple[int, int, int]:
@@ -110,8 +101,7 @@ def align(window: list[str], template: list[str], shift: int, band: int = BAND)
 
 def scan(text: str, index: TemplateIndex, coverage: float = COVERAGE, band: int = BAND) -> list[tuple[str, float, int, int]]:
     """(template, covered share, start, end) of every match, in order."""
-    found = [(m.group().lower(), m.start(), m.end()) for m in _WORD.finditer(text)]
-    ws = [w for w, _, _ in found]
+    ws = words(text)
     known = np.fromiter(map(index.vocabulary.__contains__, ws), bool, len(ws))
     hits: dict[int, list[tuple[int, int]]] = defaultdict(list)
     for size in index.sizes:
@@ -123,46 +113,50 @@ def scan(text: str, index: TemplateIndex, coverage: float = COVERAGE, band: int
         for i in np.flatnonzero(run).tolist():
             for t, p in index.post.get(gram_hash(tuple(ws[i : i + size])), ()):
                 hits[t].append((i - p, i))
-    out = []
+    if not hits:
+        return []
+    found, out = [m.span() for m in _WORD.finditer(text)], []
     for t, places in hits.items():
         template, places = index.words[t], sorted(places)
+        # As many words as a match may leave out, its diagonals may be apart.
+        wide = max(band, len(template) - math.ceil(coverage * len(template)))
         groups: list[list[int]] = []
         for start, _ in places:
-            if groups and start - groups[-1][-1] <= band:
+            if groups and start - groups[-1][-1] <= wide:
                 groups[-1].append(start)
             else:
                 groups.append([start])
-        bases, left = [(base, g[-1]) for g in groups for base in range(g[0], g[-1] + 1, 2 * band + 1)], list(ws)
+        bases, left = [(base, g[-1]) for g in groups for base in range(g[0], g[-1] + 1, 2 * wide + 1)], list(ws)
         while bases:
             again, matches = [], set()
             for base, end in bases:
-                a, b = max(0, base - band), min(len(ws), base + len(template) + 3 * band)
+                a, b = max(0, base - wide), min(len(ws), base + len(template) + 3 * wide)
                 cuts = [a - 1, *(i for i in range(a, b) if left[i] is None), b]
-                tried = [(c + 1, align(left[c + 1 : d], template, base + min(band, end - base) - c - 1, 2 * band)) for c, d in zip(cuts, cuts[1:]) if d - c - 1 >= coverage * len(template)]
+                tried = [(c + 1, align(left[c + 1 : d], template, base + min(wide, end - base) - c - 1, 2 * wide)) for c, d in zip(cuts, cuts[1:]) if d - c - 1 >= coverage * len(template)]
                 good = {(-matched, c + first, c + last) for c, (matched, first, last) in tried if matched >= coverage * len(template)}
                 matches |= good
                 again += [(base, end)] if good else []
             for matched, first, last in sorted(matches):
                 if None not in left[first : last + 1]:
                     left[first : last + 1] = [None] * (last + 1 - first)
-                    out.append((-matched, found[first][1], found[last][2], t))
+                    out.append((-matched, found[first][0], found[last][1], t))
             bases = again
     chosen: list[tuple[int, int, int, int]] = []
-    for m in sorted(out, key=lambda m: (-m[0], m[1], m[3])):
-        if all(m[2] <= c[1] or m[1] >= c[2] for c in chosen):
-            chosen.append(m)
-    return [(index.names[t], matched / len(index.words[t]), a, b) for matched, a, b, t in sorted(chosen, key=lambda m: m[1])]
+    for matched, a, b, t in sorted(out, key=lambda m: (-m[0], m[1], m[3])):
+        # Those chosen don't overlap, so only the neighbours of the place can.
+        at = bisect.bisect_left(chosen, (a,))
+        if (not at or chosen[at - 1][1] <= a) and (at == len(chosen) or b <= chosen[at][0]):
+            chosen.insert(at, (a, b, matched, t))
+    return [(index.names[t], matched / len(index.words[t]), a, b) for a, b, matched, t in chosen]
 
 
 def find(docs: DataFrame, templates: dict[str, str] | None = None, id_col: str = "doc_id", text_col: str = "text", coverage: float = COVERAGE) -> DataFrame:
     """(id, license, coverage, span_start, span_end), a row for each match."""
     index = TemplateIndex(templates or TEMPLATES, coverage=coverage)
-    # A text without any word that opens a kept gram has no hit.
-    opens = re.compile("|".join(sorted(map(re.escape, index.openings), key=len, reverse=True)) or r"(?!)", re.IGNORECASE)
 
     def batch(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            rows = [(i, *m) for i, x in zip(part["id"], part["text"]) if x and opens.search(x) for m in scan(x, index, coverage)]
+            rows = [(i, *m) for i, x in zip(part["id"], part["text"]) if x for m in scan(x, index, coverage)]
             yield pd.DataFrame(rows, columns=["id", "license", "coverage", "span_start", "span_end"])
 
     id_type = docs.schema[id_col].dataType.simpleString()
