@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,45 +45,52 @@ def longest_value_by_key(df: DataFrame, keys: list[str], value: str, ord_col: st
 
 def best_archive(scores: DataFrame) -> DataFrame:
     """(brand, snapshot) of the largest score over 0; the newest snapshot wins ties."""
-    w = Window.partitionBy("brand").orderBy(F.col("score").desc(), F.col("snapshot").desc())
-    return scores.where("score > 0").withColumn("_n", F.row_number().over(w)).where("_n = 1").select("brand", "snapshot")
+    return scores.where("score > 0").groupBy("brand").agg(F.max(F.struct("score", "snapshot"))["snapshot"].alias("snapshot"))
 
 
 def retention(manifest: DataFrame, n: int, by: list[str], mtime: str = "mtime", tie: str = "path") -> DataFrame:
     """Manifest with archive = beyond the newest n of its group; an empty `by` counts all files together.
 
-    All files together need no window: a distributed top n gives the n-th newest, and every row is compared with it. Only rows that equal
-    it in both columns are numbered.
+    No group is sorted whole: each task keeps its newest n files of a group, the n-th of these is the cut, and every row is compared with the
+    cut of its group. Only rows that equal it in both columns are numbered.
     """
-    if by:
-        w = Window.partitionBy(*by).orderBy(F.col(mtime).desc(), F.col(tie).desc())
-        return manifest.withColumn("archive", F.row_number().over(w) > n)
     if n <= 0:
         return manifest.withColumn("archive", F.lit(True))
-    key = F.struct(F.col(mtime).alias("m"), F.col(tie).alias("t"))
-    top = manifest.select(key.alias("_key")).orderBy(F.col("_key").desc()).limit(n)
-    last = top.agg(F.when(F.count("*") == n, F.min("_key")).alias("_last"))
-    newer = top.crossJoin(F.broadcast(last)).agg(F.first("_last").alias("_last"), F.count_if(F.col("_key") > F.col("_last")).alias("_newer"))
-    rows = manifest.crossJoin(F.broadcast(newer))
-    tied = F.coalesce(key == F.col("_last"), F.lit(False))
-    numbered = rows.where(tied).withColumn("archive", F.row_number().over(Window.partitionBy("_last").orderBy(F.col(tie).desc())) + F.col("_newer") > n)
-    others = rows.where(~tied).withColumn("archive", F.coalesce(key < F.col("_last"), F.lit(False)))
-    return others.unionByName(numbered).drop("_last", "_newer")
+    names = [f"__by{i}" for i in range(len(by))]
+    keyed = manifest.withColumns({x: F.col(f"`{b}`") for x, b in zip(names, by)} | {"__key": F.struct(F.col(mtime).alias("m"), F.col(tie).alias("t"))})
+    if by:
+        w = Window.partitionBy(*names).orderBy(F.col("__key").desc())
+        newest = keyed.select(*names, "__key", F.row_number().over(w).alias("__place")).where(F.col("__place") <= n)
+    else:
+        newest = keyed.select("__key").orderBy(F.col("__key").desc()).limit(n)
+    cuts = newest.groupBy(*names).agg(F.array_sort(F.collect_list("__key")).alias("__top"))
+    last = F.when(F.size("__top") == n, F.get("__top", F.lit(0)))
+    cuts = cuts.select(*[F.col(x).alias(f"{x}c") for x in names], last.alias("__last"), F.size(F.filter("__top", lambda k: k > last)).alias("__newer"))
+    if by:
+        same = reduce(lambda a, b: a & b, [F.col(x).eqNullSafe(F.col(f"{x}c")) for x in names])
+        rows = keyed.join(cuts, same)
+    else:
+        rows = keyed.crossJoin(F.broadcast(cuts))  # one row
+    tied = F.coalesce(F.col("__key") == F.col("__last"), F.lit(False))
+    inside = Window.partitionBy(*names, "__key").orderBy(F.col(tie).desc())
+    numbered = rows.where(tied).withColumn("archive", F.row_number().over(inside) + F.col("__newer") > n)
+    others = rows.where(~tied).withColumn("archive", F.coalesce(F.col("__key") < F.col("__last"), F.lit(False)))
+    return others.unionByName(numbered).select(*[f"`{x}`" for x in manifest.columns if x != "archive"], "archive")
 
 
 def archive_target_name(to_archive: DataFrame, archived: DataFrame, ts: str, name: str = "file_name") -> DataFrame:
     """target: the file's name, or name_archived_<ts>.ext where that is taken."""
-    taken = archived.select(F.col(name).alias("_taken")).distinct()
-    joined = to_archive.join(taken, F.col(name) == F.col("_taken"), "left")
+    taken = archived.select(F.col(name).alias("__taken")).distinct()
+    joined = to_archive.join(taken, F.col(name) == F.col("__taken"), "left")
     stem, ext = F.regexp_extract(name, r"^(.*)(\.[^.]*)$", 1), F.regexp_extract(name, r"^(.*)(\.[^.]*)$", 2)
-    return joined.withColumn("target", F.when(F.col("_taken").isNull(), F.col(name)).otherwise(F.concat(stem, F.lit(f"_archived_{ts}"), ext))).drop("_taken")
+    return joined.withColumn("target", F.when(F.col("__taken").isNull(), F.col(name)).otherwise(F.concat(stem, F.lit(f"_archived_{ts}"), ext))).drop("__taken")
 
 
 def image_medium_cap(images: DataFrame, cap: int = 10, product: str = "product", ord_col: str = "ord") -> DataFrame:
     """High quality always stays, medium only among the first `cap` candidates of its product."""
-    rows = images.withColumn("_q", T.image_quality(F.col("url"))).where(F.col("_q").isin("high", "medium"))
+    rows = images.withColumn("__quality", T.image_quality(F.col("url"))).where(F.col("__quality").isin("high", "medium"))
     w = Window.partitionBy(product).orderBy(ord_col)
-    return rows.withColumn("_n", F.row_number().over(w)).where((F.col("_q") == "high") | (F.col("_n") <= cap)).drop("_q", "_n")
+    return rows.withColumn("__place", F.row_number().over(w)).where((F.col("__quality") == "high") | (F.col("__place") <= cap)).drop("__quality", "__place")
 
 
 def image_dedupe(images: DataFrame, product: str = "product", ord_col: str = "ord") -> DataFrame:

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from shelfwise.operators.reshape import filter_brands, meta_images, wide_to_meta
 from shelfwise.sources.files import write_by_brand
 
+#: Brands that one export may name.
+MAX_BRANDS = 1000
 STATE_META = {"status": "meta:availability_status", "first_seen_date": "meta:first_seen_date", "last_seen_date": "meta:last_seen_date", "last_updated": "meta:last_updated"}
 
 
@@ -32,6 +34,11 @@ def export_unified(master: DataFrame, brands: list[str], as_of: str, statuses: l
 
 
 def export_per_brand_and_all(master: DataFrame, base: str, as_of: str) -> None:
-    """One export of all brands, written once in folders by brand; the whole is the folder above."""
-    brands = sorted(r[0] for r in master.select("brand").distinct().where("brand is not null").collect())
+    """One export of all brands, written once in folders by brand; the whole is the folder above.
+
+    The names of the brands stand in every row, so more than MAX_BRANDS of them is an error.
+    """
+    brands = sorted(r[0] for r in master.select("brand").distinct().where("brand is not null").limit(MAX_BRANDS + 1).collect())
+    if len(brands) > MAX_BRANDS:
+        raise ValueError(f"more than {MAX_BRANDS} brands")
     write_by_brand(export_unified(master, brands, as_of), base)

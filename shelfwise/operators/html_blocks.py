@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,15 +14,21 @@ from shelfwise.operators.dedupe import last_value_by_key
 from shelfwise.operators.extract import map_key
 
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
+KINDS = frozenset(["table", "dl", "component", "color", "block", "classification"])
 _SCHEMA = "page_id long, ord int, kind string, title string, name string, features array<string>, key string, value string"
 
 
 class Blocks(HTMLParser):
-    """Collects (kind, fields). Texts of a block are stripped node by node and joined without space."""
+    """Collects (kind, fields) of the asked kinds. Texts of a block are stripped node by node and joined without space.
 
-    def __init__(self):
+    All texts stand in one list; an open element knows where its own begin, so a text is kept once and joined when a block that needs it closes.
+    """
+
+    def __init__(self, kinds: frozenset[str] = KINDS):
         super().__init__(convert_charrefs=True)
-        self.stack: list[list] = []
+        self.kinds = kinds
+        self.stack: list[tuple[str, str, int]] = []
+        self.texts: list[str] = []
         self.rows: list[dict] = []
         self.cells: list[str] = []
         self.terms: list[str] = []
@@ -35,73 +41,90 @@ class Blocks(HTMLParser):
         classes = a.get("class") or ""
         if tag == "tr":
             self.cells = []
-        if tag == "dl":
+        elif tag == "dl":
             self.terms, self.defs = [], []
-        if "component" in classes and tag in ("li", "div") and self.component is None:
+        if "component" in self.kinds and "component" in classes and tag in ("li", "div") and self.component is None:
             self.component, self.depth = {"title": "", "name": "", "features": []}, len(self.stack)
-        if "color" in classes and (a.get("data-color-id") or a.get("data-color-name")):
+        if "color" in self.kinds and "color" in classes and (a.get("data-color-id") or a.get("data-color-name")):
             self.rows.append({"kind": "color", "key": a.get("data-color-id"), "value": a.get("data-color-name"), "name": a.get("href") or a.get("data-url")})
         if tag not in _VOID:
-            self.stack.append([tag, classes, []])
+            self.stack.append((tag, classes, len(self.texts)))
 
     def handle_data(self, data):
-        if data.strip():
-            for entry in self.stack:
-                entry[2].append(data.strip())
+        if self.stack and (text := data.strip()):
+            self.texts.append(text)
 
     def handle_endtag(self, tag):
         while self.stack:
-            name, classes, texts = self.stack.pop()
-            self._close(name, classes, "".join(texts))
+            name = self._close(*self.stack.pop())
             if name == tag:
                 break
 
-    def _close(self, tag, classes, text):
+    def finished(self) -> list[dict]:
+        self.close()
+        while self.stack:
+            self._close(*self.stack.pop())
+        return self.rows
+
+    def _close(self, tag: str, classes: str, start: int) -> str:
+        text = lambda: "".join(self.texts[start:])
         if tag in ("td", "th"):
-            self.cells.append(text)
+            if "table" in self.kinds:
+                self.cells.append(text())
         elif tag == "tr" and len(self.cells) >= 2:
             self.rows.append({"kind": "table", "key": self.cells[0], "value": self.cells[1]})
             self.cells = []
-        elif tag == "dt":
-            self.terms.append(text)
-        elif tag == "dd":
-            self.defs.append(text)
+        elif tag in ("dt", "dd"):
+            if "dl" in self.kinds:
+                (self.terms if tag == "dt" else self.defs).append(text())
         elif tag == "dl":
             self.rows += [{"kind": "dl", "key": k, "value": v} for k, v in zip(self.terms, self.defs)]
-        elif "description" in classes or "classification" in classes:
-            self.rows.append({"kind": "classification" if "classification" in classes else "block", "value": text})
+        elif "classification" in classes:
+            if "classification" in self.kinds:
+                self.rows.append({"kind": "classification", "value": text()})
+        elif "description" in classes and "block" in self.kinds:
+            self.rows.append({"kind": "block", "value": text()})
         if self.component is not None:
             if "title" in classes or (tag in ("h3", "h4") and not self.component["title"]):
-                self.component["title"] = text
+                self.component["title"] = text()
             elif "name" in classes:
-                self.component["name"] = text
+                self.component["name"] = text()
             elif "feature" in classes and tag != "ul":
-                self.component["features"].append(text)
+                self.component["features"].append(text())
             if len(self.stack) == self.depth:
                 self.rows.append({"kind": "component", **self.component})
                 self.component = None
+        if not self.stack:
+            self.texts.clear()
+        return tag
 
 
-def blocks_of(html: str) -> list[dict]:
-    parser = Blocks()
+def blocks_of(html: str, kinds: Iterable[str] = KINDS) -> list[dict]:
+    parser = Blocks(frozenset(kinds))
     parser.feed(html)
-    parser.close()
-    while parser.stack:
-        tag, classes, texts = parser.stack.pop()
-        parser._close(tag, classes, "".join(texts))
-    return parser.rows
+    return parser.finished()
 
 
-def extract_blocks(pages: DataFrame) -> DataFrame:
-    """(page_id, ord, kind, title, name, features, key, value) of every page; null pages have none."""
+def extract_blocks(pages: DataFrame, kinds: Iterable[str] = KINDS) -> DataFrame:
+    """(page_id, ord, kind, title, name, features, key, value) of the asked kinds of every page; null pages have none.
 
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ["page_id", "ord", "kind", "title", "name", "features", "key", "value"]
-        for batch in batches:
-            rows = [{"page_id": p, "ord": i, **b} for p, h in zip(batch["page_id"], batch["html"]) if h for i, b in enumerate(blocks_of(h))]
-            yield pd.DataFrame(rows, columns=names).astype(object).where(lambda d: d.notna(), None) if rows else pd.DataFrame(columns=names)
+    A table of fewer partitions than the cluster has cores (one small file) is dealt out by page first; larger ones are parsed where they are.
+    """
+    asked = frozenset(kinds)
 
-    return pages.select(F.col("page_id").cast("long").alias("page_id"), "html").mapInPandas(parse, _SCHEMA)
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = zip(batch.column("page_id").to_pylist(), batch.column("html").to_pylist())
+            rows = [(p, i, b) for p, h in found if h for i, b in enumerate(blocks_of(h, asked))]
+            columns = [pa.array([p for p, _, _ in rows], pa.int64()), pa.array([i for _, i, _ in rows], pa.int32())]
+            for name in ("kind", "title", "name", "features", "key", "value"):
+                columns.append(pa.array([b.get(name) for _, _, b in rows], pa.list_(pa.string()) if name == "features" else pa.string()))
+            yield pa.RecordBatch.from_arrays(columns, ["page_id", "ord", "kind", "title", "name", "features", "key", "value"])
+
+    rows, cores = pages.select(F.col("page_id").cast("long").alias("page_id"), "html"), pages.sparkSession.sparkContext.defaultParallelism
+    if rows.rdd.getNumPartitions() < cores:
+        rows = rows.repartition(cores, "page_id")
+    return rows.mapInArrow(parse, _SCHEMA)
 
 
 def _pairs(blocks: DataFrame, kind: str) -> DataFrame:

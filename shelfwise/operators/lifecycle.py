@@ -82,11 +82,14 @@ def record_precedence(aligned: DataFrame, columns: list[str]) -> DataFrame:
     return aligned.select(*rest, *[pick(c) for c in columns])
 
 
-def update_master(current: DataFrame, archive: DataFrame, master: DataFrame, keys: list[str], as_of: str) -> DataFrame:
-    """The new master: all keys of the three sides with status, dates and the row data that goes first; text fields cleaned."""
+def update_master(current: DataFrame, archive: DataFrame, master: DataFrame, keys: list[str], as_of: str, prefer_master_dates: bool = False) -> DataFrame:
+    """The new master: all keys of the three sides with status, dates and the row data that goes first; text fields cleaned.
+
+    With prefer_master_dates the dates of a discontinued row come from the master where it has the row, not from the archive.
+    """
     skip = {*keys, *STATE, "ord", "snapshot_date"}
     columns = list(dict.fromkeys(c for df in (current, archive, master) for c in df.columns if c not in skip))
-    aligned = lifecycle_dates(lifecycle_status(lifecycle_join(current, archive, master, keys)), as_of)
+    aligned = lifecycle_dates(lifecycle_status(lifecycle_join(current, archive, master, keys)), as_of, prefer_master_dates)
     out = record_precedence(aligned, columns).select(*keys, *columns, "status", "first_seen_date", "last_seen_date", F.lit(as_of).alias("last_updated"))
     return clean_fields(out, skip=keys)
 
@@ -113,9 +116,9 @@ def status_reports(master: DataFrame, name: str = "name", price: str = "price")
     return {s: line.where(F.col("status") == s).select(name, "price_label", F.col(d).alias("date")) for s, d in dates.items()}
 
 
-def update_all_brands(current: DataFrame, archive: DataFrame, master: DataFrame, as_of: str) -> DataFrame:
+def update_all_brands(current: DataFrame, archive: DataFrame, master: DataFrame, as_of: str, prefer_master_dates: bool = False) -> DataFrame:
     """One job for all brands: the key is brand and name."""
-    return update_master(current, archive, master, ["brand", "name"], as_of)
+    return update_master(current, archive, master, ["brand", "name"], as_of, prefer_master_dates)
 
 
 def lifecycle_replay(snapshots: DataFrame, keys: list[str], date: str = "snapshot_date") -> DataFrame:

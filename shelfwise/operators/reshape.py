@@ -12,10 +12,16 @@ from shelfwise.functions import text as T
 from shelfwise.operators.summary import column_fill
 
 
+#: Distinct keys that may become columns.
+MAX_COLUMNS = 2000
+
+
 def specs_to_wide_dynamic(products: DataFrame, keys: list[str] | None = None, specs: str = "specs") -> DataFrame:
-    """spec_* columns for the given keys, or for all distinct keys (schema of the data: one small collect)."""
+    """spec_* columns for the given keys, or for all distinct keys: they become columns, so more than MAX_COLUMNS of them is an error."""
     if keys is None:
-        keys = sorted(r[0] for r in products.select(F.explode(F.map_keys(specs))).distinct().collect())
+        keys = sorted(r[0] for r in products.select(F.explode(F.map_keys(specs))).distinct().limit(MAX_COLUMNS + 1).collect())
+        if len(keys) > MAX_COLUMNS:
+            raise ValueError(f"more than {MAX_COLUMNS} distinct keys; give the keys that should become columns")
     wide = [F.try_element_at(specs, F.lit(k)).alias("spec_" + k.replace(" ", "_").replace("/", "_")) for k in keys]
     return products.select(*[c for c in products.columns if c != specs], *wide)
 
@@ -33,7 +39,8 @@ def images_to_wide(products: DataFrame, n: int, images: str = "images") -> DataF
 
 def explode_colors(df: DataFrame, colors: str = "colors") -> DataFrame:
     """One row for each colour; products without colours keep one row with ''."""
-    return df.select(*[c for c in df.columns if c != colors], F.explode_outer(colors).alias("_c")).withColumn("color", F.coalesce("_c", F.lit(""))).drop("_c")
+    filled = F.when(F.size(colors) > 0, F.transform(colors, lambda x: F.coalesce(x, F.lit("")))).otherwise(F.array(F.lit("")))
+    return df.select(*[c for c in df.columns if c not in (colors, "color")], F.explode(filled).alias("color"))
 
 
 def specs_to_long(df: DataFrame, ids: list[str], prefix: str = "spec_") -> DataFrame:
@@ -84,6 +91,14 @@ def sorted_custom_fields(df: DataFrame) -> list[str]:
     return sorted(c for c in df.columns if c.startswith("meta:"))
 
 
+def custom_field_counts(df: DataFrame) -> DataFrame:
+    """(place, field, filled): the meta:* fields in order of their names, and how many rows have a value in each. One pass over the rows."""
+    fields = sorted_custom_fields(df)
+    counts = df.agg(*[F.count_if(F.trim(F.col(f"`{f}`")) != "").alias(f"n{i}") for i, f in enumerate(fields)])
+    rows = F.array(*[F.struct(F.lit(i).cast("long").alias("place"), F.lit(f).alias("field"), F.col(f"n{i}").alias("filled")) for i, f in enumerate(fields)])
+    return counts.select(F.inline(rows))
+
+
 def unify_brands(dfs: list[DataFrame]) -> DataFrame:
     """Union by column name; missing columns are null."""
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), dfs)

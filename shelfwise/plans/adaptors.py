@@ -40,8 +40,15 @@ SPECS = """SELECT p_partkey AS k, lower(p_name) AS name, p_type AS category,
   concat(' ', replace(p_name, ' ', '   '), CASE WHEN p_partkey % 2 = 0 THEN chr(10) ELSE chr(9) END, p_type, ' ') AS note,
   CASE p_partkey % 6 WHEN 0 THEN 'Framefit:' WHEN 1 THEN 'Weight-limit' WHEN 2 THEN 'Zadelpen' WHEN 3 THEN 'Rear hub' WHEN 4 THEN 'Schakel / Remhendel' ELSE p_type END AS spec_key,
   CASE WHEN p_partkey % 3 = 0 THEN '' ELSE p_type END AS spec_a, CASE WHEN p_partkey % 2 = 0 THEN p_brand END AS spec_b, p_brand AS brand, p_size FROM {part}"""
+# Bicycles whose names, categories and addresses take every branch of the rules on names; every 16th name is missing.
+MODELS = """SELECT k, chainring, crank, cassette, rear, front,
+  concat(CASE k % 16 WHEN 0 THEN 'domane slr 9' WHEN 1 THEN 'Domane AL 2' WHEN 2 THEN 'checkpoint alr 5' WHEN 3 THEN 'checkpoint sl 6' WHEN 4 THEN 'Madone sl 7' WHEN 5 THEN 'émonda sl 8'
+    WHEN 6 THEN 'speed concept slr 7' WHEN 7 THEN 'boone 5' WHEN 8 THEN 'boone 6' WHEN 9 THEN 'fx sport 4' WHEN 10 THEN 'fx 2 disc' WHEN 11 THEN 'checkmate sl 9' WHEN 12 THEN 'verve al 4'
+    WHEN 13 THEN 'track 1 al 5' WHEN 14 THEN 'marlin' END, CASE WHEN p_size % 2 = 0 THEN ' axs' ELSE '' END) AS name,
+  CASE p_size % 7 WHEN 0 THEN 'Performance Bikes' WHEN 1 THEN 'gravel' WHEN 2 THEN 'Cyclocross' WHEN 3 THEN 'fitness' WHEN 4 THEN 'triathlon' WHEN 5 THEN 'city' END AS category,
+  concat('https://shop.example/', CASE WHEN k % 11 = 0 THEN 'Track' ELSE 'road' END, '/', cast(k AS STRING)) AS url FROM (""" + SPECS + """) x"""
 # Pages with listing JSON.
-LISTING = """SELECT p_partkey AS page_id, concat('<html><script>dataLayer = {{"impressions": [', CASE WHEN p_partkey % 5 = 0 THEN '"skip", ' ELSE '' END, '{{"name": "', p_name, '", "id": "', cast(p_partkey AS STRING), '", "variant": "reddark"}}, {{"name": "", "id": "0"}}', ']}};</script><img src="//cdn.example/image/upload/w_', cast(p_size AS STRING), '/a.jpg"><img data-src="/b.png"><img src="/b.png"><link rel="canonical" href="https://shop.example/', cast(p_partkey AS STRING), '"><div class="price">€ ', cast(p_size AS STRING), ',50</div> "name":"', p_name, '","color":["c', cast(p_partkey AS STRING), '"]</html>') AS html FROM {part} WHERE p_partkey % 3 <> 0
+LISTING = """SELECT p_partkey AS page_id, concat('<html><script>dataLayer = {{"impressions": [', CASE WHEN p_partkey % 5 = 0 THEN '"skip", ' ELSE '' END, '{{"name": "', p_name, '", "id": "', cast(p_partkey AS STRING), '", "variant": "reddark"}}, {{"name": "", "id": "0"}}', CASE WHEN p_partkey % 4 = 1 THEN concat(', {{"name": "', p_type, '", "id": "', cast(p_partkey AS STRING), '-2", "price": "', cast(p_size AS STRING), ',00", "category": "', p_type, '", "brand": "', p_brand, '"}}') ELSE '' END, ']}};</script><img src="//cdn.example/image/upload/w_', cast(p_size AS STRING), '/a.jpg"><img data-src="/b.png"><img src="/b.png">', CASE WHEN p_partkey % 2 = 0 THEN '<img src="//cdn.example/image/upload/w_5/c.jpg">' ELSE '' END, '<link rel="canonical" href="https://shop.example/', cast(p_partkey AS STRING), '"><div class="price">€ ', cast(p_size AS STRING), ',50</div> "name":"', p_name, '","color":["c', cast(p_partkey AS STRING), '"]</html>') AS html FROM {part} WHERE p_partkey % 3 <> 0
   UNION ALL SELECT p_partkey AS page_id, concat('<html><script>ecommerce: {{"items": [{{"item_name": "', p_name, '", "item_id": "', cast(p_partkey AS STRING), '", "item_variant": "green_greenlight"}}]}}</script></html>') AS html FROM {part} WHERE p_partkey % 3 = 0"""
 # Product pages with a table, a definition list, a component, swatches and text blocks.
 DETAIL_PAGES = """SELECT p_partkey AS page_id, concat('<html><h1>', p_name, '</h1><table><tr><td>* Frame:</td><td> Carbon <b>', cast(p_size AS STRING), '</b></td></tr><tr><td>Rem</td><td>Old</td></tr><tr><td>Rem</td><td>Disc ', p_type, '</td></tr><tr><td>same</td><td>same</td></tr></table>',

@@ -16,6 +16,7 @@ from shelfwise.operators import html_blocks as H
 from shelfwise.operators import lifecycle as L
 from shelfwise.operators import reshape as W
 from shelfwise.operators import summary as S
+from shelfwise.operators.reshape import filter_brands
 from shelfwise.plans import adaptors as A
 from shelfwise.sources import files as IO
 from shelfwise.sources.scratch import scratch
@@ -107,8 +108,8 @@ add_column("is_product_url", lambda: T.is_product_url(c("url"), "shop.example",
 add_column("absolutise_url", lambda: T.absolutise_url(c("image"), "https://h.example"), "CASE WHEN starts_with(image, '//') THEN 'https:' || image WHEN starts_with(image, '/') THEN 'https://h.example' || image ELSE image END")
 add_column("category_from_url", lambda: T.category_from_url(c("url")), case("lower(url)", R.CATEGORY_RULES, "'Road Bikes'"))
 add_column("fit_from_url", lambda: T.fit_from_url(c("url")), case("lower(url)", R.URL_FIT_RULES))
-add_column("fit_from_name_category", lambda: T.fit_from_name_category(c("url"), c("category")), f"coalesce({case('lower(url)', R.NAME_FIT_RULES)}, {case('lower(category)', R.CATEGORY_FIT_RULES)})")
-add_column("predict_bottom_bracket", lambda: T.predict_bottom_bracket(F.concat("name", F.lit(" sl 6 axs "), "rear")), case("lower(name || ' sl 6 axs ' || rear)", R.BOTTOM_BRACKET_RULES))
+add_column("fit_from_name_category", lambda: T.fit_from_name_category(c("name"), c("category")), f"coalesce({case('lower(name)', R.NAME_FIT_RULES)}, {case('lower(category)', R.CATEGORY_FIT_RULES)})", A.MODELS)
+add_column("predict_bottom_bracket", lambda: T.predict_bottom_bracket(c("name")), case("lower(name)", R.BOTTOM_BRACKET_RULES), A.MODELS)
 add_column("predict_chain", lambda: T.predict_chain(c("rear"), c("cassette")), _chain_sql())
 add_column("mark_prediction", lambda: T.mark_prediction(c("spec_a"), c("spec_b"), c("rear")), "coalesce(nullif(spec_a, ''), nullif(spec_b, ''), rear || '*')")
 add_column("extract_weight_limit", lambda: T.extract_weight_limit(c("weight_limit")), "coalesce(nullif(regexp_extract(weight_limit, '(\\d+(?:[.,]\\d+)?\\s*kg)', 1, 'i'), ''), nullif(regexp_extract(weight_limit, '(\\d+(?:[.,]\\d+)?\\s*lbs?)', 1, 'i'), ''), trim(weight_limit))")
@@ -127,9 +128,9 @@ add_column("is_double_chainring", lambda: T.is_double_chainring(c("crank")), _DO
 add_column("is_single_chainring", lambda: T.is_single_chainring(c("crank")), _SINGLE)
 add_column("is_wide_cassette", lambda: T.is_wide_cassette(c("cassette")), _WIDE)
 add_column("is_1x_derailleur", lambda: T.is_1x_derailleur(c("rear")), _REAR1)
-add_column("is_1x_name", lambda: T.is_1x_name(c("name")), _NAME1)
-add_column("score_1x", lambda: T.score_1x(c("crank"), c("cassette"), c("rear"), c("name")), _SCORE)
-add_column("classify_drivetrain", lambda: T.classify_drivetrain(c("chainring"), c("crank"), c("cassette"), c("rear"), c("name")), _REASON)
+add_column("is_1x_name", lambda: T.is_1x_name(c("name")), f"coalesce({_NAME1}, false)", A.MODELS)
+add_column("score_1x", lambda: T.score_1x(c("crank"), c("cassette"), c("rear"), F.coalesce("name", F.lit(""))), _SCORE, A.MODELS)
+add_column("classify_drivetrain", lambda: T.classify_drivetrain(c("chainring"), c("crank"), c("cassette"), c("rear"), F.coalesce("name", F.lit(""))), _REASON, A.MODELS)
 _ARGS = ("crank", "cassette", "rear", "name")
 add_column(
     "fill_front_derailleur",
@@ -157,7 +158,7 @@ _JOINED = lambda m: F.array_join(F.array_sort(F.transform(F.map_entries(m), lamb
 add_column("map_drop_empty", lambda: _JOINED(T.map_drop_empty(_MAP())), "concat_ws('|', CASE WHEN spec_a <> '' THEN 'Frame=' || spec_a END, CASE WHEN spec_b <> '' THEN 'Rem=' || spec_b END)")
 add_column("required_spec_defaults", lambda: F.concat_ws("|", *T.required_spec_defaults(_MAP(), ["Frame", "Rem", "Zadel"])), "concat(coalesce(spec_a, ''), '|', coalesce(spec_b, ''), '|')")
 add_column("merge_specs_fill_empty", lambda: _JOINED(T.merge_specs_fill_empty(_MAP(), F.create_map(F.lit("Frame"), c("rear"), F.lit("Rem"), c("crank"), F.lit("Other"), c("name")), ["Frame", "Rem"])), "'Frame=' || coalesce(nullif(spec_a, ''), rear) || '|Rem=' || coalesce(nullif(spec_b, ''), crank)")
-add_column("is_track_product", lambda: T.is_track_product(c("frame"), c("url")), "contains(lower(frame), 'track') OR contains(lower(url), 'track')")
+add_column("is_track_product", lambda: T.is_track_product(c("name"), c("url")), "coalesce(contains(lower(name), 'track'), false) OR contains(lower(url), 'track')", A.MODELS)
 add_column("component_speed", lambda: T.component_speed(c("shifter")), "coalesce(" + ", ".join(f"(SELECT CASE WHEN max(x::INT) > 5 THEN max(x::INT) END FROM unnest(regexp_extract_all(lower(t.shifter), '{p}', 1)) u(x))" for p in ("(\\d+)[-\\s]*speed", "(\\d+)[-\\s]*versnellingen")) + ")::VARCHAR || ' speed'")
 add_column("map_spec_key", lambda: E.map_key(c("spec_key")), case("replace(lower(replace(spec_key, ':', '')), '-', ' ')", R.SPEC_KEY_RULES))
 add_column("map_component_title", lambda: R.first_rule(F.lower("spec_key"), R.COMPONENT_TITLE_RULES), case("lower(spec_key)", R.COMPONENT_TITLE_RULES))
@@ -203,9 +204,11 @@ _SECOND = "(SELECT page_id, (i - 1)::INT AS ord, o FROM (SELECT page_id, unnest(
 _listed = lambda df: df.select("page_id", "ord", c("item")["name"].alias("name"), c("item")["id"].alias("id"), c("item")["variant"].alias("variant"))
 _L1 = f"SELECT page_id, ord, {_OBJ.format('name')} AS name, {_OBJ.format('id')} AS id, {_OBJ.format('variant')} AS variant FROM {_FIRST} WHERE coalesce({_OBJ.format('name')}, '') <> ''"
 _L2 = f"{_L1} UNION ALL SELECT page_id, ord, {_OBJ.format('item_name')}, {_OBJ.format('item_id')}, {_OBJ.format('item_variant')} FROM {_SECOND}"
+_more = lambda prefix: ", ".join(f"{_OBJ.format(prefix + n)} AS {n}" for n in ("name", "id", "variant", "price", "category", "brand"))
+_L3 = f"SELECT page_id, ord, {_more('')} FROM {_FIRST} WHERE coalesce({_OBJ.format('name')}, '') <> '' UNION ALL SELECT page_id, ord, {_more('item_')} FROM {_SECOND}"
 add_frame("extract_listing_items", A.LISTING, lambda df: _listed(E.extract_listing_items(df)), _L1)
 add_frame("extract_listing_items_fallback", A.LISTING, lambda df: _listed(E.extract_listing_items_fallback(df)), _L2)
-add_frame("default_listing_fields", A.LISTING, lambda df: E.default_listing_fields(E.extract_listing_items_fallback(df), "Acme", "https://shop.example/p/{id}/"), f"SELECT page_id, ord, name, '' AS price, '' AS category, 'Acme' AS brand, id AS sku, variant, 'https://shop.example/p/' || id || '/' AS url, {_COLOR} AS color FROM ({_L2})")
+add_frame("default_listing_fields", A.LISTING, lambda df: E.default_listing_fields(E.extract_listing_items_fallback(df), "Acme", "https://shop.example/p/{id}/"), f"SELECT page_id, ord, name, coalesce(price, '') AS price, coalesce(category, '') AS category, coalesce(brand, 'Acme') AS brand, id AS sku, coalesce(variant, '') AS variant, 'https://shop.example/p/' || id || '/' AS url, {_COLOR} AS color FROM ({_L3})")
 add_frame("extract_color_variants", A.LISTING, lambda df: E.extract_color_variants(df).select("name", F.array_join("colors", "|").alias("colors")), "SELECT regexp_extract(html, '\"name\":\"([^\"]+)\"', 1) AS name, arg_max(regexp_extract(html, '\"color\":\\[\"([^\"]*)\"', 1), page_id) AS colors FROM {t} WHERE contains(html, '\"color\":[') GROUP BY 1")
 add("page_profile", lambda s, d: E.page_profile(table(s, d, "pages"), {"links": "<a ", "paragraphs": "<p"}, ["footer", "nav"], "var"), "SELECT page_id, len(regexp_extract_all(html, '(?is)<script[^>]*>.*?</script>'))::BIGINT AS scripts, len([x FOR x IN regexp_extract_all(html, '(?is)<script[^>]*>.*?</script>') IF contains(x, 'var')])::BIGINT AS marked_scripts, len(regexp_extract_all(html, '<a '))::BIGINT AS n_links, len(regexp_extract_all(html, '<p'))::BIGINT AS n_paragraphs, contains(html, 'footer') AS has_footer, contains(html, 'nav') AS has_nav FROM pages")
 _LIST_A = "SELECT p_partkey AS k, concat('u', cast(p_partkey AS STRING)) AS url, p_name AS name, p_type AS category FROM {part}"
@@ -224,7 +227,7 @@ def _parsed(df: DataFrame) -> DataFrame:
 
 add_frame("parse_snapshot_name", A.MANIFEST, _parsed, "SELECT path, nullif(regexp_extract(file_name, '^(.+)_bikes_', 1), '') AS brand, strftime(try_strptime(nullif(regexp_extract(file_name, '_bikes_(\\d{8}_\\d{6})\\.', 1), ''), '%Y%m%d_%H%M%S'), '%Y-%m-%d %H:%M:%S') AS snapshot_ts FROM {t}")
 add_frame("retention_per_pattern", A.MANIFEST, lambda df: D.retention(df.withColumn("pattern", D.by_pattern(c("file_name"))), 3, ["pattern"]).select("path", "archive"), "SELECT path, row_number() OVER (PARTITION BY regexp_replace(file_name, '_\\d{8}_\\d{6}', '') ORDER BY mtime DESC, path DESC) > 3 AS archive FROM {t}")
-add_frame("retention_global", A.MANIFEST + " WHERE o_orderkey % 100 < 5", lambda df: D.retention(df, 5, []).select("path", "archive"), "SELECT path, row_number() OVER (ORDER BY mtime DESC, path DESC) > 5 AS archive FROM {t}")
+add_frame("retention_global", A.MANIFEST, lambda df: D.retention(df, 5, []).select("path", "archive"), "SELECT path, row_number() OVER (ORDER BY mtime DESC, path DESC) > 5 AS archive FROM {t}")
 add_frame("newest_files", A.MANIFEST, lambda df: S.newest_files(df).select("path", "file_name"), "SELECT path, file_name FROM {t}")
 _SCORED = "SELECT brand, regexp_extract(file_name, '(2025.*)\\.csv', 1) AS snapshot, sum(n_rows * n_cols)::BIGINT AS score FROM {t} GROUP BY 1, 2"
 add_frame("best_archive", A.MANIFEST, lambda df: D.best_archive(df.groupBy("brand", F.regexp_extract("file_name", r"(2025.*)\.csv", 1).alias("snapshot")).agg(F.sum(c("n_rows") * c("n_cols")).alias("score"))), f"SELECT brand, snapshot FROM (SELECT *, row_number() OVER (PARTITION BY brand ORDER BY score DESC, snapshot DESC) AS n FROM ({_SCORED})) WHERE n = 1 AND score > 0")
@@ -296,6 +299,7 @@ add("all_names", lambda s, d: L.all_names(*_sides(s, d), ["name"]), f"SELECT nam
 add("names_minus", lambda s, d: L.names_minus(_sides(s, d)[1], _sides(s, d)[0], ["name"]), f"SELECT name FROM {_A} EXCEPT SELECT name FROM {_C}")
 add("lifecycle_status", lambda s, d: L.lifecycle_status(_aligned(s, d)).select("brand", "name", "status"), f"SELECT brand, name, {_STATUS} AS status FROM {_ALIGNED}")
 add("lifecycle_dates", lambda s, d: L.lifecycle_dates(L.lifecycle_status(_aligned(s, d)), AS_OF).select("name", "first_seen_date", "last_seen_date"), f"SELECT name, {_FIRSTSEEN} AS first_seen_date, {_LASTSEEN} AS last_seen_date FROM {_ALIGNED}")
+add("lifecycle_dates_of_master", lambda s, d: L.lifecycle_dates(L.lifecycle_status(_aligned(s, d)), AS_OF, prefer_master_dates=True).select("name", "first_seen_date", "last_seen_date"), f"SELECT name, {_FIRSTSEEN} AS first_seen_date, {_LASTSEEN} AS last_seen_date FROM {_ALIGNED}".replace("WHEN in_archive THEN", "WHEN in_archive AND NOT in_master THEN"))
 add("record_precedence", lambda s, d: L.record_precedence(_aligned(s, d), ["price", "category"]).select("name", "price", "category"), f"SELECT name, {_PRICE} AS price, {_CATEGORY} AS category FROM {_ALIGNED}")
 add("update_master", _master, f"SELECT * FROM {_UPDATED}")
 add("update_all_brands", lambda s, d: L.update_all_brands(*_sides(s, d), AS_OF), f"SELECT * FROM {_UPDATED}")
@@ -308,15 +312,15 @@ add("brand_status_summary", lambda s, d: S.brand_status_summary(_master(s, d)),
 add_frame("lifecycle_replay", A.SNAPSHOTS, lambda df: L.lifecycle_replay(df, KEYS), "SELECT brand, name, first_seen, last_seen, CASE WHEN last_seen < newest THEN 'Discontinued' WHEN first_seen = newest THEN 'New' ELSE 'Available' END AS status FROM (SELECT brand, name, min(snapshot_date) AS first_seen, max(snapshot_date) AS last_seen FROM {t} GROUP BY 1, 2) JOIN (SELECT brand, max(snapshot_date) AS newest FROM {t} GROUP BY 1) USING (brand)")
 
 # --- reshape and export ---------------------------------------------------------------------------------------------------
-_SNAP = "SELECT k, CASE WHEN k % 13 = 0 THEN NULL ELSE name END AS name, brand, price, url, spec_a AS spec_frame, spec_b AS spec_rem, CASE WHEN k % 2 = 0 THEN image END AS hero_image_1_url, CASE WHEN k % 2 = 0 THEN 'p' END AS hero_image_1_path, cast(NULL AS STRING) AS hero_image_2_url, CASE k % 3 WHEN 0 THEN 'Available' WHEN 1 THEN 'New' ELSE 'Discontinued' END AS status, seen AS first_seen_date, seen AS last_seen_date, 'x' AS last_updated FROM (" + A.SPECS + ") x"
+_SNAP = "SELECT k, CASE WHEN k % 13 = 0 THEN NULL ELSE name END AS name, brand, price, url, spec_a AS spec_frame, spec_b AS spec_rem, CASE WHEN k % 2 = 0 THEN image END AS hero_image_1_url, CASE WHEN k % 2 = 0 THEN 'p' END AS hero_image_1_path, CASE WHEN k % 4 = 0 THEN concat('https://img.example/', cast(k AS STRING)) END AS hero_image_2_url, CASE k % 4 WHEN 1 THEN 'New' WHEN 2 THEN 'Discontinued' ELSE 'Available' END AS status, seen AS first_seen_date, seen AS last_seen_date, concat('2025-08-0', cast(k % 7 + 1 AS STRING)) AS last_updated FROM (" + A.SPECS + ") x"
 _specs = lambda df: df.select("k", _MAP().alias("specs"))
 add_frame("specs_to_wide_dynamic", A.SPECS, lambda df: W.specs_to_wide_dynamic(_specs(df)), "SELECT k, spec_a AS spec_Frame, spec_b AS spec_Rem FROM {t}")
 add_frame("specs_to_wide_fixed", A.SPECS, lambda df: W.specs_to_wide_fixed(_specs(df), ["Frame", "Rem"]), "SELECT k, coalesce(spec_a, '') AS spec_Frame, coalesce(spec_b, '') AS spec_Rem, '' AS spec_Material, '' AS spec_Weight FROM {t}")
-add_frame("images_to_wide", A.SPECS, lambda df: W.images_to_wide(df.select("k", F.slice(F.array(F.struct(c("image").alias("url"), c("brand").alias("local_path"), c("name").alias("filename")), F.struct(c("url"), c("front").alias("local_path"), c("rear").alias("filename"))), F.lit(1), (c("k") % 3).cast("int")).alias("images")), 2), "SELECT k, " + ", ".join(f"CASE WHEN k % 3 >= {i} THEN {v} END AS hero_image_{i}_{n}" for i, vs in ((1, ("image", "brand", "name")), (2, ("url", "front", "rear"))) for n, v in zip(("url", "path", "filename"), vs)) + " FROM {t}")
+add_frame("images_to_wide", A.SPECS, lambda df: W.images_to_wide(df.select("k", F.slice(F.array(F.struct(c("image").alias("url"), c("brand").alias("local_path"), c("name").alias("filename")), F.struct(c("url"), c("price").alias("local_path"), c("rear").alias("filename"))), F.lit(1), (c("k") % 3).cast("int")).alias("images")), 2), "SELECT k, " + ", ".join(f"CASE WHEN k % 3 >= {i} THEN {v} END AS hero_image_{i}_{n}" for i, vs in ((1, ("image", "brand", "name")), (2, ("url", "price", "rear"))) for n, v in zip(("url", "path", "filename"), vs)) + " FROM {t}")
 add_frame("explode_colors", A.SPECS, lambda df: W.explode_colors(df.select("k", F.when(c("k") % 2 == 0, F.array("brand", "rear")).alias("colors"))), "SELECT k, brand AS color FROM {t} WHERE k % 2 = 0 UNION ALL SELECT k, rear FROM {t} WHERE k % 2 = 0 UNION ALL SELECT k, '' FROM {t} WHERE k % 2 <> 0")
 _IMPORT = "name AS post_title, price AS regular_price, brand, url AS product_url, 'publish' AS post_status, 'product' AS post_type, spec_frame AS \"meta:frame\", spec_rem AS \"meta:rem\""
 add_frame("wide_to_meta", _SNAP, lambda df: W.wide_to_meta(df.drop("k"), {"meta:x": "y"}), f"SELECT {_IMPORT}, 'y' AS \"meta:x\" FROM {{t}}")
-add_frame("meta_images", _SNAP, lambda df: df.select("k", *W.meta_images(df, 10, only_filled=True)), 'SELECT k, hero_image_1_url AS images, hero_image_1_path AS "meta:image_1_local_path" FROM {t}')
+add_frame("meta_images", _SNAP, lambda df: df.select("k", *W.meta_images(df.withColumn("hero_image_3_url", F.lit(None).cast("string")), 10, only_filled=True)), 'SELECT k, hero_image_1_url AS images, hero_image_1_path AS "meta:image_1_local_path", hero_image_2_url AS "meta:additional_image_2" FROM {t}')
 add_frame("date_discontinued_second", _SNAP, lambda df: W.date_discontinued_second(df.select("k", "name", "last_seen_date")), "SELECT k, last_seen_date AS date_discontinued, name, last_seen_date FROM {t}")
 add_frame("specs_to_long", _SNAP, lambda df: W.specs_to_long(df, ["k"]), "SELECT k, 'frame' AS key, spec_frame AS value FROM {t} WHERE spec_frame IS NOT NULL UNION ALL SELECT k, 'rem', spec_rem FROM {t} WHERE spec_rem IS NOT NULL")
 _MORE = "SELECT k, name, brand, weight AS extra FROM (" + A.SPECS + ") x"
@@ -327,24 +331,35 @@ add_frame("available_only", _SNAP, lambda df: X.available_only(df).select("k", "
 add_frame("drop_untitled", _SNAP, lambda df: X.drop_untitled(df.select("k", c("name").alias("post_title"))), "SELECT k, name AS post_title FROM {t} WHERE name IS NOT NULL")
 _STATE = 'status AS "meta:availability_status", first_seen_date AS "meta:first_seen_date", last_seen_date AS "meta:last_seen_date", last_updated AS "meta:last_updated"'
 _IMG1 = 'hero_image_1_url AS images, hero_image_1_path AS "meta:image_1_local_path"'
-add_frame("export_single", _SNAP, lambda df: X.export_single(df.drop("k"), AS_OF, "shop"), f"SELECT {_IMPORT}, {_IMG1}, hero_image_2_url AS \"meta:additional_image_2\", '{AS_OF}' AS \"meta:import_date\", 'shop' AS \"meta:import_source\" FROM {{t}} WHERE name IS NOT NULL")
+_IMG2 = 'hero_image_2_url AS "meta:additional_image_2"'
+add_frame("export_single", _SNAP, lambda df: X.export_single(df.drop("k"), AS_OF, "shop"), f"SELECT {_IMPORT}, {_IMG1}, {_IMG2}, '{AS_OF}' AS \"meta:import_date\", 'shop' AS \"meta:import_source\" FROM {{t}} WHERE name IS NOT NULL")
 _BRANDS = ["Brand#11", "Brand#12", "Brand#13", "Brand#21", "Brand#22"]
-_UNIFIED = f"SELECT {_IMPORT}, {_STATE}, {_IMG1}, '{AS_OF}' AS \"meta:import_date\", '{', '.join(_BRANDS)}' AS \"meta:import_brands\" FROM {{t}} WHERE name IS NOT NULL AND status = 'Available' AND brand IN ({', '.join(repr(b) for b in _BRANDS)})"
+_UNIFIED = f"SELECT {_IMPORT}, {_STATE}, {_IMG1}, {_IMG2}, '{AS_OF}' AS \"meta:import_date\", '{', '.join(_BRANDS)}' AS \"meta:import_brands\" FROM {{t}} WHERE name IS NOT NULL AND status = 'Available' AND brand IN ({', '.join(repr(b) for b in _BRANDS)})"
 add_frame("export_unified", _SNAP, lambda df: X.export_unified(df.drop("k"), _BRANDS, AS_OF), _UNIFIED)
-add_frame("export_per_brand_and_all", _SNAP, lambda df: X.export_unified(df.drop("k"), _BRANDS, AS_OF).groupBy("brand").agg(F.count("*").alias("n")), f"SELECT brand, count(*) AS n FROM ({_UNIFIED}) GROUP BY brand")
+
+
+def _exported(spark: SparkSession, d: str) -> DataFrame:
+    """Written by brand, then read back brand by brand and as a whole."""
+    base, master = scratch(spark, "export"), A.frame(spark, d, _SNAP).drop("k")
+    X.export_per_brand_and_all(filter_brands(master, _BRANDS), base, AS_OF)
+    found = spark.read.parquet(base)
+    return found.select(c("brand").cast("string").alias("brand"), *[f"`{x}`" for x in found.columns if x != "brand"])
+
+
+add("export_per_brand_and_all", _exported, _UNIFIED.replace("{t}", A.duck(_SNAP)))
 
 # --- HTML blocks ------------------------------------------------------------------------------------------------------------
 _TABLE = "SELECT page_id, 'Frame' AS key, 'Carbon' || p_size AS value FROM p UNION ALL SELECT page_id, 'Rem', {rem} FROM p"
 _P = "WITH p AS (SELECT p_partkey AS page_id, * FROM part) "
-_blocks = lambda df: H.extract_blocks(df)
-add_frame("extract_spec_table", A.DETAIL_PAGES, lambda df: H.extract_spec_table(_blocks(df)), _P + _TABLE.format(rem="'Disc ' || p_type"))
-add_frame("extract_spec_dl", A.DETAIL_PAGES, lambda df: H.extract_spec_dl(_blocks(df)), _P + _TABLE.format(rem="CASE WHEN page_id % 2 = 0 THEN 'Hydraulic' ELSE 'Disc ' || p_type END") + " UNION ALL SELECT page_id, 'Weight', p_size || ' kg' FROM p WHERE page_id % 2 = 0")
-add_frame("extract_spec_rows_mapped", A.DETAIL_PAGES, lambda df: H.extract_spec_rows_mapped(_blocks(df)), _P + _TABLE.format(rem="CASE WHEN page_id % 2 = 0 THEN 'Hydraulic' ELSE 'Disc ' || p_type END").replace("AS key", "AS field") + " UNION ALL SELECT page_id, 'Weight', p_size || ' kg' FROM p WHERE page_id % 2 = 0")
-add_frame("extract_components", A.DETAIL_PAGES, lambda df: H.extract_components(_blocks(df)).select("page_id", "title", "name", F.array_join("features", "|").alias("features")), _P + "SELECT page_id, 'Wiel' AS title, p_brand AS name, CASE WHEN page_id % 3 = 0 THEN '12x100' ELSE '12x142' END AS features FROM p")
-add_frame("component_special_rules", A.DETAIL_PAGES, lambda df: E.component_special_rules(H.extract_components(_blocks(df))), _P + "SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'Naaf_voor' ELSE 'Naaf_achter' END AS field, p_brand AS value FROM p UNION ALL SELECT page_id, 'Velg', p_brand FROM p")
-add_frame("extract_description", A.DETAIL_PAGES, lambda df: H.extract_description(_blocks(df)), _P + "SELECT page_id, 'A long enough description of this very good bicycle ' || p_name || '.' AS description FROM p")
-add_frame("extract_color_picker", A.DETAIL_PAGES, lambda df: H.extract_color_picker(_blocks(df)).select("page_id", F.array_join(F.transform("colors", lambda x: F.concat_ws(":", x["id"], x["name"], x["url"])), "|").alias("colors")), _P + "SELECT page_id, page_id || ':Red:/r' AS colors FROM p")
-add_frame("extract_classification_limit", A.DETAIL_PAGES, lambda df: H.extract_classification_limit(_blocks(df)), _P + "SELECT page_id, (100 + p_size) || ' kg' AS weight_limit FROM p")
+_blocks = lambda df, *kinds: H.extract_blocks(df, kinds)
+add_frame("extract_spec_table", A.DETAIL_PAGES, lambda df: H.extract_spec_table(_blocks(df, "table")), _P + _TABLE.format(rem="'Disc ' || p_type"))
+add_frame("extract_spec_dl", A.DETAIL_PAGES, lambda df: H.extract_spec_dl(_blocks(df, "table", "dl")), _P + _TABLE.format(rem="CASE WHEN page_id % 2 = 0 THEN 'Hydraulic' ELSE 'Disc ' || p_type END") + " UNION ALL SELECT page_id, 'Weight', p_size || ' kg' FROM p WHERE page_id % 2 = 0")
+add_frame("extract_spec_rows_mapped", A.DETAIL_PAGES, lambda df: H.extract_spec_rows_mapped(_blocks(df, "table", "dl")), _P + _TABLE.format(rem="CASE WHEN page_id % 2 = 0 THEN 'Hydraulic' ELSE 'Disc ' || p_type END").replace("AS key", "AS field") + " UNION ALL SELECT page_id, 'Weight', p_size || ' kg' FROM p WHERE page_id % 2 = 0")
+add_frame("extract_components", A.DETAIL_PAGES, lambda df: H.extract_components(_blocks(df, "component")).select("page_id", "title", "name", F.array_join("features", "|").alias("features")), _P + "SELECT page_id, 'Wiel' AS title, p_brand AS name, CASE WHEN page_id % 3 = 0 THEN '12x100' ELSE '12x142' END AS features FROM p")
+add_frame("component_special_rules", A.DETAIL_PAGES, lambda df: E.component_special_rules(H.extract_components(_blocks(df, "component"))), _P + "SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'Naaf_voor' ELSE 'Naaf_achter' END AS field, p_brand AS value FROM p UNION ALL SELECT page_id, 'Velg', p_brand FROM p")
+add_frame("extract_description", A.DETAIL_PAGES, lambda df: H.extract_description(_blocks(df, "block")), _P + "SELECT page_id, 'A long enough description of this very good bicycle ' || p_name || '.' AS description FROM p")
+add_frame("extract_color_picker", A.DETAIL_PAGES, lambda df: H.extract_color_picker(_blocks(df, "color")).select("page_id", F.array_join(F.transform("colors", lambda x: F.concat_ws(":", x["id"], x["name"], x["url"])), "|").alias("colors")), _P + "SELECT page_id, page_id || ':Red:/r' AS colors FROM p")
+add_frame("extract_classification_limit", A.DETAIL_PAGES, lambda df: H.extract_classification_limit(_blocks(df, "classification")), _P + "SELECT page_id, (100 + p_size) || ' kg' AS weight_limit FROM p")
 
 
 def _enriched(df: DataFrame) -> DataFrame:
@@ -432,7 +447,14 @@ add(
     _streamed,
     f"SELECT n.brand, n.name, coalesce(a.price, c.price) AS price, coalesce(a.category, c.category) AS category, CASE WHEN a.name IS NULL THEN 'Discontinued' WHEN c.name IS NULL THEN 'New' ELSE 'Available' END AS status, CASE WHEN c.name IS NULL THEN '02-08-2025' ELSE '01-08-2025' END AS first_seen_date, CASE WHEN a.name IS NULL THEN '01-08-2025' ELSE '02-08-2025' END AS last_seen_date, '2025-08-02' AS last_updated FROM (SELECT brand, name FROM {_C} UNION SELECT brand, name FROM {_A}) n LEFT JOIN {_C} c ON n.name = c.name AND n.brand = c.brand LEFT JOIN {_A} a ON n.name = a.name AND n.brand = a.brand",
 )
-add("sorted_custom_fields", lambda s, d: s.createDataFrame([(i, n) for i, n in enumerate(W.sorted_custom_fields(X.export_single(A.frame(s, d, _SNAP).drop("k"), AS_OF, "shop")))], "place long, field string"), "SELECT row_number() OVER (ORDER BY f) - 1 AS place, f AS field FROM (SELECT unnest(['meta:additional_image_2', 'meta:frame', 'meta:image_1_local_path', 'meta:import_date', 'meta:import_source', 'meta:rem']) AS f)")
+_FIELDS = {"meta:additional_image_2": "hero_image_2_url", "meta:frame": "spec_frame", "meta:image_1_local_path": "hero_image_1_path", "meta:import_date": f"'{AS_OF}'", "meta:import_source": "'shop'", "meta:rem": "spec_rem"}
+add(
+    "sorted_custom_fields",
+    lambda s, d: W.custom_field_counts(X.export_single(A.frame(s, d, _SNAP).drop("k"), AS_OF, "shop")),
+    "SELECT field, place, filled FROM ("
+    + " UNION ALL ".join(f"SELECT '{f}' AS field, {i}::BIGINT AS place, count(*) FILTER (trim({v}) <> '') AS filled FROM {A.duck(_SNAP)} WHERE name IS NOT NULL" for i, (f, v) in enumerate(_FIELDS.items()))
+    + ")",
+)
 
 
 def queries() -> dict[str, Query]:

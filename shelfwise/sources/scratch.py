@@ -9,6 +9,9 @@ from pyspark.sql import SparkSession
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder name below spark.checkpoint.dir; below a temporary folder only where that is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
+    """A new folder name below spark.checkpoint.dir; below a temporary folder only where that is unset and the master is local."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    root = root or tempfile.mkdtemp(prefix="spark-")
     return f"{root}/{name}-{uuid.uuid4().hex}"
