@@ -76,7 +76,8 @@ def _joined(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
 class Pieces:
     """Encoder and decoder over one model file."""
 
-    def __init__(self, path: str = MODEL, dropout: float = DROPOUT, seed: int = SEED):
+    def __init__(self, path: str = MODEL, dropout: float = DROPOUT, seed: int = SEED, merges: int | None = None):
+        """`merges` keeps the first so many pieces of two characters or more: an earlier state of the vocabulary."""
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -88,7 +89,7 @@ class Pieces:
         plain = {i: self.piece[i].replace(SPACE, " ") for i in normal}
         self.ids = {p: i for i, p in plain.items()}
         place = {s: r for r, s in enumerate(sorted({-sp.get_score(i) for i, p in plain.items() if len(p) > 1}))}
-        self.rank = {p: place[-sp.get_score(i)] for i, p in plain.items() if len(p) > 1}
+        self.rank = {p: place[-sp.get_score(i)] for i, p in plain.items() if len(p) > 1 and (merges is None or place[-sp.get_score(i)] < merges)}
         joining = {c for p in self.rank for c in p if c != " "}
         letters = "".join(re.escape(c) for c in sorted(joining))
         self.units = re.compile(f" *[{letters}]+| +|[^ {letters}]")
@@ -160,6 +161,11 @@ class Pieces:
             together()
         return np.concatenate(found), counts
 
+    def word_sizes(self, words: list[str]) -> np.ndarray:
+        """How many pieces each word (a match of `units`) has; for an encoder without dropout, where that depends on the word alone."""
+        none = np.zeros(len(words), np.int64)
+        return self._together(tuple([w] for w in words), none.astype(np.uint64), none)[1]
+
     @staticmethod
     def _portions(text: str) -> Iterator[str]:
         """A text in portions of about TOGETHER characters, cut in front of white space, where no word is cut."""
@@ -300,9 +306,9 @@ class Pieces:
 
 
 @lru_cache(maxsize=4)
-def shared(path: str, dropout: float, seed: int) -> Pieces:
+def shared(path: str, dropout: float, seed: int, merges: int | None = None) -> Pieces:
     """One encoder in each Python worker."""
-    return Pieces(path, dropout, seed)
+    return Pieces(path, dropout, seed, merges)
 
 
 def _slices(sizes: list[int]) -> Iterator[tuple[int, int]]:

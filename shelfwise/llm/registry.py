@@ -27,7 +27,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    found = {"op3_mixing_sources": mixing.SQL, "op5_embedding_near_dedup": embeddings.SQL, "op9_token_counts": rollups.SQL}
+    found = {"op3_mixing_sources": mixing.SQL, "op5_embedding_near_dedup": embeddings.SQL}
     if corpus_pipeline.ORACLE_SQL:
         found["pipeline"] = corpus_pipeline.ORACLE_SQL
     return found

@@ -2,9 +2,10 @@
 
 A batch holds signed changes of documents: op 'insert' (tokens), 'delete' (old_tokens) and 'revise' (old_tokens -> tokens, perhaps of another tokenizer
 version). Changes are reduced to additive deltas by source, language and tokenizer version before they are stored; totals are
-sums of the deltas of all committed batches. A batch is one folder, written under its id and then marked by a rename of a small table;
-committing an id again changes nothing, and a batch whose writer died is written anew.
+sums of the deltas of all committed batches. A batch is one folder, written aside and then renamed to its id; the rename fails if the id is there,
+so of two writers of one id one succeeds, committing an id again changes nothing, and a batch whose writer died is written anew.
 
+Counts come from a merge-type piece model: version pieces-1 has its first merges only, pieces-2 all of them. Texts are read and counted once.
 
 Cases: null source, language and version are groups of their own; null counts are 0; repeated rows are separate changes; an empty batch
 commits and adds nothing; totals of groups whose documents are all gone are left out; other columns are ignored.
@@ -13,20 +14,58 @@ commits and adds nothing; totals of groups whose documents are all gone are left
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfwise.llm.common import WORD, ensure_checkpoint_dir, table
+from shelfwise.llm import pieces
+from shelfwise.llm.common import cut, ensure_checkpoint_dir, table
 
 KEYS = ["source", "lang", "tokenizer_version"]
-#: Tokenizer versions of the query: runs without white space; runs of letters or digits, and other signs one by one.
-COUNTERS = {"words-1": WORD, "signs-2": r"[\p{L}\p{N}]+|[^\p{L}\p{N}\x20\x09-\x0D]"}
+#: Tokenizer versions of the query, and the merges that they know (None: all). Words whose counts a task remembers.
+VERSIONS = {"pieces-1": 8000, "pieces-2": None}
+REMEMBERED = 300_000
 _SCHEMA = "source string, lang string, tokenizer_version string, docs long, tokens long"
 
 
-def token_count(text: Column, version: str) -> Column:
-    return F.coalesce(F.regexp_count(text, F.lit(COUNTERS[version])), F.lit(0)).cast("long")
+class Sizes(dict):
+    """Word -> its number of pieces under each version, for a bounded number of words."""
+
+    def __init__(self, path: str, merges: tuple[int | None, ...]):
+        super().__init__()
+        self.coders = [pieces.shared(path, 0.0, 0, m) for m in merges]
+
+    def learn(self, words: set[str]) -> None:
+        if len(self) > REMEMBERED:
+            self.clear()
+        new = list(words.difference(self))
+        self.update(zip(new, zip(*(c.word_sizes(new).tolist() for c in self.coders))))
+
+
+def token_counts(text: Column, versions: dict[str, int | None] = VERSIONS, path: str = pieces.MODEL) -> Column:
+    """struct of long: the number of pieces of a text under each version; a null text has none."""
+    names, merges = list(versions), tuple(versions.values())
+
+    def batch(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        sizes = Sizes(path, merges)
+        units = sizes.coders[-1].units
+        for part in parts:
+            out = np.zeros((len(part), len(merges)), np.int64)
+            for i, text in enumerate(part):
+                # One text at a time: what is held grows with the longest text, not with the batch.
+                words = units.findall(" " + text) if text else []
+                if not sizes.keys() >= (own := set(words)):
+                    sizes.learn(own)
+                for j, n in enumerate(zip(*map(sizes.__getitem__, words)) if words else ()):
+                    out[i, j] = sum(n)
+            yield pd.DataFrame(out, columns=names)
+
+    batch.__annotations__ = {"parts": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
+    return F.pandas_udf(batch, ", ".join(f"`{n}` long" for n in names))(text)
 
 
 def deltas(changes: DataFrame) -> DataFrame:
@@ -55,18 +94,26 @@ class RollupTable:
         names = [s.getPath().getName() for s in self._fs.listStatus(root)]
         return sorted(n.removeprefix("batch=") for n in names if n.startswith("batch="))
 
+    def committed(self, batch_id: str) -> bool:
+        return self._fs.exists(self._path(f"{self.path}/batch={batch_id}"))
+
     def commit(self, batch_id: str, changes: DataFrame) -> bool:
         """Whether the batch was added: False if its id is committed already."""
-        target = self._path(f"{self.path}/batch={batch_id}")
-        if self._fs.exists(target):
+        if self.committed(batch_id):
+            return False
+        staged, target = (self._path(f"{self.path}/{name}") for name in (f"_staged-{uuid.uuid4().hex}", f"batch={batch_id}"))
+        deltas(changes).write.parquet(staged.toString())
+        hadoop = self.spark._jvm.org.apache.hadoop.fs
+        no_options = self.spark.sparkContext._gateway.new_array(hadoop.Options.Rename, 0)
+        try:
+            # Unlike FileSystem.rename, which moves into a folder that is there, this fails.
+            hadoop.FileContext.getFileContext(target.toUri(), self.spark._jsc.hadoopConfiguration()).rename(staged, target, no_options)
+        except Py4JJavaError:
+            if not self.committed(batch_id):
+                raise
+            self._fs.delete(staged, True)
             return False
-        staged = f"{self.path}/_staged-{uuid.uuid4().hex}"
-        deltas(changes).write.parquet(staged)
-        # The rename is atomic; of two writers of one id the second finds the folder and drops its own.
-        if not self._fs.exists(target) and self._fs.rename(self._path(staged), target):
-            return True
-        self._fs.delete(self._path(staged), True)
-        return False
+        return True
 
     def totals(self) -> DataFrame:
         """(source, lang, tokenizer_version, docs, tokens)."""
@@ -77,35 +124,25 @@ class RollupTable:
         return rows.groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).where("docs <> 0 or tokens <> 0")
 
 
-def copies(docs: DataFrame, *kept: str) -> DataFrame:
-    """The columns `kept` of documents and whether the same text stands under a lesser id; texts are not shuffled, only their digests."""
-    keyed = docs.select("doc_id", *kept, F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("_digest"))
-    first = keyed.groupBy("_digest").agg(F.min("doc_id").alias("_first_id"))
-    return keyed.join(first, "_digest").select("doc_id", *kept, (F.col("doc_id") > F.col("_first_id")).alias("is_copy"))
+def copies(docs: DataFrame, id_col: str = "doc_id", digest: str = "digest") -> DataFrame:
+    """The rows of `docs` whose text stands under a lesser id too; works on digests of texts."""
+    first = docs.groupBy(digest).agg(F.min(id_col).alias("__first_id"), F.count("*").alias("__n")).where("__n > 1")
+    # Written, so that a digest that many rows share is split by the join at run time.
+    return docs.join(cut(first.select(digest, "__first_id")), digest).where(F.col(id_col) > F.col("__first_id")).drop("__first_id")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Inserts all documents under one version, revises all to the next, deletes exact copies, and replays a batch."""
+    old, new = VERSIONS
     docs = table(spark, sf_dir, "documents")
-    old, new = COUNTERS
-    counted = docs.select("doc_id", "source", "lang", "text", token_count(F.col("text"), old).alias("n_old"), token_count(F.col("text"), new).alias("n_new"))
+    digest = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
+    counted = cut(docs.select("doc_id", "source", "lang", digest.alias("digest"), token_counts(F.col("text")).alias("n")).select("doc_id", "source", "lang", "digest", F.col("n")[old].alias("n_old"), F.col("n")[new].alias("n_new")))
     none = F.lit(None).cast("string")
     insert = counted.select(F.lit("insert").alias("op"), "source", "lang", none.alias("old_version"), F.lit(0).alias("old_tokens"), F.lit(old).alias("tokenizer_version"), F.col("n_old").alias("tokens"))
     revise = counted.select(F.lit("revise").alias("op"), "source", "lang", F.lit(old).alias("old_version"), F.col("n_old").alias("old_tokens"), F.lit(new).alias("tokenizer_version"), F.col("n_new").alias("tokens"))
-    gone = copies(counted, "source", "lang", "n_new").where("is_copy")
+    gone = copies(counted)
     delete = gone.select(F.lit("delete").alias("op"), "source", "lang", F.lit(new).alias("old_version"), F.col("n_new").alias("old_tokens"), none.alias("tokenizer_version"), F.lit(0).alias("tokens"))
     rollup = RollupTable(spark, f"{ensure_checkpoint_dir(spark)}/rollup-{uuid.uuid4().hex}")
     for name, changes in (("0001", insert), ("0002", revise), ("0003", delete), ("0002", revise)):
         rollup.commit(name, changes)
     return rollup.totals()
-
-
-SQL = r"""
-WITH d AS (
-  SELECT doc_id, source, lang, coalesce(len(regexp_extract_all(text, '[\p{L}\p{N}]+|[^\p{L}\p{N}\x20\x09-\x0D]')), 0)::BIGINT AS n,
-         min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS first_id
-  FROM documents
-)
-SELECT source, lang, 'signs-2' AS tokenizer_version, count(*)::BIGINT AS docs, sum(n)::BIGINT AS tokens
-FROM d WHERE doc_id <= first_id GROUP BY source, lang
-"""
