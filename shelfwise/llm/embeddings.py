@@ -218,7 +218,8 @@ def near_duplicates(df: DataFrame, cosine: float = 0.93, id_col: str = "vec_id",
     keys = ["label", "dim", "cell"]
     # The least vector of each of LEADERS hash classes of a cell: minima combine before the shuffle, so a hot cell sends few rows.
     leaders = celled.groupBy(*keys, F.pmod(F.xxhash64("vec"), F.lit(LEADERS)).alias("place")).agg(F.min_by(F.struct("vec", "unit"), "vec").alias("first"))
-    leaders = leaders.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("place", "first.vec", "first.unit"))).alias("leaders"))
+    # Written, so that a hot cell of the join below is split at run time.
+    leaders = cut(leaders.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("place", "first.vec", "first.unit"))).alias("leaders")))
     half = math.cos(math.acos(cosine) / 2 - 1e-6)
     led = celled.join(leaders, keys).withColumn("led", F.get(F.filter("leaders", lambda x: dot(x["unit"], F.col("unit")) >= half), F.lit(0)))
     led = led.withColumn("ball", F.coalesce("led.vec", "vec")).withColumn("center", F.coalesce("led.unit", "unit"))
