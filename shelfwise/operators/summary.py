@@ -17,10 +17,19 @@ def multi_color_models(df: DataFrame) -> DataFrame:
 
 
 def variants_by_model(df: DataFrame) -> DataFrame:
-    """name, variants: array of (ord, color, variant, price, url) in order."""
+    """name, variants: array of (ord, color, variant, price, url) in order.
+
+    All variants of a model stand in one value, so a model may have as many as a row can hold; `variants_in_order` has no such bound.
+    """
     return df.groupBy("name").agg(F.array_sort(F.collect_list(F.struct("ord", "color", "variant", "price", "url"))).alias("variants"))
 
 
+def variants_in_order(df: DataFrame) -> DataFrame:
+    """The long form: one row for each variant, in ranges of (name, ord), so that rows of one frequent name are spread over tasks."""
+    rows = df.select("name", "ord", "color", "variant", "price", "url")
+    return rows.repartitionByRange("name", "ord").sortWithinPartitions("name", "ord")
+
+
 def price_range(df: DataFrame, price: str = "price") -> DataFrame:
     p = T.price_to_int(F.col(price))
     return df.agg(F.min(p).alias("min_price"), F.max(p).alias("max_price"))
@@ -75,6 +84,7 @@ def column_fill(df: DataFrame) -> DataFrame:
 
 
 def skus_by_name(df: DataFrame) -> DataFrame:
+    """name, skus: the distinct numbers of a name in one sorted array, as many as a row can hold."""
     return df.groupBy("name").agg(F.array_sort(F.collect_set("sku")).alias("skus"))
 
 

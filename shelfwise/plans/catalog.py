@@ -251,6 +251,7 @@ add_frame("image_position", _IMAGES, D.image_position, "SELECT product, ord, url
 add_frame("model_and_variant_counts", A.DUPLICATES, S.model_and_variant_counts, "SELECT count(DISTINCT name) AS models, count(*) AS variants FROM {t}")
 add_frame("multi_color_models", A.DUPLICATES, S.multi_color_models, "SELECT name, count(*) AS variants FROM {t} GROUP BY name HAVING count(*) > 1")
 add_frame("variants_by_model", A.DUPLICATES, lambda df: S.variants_by_model(df).select("name", F.size("variants").cast("long").alias("n"), F.array_join(F.transform("variants", lambda x: x["variant"]), "|").alias("variants")), "SELECT name, count(*) AS n, string_agg(variant, '|' ORDER BY ord) AS variants FROM {t} GROUP BY name")
+add_frame("variants_in_order", A.DUPLICATES, S.variants_in_order, "SELECT name, ord, color, variant, price, url FROM {t}")
 add_frame("price_range", A.DUPLICATES, S.price_range, f"SELECT min({_INT}) AS min_price, max({_INT}) AS max_price FROM {{t}}")
 add_frame("category_counts", A.DUPLICATES, S.category_counts, "SELECT coalesce(category, 'Unknown') AS category, count(*) AS n FROM {t} GROUP BY 1")
 add_frame("color_counts", A.DUPLICATES, S.color_counts, "SELECT color, count(*) AS n, count(*) OVER () AS colors FROM {t} WHERE color <> '' GROUP BY color")
