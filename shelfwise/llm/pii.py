@@ -76,6 +76,7 @@ NONE = """
     sold ## ## and ## of them | item #####-#### of lot ### | $#,###,### in 20## | the ratio #.#### is near ##.# | timestamp ########## was read
     v #.#.##-beta of ##.##.20## | invoice 20##-###### is due | serial ###-###-###-### is void | a ##-year-old with ### ## coins
     call # of ## failed | phone model #### costs ### | card # of ## is red | mail ### letters | ring # times | server ## of ## answers
+    is ################ there | of the ################ and | ################ then | to ################ by ## | row ################ ################ end
     checksum ######################## is ok | ######################## | the digits ######################################## of pi
     tel aviv had ###,### people in 19## | fax machines of 19## | the cell has ## walls | visa rules of 20## | text ## lines | dial # twice
 """
