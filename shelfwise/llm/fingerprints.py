@@ -18,6 +18,7 @@ table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import itertools
 from collections import Counter
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -38,122 +39,118 @@ def digests(text: Column) -> Column:
     return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(PARAGRAPH), F.lit(0)), lambda p: F.xxhash64(p)))
 
 
-def _place(key: Column, seed: int) -> Column:
-    return F.xxhash64(key, F.lit(seed))
+# The functions from here to `retry` write SQL expressions: arguments and results are texts. A variable gets a name of its own, so that nested
+# functions never hide one another's.
+_numbers = itertools.count()
 
 
-def let(value: Column, body) -> Column:
-    """body(value), with value computed once."""
-    return F.element_at(F.transform(F.array(value), body), 1)
+def over(function: str, *args: str, of: int = 1):
+    """function(args, (x, y) -> body(x, y)) with `of` variables, for a body given as the next call."""
 
+    def with_body(*bodies) -> str:
+        lambdas = []
+        for body in bodies:
+            names = [f"x{next(_numbers)}" for _ in range(of if body is bodies[0] else 1)]
+            variables = names[0] if len(names) == 1 else f"({', '.join(names)})"
+            lambdas.append(f"{variables} -> {body(*names)}")
+        return f"{function}({', '.join([*args, *lambdas])})"
 
-def placed_digests(keys: Column, seed: int) -> Column:
-    """Each digest with the hash that holds its places and its check."""
-    return F.transform(keys, lambda d: F.struct(d.alias("k"), _place(d, seed).alias("g")))
+    return with_body
 
 
-def sketch(keys: Column, seed: int, width: int) -> Column:
-    """Cells array<struct<n, k, h>> of a digest array."""
-    return let(placed_digests(keys, seed), lambda placed: sketch_of(placed, width))
+def let(value: str, body) -> str:
+    """body(value), with value computed once."""
+    return f"element_at({over('transform', f'array({value})')(body)}, 1)"
 
 
-def sketch_of(placed: Column, width: int) -> Column:
-    """Cells of digests with their places; `placed` is read once for each cell."""
+def placed_digests(keys: str, seed: int) -> str:
+    """Each digest with the hash that holds its places and its check."""
+    return over("transform", keys)(lambda d: f"named_struct('k', {d}, 'g', xxhash64({d}, {seed}))")
+
+
+def sketch(keys: str, seed: int, width: int) -> str:
+    """Cells array<struct<n, k, h>> of a digest array: each takes the digests whose hash points to it."""
     bits = width.bit_length() - 1
+    add = lambda a, x: f"named_struct('n', {a}.n + 1, 'k', {a}.k ^ {x}.k, 'h', {a}.h ^ shiftrightunsigned({x}.g, 32))"
 
-    def row(r: int) -> Column:
-        empty = F.struct(F.lit(0).alias("n"), F.lit(0).cast("long").alias("k"), F.lit(0).cast("long").alias("h"))
-        return F.transform(
-            F.sequence(F.lit(0), F.lit(width - 1)),
-            lambda c: F.aggregate(
-                placed,
-                empty,
-                lambda a, x: F.when(
-                    F.shiftright(x["g"], bits * r).bitwiseAND(F.lit(width - 1)) == c,
-                    F.struct((a["n"] + 1).alias("n"), a["k"].bitwiseXOR(x["k"]).alias("k"), a["h"].bitwiseXOR(F.shiftrightunsigned(x["g"], 32)).alias("h")),
-                ).otherwise(a),
-            ),
-        )
+    def row(placed: str, r: int) -> str:
+        own = lambda c: over("filter", placed)(lambda x: f"(shiftright({x}.g, {bits * r}) & {width - 1}) = {c}")
+        return over("transform", f"sequence(0, {width - 1})")(lambda c: over("aggregate", own(c), "named_struct('n', 0, 'k', 0L, 'h', 0L)", of=2)(add))
 
-    return F.concat(row(0), row(1), row(2))
+    return let(placed_digests(keys, seed), lambda placed: f"concat({', '.join(row(placed, r) for r in range(3))})")
 
 
-def subtract(a: Column, b: Column) -> Column:
-    return F.zip_with(a, b, lambda x, y: F.struct((x["n"] - y["n"]).alias("n"), x["k"].bitwiseXOR(y["k"]).alias("k"), x["h"].bitwiseXOR(y["h"]).alias("h")))
+def subtract(a: str, b: str) -> str:
+    return over("zip_with", a, b, of=2)(lambda x, y: f"named_struct('n', {x}.n - {y}.n, 'k', {x}.k ^ {y}.k, 'h', {x}.h ^ {y}.h)")
 
 
-def peel(cells: Column, seed: int, width: int) -> Column:
+def peel(cells: str, seed: int, width: int) -> str:
     """struct<ok, found>: the digests that the difference of two sketches holds, and whether these are all."""
     bits = width.bit_length() - 1
 
-    def pure(now: Column) -> Column:
-        alone = F.filter(now, lambda c: (F.abs(c["n"]) == 1) & (F.shiftrightunsigned(_place(c["k"], seed), 32) == c["h"]))
-        return F.array_distinct(F.transform(alone, lambda c: F.struct(c["n"].alias("n"), c["k"].alias("k"), _place(c["k"], seed).alias("g"))))
-
-    def without(now: Column, taken: Column) -> Column:
-        def one(c: Column, j: Column) -> Column:
-            shift = F.floor(j / width).cast("int") * bits
-            hit = lambda x: F.call_function("shiftright", x["g"], shift).bitwiseAND(F.lit(width - 1)) == (j % width)
-            return F.aggregate(taken, c, lambda a, x: F.when(hit(x), F.struct((a["n"] - x["n"]).alias("n"), a["k"].bitwiseXOR(x["k"]).alias("k"), a["h"].bitwiseXOR(F.shiftrightunsigned(x["g"], 32)).alias("h"))).otherwise(a))
+    def pure(now: str) -> str:
+        alone = over("filter", now)(lambda c: f"abs({c}.n) = 1 AND shiftrightunsigned(xxhash64({c}.k, {seed}), 32) = {c}.h")
+        placed = over("transform", alone)(lambda c: f"named_struct('n', {c}.n, 'k', {c}.k, 'g', xxhash64({c}.k, {seed}))")
+        return f"array_distinct({placed})"
 
-        return F.transform(now, one)
+    def without(now: str, taken: str) -> str:
+        take = lambda a, x: f"named_struct('n', {a}.n - {x}.n, 'k', {a}.k ^ {x}.k, 'h', {a}.h ^ shiftrightunsigned({x}.g, 32))"
+        own = lambda j: over("filter", taken)(lambda x: f"(shiftright({x}.g, cast({j} div {width} AS int) * {bits}) & {width - 1}) = {j} % {width}")
+        return over("transform", now, of=2)(lambda c, j: over("aggregate", own(j), c, of=2)(take))
 
-    def step(state: Column, _: Column) -> Column:
-        ended = F.struct(state["cells"].alias("cells"), state["found"].alias("found"), F.lit(True).alias("ended"))
-        go_on = lambda taken: F.when(F.size(taken) == 0, ended).otherwise(
-            F.struct(without(state["cells"], taken).alias("cells"), F.concat(state["found"], F.transform(taken, lambda x: x["k"])).alias("found"), F.lit(False).alias("ended"))
-        )
-        return F.when(state["ended"], state).otherwise(let(pure(state["cells"]), go_on))
+    def step(state: str, _: str) -> str:
+        found = lambda taken: f"concat({state}.found, {over('transform', taken)(lambda x: f'{x}.k')})"
+        ended = f"named_struct('cells', {state}.cells, 'found', {state}.found, 'ended', true)"
+        go_on = lambda taken: f"if(size({taken}) = 0, {ended}, named_struct('cells', {without(f'{state}.cells', taken)}, 'found', {found(taken)}, 'ended', false))"
+        return f"if({state}.ended, {state}, {let(pure(f'{state}.cells'), go_on)})"
 
-    start = F.struct(cells.alias("cells"), F.array().cast("array<bigint>").alias("found"), F.lit(False).alias("ended"))
-    finish = lambda s: F.struct(F.forall(s["cells"], lambda c: (c["n"] == 0) & (c["k"] == 0) & (c["h"] == 0)).alias("ok"), s["found"].alias("found"))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, step, finish)
+    start = f"named_struct('cells', {cells}, 'found', cast(array() AS array<bigint>), 'ended', false)"
+    empty = lambda s: over("forall", f"{s}.cells")(lambda c: f"{c}.n = 0 AND {c}.k = 0 AND {c}.h = 0")
+    return over("aggregate", f"sequence(1, {ROUNDS})", start, of=2)(lambda state, i: step(state, i), lambda s: f"named_struct('ok', {empty(s)}, 'found', {s}.found)")
 
 
-def estimated_difference(cells: Column, width: int) -> Column:
+def estimated_difference(cells: str, width: int) -> str:
     """The number of differing digests, from the counts of a subtracted sketch: a row's squares sum to d + (s * s - d) / width on average, s being the sum of its counts."""
-    total = lambda f: F.aggregate(cells, F.lit(0).cast("long"), lambda s, c: s + f(c["n"].cast("long")))
-    squares, s = total(lambda n: n * n) / 3, total(lambda n: n) / 3
-    return F.greatest(F.lit(0.0), (squares * width - s * s) / (width - 1))
+    squares = over("aggregate", cells, "0L", of=2)(lambda s, c: f"{s} + cast({c}.n AS bigint) * {c}.n")
+    total = over("aggregate", cells, "0L", of=2)(lambda s, c: f"{s} + {c}.n")
+    return f"greatest(0.0D, ({squares} / 3 * {width} - power({total} / 3, 2)) / {width - 1})"
 
 
-def dealt(keys: Column, seed: int, parts: Column) -> Column:
+def dealt(keys: str, seed: int, parts: str) -> str:
     """The digests of each of the sub-tables, as an array of arrays: sorted by sub-table once, then cut where a binary search finds the next."""
-    placed = F.array_sort(F.transform(keys, lambda k: F.struct(F.pmod(F.xxhash64(k, F.lit(seed + 50)), parts).alias("p"), k.alias("k"))))
-
-    def cuts(xs: Column) -> Column:
-        steps = F.transform(F.sequence(F.lit(0), F.ceil(F.log2(F.size(xs) + 1.0)).cast("int")), lambda i: F.call_function("shiftright", F.lit(1 << 30), 30 - F.ceil(F.log2(F.size(xs) + 1.0)).cast("int") + i))
-
-        def own(x: Column) -> Column:
-            past = lambda at, step, p: (at + step <= F.size(x["xs"])) & (F.get(x["xs"], at + step - 1)["p"] < p)
-            first = lambda p: F.aggregate(x["steps"], F.lit(0), lambda at, step: F.when(past(at, step, p), at + step).otherwise(at))
-            starts = F.transform(F.sequence(F.lit(0), parts), lambda p: first(p))
-            mine = lambda at: F.transform(F.sequence(F.lit(0), parts - 1), lambda p: F.transform(F.slice(x["xs"], F.get(at, p) + 1, F.get(at, p + 1) - F.get(at, p)), lambda y: y["k"]))
-            return let(starts, mine)
+    placed = over("transform", keys)(lambda k: f"named_struct('p', pmod(xxhash64({k}, {seed + 50}), {parts}), 'k', {k})")
 
-        return let(F.struct(xs.alias("xs"), steps.alias("steps")), own)
+    def cuts(xs: str) -> str:
+        length = f"cast(ceil(log2(size({xs}) + 1.0D)) AS int)"
+        steps = over("transform", f"sequence(0, {length})")(lambda i: f"shiftright({1 << 30}, 30 - {length} + {i})")
+        past = lambda at, step, p: f"{at} + {step} <= size({xs}) AND get({xs}, {at} + {step} - 1).p < {p}"
+        first = lambda st, p: over("aggregate", st, "0", of=2)(lambda at, step: f"if({past(at, step, p)}, {at} + {step}, {at})")
+        starts = lambda st: over("transform", f"sequence(0, {parts})")(lambda p: first(st, p))
+        own = lambda at, p: over("transform", f"slice({xs}, get({at}, {p}) + 1, get({at}, {p} + 1) - get({at}, {p}))")(lambda y: f"{y}.k")
+        return let(steps, lambda st: let(starts(st), lambda at: over("transform", f"sequence(0, {parts} - 1)")(lambda p: own(at, p))))
 
-    return let(placed, cuts)
+    return let(f"array_sort({placed})", cuts)
 
 
-def retry(a: Column, b: Column, planned: Column, attempt: int) -> Column:
+def retry(a: str, b: str, planned: str, attempt: int) -> str:
     """Rebuild both sketches as sub-tables for `planned` differing digests, subtract and peel each; stuck ones are rebuilt wide."""
     seed = 100 * attempt
-    parts = F.greatest(F.lit(1), F.ceil(F.least(planned, (F.size(a) + F.size(b)).cast("double")) / PLANNED)).cast("int")
-    once = lambda x, at, width: peel(subtract(sketch(x["a"], at, width), sketch(x["b"], at, width)), at, width)
-    sub = lambda x: let(once(x, seed, RETRY_WIDTH), lambda r: F.when(r["ok"], r).otherwise(once(x, seed + 1, WIDE)))
-    both = lambda n: F.zip_with(dealt(a, seed, n), dealt(b, seed, n), lambda x, y: F.struct(x.alias("a"), y.alias("b")))
-    done = let(parts, lambda n: F.transform(both(n), sub))
-    return let(done, lambda rs: F.struct(F.forall(rs, lambda r: r["ok"]).alias("ok"), F.flatten(F.transform(rs, lambda r: r["found"])).alias("found")))
+    parts = f"greatest(1, cast(ceil(least({planned}, cast(size({a}) + size({b}) AS double)) / {PLANNED}) AS int))"
+    once = lambda x, at, width: peel(subtract(sketch(f"{x}.a", at, width), sketch(f"{x}.b", at, width)), at, width)
+    sub = lambda x: let(once(x, seed, RETRY_WIDTH), lambda r: f"if({r}.ok, {r}, {once(x, seed + 1, WIDE)})")
+    both = lambda n: over("zip_with", dealt(a, seed, n), dealt(b, seed, n), of=2)(lambda x, y: f"named_struct('a', {x}, 'b', {y})")
+    done = let(parts, lambda n: over("transform", both(n))(sub))
+    ok = lambda rs: over("forall", rs)(lambda r: f"{r}.ok")
+    return let(done, lambda rs: f"named_struct('ok', {ok(rs)}, 'found', flatten({over('transform', rs)(lambda r: f'{r}.found')}))")
 
 
 def differing(df: DataFrame, a: str, b: str, sketch_a: str, sketch_b: str, out: str) -> DataFrame:
     """Adds column `out`: the digests in one of the arrays a, b and not in the other, recovered from their sketches."""
-    cells = subtract(F.col(sketch_a), F.col(sketch_b))
-    df = df.withColumn(out, let(cells, lambda c: F.struct(peel(c, 1, STORED_WIDTH).alias("peeled"), estimated_difference(c, STORED_WIDTH).alias("d"))))
+    first = let(subtract(f"`{sketch_a}`", f"`{sketch_b}`"), lambda c: f"named_struct('peeled', {peel(c, 1, STORED_WIDTH)}, 'd', {estimated_difference(c, STORED_WIDTH)})")
+    df = df.withColumn(out, F.expr(first))
     df = df.withColumn("__d", F.col(out)["d"]).withColumn(out, F.col(out)["peeled"])
     for attempt, growth in enumerate(GROWTH, 1):
-        df = df.withColumn(out, F.when(F.col(out)["ok"], F.col(out)).otherwise(retry(F.col(a), F.col(b), F.col("__d") * growth, attempt)))
+        df = df.withColumn(out, F.expr(f"if(`{out}`.ok, `{out}`, {retry(f'`{a}`', f'`{b}`', f'__d * {growth}D', attempt)})"))
     direct = F.concat(F.array_except(a, b), F.array_except(b, a))
     return df.withColumn(out, F.when(F.col(out)["ok"], F.col(out)["found"]).otherwise(direct)).drop("__d")
 
@@ -217,7 +214,7 @@ def edited_text(text: Column, next_text: Column) -> Column:
 def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_paragraphs, fingerprint, digests) of every document."""
     keyed = docs.select(F.col(id_col).alias("id"), digests(F.coalesce(F.col(text_col), F.lit(""))).alias("digests"))
-    return keyed.select("id", F.size("digests").alias("n_paragraphs"), serialized(sketch(F.col("digests"), 1, STORED_WIDTH)).alias("fingerprint"), "digests")
+    return keyed.select("id", F.size("digests").alias("n_paragraphs"), serialized(F.expr(sketch("digests", 1, STORED_WIDTH))).alias("fingerprint"), "digests")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -231,7 +228,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         digests(F.col("next_text")).alias("following"),
     )
     for name in ("own", "changed", "following"):
-        rows = rows.withColumn(f"{name}_cells", sketch(F.col(name), 1, STORED_WIDTH))
+        rows = rows.withColumn(f"{name}_cells", F.expr(sketch(name, 1, STORED_WIDTH)))
     rows = differing(rows, "own", "changed", "own_cells", "changed_cells", "edits")
     rows = differing(rows, "own", "following", "own_cells", "following_cells", "steps")
     return rows.select(

@@ -17,7 +17,7 @@ def differing(spark, pairs):
     df = spark.createDataFrame([(i, "\n".join(a), "\n".join(b)) for i, (a, b) in enumerate(pairs)], "k int, ta string, tb string")
     df = df.select("k", fp.digests(F.col("ta")).alias("a"), fp.digests(F.col("tb")).alias("b"))
     for name in "ab":
-        df = df.withColumn(f"{name}s", fp.sketch(F.col(name), 1, fp.STORED_WIDTH))
+        df = df.withColumn(f"{name}s", F.expr(fp.sketch(f"`{name}`", 1, fp.STORED_WIDTH)))
     return fp.differing(df, "a", "b", "as", "bs", "d")
 
 
@@ -31,7 +31,7 @@ def test_twenty_thousand_lines(spark):
 
 def test_estimate_follows_the_difference(spark):
     pairs = [(lines(i, n + 300), lines(i, 300)) if i % 2 else (lines(i, 300) + lines(-i - 1, n), lines(i, 300) + lines(-i - 2000, n)) for i in range(40) for n in (30, 300)]
-    out = differing(spark, pairs).withColumn("e", fp.estimated_difference(fp.subtract(F.col("as"), F.col("bs")), fp.STORED_WIDTH)).collect()
+    out = differing(spark, pairs).withColumn("e", F.expr(fp.estimated_difference(fp.subtract("`as`", "`bs`"), fp.STORED_WIDTH))).collect()
     ratios = sorted(r["e"] / len(r["d"]) for r in out)
     assert 0.75 < sum(ratios) / len(ratios) < 1.25 and ratios[4] > 0.4 and ratios[-5] < 2
     # Sub-tables for 30 differing digests of 20,000 hold fewer cells than there are digests.
@@ -40,7 +40,7 @@ def test_estimate_follows_the_difference(spark):
 
 def test_sub_tables_hold_every_digest_once(spark):
     df = spark.createDataFrame([(list(range(n)), parts) for n, parts in ((0, 1), (1, 4), (50, 1), (500, 7), (37, 90))], "keys array<bigint>, parts int")
-    for r in df.withColumn("dealt", fp.dealt(F.col("keys"), 3, F.col("parts"))).withColumn("want", F.transform("keys", lambda k: F.pmod(F.xxhash64(k, F.lit(53)), F.col("parts")))).collect():
+    for r in df.withColumn("dealt", F.expr(fp.dealt("keys", 3, "parts"))).withColumn("want", F.transform("keys", lambda k: F.pmod(F.xxhash64(k, F.lit(53)), F.col("parts")))).collect():
         assert len(r["dealt"]) == r["parts"]
         assert [sorted(x) for x in r["dealt"]] == [[k for k, p in zip(r["keys"], r["want"]) if p == i] for i in range(r["parts"])]
 

@@ -59,7 +59,7 @@ def test_peeling_recovers_differences(spark):
     rows = [(i, list(range(i, i + 3 * i)), list(range(2 * i, 2 * i + 2 * i))) for i in range(1, 40)]
     df = spark.createDataFrame([(i, [x * 7919 for x in a], [x * 7919 for x in b]) for i, a, b in rows], "k int, a array<bigint>, b array<bigint>")
     for name in "ab":
-        df = df.withColumn(f"{name}s", fingerprints.sketch(F.col(name), 1, fingerprints.STORED_WIDTH))
+        df = df.withColumn(f"{name}s", F.expr(fingerprints.sketch(f"`{name}`", 1, fingerprints.STORED_WIDTH)))
     for r in fingerprints.differing(df, "a", "b", "as", "bs", "d").collect():
         assert sorted(r["d"]) == sorted(set(r["a"]) ^ set(r["b"]))
 
