@@ -2,7 +2,7 @@
 
 Records are ordered by the hash of their text. A size-weighted Poisson sample of these hashes (its expected
 size is a parameter) gives quantile boundaries of many more ranges than shards; records are range-partitioned by
-them. A range that holds more than twice its share is subdivided by key first: a text whose copies alone hold that much becomes a cell of its
+them. A range that holds more than twice its share of bytes or rows is subdivided by key first: a text whose copies alone hold that much becomes a cell of its
 own, and what is left of the range is cut at even distances of the hash. Cells of one text stay whole: they go to the emptiest shard, the
 largest first. Only a text whose copies don't fit into any shard is dealt out by the hash of the id. The other cells then fill the room that
 is left, in the order of keys, so shards are near equal in bytes.
@@ -99,23 +99,27 @@ def shard(docs: DataFrame, n_shards: int = 16, id_col: str = "doc_id", text_col:
         F.xxhash64(F.col(id_col), text, F.lit(5)).alias("sub"),
     )
     records = cut(records)
-    total = records.agg(F.sum("size")).first()[0] or 0
+    total, n_rows = (x or 0 for x in records.agg(F.sum("size"), F.count("*")).first())
     n_ranges = n_shards * ranges_per_shard
-    ideal = max(total / n_ranges, 1.0)
+    ideal, ideal_rows = max(total / n_ranges, 1.0), max(n_rows / n_ranges, 1.0)
+    # What a number of bytes and of rows is, in shares of a range: short texts fill a range by their number.
+    shares = lambda size, rows: F.greatest(F.col(size) / ideal, F.col(rows) / ideal_rows)
     placed = records.withColumn("range", range_of(splitters(records, total, n_ranges))(F.col("key")))
-    sizes = placed.groupBy("range").agg(F.sum("size").alias("bytes"), F.min("key").alias("low"), F.max("key").alias("high"))
-    # At most n_ranges / 2 ranges hold more than twice their share, and at most as many texts do.
-    over = F.broadcast(sizes.where(F.col("bytes") > 2 * ideal))
-    hot = placed.join(F.broadcast(over.select("range")), "range", "left_semi").groupBy("range", "key").agg(F.sum("size").alias("hot_bytes")).where(F.col("hot_bytes") > 2 * ideal)
+    sizes = placed.groupBy("range").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows"), F.min("key").alias("low"), F.max("key").alias("high"))
+    # At most n_ranges ranges hold more than twice their share of bytes or rows, and at most as many texts do.
+    over = F.broadcast(sizes.where(shares("bytes", "rows") > 2).select("range"))
+    hot = placed.join(over, "range", "left_semi").groupBy("range", "key").agg(F.sum("size").alias("hot_bytes"), F.count("*").alias("hot_rows")).where(shares("hot_bytes", "hot_rows") > 2)
     hot = cut(hot.withColumn("hot_cell", -F.row_number().over(Window.partitionBy("range").orderBy("key"))))
-    rest = sizes.join(hot.groupBy("range").agg(F.sum("hot_bytes").alias("taken")), "range", "left").select("range", "low", "high", F.greatest(F.lit(1), F.ceil((F.col("bytes") - F.coalesce("taken", F.lit(0))) / ideal)).cast("int").alias("cells"))
+    taken = hot.groupBy("range").agg(F.sum("hot_bytes").alias("taken_bytes"), F.sum("hot_rows").alias("taken_rows"))
+    rest = sizes.join(taken, "range", "left").withColumns({x: F.col(x) - F.coalesce(f"taken_{x}", F.lit(0)) for x in ("bytes", "rows")})
+    rest = rest.select("range", "low", "high", F.greatest(F.lit(1), F.ceil(shares("bytes", "rows"))).cast("int").alias("cells"))
     along = (F.col("key").cast("double") - F.col("low").cast("double")) / (F.col("high").cast("double") - F.col("low").cast("double") + 1.0)
     celled = placed.join(F.broadcast(hot), ["range", "key"], "left").join(F.broadcast(rest), "range")
     celled = celled.withColumn("cell", F.coalesce("hot_cell", F.least(F.col("cells") - 1, F.floor(along * F.col("cells")).cast("int"))))
-    parts = F.coalesce(F.ceil(F.col("hot_bytes") / (2 * ideal)), F.lit(1))
+    parts = F.coalesce(F.ceil(shares("hot_bytes", "hot_rows") / 2), F.lit(1))
     celled = celled.withColumn("part", F.floor(unit_hash(F.lit(23), F.col("sub")) * parts).cast("int"))
     celled = cut(celled.select("id", "size", "text_crc32", "key", "sub", "range", "cell", "part"))
-    # A row for each part: at most about three times n_ranges, whatever the number of records.
+    # A row for each part: at most about four times n_ranges, whatever the number of records.
     counts = celled.groupBy("range", "cell", "part").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows")).collect()
     found = [(*k, *v) for k, v in planned([r.asDict() for r in counts], n_shards).items()]
     cells = spark.createDataFrame(found, "range int, cell int, part int, shard int, before long")

@@ -56,3 +56,12 @@ def test_only_a_group_over_a_shard_is_dealt_out(spark):
 def test_odd_tables(spark, texts):
     rows = rows_of(texts) + [(None, t, None, None) for t in texts[:3]]
     checked(rows, sharding.shard(spark.createDataFrame(rows, SCHEMA), n_shards=4).collect(), 4)
+
+
+def test_many_empty_texts_are_numbered_in_parts(spark):
+    rows = rows_of([None] * 9000 + [f"{i} text of some length " * 9 for i in range(2000)])
+    found = sharding.shard(spark.createDataFrame(rows, SCHEMA), n_shards=4, ranges_per_shard=32).collect()
+    size, groups = checked(rows, found, 4)
+    assert all(len(x) == 1 for x in groups.values()) and max(size.values()) < 1.05 * min(size.values())
+    parts = Counter((r["range"], r["cell"], r["part"]) for r in found)
+    assert max(parts.values()) < 4 * len(rows) / (4 * 32)
