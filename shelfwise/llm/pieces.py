@@ -311,7 +311,7 @@ def shared(path: str, dropout: float, seed: int, merges: int | None = None) -> P
     return Pieces(path, dropout, seed, merges)
 
 
-def _slices(sizes: list[int]) -> Iterator[tuple[int, int]]:
+def slices(sizes: list[int]) -> Iterator[tuple[int, int]]:
     """Ranges of rows with about TOGETHER characters, at least one row each."""
     at, total = 0, 0
     for i, size in enumerate(sizes):
@@ -338,7 +338,7 @@ def encode_documents(docs: DataFrame, path: str = MODEL, dropout: float = DROPOU
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = shared(path, dropout, seed)
         for whole in batches:
-            for a, b in _slices(pc.fill_null(pc.binary_length(whole.column(text_col)), 0).to_pylist()):
+            for a, b in slices(pc.fill_null(pc.binary_length(whole.column(text_col)), 0).to_pylist()):
                 part = whole.slice(a, b - a)
                 texts = part.column(text_col).to_pylist()
                 starts = [text_key(seed, k & _M, e) for k, e in zip(part.column("__piece_key").to_pylist(), part.column("__piece_epoch").to_pylist())]

@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -32,18 +33,24 @@ REMEMBERED = 300_000
 _SCHEMA = "source string, lang string, tokenizer_version string, docs long, tokens long"
 
 
-class Sizes(dict):
-    """Word -> its number of pieces under each version, for a bounded number of words."""
+class Sizes:
+    """The number of pieces of words under each version, for a bounded number of words."""
 
     def __init__(self, path: str, merges: tuple[int | None, ...]):
-        super().__init__()
         self.coders = [pieces.shared(path, 0.0, 0, m) for m in merges]
+        self.number: dict[str, int] = {}
+        self.counts = np.zeros((0, len(merges)), np.int64)
 
     def learn(self, words: set[str]) -> None:
-        if len(self) > REMEMBERED:
-            self.clear()
-        new = list(words.difference(self))
-        self.update(zip(new, zip(*(c.word_sizes(new).tolist() for c in self.coders))))
+        """Work out the words that are new, together."""
+        if len(self.number) > REMEMBERED:
+            self.number, self.counts = {}, self.counts[:0]
+        new = list(words.difference(self.number))
+        self.number.update(zip(new, range(len(self.number), len(self.number) + len(new))))
+        self.counts = np.concatenate([self.counts, np.stack([c.word_sizes(new) for c in self.coders], 1)])
+
+    def of(self, words: list[str]) -> np.ndarray:
+        return self.counts[np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))].sum(0)
 
 
 def token_counts(text: Column, versions: dict[str, int | None] = VERSIONS, path: str = pieces.MODEL) -> Column:
@@ -55,13 +62,11 @@ def token_counts(text: Column, versions: dict[str, int | None] = VERSIONS, path:
         units = sizes.coders[-1].units
         for part in parts:
             out = np.zeros((len(part), len(merges)), np.int64)
-            for i, text in enumerate(part):
-                # One text at a time: what is held grows with the longest text, not with the batch.
-                words = units.findall(" " + text) if text else []
-                if not sizes.keys() >= (own := set(words)):
-                    sizes.learn(own)
-                for j, n in enumerate(zip(*map(sizes.__getitem__, words)) if words else ()):
-                    out[i, j] = sum(n)
+            for a, b in pieces.slices([len(t or "") for t in part]):
+                words = [units.findall(" " + t) if t else [] for t in part[a:b]]
+                sizes.learn(set(chain.from_iterable(words)))
+                for i, own in enumerate(words, a):
+                    out[i] = sizes.of(own)
             yield pd.DataFrame(out, columns=names)
 
     batch.__annotations__ = {"parts": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
