@@ -42,19 +42,10 @@ def index_table() -> np.ndarray:
     return out
 
 
-class Rows(dict):
-    """Token -> row, remembered for a bounded number of tokens."""
-
-    def __missing__(self, token: str) -> int:
-        if len(self) > 200_000:
-            self.clear()
-        row = self[token] = zlib.crc32(token.encode("utf-8", "surrogatepass")) % ROWS
-        return row
-
-
-def rows_of(text: str | None, known: Rows) -> np.ndarray:
+def rows_of(text: str | None) -> np.ndarray:
+    """The hashed row of every token."""
     found = _TOKEN.findall(text or "")
-    return np.fromiter(map(known.__getitem__, found), np.int64, len(found))
+    return np.fromiter([zlib.crc32(t.encode("utf-8", "surrogatepass")) for t in found], np.int64, len(found)) % ROWS
 
 
 def context_vectors(texts: DataFrame) -> np.ndarray:
@@ -63,7 +54,7 @@ def context_vectors(texts: DataFrame) -> np.ndarray:
 
     def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         # Row ROWS stands between texts and has no signs.
-        total, known, gap, held, size = np.zeros((ROWS + 1) * DIM), Rows(), np.full(WINDOW, ROWS), [], 0
+        total, gap, held, size = np.zeros((ROWS + 1) * DIM), np.full(WINDOW, ROWS), [], 0
         where = [np.flatnonzero(r) for r in index]
         spots = np.vstack([where, np.zeros((1, SIGNS), np.int64)]).astype(np.int64)
         signs = np.vstack([[r[w] for r, w in zip(index, where)], np.zeros((1, SIGNS))])
@@ -78,7 +69,7 @@ def context_vectors(texts: DataFrame) -> np.ndarray:
 
         for batch in batches:
             for text in batch["text"]:
-                held += [rows_of(text, known), gap]
+                held += [rows_of(text), gap]
                 size += len(held[-2])
                 if size >= _BLOCK:
                     add(np.concatenate(held))
@@ -103,11 +94,11 @@ def word_table(contexts: np.ndarray) -> np.ndarray:
     return np.hstack([contexts / np.maximum(norm, 1e-12), index_table() / SIGNS**0.5]).astype(np.float32)
 
 
-def pooled(texts, words: np.ndarray, known: Rows) -> np.ndarray:
+def pooled(texts, words: np.ndarray) -> np.ndarray:
     """One row a text; long texts are read in blocks."""
     out = np.zeros((len(texts), words.shape[1] + DIM))
     for i, text in enumerate(texts):
-        ids = rows_of(text, known)
+        ids = rows_of(text)
         for at in range(0, len(ids), _BLOCK):
             vectors = words[ids[at : at + _BLOCK + 1]]
             out[i, : words.shape[1]] += vectors[:_BLOCK].sum(0)
@@ -177,9 +168,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     shared = docs.sparkSession.sparkContext.broadcast(words)
 
     def pool(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen = Rows()
         for b in batches:
-            yield pd.DataFrame({"id": b["id"], "y": b["y"], "x": list(pooled(b["text"], shared.value, seen))})
+            yield pd.DataFrame({"id": b["id"], "y": b["y"], "x": list(pooled(b["text"], shared.value))})
 
     # `rows` ids and labels at most are sent to the tasks.
     found = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "_id")
@@ -193,10 +183,9 @@ def score_column(text: Column, model: tuple[np.ndarray, Network], spark: SparkSe
     shared = spark.sparkContext.broadcast(model)
 
     def batch(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        known = Rows()
         words, net = shared.value
         for part in parts:
-            yield pd.Series(net.probability(pooled(part, words, known)) if len(part) else [], dtype=float)
+            yield pd.Series(net.probability(pooled(part, words)) if len(part) else [], dtype=float)
 
     batch.__annotations__ = {"parts": Iterator[pd.Series], "return": Iterator[pd.Series]}
     return F.pandas_udf(batch, "double")(text)

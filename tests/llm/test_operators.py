@@ -345,7 +345,7 @@ def test_context_vectors_against_loop(spark):
     texts = ["a b c a", "b ! b", None, ""]
     index, want = quality.index_table(), np.zeros((quality.ROWS, quality.DIM))
     for t in texts:
-        ids = quality.rows_of(t, quality.Rows()).tolist()
+        ids = quality.rows_of(t).tolist()
         for i, x in enumerate(ids):
             for j in range(max(0, i - quality.WINDOW), min(len(ids), i + quality.WINDOW + 1)):
                 if j != i:

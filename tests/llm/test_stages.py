@@ -46,7 +46,7 @@ def result(stage, spark, docs, sf_dir):
 
 def test_quality_stage(spark, sf_dir, docs, rows):
     words, net = quality.train(docs, table(spark, sf_dir, "labels"))
-    score = net.probability(quality.pooled([t for _, t, _, _, _ in rows], words, quality.Rows()))
+    score = net.probability(quality.pooled([t for _, t, _, _, _ in rows], words))
     columns, got = result(P.quality_stage, spark, docs, sf_dir)
     assert columns == P.COLUMNS and Counter(got) == Counter(r for r, s in zip(rows, score) if s >= quality.THRESHOLD)
     assert 0 < len(got) < len(rows)
