@@ -103,21 +103,48 @@ class Pieces:
         for p, i in self.ids.items():
             if len(p) == 1:
                 self.of_char[ord(p)] = i
-        rows = sorted((self.ids[p[:k]] << 20 | self.ids[p[k:]], r, self.ids[p]) for p, r in self.rank.items() for k in range(1, len(p)) if p[:k] in self.ids and p[k:] in self.ids)
-        pairs = np.array(rows or [(-1, 0, 0)], np.int64)
-        self.pair_keys, (self.pair_ranks, self.pair_joined) = np.ascontiguousarray(pairs[:, 0]), np.ascontiguousarray(pairs[:, 1:].T.astype(np.int32))
+        pairs = [(self.ids[p[:k]] << 20 | self.ids[p[k:]], r, self.ids[p]) for p, r in self.rank.items() for k in range(1, len(p)) if p[:k] in self.ids and p[k:] in self.ids]
+        self._hash_table(np.array(pairs or [(-2, 0, 0)], np.int64))
         # Runs of spaces share a rank: there only the pair tells the piece.
-        self.of_rank = np.full(int(self.pair_ranks.max()) + 1, -2, np.int32)
+        self.of_rank = np.full(max(self.rank.values(), default=0) + 1, -2, np.int32)
         for p, r in self.rank.items():
             self.of_rank[r] = self.ids[p] if self.of_rank[r] == -2 else -1
         self.byte_length = np.fromiter(map(len, self.bytes_of), np.int64, len(self.bytes_of))
         self.byte_start, self.byte_pool = np.cumsum(self.byte_length) - self.byte_length, np.frombuffer(b"".join(self.bytes_of), np.uint8)
 
-    def _ranked(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        """Rank of candidates, NONE where nothing joins."""
+    def _hash_table(self, pairs: np.ndarray) -> None:
+        """Open addressing over (key, rank, joined piece): a slot for each pair, the next free one where it is taken; under a quarter is filled."""
+        self.shift = np.uint64(64 - (4 * len(pairs)).bit_length())
+        slots = (1 << 64 - int(self.shift)) + 64
+        self.pair_keys, self.pair_ranks, self.pair_joined = np.full(slots, -1, np.int64), np.full(slots, NONE, np.int32), np.full(slots, -1, np.int32)
+        at = self._slots(pairs[:, 0])
+        while len(pairs):
+            free = np.flatnonzero(self.pair_keys[at] == -1)
+            taken, first = np.unique(at[free], return_index=True)
+            now = free[first]
+            self.pair_keys[taken], self.pair_ranks[taken], self.pair_joined[taken] = pairs[now].T
+            left = np.ones(len(pairs), bool)
+            left[now] = False
+            pairs, at = pairs[left], at[left] + 1
+
+    def _slots(self, key: np.ndarray) -> np.ndarray:
+        return (key.astype(np.uint64) * np.uint64(_STRIDE) >> self.shift).astype(np.int64)
+
+    def _found(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Where the pairs of pieces stand in the hash table; an empty slot for those that join with nothing."""
         key = left.astype(np.int64) << 20 | right
-        at = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
-        return np.where((left >= 0) & (right >= 0) & (self.pair_keys[at] == key), self.pair_ranks[at], NONE)
+        at = self._slots(key)
+        there = self.pair_keys[at]
+        off = np.flatnonzero((there != key) & (there != -1))
+        while len(off):
+            at[off] += 1
+            there = self.pair_keys[at[off]]
+            off = off[(there != key[off]) & (there != -1)]
+        return at
+
+    def _ranked(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Rank of candidates, NONE where nothing joins; a piece below 0 joins with nothing."""
+        return np.where((left >= 0) & (right >= 0), self.pair_ranks[self._found(left, right)], NONE)
 
     def skips(self, key: int, place: int, rank: int) -> bool:
         """Whether the occurrence `key` of a word skips the candidate of this rank whose left side starts at `place`."""
@@ -234,7 +261,7 @@ class Pieces:
         right = np.where(np.append(sym[:, 1:] >= 0, np.zeros((len(sym), 1), bool), axis=1), np.arange(1, width + 1), -1).astype(np.int8)
         left = np.broadcast_to(np.arange(-1, width - 1, dtype=np.int8), sym.shape).copy()
         rank = np.full(sym.shape, NONE, np.int32)
-        rank[:, :-1] = self._ranked(sym[:, :-1], sym[:, 1:])
+        rank[:, :-1] = self._ranked(sym[:, :-1].ravel(), sym[:, 1:].ravel()).reshape(len(sym), -1)
         while len(rows):
             place = rank.argmin(1)
             best = rank[np.arange(len(rank)), place]
@@ -250,7 +277,7 @@ class Pieces:
             state = (np.cumsum(reached) - 1)[code]
             come = np.flatnonzero(reached)
             parent, skip = come >> 1, (come & 1).astype(bool)
-            sym, left, right, rank, place, best = (x[parent] for x in (sym, left, right, rank, place, best))
+            sym, left, right, rank, place, best = (np.take(x, parent, axis=0) for x in (sym, left, right, rank, place, best))
             rank[np.flatnonzero(skip), place[skip]] = NONE
             s = np.flatnonzero(~skip)
             p = place[s]
@@ -258,7 +285,7 @@ class Pieces:
             after = right[s, q].astype(np.int64)
             joined = self.of_rank[best[s]]
             if (joined < 0).any():
-                joined = self.pair_joined[np.searchsorted(self.pair_keys, sym[s, p].astype(np.int64) << 20 | sym[s, q])]
+                joined = self.pair_joined[self._found(sym[s, p], sym[s, q])]
             sym[s, p], sym[s, q] = joined, -1
             rank[s, q], right[s, p] = NONE, after
             more = np.flatnonzero(after >= 0)
