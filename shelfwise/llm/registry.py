@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from shelfwise.llm import embeddings, fingerprints, licenses, mixing, pieces, pii, quality, rollups, sharding, simhash
+from shelfwise.llm import collocations, embeddings, fingerprints, licenses, line_rules, mixing, pieces, pii, quality, rollups, runs, sharding, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,12 +22,21 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_personal_data": pii.query,
         "op9_token_counts": rollups.query,
         "op10_quality_classifier": quality.query,
+        "op11_collocations": collocations.query,
+        "op12_periodic_runs": runs.query,
+        "op13_quality_rules": line_rules.query,
         "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    found = {"op3_mixing_sources": mixing.SQL, "op5_embedding_near_dedup": embeddings.SQL}
+    found = {
+        "op3_mixing_sources": mixing.SQL,
+        "op5_embedding_near_dedup": embeddings.SQL,
+        "op11_collocations": collocations.SQL,
+        "op12_periodic_runs": runs.SQL,
+        "op13_quality_rules": line_rules.SQL,
+    }
     if corpus_pipeline.ORACLE_SQL:
         found["pipeline"] = corpus_pipeline.ORACLE_SQL
     return found
