@@ -41,7 +41,7 @@ def judged(rows, max_docs):
     return sorted(out, key=repr)
 
 
-BODY = " ".join(f"own{i} words of a text" for i in range(20))
+BODY = " ".join(f"own{i} w{i} of{i} text{i}" for i in range(20))
 ODD = [
     *[(i, "a", f"Shared LINE 1{i}\n{BODY.replace('own', 'u' + 'abcde'[i])}\nshared  line\t2{i} ") for i in range(5)],
     *[(50 + i, "a", f"{BODY}\nonly copies") for i in range(4)],
