@@ -7,8 +7,10 @@ to the left by the symbols of its column and the LF mapping, and to the right by
 the order. All n-grams up to `depth` words are enumerated so, with their counts; Spark adds up the counts of all shards by
 language and phrase. A shard sends a phrase once, so a frequent phrase costs no more than others.
 
-Phrases under `min_count` can be no part of a result: a part of a phrase occurs at least as often as the phrase. What is left is written
-to the checkpoint folder; candidates, their cuts, what longer candidates hold, and ranks are equi-joins, sums and a tournament over it: no language
+Phrases under `min_count` can be no part of a result: a part of a phrase occurs at least as often as the phrase. So words and pairs are counted
+first, and a phrase of k > 2 words is sent only if both its parts of k - 1 words may be frequent by a Bloom filter of those that are. The filter has
+at most FILTER_BITS bits, whatever the corpus; once it is full it lets more phrases through, which costs rows but changes no
+result. What is frequent is written to the checkpoint folder; candidates, their cuts, what longer candidates hold, and ranks are equi-joins, sums and a tournament over it: no language
 is sorted whole, each round keeps the best rows of bounded parts. Scores are exact, as decimals of 38 digits: up to a count of 1e16.
 
 Cases: null texts count as empty, a null language as `und`; empty texts have no words; a piece longer than a shard is cut into shards that overlap by depth - 1
@@ -18,12 +20,13 @@ words, so that every n-gram is counted once; repeated rows count again; ids are
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -33,7 +36,9 @@ from shelfwise.llm.words import stable_order
 #: Words of a candidate at most, its least count, rows for each language, and the share (in hundredths) of a phrase that makes it part of a longer one.
 MAX_WORDS, MIN_COUNT, TOP, INSIDE = 3, 10, 2000, 50
 #: Words of the shards of a task together, bytes cut into words together, and rows of one part of the tournament.
-SHARD_WORDS, BLOCK_BYTES, PART_ROWS = 1 << 21, 1 << 22, 100_000
+SHARD_WORDS, BLOCK_BYTES, PART_ROWS = 1 << 20, 1 << 22, 100_000
+#: Most bits of a filter, bits for each phrase in it, probes, and bytes of a block that tasks send.
+FILTER_BITS, FILTER_RATE, PROBES, FILTER_BLOCK = 1 << 29, 16, 4, 1 << 13
 #: A byte that no UTF-8 text holds stands for the end of a piece.
 _END = b"\xff"
 _FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\n\x0b\x0c\r\t", b"abcdefghijklmnopqrstuvwxyz" + _END * 10 + b" ")
@@ -83,8 +88,8 @@ class FMIndex:
         cuts = [lo, *(np.flatnonzero(np.diff(follow)) + lo + 1).tolist(), hi]
         return {int(follow[a - lo]): (a, b) for a, b in zip(cuts, cuts[1:]) if a < b and follow[a - lo]}
 
-    def grams(self, first: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """For n = 1 to depth: (ids of the n words, count) of all n-grams that begin at one of the first `first` words, by extending all intervals to the right."""
+    def grams(self, first: int, least: int = 1) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For n = least to depth: (ids of the n words, count) of all n-grams that begin at one of the first `first` words, by extending all intervals to the right."""
         rows = self.suffix[self.starts[1] :] if len(self.starts) > 1 else self.suffix[:0]
         rows = rows[rows <= first]
         new = np.zeros(len(rows), bool)
@@ -94,17 +99,70 @@ class FMIndex:
             word = self.ids[rows + n]
             new[1:] |= word[1:] != word[:-1]
             whole &= word > 0
+            if n + 1 < least:
+                continue
             bounds = np.flatnonzero(new)
             counts = np.diff(np.append(bounds, len(rows)))
             kept = whole[bounds]
             yield self.ids[rows[bounds[kept]][:, None] + np.arange(n + 1)], counts[kept]
 
 
+def gram_keys(lang: str, hashes: np.ndarray) -> np.ndarray:
+    """64-bit keys of phrases in a language from the hashes of their words (rows of uint64)."""
+    key = np.full(len(hashes), xxhash.xxh64_intdigest(lang), np.uint64)
+    for k in range(hashes.shape[1]):
+        key = (key ^ hashes[:, k]) * np.uint64(0x9E3779B97F4A7C15)
+        key ^= key >> np.uint64(29)
+    return key
+
+
+def probes(keys: np.ndarray, bits: int) -> Iterator[np.ndarray]:
+    """Places of every key in a filter of `bits` (a power of two) bits."""
+    step = (keys >> np.uint64(32)) | np.uint64(1)
+    for j in range(PROBES):
+        yield ((keys + np.uint64(j) * step) & np.uint64(bits - 1)).astype(np.int64)
+
+
+def in_filter(keys: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Whether each key may be in the filter."""
+    out = np.ones(len(keys), bool)
+    for at in probes(keys, len(bits) * 8):
+        out &= (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
+    return out
+
+
+def phrase_filter(phrases: DataFrame, bits: int) -> np.ndarray:
+    """A Bloom filter of (lang, phrase) as bytes: tasks send the blocks they touch, which are joined by block; bits / 8 bytes reach the driver."""
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mine = np.zeros(bits // 8, np.uint8)
+        for batch in batches:
+            by_lang: dict[str, list[list[int]]] = defaultdict(list)
+            for lang, phrase in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                by_lang[lang].append([xxhash.xxh64_intdigest(w) for w in phrase.split(" ")])
+            for lang, hashes in by_lang.items():
+                for at in probes(gram_keys(lang, np.array(hashes, np.uint64)), bits):
+                    np.bitwise_or.at(mine, at >> 3, np.left_shift(1, at & 7).astype(np.uint8))
+        blocks = mine.reshape(-1, min(FILTER_BLOCK, len(mine)))
+        touched = np.flatnonzero(blocks.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(touched), pa.array([blocks[i].tobytes() for i in touched], pa.binary())], names=["block", "bits"])
+
+    def joined(group: pa.Table) -> pa.Table:
+        whole = np.bitwise_or.reduce([np.frombuffer(x, np.uint8) for x in group.column("bits").to_pylist()])
+        return pa.table({"block": group.column("block")[:1], "bits": pa.array([whole.tobytes()], pa.binary())})
+
+    schema, out = "block long, bits binary", np.zeros(bits // 8, np.uint8)
+    size = min(FILTER_BLOCK, len(out))
+    for r in phrases.select("lang", "phrase").mapInArrow(part, schema).groupBy("block").applyInArrow(joined, schema).collect():
+        out[r["block"] * size : (r["block"] + 1) * size] = np.frombuffer(r["bits"], np.uint8)
+    return out
+
+
 class Shards:
-    """Word ids of the texts of a task, by language."""
+    """Word ids of the texts of a task, by language; counts phrases of `least` to `depth` words, the longest only where the filter has its parts."""
 
-    def __init__(self, depth: int = MAX_WORDS, size: int = SHARD_WORDS):
-        self.depth, self.size, self.total = depth, size, 0
+    def __init__(self, depth: int, size: int = SHARD_WORDS, least: int = 1, bits: np.ndarray | None = None):
+        self.depth, self.size, self.least, self.bits = depth, size, least, bits
         self.waiting: dict[str, list[bytes]] = defaultdict(list)
         self.bytes: dict[str, int] = defaultdict(int)
         self._empty()
@@ -142,43 +200,72 @@ class Shards:
     def flush(self) -> Iterator[pa.RecordBatch]:
         for lang in list(self.waiting):
             self._read(lang)
-        words = pa.array([b"", *list(self.number)[1:]], pa.binary()).cast(pa.string())
+        listed = [b"", *list(self.number)[1:]]
+        words = pa.array(listed, pa.binary()).cast(pa.string())
+        hashes = None if self.bits is None else np.array([xxhash.xxh64_intdigest(w) for w in listed], np.uint64)
         for lang, parts in self.ids.items():
             ids = np.concatenate(parts)
             for at in range(0, len(ids), self.size):
-                yield from self._count(lang, words, ids[at : at + self.size + self.depth - 1], self.size)
+                yield from self._count(lang, words, hashes, ids[at : at + self.size + self.depth - 1])
         self._empty()
 
-    def _count(self, lang: str, words: pa.Array, ids: np.ndarray, first: int) -> Iterator[pa.RecordBatch]:
-        # Words are numbered anew by their order in this shard, so that the columns of the index are as small as they can be.
+    def _count(self, lang: str, words: pa.Array, hashes: np.ndarray | None, ids: np.ndarray) -> Iterator[pa.RecordBatch]:
+        frequent = None
+        if hashes is not None:
+            frequent = lambda g: in_filter(gram_keys(lang, hashes[g]), self.bits)
+            ids = self._thinned(ids, frequent)
+        # Words are numbered anew in this shard, so that the keys of the index are as small as they can be.
         used, own = np.unique(np.append(ids, 0), return_inverse=True)
-        total = int((ids[:first] > 0).sum())
-        rows = [(pa.array([""]), pa.array([total], pa.int64()))]
-        for grams, counts in FMIndex(own[:-1], self.depth).grams(first):
-            columns = [words.take(pa.array(used[grams[:, k]])) for k in range(grams.shape[1])]
-            rows.append((columns[0] if len(columns) == 1 else pc.binary_join_element_wise(*columns, " "), pa.array(counts, pa.int64())))
-        for phrase, n in rows:
-            yield pa.RecordBatch.from_arrays([_repeat(lang, len(n)), phrase, n], names=["lang", "phrase", "n"])
-
-
-def _repeat(value: str, n: int) -> pa.Array:
-    return pa.repeat(pa.scalar(value, pa.string()), n)
-
-
-def ngram_counts(docs: DataFrame, max_words: int = MAX_WORDS, min_count: int = MIN_COUNT, text_col: str = "text", lang_col: str = "lang", shard_words: int = SHARD_WORDS) -> DataFrame:
-    """(lang, phrase, f) of all n-grams up to max_words that occur min_count times in their language; the phrase `` has the number of all words."""
+        if self.least == 1:
+            yield self._batch(lang, pa.array([""]), pa.array([int((ids[: self.size] > 0).sum())], pa.int64()))
+        for grams, counts in FMIndex(own[:-1], self.depth).grams(self.size, self.least):
+            grams = used[grams]
+            if frequent is not None:
+                kept = frequent(grams[:, :-1]) & frequent(grams[:, 1:])
+                grams, counts = grams[kept], counts[kept]
+            columns = [words.take(pa.array(grams[:, k])) for k in range(grams.shape[1])]
+            yield self._batch(lang, columns[0] if len(columns) == 1 else pc.binary_join_element_wise(*columns, " "), pa.array(counts, pa.int64()))
+
+    def _thinned(self, ids: np.ndarray, frequent: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+        """The ids with gaps for the words that stand in no frequent stretch of depth - 1 words."""
+        n = self.depth - 1
+        at = np.arange(max(len(ids) - n + 1, 0))
+        there = frequent(ids[at[:, None] + np.arange(n)])
+        used = np.zeros(len(ids), bool)
+        for k in range(n):
+            used[k : k + len(there)] |= there
+        return np.where(used, ids, 0)
+
+    def _batch(self, lang: str, phrase: pa.Array, n: pa.Array) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(lang, pa.string()), len(n)), phrase, n], names=["lang", "phrase", "n"])
+
+
+def shard_counts(docs: DataFrame, depth: int, min_count: int, shard_words: int, least: int = 1, bits: np.ndarray | None = None) -> DataFrame:
+    """(lang, phrase, f) of the phrases of `least` to `depth` words over all shards of (lang, text), from min_count occurrences on."""
+    sent = None if bits is None else docs.sparkSession.sparkContext.broadcast(bits)
 
     def batch(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shards = Shards(max_words, shard_words)
+        shards = Shards(depth, shard_words, least, None if sent is None else sent.value)
         for part in parts:
             for lang, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
                 if text:
                     yield from shards.add(lang, text)
         yield from shards.flush()
 
+    counted = docs.mapInArrow(batch, "lang string, phrase string, n long").groupBy("lang", "phrase").agg(F.sum("n").alias("f"))
+    return cut(counted.where((F.col("f") >= min_count) | (F.col("phrase") == "")))
+
+
+def ngram_counts(docs: DataFrame, max_words: int = MAX_WORDS, min_count: int = MIN_COUNT, text_col: str = "text", lang_col: str = "lang", shard_words: int = SHARD_WORDS) -> DataFrame:
+    """(lang, phrase, f) of all n-grams up to max_words that occur min_count times in their language; the phrase `` has the number of all words."""
     given = docs.select(F.coalesce(F.col(f"`{lang_col}`"), F.lit("und")).alias("lang"), F.col(f"`{text_col}`").cast("binary").alias("text"))
-    counted = given.mapInArrow(batch, "lang string, phrase string, n long").groupBy("lang", "phrase").agg(F.sum("n").alias("f"))
-    return counted.where((F.col("f") >= min_count) | (F.col("phrase") == ""))
+    last = found = shard_counts(given, min(2, max_words), min_count, shard_words)
+    for depth in range(3, max_words + 1):
+        parts = last.where(F.size(F.split("phrase", " ")) == depth - 1)
+        bits = 1 << max(16, int(FILTER_RATE * parts.count()).bit_length())
+        last = shard_counts(given, depth, min_count, shard_words, depth, phrase_filter(parts, min(bits, FILTER_BITS)))
+        found = found.unionByName(last)
+    return found
 
 
 def best_of_each(df: DataFrame, by: str, order: list, n: int, rows: int, part_rows: int = PART_ROWS) -> DataFrame:
@@ -196,7 +283,7 @@ def best_of_each(df: DataFrame, by: str, order: list, n: int, rows: int, part_ro
 
 def collocations(docs: DataFrame, max_words: int = MAX_WORDS, min_count: int = MIN_COUNT, top: int = TOP, inside: int = INSIDE, **options) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): the phrases of 2 to max_words words that score best in their language."""
-    f = cut(ngram_counts(docs, max_words, min_count, **options))
+    f = ngram_counts(docs, max_words, min_count, **options)
     totals = f.where("phrase = ''").select("lang", F.col("f").alias("n"))
     f = f.where("phrase <> ''")
     candidates = f.withColumn("w", F.split("phrase", " ")).where(F.size("w") > 1).withColumnRenamed("f", "a")

@@ -104,6 +104,26 @@ def test_texts_in_blocks_and_shards():
         assert got == whole
 
 
+def test_filter_has_no_false_negatives(spark, monkeypatch):
+    rows = [(f"l{i % 3}", f"w{i} v{i * 7 % 11}") for i in range(500)]
+    df = spark.createDataFrame(rows, "lang string, phrase string").repartition(5)
+    for block, bits in ((1 << 13, 1 << 16), (16, 1 << 12), (64, 1 << 8)):
+        monkeypatch.setattr(C, "FILTER_BLOCK", block)
+        made_bits = C.phrase_filter(df, bits)
+        test = lambda lang, phrase: bool(C.in_filter(C.gram_keys(lang, np.array([[C.xxhash.xxh64_intdigest(w) for w in phrase.split(" ")]], np.uint64)), made_bits)[0])  # noqa: B023, E731
+        assert all(test(*r) for r in rows)
+    monkeypatch.setattr(C, "FILTER_BLOCK", 1 << 13)
+    made_bits = C.phrase_filter(df, 1 << 16)
+    assert sum(test(f"l{(i + 1) % 3}", f"w{i} v{i * 7 % 11}") for i in range(500)) < 20
+
+
+def test_full_filter_changes_nothing(spark, monkeypatch):
+    rows = made(9)
+    df = spark.createDataFrame(rows, "lang string, text string")
+    monkeypatch.setattr(C, "FILTER_BITS", 1 << 4)
+    assert sorted(tuple(r) for r in C.collocations(df, top=30).collect()) == by_definition(rows, top=30)
+
+
 def test_tournament(spark):
     df = spark.range(5000).select(F.when(F.col("id") % 10 < 7, "a").otherwise("b").alias("g"), (F.col("id") * 7919 % 5003).alias("v"))
     want = {g: sorted((r["v"] for r in df.collect() if r["g"] == g), reverse=True)[:20] for g in "ab"}
