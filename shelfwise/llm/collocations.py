@@ -37,6 +37,8 @@ from shelfwise.llm.words import stable_order
 MAX_WORDS, MIN_COUNT, TOP, INSIDE = 3, 10, 2000, 50
 #: Words of the shards of a task together, bytes cut into words together, and rows of one part of the tournament.
 SHARD_WORDS, BLOCK_BYTES, PART_ROWS = 1 << 20, 1 << 22, 100_000
+#: Rows that are sent to Spark together.
+BATCH_ROWS = 1 << 15
 #: Most bits of a filter, bits for each phrase in it, probes, and bytes of a block that tasks send.
 FILTER_BITS, FILTER_RATE, PROBES, FILTER_BLOCK = 1 << 29, 16, 4, 1 << 13
 #: A byte that no UTF-8 text holds stands for the end of a piece.
@@ -224,7 +226,8 @@ class Shards:
                 kept = frequent(grams[:, :-1]) & frequent(grams[:, 1:])
                 grams, counts = grams[kept], counts[kept]
             columns = [words.take(pa.array(grams[:, k])) for k in range(grams.shape[1])]
-            yield self._batch(lang, columns[0] if len(columns) == 1 else pc.binary_join_element_wise(*columns, " "), pa.array(counts, pa.int64()))
+            whole = self._batch(lang, columns[0] if len(columns) == 1 else pc.binary_join_element_wise(*columns, " "), pa.array(counts, pa.int64()))
+            yield from (whole.slice(i, BATCH_ROWS) for i in range(0, len(whole), BATCH_ROWS))
 
     def _thinned(self, ids: np.ndarray, frequent: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
         """The ids with gaps for the words that stand in no frequent stretch of depth - 1 words."""
@@ -252,7 +255,8 @@ def shard_counts(docs: DataFrame, depth: int, min_count: int, shard_words: int,
                     yield from shards.add(lang, text)
         yield from shards.flush()
 
-    counted = docs.mapInArrow(batch, "lang string, phrase string, n long").groupBy("lang", "phrase").agg(F.sum("n").alias("f"))
+    # A shard sends a phrase once: to add up before the shuffle would fill memory and save nothing, so rows are dealt out first.
+    counted = docs.mapInArrow(batch, "lang string, phrase string, n long").repartition("lang", "phrase").groupBy("lang", "phrase").agg(F.sum("n").alias("f"))
     return cut(counted.where((F.col("f") >= min_count) | (F.col("phrase") == "")))
 
 
