@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from shelfwise.sources import ranges
+
 _IMAGE = T.StructType([T.StructField(n, T.StringType()) for n in ("url", "local_path", "filename")])
 _COLOR = T.StructType([T.StructField(n, T.StringType()) for n in ("id", "name", "url")])
 #: Superset of the keys that snapshot records have; every key may be missing.
@@ -21,13 +23,14 @@ SNAPSHOT_SCHEMA = T.StructType(
 )
 
 
-def read_snapshot_csv(spark: SparkSession, path: str) -> DataFrame:
-    """All columns as text; quoted fields may hold line breaks; empty is null."""
-    return spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+def read_snapshot_csv(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """All columns as text; quoted fields may hold line breaks; empty is null. One file is read by many tasks; see `ranges.read_csv` for bad records."""
+    return ranges.read_csv(spark, path).rows
 
 
-def read_snapshot_json(spark: SparkSession, path: str, schema: T.StructType = SNAPSHOT_SCHEMA) -> DataFrame:
-    return spark.read.schema(schema).option("multiLine", True).json(path)
+def read_snapshot_json(spark: SparkSession, path: str | list[str], schema: T.StructType = SNAPSHOT_SCHEMA) -> DataFrame:
+    """The objects of array files, one file by many tasks; see `ranges.read_json_objects` for bad ones and for VARIANT records without a schema."""
+    return ranges.read_json_objects(spark, path, schema).rows
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
