@@ -13,16 +13,25 @@ from shelfwise.operators.dedupe import first_by
 STATE = ["status", "first_seen_date", "last_seen_date", "last_updated"]
 
 
-def _first(df: DataFrame, keys: list[str]) -> DataFrame:
+def first_rows(df: DataFrame, keys: list[str], order: str | None = None) -> DataFrame:
+    """One row for each key without nulls: the first by `order`; the least by all its columns, so always the same one, without an order."""
     known = df.where(reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys]))
-    return first_by(known, keys, "ord").drop("ord") if "ord" in df.columns else known.dropDuplicates(keys)
-
-
-def lifecycle_join(current: DataFrame, archive: DataFrame, master: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, in_current, in_archive, in_master and the first row of each side as structs cur, arc, mas."""
+    if order is not None:
+        return first_by(known, keys, order).drop(order)
+    rest = [c for c in df.columns if c not in keys]
+    if not rest:
+        return known.select(*keys).distinct()
+    row = F.struct(*[f"`{c}`" for c in rest])
+    plain = not any(kind in known.select(row).schema.simpleString() for kind in ("map<", "variant"))
+    least = F.min(row) if plain else F.min_by(row, F.to_json(row))
+    return known.groupBy(*keys).agg(least.alias("__row")).select(*[F.col(c) if c in keys else F.col(f"__row.`{c}`").alias(c) for c in df.columns])
+
+
+def lifecycle_join(current: DataFrame, archive: DataFrame, master: DataFrame, keys: list[str], order: str = "ord") -> DataFrame:
+    """keys, in_current, in_archive, in_master and the first row of each side as structs cur, arc, mas; `order` counts where a side has it."""
     sides = []
     for name, df in (("cur", current), ("arc", archive), ("mas", master)):
-        one = _first(df, keys)
+        one = first_rows(df, keys, order if order in df.columns else None)
         sides.append(one.select(*keys, F.struct(*one.columns).alias(name)))
     out = sides[0].join(sides[1], keys, "full").join(sides[2], keys, "full")
     return out.select(*keys, *[F.col(n).isNotNull().alias(f) for n, f in (("cur", "in_current"), ("arc", "in_archive"), ("mas", "in_master"))], "cur", "arc", "mas")

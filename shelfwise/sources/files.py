@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shelfwise.sources import ranges
+from shelfwise.sources import ranges, store
 
 _IMAGE = T.StructType([T.StructField(n, T.StringType()) for n in ("url", "local_path", "filename")])
 _COLOR = T.StructType([T.StructField(n, T.StringType()) for n in ("id", "name", "url")])
@@ -63,14 +63,13 @@ def write_json_records(df: DataFrame, path: str) -> None:
 
 
 def write_versioned_latest(df: DataFrame, base: str, ts: str) -> None:
-    """One folder for each version, kept; the latest is the greatest snapshot_ts."""
-    df.write.mode("overwrite").parquet(f"{base}/snapshot_ts={ts}")
+    """One version for each time stamp, kept; readers see it when it is whole, through a commit."""
+    store.write_version(df, base, ts)
 
 
 def read_latest(spark: SparkSession, base: str) -> DataFrame:
-    rows = spark.read.parquet(base)
-    newest = rows.agg(F.max("snapshot_ts")).first()[0]
-    return rows.where(F.col("snapshot_ts") == newest).drop("snapshot_ts")
+    """The version of the greatest time stamp, no other version is opened."""
+    return store.read_version(spark, base)
 
 
 def write_by_brand(df: DataFrame, base: str) -> None:

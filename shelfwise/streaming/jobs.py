@@ -2,47 +2,117 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Iterator
+from typing import Any
+
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+
+from shelfwise.sources.store import BucketedMaster
+
+#: transformWithState keeps its state in RocksDB.
+ROCKSDB = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+_INTERVAL = "first long, last long, ord long, row string, out boolean"
 
-from shelfwise.operators.lifecycle import update_master
 
+class FirstRecords(StatefulProcessor):
+    """Records of a key as intervals: those at most `keep` microseconds apart are one, of which the least (time, order) record is kept.
+
+    An interval gives its first record when the watermark has passed it, for nothing earlier can come then; it goes when the watermark
+    has passed its last record by `keep`. Open intervals of a key lie within the delay, so they are few however many records it has.
+    """
+
+    def __init__(self, keep: int):
+        self.keep = keep
 
-def stream_first_by_key(stream: DataFrame, keys: list[str], ts: str = "ts", delay: str = "10 minutes") -> DataFrame:
-    """The first record of each key within the watermark delay; state is dropped behind the watermark."""
-    timed = stream.withColumn(ts, F.col(ts).cast("timestamp"))
-    return timed.withWatermark(ts, delay).dropDuplicatesWithinWatermark(keys)
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.state = handle, handle.getListState("intervals", _INTERVAL)
 
+    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
+        found = self._load()
+        for r in rows:
+            found = merged(found, (r["__at"], r["__at"], r["__ord"], r["__row"], False), self.keep)
+        self._store(found)
+        return iter(())
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
+        now, left = timerValues.getCurrentWatermarkInMs() * 1000, []
+        for first, last, order, row, out in self._load():
+            if not out and first < now:
+                yield Row(row=row)
+                row, out = None, True
+            if not out or last + self.keep >= now:
+                left.append((first, last, order, row, out))
+        self._store(left)
+
+    def close(self) -> None:
+        pass
+
+    def _load(self) -> list[tuple]:
+        return [tuple(x) for x in self.state.get()]
+
+    def _store(self, found: list[tuple]) -> None:
+        for t in list(self.handle.listTimers()):
+            self.handle.deleteTimer(t)
+        if not found:
+            self.state.clear()
+            return
+        self.state.put(found)
+        due = min(last + self.keep if out else first for first, last, _, _, out in found)
+        self.handle.registerTimer(due // 1000 + 1)
 
-def stream_master_update(spark: SparkSession, src_dir: str, base: str, schema: str, keys: list[str], as_of_col: str = "as_of", available_now: bool = True) -> StreamingQuery:
-    """Every micro-batch of snapshot files makes the next version of the master below `base`, one version for each batch id.
 
-    A replayed batch reads the version before its own and overwrites its own, so it changes nothing. The as-of date of a batch is the greatest
-    in its rows.
+def merged(found: list[tuple], new: tuple, keep: int) -> list[tuple]:
+    """The intervals with a new one; what it links becomes one, with the least first record, given out if any part was."""
+    apart = []
+    for old in found:
+        if old[0] - keep <= new[1] and new[0] <= old[1] + keep:
+            least = min(old, new, key=lambda x: (x[0], x[2], x[3] or ""))
+            out = old[4] or new[4]
+            new = (least[0], max(old[1], new[1]), least[2], None if out else least[3], out)
+        else:
+            apart.append(old)
+    return sorted([*apart, new], key=lambda x: x[0])
+
+
+def stream_first_by_key(stream: DataFrame, keys: list[str], ts: str = "ts", ord_col: str | None = None, delay: str = "10 minutes", keep: str = "1 day") -> DataFrame:
+    """The first whole record of each key, by time and then `ord_col`, whatever the order of arrival within the delay.
+
+    A key is new again after `keep` without a record. A record comes out when the watermark has passed it; later records than the delay
+    allows are dropped. State is dropped `keep` behind the watermark. The session needs ROCKSDB as its state store. Null keys are a key; records without
+    a time are dropped; records that are equal in time and order are ordered by their JSON text.
+    """
+    session, names = stream.sparkSession, stream.columns
+    kept = session.sql(f"SELECT CAST(date_diff(MICROSECOND, TIMESTAMP '2000-01-01', TIMESTAMP '2000-01-01' + INTERVAL '{keep}') AS BIGINT)").first()[0]
+    form = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+    rows = stream.select(
+        F.struct(*[F.col(f"`{k}`") for k in keys]).alias("__key"),
+        F.col(ts).cast("timestamp").alias("__ts"),
+        (F.col(ord_col) if ord_col else F.lit(0)).cast("long").alias("__ord"),
+        F.to_json(F.struct(*[f"`{c}`" for c in names]), {**form, "ignoreNullFields": "false"}).alias("__row"),
+    )
+    timed = rows.where(F.col("__ts").isNotNull()).withColumn("__at", F.unix_micros("__ts")).withWatermark("__ts", delay)
+    keyed = timed.withColumn("__name", F.to_json("__key", {"ignoreNullFields": "false"}))
+    out = keyed.groupBy("__name").transformWithState(FirstRecords(kept), "row string", "append", "EventTime")
+    return out.select(F.from_json("row", stream.schema, form).alias("r")).select(*[F.col(f"r.`{c}`").alias(c) for c in names])
+
+
+def stream_master_update(spark: SparkSession, src_dir: str, base: str, schema: str, keys: list[str], as_of_col: str = "as_of", available_now: bool = True, buckets: int = 64) -> StreamingQuery:
+    """Every micro-batch of snapshot files updates the bucketed master below `base`: only buckets with a key of the batch are written.
+
+    A replayed batch changes nothing. The as-of date of a batch is the greatest in its rows.
     """
     stream = spark.readStream.schema(schema).parquet(src_dir)
 
     def step(batch: DataFrame, batch_id: int) -> None:
         as_of = batch.agg(F.max(as_of_col)).first()[0]
-        if as_of is None:
-            return
-        current = batch.drop(as_of_col)
-        versions = sorted(v for v in _versions(spark, base) if v < batch_id)
-        none = current.limit(0)
-        master = spark.read.parquet(f"{base}/version={versions[-1]}") if versions else none
-        update_master(current, none, master, keys, str(as_of)).write.mode("overwrite").parquet(f"{base}/version={batch_id}")
+        if as_of is not None:
+            BucketedMaster(batch.sparkSession, base, keys, buckets).merge(batch.drop(as_of_col), batch_id, str(as_of))
 
     writer = stream.writeStream.foreachBatch(step).option("checkpointLocation", f"{base}/_checkpoint")
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
-def _versions(spark: SparkSession, base: str) -> list[int]:
-    path = spark._jvm.org.apache.hadoop.fs.Path(base)
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    names = [s.getPath().getName() for s in fs.listStatus(path)] if fs.exists(path) else []
-    return [int(n.removeprefix("version=")) for n in names if n.startswith("version=")]
-
-
-def latest_master(spark: SparkSession, base: str) -> DataFrame:
-    return spark.read.parquet(f"{base}/version={max(_versions(spark, base))}")
+def latest_master(spark: SparkSession, base: str, keys: list[str] = ("brand", "name")) -> DataFrame:
+    return BucketedMaster(spark, base, list(keys)).table()

@@ -154,14 +154,6 @@ def test_stream_master_update(spark, tmp_path):
     assert out == {"x": ("Available", "3", "01-08-2025"), "y": ("Discontinued", "2", "01-08-2025")}
 
 
-def test_stream_first_by_key(spark, tmp_path, sf_dir):
-    events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    events.coalesce(1).write.parquet(f"{tmp_path}/in")
-    stream = jobs.stream_first_by_key(spark.readStream.schema(events.schema).parquet(f"{tmp_path}/in"), ["user_id"], delay="3650 days")
-    stream.writeStream.format("memory").queryName("firsts").trigger(availableNow=True).start().awaitTermination()
-    assert spark.table("firsts").count() == events.select("user_id").distinct().count()
-
-
 def test_lifecycle_replay(spark):
     d = lambda n: datetime.date(2025, 7, n)
     df = spark.createDataFrame([("b", "x", d(1)), ("b", "x", d(3)), ("b", "y", d(2)), ("b", "z", d(3))], "brand string, name string, snapshot_date date")
