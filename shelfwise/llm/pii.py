@@ -4,7 +4,8 @@ The patterns find e-mail addresses, IPv4 addresses, payment cards (Luhn) and int
 trained on sentences made from the small labelled table below: emission weights on word-shape and context-word features, transition weights
 between labels, over whole sentences. Words without digit, "@" or "+" can only have the label O; between two such words the best path splits, so
 runs of other words are decoded with the transitions from and to the O on either side, those of one length together, by Viterbi in numpy.
-Spans of the field are cut at line breaks and at words that touch pattern spans; what is left is added, with the kinds of the labels.
+Spans of the field are cut at line breaks and at words that touch pattern spans; what is left is added, with the kinds of the labels, if
+it can be of its kind (`possible`: a card has a Luhn sum, for one).
 
 Cases: null and empty texts have no spans; repeated rows each get a row; very long texts are read in time linear in
 their length; an empty table gives no rows; other columns are kept by `redact` and ignored by `find`.
@@ -43,10 +44,14 @@ SENTENCES = {
         call me on {} after six | my number is {} at work | tel {} or mail | phone {} please | reach us at {} now | or ring {} today
         fax {} is old | mobile {} works | you can call {} | Phone: {} | Tel: {} | contact us by phone at {} | his cell is {} and hers is not
         dial {} for help | text {} to join | the office ({}) is open | our hotline {} never sleeps | {} is my new number | whatsapp {}
+        leave word for me on {} | toll free {} | telephone {} | telephone: {} | my phone number is {} | phone number: {} | cell phone {} | text her at {} | message me on {}
+        the phone went, it was {} | a call from {} | tel. {} | reach them by phone on {} | call the office at {} | call or text {} | mobile: {} | fax: {} | her mobile is {} | my cell: {}
+        call {} | ring {} | reach {} ~ | fax {} | dial {} | phone {} | tel {} | ~ ~ call {} ~ | ~: ring {} ~ | you can reach her on {} | fax ~ over to {} | ~ ~ ~ phone is {}
+        ~ call {} ~ ~ | ~ ring {} | mobile number {} | cell number {} | leave a message on {} | {} | {} | {}
     """,
     "card": """
         card {} was charged | paid with {} yesterday | visa {} expired | the card {} is mine | credit card number {} please | my mastercard is {}
-        charge it to {} today | Card: {} | the payment from {} failed | debit card {} was lost | amex {} | card no. {} ends soon
+        the credit card no. {} | card no {} | credit card: {} | by debit card {} | mastercard {} | visa card {} | took my credit card {} | use my visa {} ~ | ~ card {} ~ | charge it to {} today | Card: {} | the payment from {} failed | debit card {} was lost | amex {} | card no. {} ends soon
     """,
     "email": """
         write to {} soon | mail {} for help | send it to {} please | contact {} today | email {} | e-mail: {} | reply to {} by friday
@@ -54,16 +59,16 @@ SENTENCES = {
     """,
     "ip": """
         host {} is down | server {} answers | from {} came the call | ping {} first | the address {} is banned | connect to {} | client {} left
-        listening on {} | ip {} | gateway {} drops packets
+        listening on {} | ip {} | gateway {} drops packets | ~ {} ~ | {} | ~ from {} ~ ~ | server at {} ~ | ~ at {} ~ | the hosts {} and more
     """,
 }
 VALUES = {
     "phone": """
-        (###) ###-#### | ###-###-#### | ###.###.#### | 0### ### #### | (0##) #### #### | +## ## #### #### | +1 (###) ###-#### | +## ### #### ####
+        (###) ###-#### | ###-###-#### | (0##) #### #### | ###.###.#### | 0### ### #### | +## ## #### #### | +1 (###) ###-#### | +## ### #### ####
         0## #### #### | ### ### #### | 0#### ###### | 0# ## ## ## ## | 1-###-###-#### | (###)###-#### | +##-##-####### | 0###-#######
     """,
     "card": "####.####.####.#### | #### #### #### #### | ####-####-####-#### | ################ | ############### | #### ###### ##### | ####/####/####/####",
-    "email": "~@localhost | ~.~@intranet | ~+~@~.org | ~_##@mail.~.com | ~@~ | ~##@~.net | ~@mail-##",
+    "email": "~@localhost | ~.~@intranet | ~+~@~.org | ~_##@mail.~.com | ~@~ | ~##@~.net | ~@mail-## | ~@~# | ~.~@~-# | ~-~@~## | ~.~.~@~",
     "ip": "^.^.^.^ | ^.^.^.^:#### | ^.^.^.^/## | ^.^.^.^",
 }
 NONE = """
@@ -80,8 +85,29 @@ NONE = """
     checksum ######################## is ok | ######################## | the digits ######################################## of pi
     tel aviv had ###,### people in 19## | fax machines of 19## | the cell has ## walls | visa rules of 20## | text ## lines | dial # twice
 """
+#: Sentences with a place for a number that is nobody's, and how such numbers are written ("@": a capital letter); numbers written like phones and cards
+#: are among them, so it is the words around a number that tell.
+PLAIN_SENTENCES = """
+    part number {} fits ~ | population {} people | sku {} in stock | a total of {} EUR | the ~ of {} ~ | ~ ~ {} ~ | {} ~ ~ | lat {} lon {} | item {} ~ | article {}
+    serial {} ~ | code {} | points {} | reference {} | from {} to {} | in {} ~ | no. {} ~ | nr {} | id {} | file {} ~ | model {} ~ | key {} | plate {} | lot {}
+    ~: {} | ~ {} and {} | iban {} | account {} at the bank | isbn {} | ean {} | barcode {} ~ | order {} | invoice {} ~ | about {} ~ | over {} ~ | {} units
+    {} km | {} dollars | costs {} | sold {} copies | the digits {} | results {} {} {} | ~, {}, ~ | between {} and {} ~ | the number {} is ~
+    the visa rules of {} | a phone of {} | phones: {} sold | the card game of {} | mail of {} | a call for {} ~ | call number {} ~ | fax machines {} | text of {} words | address {} ~ street
+    the server has {} ~ | hosts {} guests | a test of {} ~ | ratio {} | section {} | page {} | room {} | release {} | version {} | tracking {} | ticket {} | coupon {}
+"""
+PLAIN_NUMBERS = """
+    # ### ### | ## ### ### | ### ### ### | # ### ### ### | ## ### ### ### | ### ### | # ### | ## ### | ### ### ### ### | ## ## ## | ## ## ## ## | # # # # # | ## ## | ### ### ####
+    #### #### | #### #### # | #### #### #### # | #### #### #### #### | ####-####-#### | ##-##-## | ###-###-### | ###-###-#### | ##-###-## | ####-##-## | ##-##-#### | #### ### ###
+    #### #### #### | ### # ## ###### # | ###-#-##-######-# | @@## #### #### #### #### ## | @@## @@@@ #### #### #### ## | ##.#### ##.#### | ## ### ### # ### ### | #.#.#.#### | ##.#.#-# | ######
+    ##### ##### | ######## | ########## | ############ | ################ | ##@### | @@-#### | #:##.### | #-# #-# #-# | ##-## ##-## ##-## | ####-#### | #### #### #### #### ## | ###.###.### | # ## # | 0# ## ## ##
+    0### #### | 0## ### #### | 0#-#### #### | ####.####.####.#### | ####/####/#### | #,###,### | ##,#%  | #.## #.## | 20##-####-### | -#.## -#.## | ### ### ###-## | ## ## # @ | @# ### ### @#
+"""
 #: What may follow a value, sentences made of each row of the table, and the seed of their digits and words.
-ENDS, MADE, TABLE_SEED = ("", "", "", ".", ",", "!", "?", ";", ":"), 6, 8
+ENDS, MADE, TABLE_SEED = ("", "", "", ".", ",", "!", "?", ";", ":"), 8, 8
+#: Each plain sentence is made with every so many-th number form, and words so far before and behind a run are features.
+PLAIN_STEP, BEFORE, BEHIND = 4, 6, 3
+#: Forms of random groups for each plain sentence, the first so many phone forms that stand alone, and digits of phones and cards in random groups.
+PLAIN_GROUPED, BARE, GROUPED = 6, 3, {"phone": (7, 12), "card": (13, 16)}
 
 
 def luhn(digits: str) -> bool:
@@ -145,6 +171,7 @@ def features(words: list[str], a: int, b: int) -> list[list[str]]:
     shapes = [shape(c) for c in cores]
     plain = lambda i: re.sub(r"[^a-z]+", "", words[i].lower()) if 0 <= i < len(words) else "^"
     around = ["w=" + plain(a - 1), "v=" + plain(a - 2) + "_" + plain(a - 1), "z=" + plain(b)]
+    around += sorted({"near=" + w for i in (*range(a - BEFORE, a), *range(b, b + BEHIND)) if (w := plain(i)) not in ("", "^")})
     total = sum(c.isdigit() for w in cores for c in w)
     out = []
     for i, (w, s) in enumerate(zip(cores, shapes)):
@@ -152,7 +179,7 @@ def features(words: list[str], a: int, b: int) -> list[list[str]]:
         short = re.sub(r"(.)\1+", r"\1", s)
         before, after = shapes[i - 1] if i else "-", shapes[i + 1] if i + 1 < len(shapes) else "-"
         found = ["bias", f"s={s}", f"c={short}", f"n={min(len(digits), 20)}", f"t={min(total, 24)}", f"p={before}", f"q={after}", f"f={s[:1]}", f"ps={before}|{s}", f"sq={s}|{after}", f"len={min(len(cores), 6)}|{s}"]
-        found += [f"{x}|{short}" for x in around] + around
+        found += [f"{x}|{short}" for x in around[:3]] + around
         if 12 <= len(digits) <= 19:
             found.append(f"luhn={luhn(digits)}")
         if "@" in w[1:]:
@@ -191,13 +218,46 @@ def _written(form: str, rng: random.Random, card: bool = False) -> str:
     return next(x for x in (out[:-1] + d for d in "0123456789") if luhn(re.sub(r"\D", "", x))) if card else out
 
 
-def labelled_table(sentences: dict[str, str] = SENTENCES, values: dict[str, str] = VALUES, none: str = NONE, made: int = MADE, seed: int = TABLE_SEED) -> list[tuple[list[str], list[int]]]:
+def _grouped(rng: random.Random, least: int, most: int) -> str:
+    """A form of `least` to `most` digits in groups, as numbers of every kind may be written."""
+    left, groups = rng.randint(least, most), []
+    while left:
+        size = left if left <= 4 else rng.choice([n for n in (2, 3, 3, 4, 4, 5) if left - n > 1])
+        groups.append("#" * size)
+        left -= size
+    first = rng.choice(["", "", "0"])
+    if first and len(groups) > 1:
+        groups[0] = first + groups[0][1:]
+    mark = rng.choice([" ", " ", "-", "-", ".", "/"])
+    if rng.random() < 0.15:
+        return groups[0] + rng.choice([" ", "-"]) + mark.join(groups[1:]) if len(groups) > 1 else groups[0]
+    return mark.join(groups)
+
+
+def plain_sentences(rng: random.Random) -> Iterator[str]:
+    """Every plain sentence with every PLAIN_STEP-th number form."""
+    forms = _rows(PLAIN_NUMBERS)
+    capital = lambda m: rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ")
+    for i, sentence in enumerate(_rows(PLAIN_SENTENCES)):
+        for form in forms[i % PLAIN_STEP :: PLAIN_STEP]:
+            yield _written(sentence.replace("{}", re.sub("@", capital, form)), rng)
+        for _ in range(PLAIN_GROUPED):
+            yield _written(sentence.replace("{}", _grouped(rng, 6, 16)), rng)
+
+
+def labelled_table(sentences: dict[str, str] = SENTENCES, values: dict[str, str] = VALUES, none: str = NONE, made: int = MADE, seed: int = TABLE_SEED, plain: bool = False) -> list[tuple[list[str], list[int]]]:
     """(words, labels) of the sentences made from a table; label 0 is O, then KINDS."""
     rng, out = random.Random(seed), []
     for kind in sentences:
         forms = _rows(values[kind])
         for i, sentence in enumerate(_rows(sentences[kind]) * made):
-            value = _written(forms[i % len(forms)], rng, kind == "card")
+            form = forms[i % len(forms)]
+            if sentence == "{}":
+                form = forms[i % BARE]  # without words around it
+            elif plain and kind in GROUPED and i % 2:
+                form = _grouped(rng, *GROUPED[kind])
+            sentence = _written(sentence, rng)
+            value = _written(form, rng, kind == "card")
             words = sentence.replace("{}", "{} ").replace("} )", "})").split()
             at = next(k for k, w in enumerate(words) if "{}" in w)
             inside = (words[at].replace("{}", value) + (rng.choice(ENDS) if words[at].endswith("}") else "")).split()
@@ -206,6 +266,9 @@ def labelled_table(sentences: dict[str, str] = SENTENCES, values: dict[str, str]
         words = _written(sentence, rng).split()
         words[-1] += rng.choice(ENDS)
         out.append((words, [0] * len(words)))
+    for words in (x.split() for x in (plain_sentences(rng) if plain else ())):
+        words[-1] += rng.choice(ENDS)
+        out.append((words, [0] * len(words)))
     return out
 
 
@@ -287,7 +350,19 @@ class ConditionalRandomField:
 
 @lru_cache(maxsize=1)
 def train() -> ConditionalRandomField:
-    return ConditionalRandomField().fit(labelled_table())
+    return ConditionalRandomField().fit(labelled_table(plain=True))
+
+
+def possible(kind: int, span: str) -> bool:
+    """Whether a span of the field can be of its kind: digits that a card, an address or a number to call have, something before and behind an "@"."""
+    digits = re.sub(r"[^0-9]", "", span)
+    if KINDS[kind] in ("card", "phone") and re.search(r"[^\W\d_]", span):
+        return False
+    if KINDS[kind] == "card":
+        return 12 <= len(digits) <= 19 and luhn(digits)
+    if KINDS[kind] == "phone":
+        return 7 <= len(digits) <= 15
+    return 0 < span.find("@") < len(span) - 1 if KINDS[kind] == "email" else bool(digits)
 
 
 def added_spans(texts: list[str], bases: list[list[tuple[int, int, int]]], model: ConditionalRandomField) -> list[list[tuple[int, int, int]]]:
@@ -317,7 +392,7 @@ def added_spans(texts: list[str], bases: list[list[tuple[int, int, int]]], model
                 a = where[i][0] + len(span) - len(span.lstrip(_OPENING))
                 b = where[i][0] + max((m.end() for m in _ALNUM.finditer(span)), default=0)
                 a += texts[k][a:b].startswith("(") and ")" not in texts[k][a:b]
-                if a < b:
+                if a < b and possible(int(labels[i]) - 1, texts[k][a:b]):
                     out[k].append((a, int(labels[i]) - 1, b))
             i = j
     return out
