@@ -32,6 +32,8 @@ from shelfwise.llm.license_texts import NOTICES, TEXTS
 #: Words of a gram, grams of a winnowing window, least half width of the band, least share of the template that must match.
 GRAM, WINDOW, BAND, COVERAGE = 4, 3, 8, 0.8
 _WORD = re.compile(r"[^\W_]+")
+#: Stands for a word that a match has.
+_TAKEN = -2
 
 TEMPLATES = NOTICES | TEXTS
 
@@ -73,37 +75,72 @@ class TemplateIndex:
                 for i in winnow(hashes, window) if run >= size + window - 1 else range(len(hashes)):
                     self.post[hashes[i]].append((t, i))
         self.vocabulary = {w for ws in self.words for w in ws}
+        self.number = {w: i for i, w in enumerate(sorted(self.vocabulary))}
+        self.ids = [np.array([self.number[w] for w in ws], np.int64) for ws in self.words]
+        self.counts = [np.bincount(x, minlength=len(self.number)) for x in self.ids]
+
+    def shared(self, t: int, window: np.ndarray) -> int:
+        """Words of template t that the window has, each as often as in both: no alignment matches more."""
+        return int(np.minimum(self.counts[t], np.bincount(window[window >= 0], minlength=len(self.number))).sum())
+
+
+#: A cell of the table as one number that sorts: words matched, then a late first word (so that what goes on from the cell has a short span), then
+#: an early last one; 21 bits for either place.
+_PLACE = (1 << 21) - 1
+#: Windows that are aligned together.
+STACK = 64
+
+
+def align_all(windows: list[np.ndarray], shifts: list[int], template: np.ndarray, band: int) -> list[tuple[int, int, int]]:
+    """(matched words, first, last) of the best alignment of `template` in each window on diagonals within `band` of its shift.
+
+    Words are numbers; those of no template are negative. One numpy row for each template word, over all windows: a cell is the best of the
+    cells left, above and left above, and of the match that goes on from there.
+    """
+    out: list[tuple[int, int, int]] = []
+    for at in range(0, len(windows), STACK):
+        part = windows[at : at + STACK]
+        n = max(map(len, part))
+        ids = np.full((len(part), n), -1)
+        for row, w in zip(ids, part):
+            row[: len(w)] = w
+        place = np.arange(n)
+        low = np.array(shifts[at : at + STACK])[:, None] - band
+        best, diagonal = np.zeros((len(part), n), np.int64), np.zeros((len(part), n), np.int64)
+        for i, word in enumerate(template):
+            inside = (place >= low + i) & (place <= low + i + 2 * band)
+            a, b = max(0, int(low.min()) + i), min(n, int(low.max()) + i + 2 * band + 1)
+            if a >= b:
+                continue
+            diagonal[:, 1:] = best[:, :-1]
+            d, p = diagonal[:, a:b], place[a:b]
+            first = np.where(d > 0, (d >> 21) & _PLACE, p)
+            going = (((d >> 42) + 1) << 42) | (first << 21) | (_PLACE - p)
+            now = np.maximum(np.maximum(best[:, a:b], d), np.where(ids[:, a:b] == word, going, 0))
+            # Cells outside the band of their window stay as they are, and nothing comes from them.
+            within = inside[:, a:b]
+            now = np.maximum.accumulate(np.where(within, now, 0), axis=1)
+            best[:, a:b] = np.where(within, now, best[:, a:b])
+        matched, first, last = best >> 42, (best >> 21) & _PLACE, _PLACE - (best & _PLACE)
+        for m, f, e in zip(matched, first, last):
+            at_most = np.flatnonzero(m == m.max()) if m.any() else ()
+            x = min(at_most, key=lambda x: (e[x] - f[x], f[x]), default=None)  # noqa: B023
+            out.append((0, -1, -1) if x is None else (int(m[x]), int(f[x]), int(e[x])))
+    return out
 
 
 def align(window: list[str], template: list[str], shift: int, band: int = BAND) -> tuple[int, int, int]:
-    """(matched words, first, last) of the best alignment of `template` in `window` on diagonals within `band` of `shift`."""
-    n = len(window)
-    best: dict[int, tuple[int, int, int]] = {}
-    for i, w in enumerate(template):
-        now: dict[int, tuple[int, int, int]] = {}
-        for d in range(-band, band + 1):
-            j = i + shift + d
-            if not 0 <= j < n:
-                continue
-            options = [x for x in (best.get(j - 1), best.get(j), now.get(j - 1)) if x]
-            m = max(options, key=lambda x: (x[0], -(x[2] - x[1]))) if options else (0, -1, -1)
-            if window[j] == w and (diagonal := best.get(j - 1, (0, -1, -1)))[0] + 1 > m[0]:
-                m = (diagonal[0] + 1, diagonal[1] if diagonal[0] else j, j)
-            elif window[j] == w and not m[0]:
-                m = (1, j, j)
-            now[j] = m
-        for j, m in best.items():
-            if m[0] > now.get(j, (0,))[0]:
-                now[j] = m
-        best = now
-    return max(best.values(), key=lambda x: (x[0], -(x[2] - x[1])), default=(0, -1, -1))
+    """align_all for one window of words."""
+    number = {w: i for i, w in enumerate(dict.fromkeys(template))}
+    return align_all([np.array([number.get(w, -1) for w in window], np.int64)], [shift], np.array([number[w] for w in template], np.int64), band)[0]
 
 
 def scan(text: str, index: TemplateIndex, coverage: float = COVERAGE, band: int = BAND) -> list[tuple[str, float, int, int]]:
     """(template, covered share, start, end) of every match, in order."""
     ws = words(text)
-    known = np.fromiter(map(index.vocabulary.__contains__, ws), bool, len(ws))
-    hits: dict[int, list[tuple[int, int]]] = defaultdict(list)
+    ids = np.fromiter((index.number.get(w, -1) for w in ws), np.int64, len(ws))
+    known = ids >= 0
+    hits: dict[int, list[int]] = defaultdict(list)
     for size in index.sizes:
         if len(ws) < size:
             continue
@@ -112,35 +149,39 @@ def scan(text: str, index: TemplateIndex, coverage: float = COVERAGE, band: int
             run &= known[o : len(ws) - size + 1 + o]
         for i in np.flatnonzero(run).tolist():
             for t, p in index.post.get(gram_hash(tuple(ws[i : i + size])), ()):
-                hits[t].append((i - p, i))
+                hits[t].append(i - p)
     if not hits:
         return []
     found, out = [m.span() for m in _WORD.finditer(text)], []
     for t, places in hits.items():
-        template, places = index.words[t], sorted(places)
+        template, need = index.ids[t], coverage * len(index.ids[t])
         # As many words as a match may leave out, its diagonals may be apart.
-        wide = max(band, len(template) - math.ceil(coverage * len(template)))
-        groups: list[list[int]] = []
-        for start, _ in places:
-            if groups and start - groups[-1][-1] <= wide:
-                groups[-1].append(start)
-            else:
-                groups.append([start])
-        bases, left = [(base, g[-1]) for g in groups for base in range(g[0], g[-1] + 1, 2 * wide + 1)], list(ws)
+        wide = max(band, len(template) - math.ceil(need))
+        starts = np.unique(places)
+        edges = np.flatnonzero(np.diff(starts) > wide) + 1
+        left, bases = ids.copy(), []
+        for group in np.split(starts, edges):
+            bases += [(base, int(group[-1])) for base in range(int(group[0]), int(group[-1]) + 1, 2 * wide + 1)]
         while bases:
-            again, matches = [], set()
+            windows, shifts, owners = [], [], []
             for base, end in bases:
                 a, b = max(0, base - wide), min(len(ws), base + len(template) + 3 * wide)
-                cuts = [a - 1, *(i for i in range(a, b) if left[i] is None), b]
-                tried = [(c + 1, align(left[c + 1 : d], template, base + min(wide, end - base) - c - 1, 2 * wide)) for c, d in zip(cuts, cuts[1:]) if d - c - 1 >= coverage * len(template)]
-                good = {(-matched, c + first, c + last) for c, (matched, first, last) in tried if matched >= coverage * len(template)}
-                matches |= good
-                again += [(base, end)] if good else []
+                cuts = [a - 1, *(np.flatnonzero(left[a:b] == _TAKEN) + a).tolist(), b]
+                for c, d in zip(cuts, cuts[1:]):
+                    if d - c - 1 >= need and index.shared(t, left[c + 1 : d]) >= need:
+                        windows.append(left[c + 1 : d])
+                        shifts.append(base + min(wide, end - base) - c - 1)
+                        owners.append((base, end, c + 1))
+            again, matches = [], set()
+            for (base, end, c), (matched, first, last) in zip(owners, align_all(windows, shifts, template, 2 * wide)):
+                if matched >= need:
+                    matches.add((-matched, c + first, c + last))
+                    again.append((base, end))
             for matched, first, last in sorted(matches):
-                if None not in left[first : last + 1]:
-                    left[first : last + 1] = [None] * (last + 1 - first)
+                if (left[first : last + 1] != _TAKEN).all():
+                    left[first : last + 1] = _TAKEN
                     out.append((-matched, found[first][0], found[last][1], t))
-            bases = again
+            bases = list(dict.fromkeys(again))
     chosen: list[tuple[int, int, int, int]] = []
     for matched, a, b, t in sorted(out, key=lambda m: (-m[0], m[1], m[3])):
         # Those chosen don't overlap, so only the neighbours of the place can.
