@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -38,6 +39,11 @@ def unit_hash(*cols: Column) -> Column:
     return (F.shiftrightunsigned(F.xxhash64(*cols), 11).cast("double") + 0.5) / F.lit(float(1 << 53))
 
 
+def constant(values: list, kind: str) -> Column:
+    """A list as one constant of SQL type `kind`: one literal that Spark reads once, where a literal for each value would fill the plan."""
+    return F.from_json(F.lit(json.dumps(values)), kind)
+
+
 #: Names of the two hashes that stand for a whole row.
 ROW_KEY = ["__row_a", "__row_b"]
 

@@ -24,7 +24,7 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from shelfwise.llm.common import table
+from shelfwise.llm.common import constant, table
 
 PARAGRAPH = r"[^\n]{1,400}"
 #: Cells in each of the three rows: of the stored sketch, of the sub-tables of a retry, and of those that got stuck.
@@ -167,28 +167,31 @@ def serialized(cells: Column) -> Column:
     return F.lower(F.array_join(F.transform(cells, one), ","))
 
 
+#: Rows of a bucket of `with_next` at least.
+BUCKET_ROWS = 16
+
+
 def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int | None = None) -> DataFrame:
     """(id, text, next_text): the next text in ascending order of id; after the last comes the first.
 
-    Rows are dealt by quantile splitters of the id, a bounded array; the first row of each bucket is copied into the bucket before it, so one
+    Rows are dealt by quantile splitters of the id, one constant array of four for each shuffle partition; the first row of each bucket is copied into the bucket before it, so one
     shuffle does. An id that holds several quantiles (null, say) is cut at text hashes, so no bucket holds more than its share of rows
     that differ.
     """
     ids = F.coalesce(F.col(id_col).cast("long"), F.lit(_LEAST))
     rows = docs.select(F.col(id_col).alias("id"), ids.alias("ord"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text"))
-    n = max(2, buckets or 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    found = rows.agg(F.min("ord").alias("least"), F.percentile_approx("ord", [i / n for i in range(1, n)], 10 * n).alias("q")).first()
+    n = max(2, buckets or min(4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), docs.count() // BUCKET_ROWS))
+    found = rows.agg(F.min("ord").alias("least"), F.percentile_approx("ord", constant([i / n for i in range(1, n)], "array<double>"), 10 * n).alias("q")).first()
     times = Counter([] if found["least"] is None else [found["least"], *found["q"]])
     first = sorted((v, _LEAST) for v in times)
     if hot := {v: m for v, m in times.items() if m > 2}:
         # Text hashes are even over their range; the least of each stretch is a row's own. At most n rows reach the driver.
-        stretches = F.element_at(F.create_map(*[F.lit(x).cast("long") for v, m in hot.items() for x in (v, m)]), F.col("ord"))
+        stretches = F.element_at(F.map_from_entries(constant([{"key": v, "value": m} for v, m in hot.items()], "array<struct<key:bigint,value:bigint>>")), F.col("ord"))
         stretch = F.floor((F.shiftrightunsigned("tie", 11).cast("double") / F.lit(float(1 << 53)) + F.when(F.col("tie") < 0, -0.5).otherwise(0.5)) * stretches)
-        least = rows.where(F.col("ord").isin(list(hot))).groupBy("ord", stretch.alias("stretch")).agg(F.min("tie").alias("tie")).collect()
+        least = rows.where(stretches.isNotNull()).groupBy("ord", stretch.alias("stretch")).agg(F.min("tie").alias("tie")).collect()
         first = sorted({*first, *[(r["ord"], r["tie"]) for r in least if r["stretch"] > 0]})
     side = max(1, int(len(first) ** 0.5))
-    one = lambda v, tie: F.struct(F.lit(v).cast("long").alias("ord"), F.lit(tie).cast("long").alias("tie"))
-    array = lambda xs: F.array(*[one(*x) for x in xs]).cast("array<struct<ord:bigint,tie:bigint>>")
+    array = lambda xs: constant([{"ord": v, "tie": tie} for v, tie in xs], "array<struct<ord:bigint,tie:bigint>>")
     fine, coarse, here = array(first), array(first[::side]), F.struct("ord", "tie")
     below = F.size(F.filter(coarse, lambda s: s <= here))
     bucket = (below - 1) * side + F.size(F.filter(F.slice(fine, (below - 1) * side + 1, F.lit(side)), lambda s: s <= here))
