@@ -17,9 +17,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from shelfwise.llm.common import ROW_KEY, WORD, cut, row_key, table
+from shelfwise.llm.common import ROW_KEY, WORD, constant, cut, row_key, table
 
-#: Rows a slice of a source is planned for, and the least and largest number of slices.
+#: Rows a slice of a source is planned for, and the least and largest number of slices of a source that has several.
 SLICE_ROWS, MIN_SLICES, MAX_SLICES = 4096, 64, 4096
 MAX_EPOCHS = 3
 
@@ -58,14 +58,27 @@ def source_targets(sizes: DataFrame, total: Column | None = None, max_epochs: in
     return ranked.select("source", "source_size", "weight", target.alias("target"))
 
 
-def with_slices(rows: DataFrame, slices: int) -> DataFrame:
-    """`rows` with their slice: how many of the quantiles of their source's order keys they are past, found by halving steps."""
-    shares = [i / slices for i in range(1, slices)]
-    cuts = rows.groupBy(F.col("source").alias("_source")).agg(F.array_distinct(F.percentile_approx("order_key", shares, max(10_000, 10 * slices))).alias("_cuts"))
-    steps = F.array(*[F.lit(1 << b) for b in reversed(range(slices.bit_length()))])
+def with_slices(rows: DataFrame, sizes: DataFrame) -> DataFrame:
+    """`rows` with their slice: how many of the quantiles of their source's order keys they are past, found by halving steps.
+
+    A source of at most SLICE_ROWS rows is one slice; one of up to MIN_SLICES times as many has MIN_SLICES, a larger one as many as the largest source needs, at
+    most MAX_SLICES. Quantiles are so a small part of the rows, but grow with them: they are joined by source, and Spark sends them to all tasks only
+    below its own limit of size.
+    """
+    most = sizes.agg(F.max("n")).first()[0] or 0
+    large = min(MAX_SLICES, max(MIN_SLICES, -(-most // SLICE_ROWS)))
+    big = sizes.where(F.col("n") > SLICE_ROWS).select(F.col("source").alias("_source"), (F.col("n") > MIN_SLICES * SLICE_ROWS).alias("_large"))
+    shares = lambda n: constant([i / n for i in range(1, n)], "array<double>")
+    keyed = rows.select("source", "order_key").join(big, F.col("source").eqNullSafe(F.col("_source")))
+    cuts = keyed.groupBy("_source").agg(
+        F.percentile_approx(F.when(~F.col("_large"), F.col("order_key")), shares(MIN_SLICES), 10 * MIN_SLICES).alias("few"),
+        F.percentile_approx(F.when(F.col("_large"), F.col("order_key")), shares(large), max(10_000, 10 * large)).alias("many"),
+    )
+    cuts = cuts.select("_source", F.array_distinct(F.coalesce("few", "many")).alias("_cuts"))
+    steps = F.array(*[F.lit(1 << b) for b in reversed(range(MAX_SLICES.bit_length()))])
     past = lambda at, step: (at + step <= F.size("_cuts")) & (F.get("_cuts", at + step - 1) < F.col("order_key"))
     place = F.aggregate(steps, F.lit(0), lambda at, step: F.when(past(at, step), at + step).otherwise(at))
-    return rows.join(F.broadcast(cuts), F.col("source").eqNullSafe(F.col("_source"))).withColumn("slice", place).drop("_source", "_cuts")
+    return rows.join(cuts, F.col("source").eqNullSafe(F.col("_source")), "left").withColumn("slice", place).drop("_source", "_cuts")
 
 
 def mix(docs: DataFrame, seed: int = 42, max_epochs: int = MAX_EPOCHS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", quality: Column | None = None, extra: tuple[str, ...] = ()) -> DataFrame:
@@ -82,10 +95,8 @@ def mix(docs: DataFrame, seed: int = 42, max_epochs: int = MAX_EPOCHS, id_col: s
     )
     rows = cut(rows)
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
-    most = sizes.agg(F.max("n")).first()[0] or 0
-    slices = max(MIN_SLICES, -(-most // SLICE_ROWS))
     targets = source_targets(sizes.select("source", "source_size"), max_epochs=max_epochs)
-    rows = with_slices(rows, min(slices, MAX_SLICES))
+    rows = with_slices(rows, sizes)
     by_slice = rows.groupBy("source", "slice").agg(F.sum("size").alias("slice_size"))
     before = Window.partitionBy("source").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     by_slice = by_slice.withColumn("slice_start", F.coalesce(F.sum("slice_size").over(before), F.lit(0)))
