@@ -87,10 +87,18 @@ def archive_target_name(to_archive: DataFrame, archived: DataFrame, ts: str, nam
 
 
 def image_medium_cap(images: DataFrame, cap: int = 10, product: str = "product", ord_col: str = "ord") -> DataFrame:
-    """High quality always stays, medium only among the first `cap` candidates of its product."""
-    rows = images.withColumn("__quality", T.image_quality(F.col("url"))).where(F.col("__quality").isin("high", "medium"))
-    w = Window.partitionBy(product).orderBy(ord_col)
-    return rows.withColumn("__place", F.row_number().over(w)).where((F.col("__quality") == "high") | (F.col("__place") <= cap)).drop("__quality", "__place")
+    """High quality always stays, medium only among the first `cap` candidates of its product.
+
+    No product is sorted whole: each task keeps its first `cap` candidates of a product, and medium ones are compared with the last of the first `cap` by
+    order and address. Equal candidates are one; a null product is a product.
+    """
+    rows = images.withColumns({"__quality": T.image_quality(F.col("url")), "__at": F.struct(F.col(ord_col).alias("o"), F.col("url").alias("u"))})
+    rows = rows.where(F.col("__quality").isin("high", "medium"))
+    w = Window.partitionBy("__product").orderBy("__at")
+    first = rows.select(F.col(product).alias("__product"), "__at").withColumn("__place", F.dense_rank().over(w)).where(F.col("__place") <= cap)
+    last = first.groupBy("__product").agg(F.max("__at").alias("__last"))
+    medium = rows.where("__quality = 'medium'").join(last, F.col(product).eqNullSafe(F.col("__product"))).where(F.col("__at") <= F.col("__last"))
+    return rows.where("__quality = 'high'").select(*images.columns).unionByName(medium.select(*images.columns))
 
 
 def image_dedupe(images: DataFrame, product: str = "product", ord_col: str = "ord") -> DataFrame:

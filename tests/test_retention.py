@@ -43,3 +43,23 @@ def test_too_many_names_are_an_error(spark, monkeypatch):
     assert reshape.specs_to_wide_dynamic(specs, ["k1"]).columns == ["id", "spec_k1"]
     with pytest.raises(ValueError):
         export.export_per_brand_and_all(spark.range(5).select(F.col("id").cast("string").alias("brand")), "/nowhere", "2025-08-03")
+
+
+def test_medium_images_of_a_hot_product(spark):
+    """Against sorting every product, with equal rows, equal orders and products without a name."""
+    import random
+
+    from shelfwise.functions import rules as R
+    from shelfwise.operators import dedupe as D
+
+    rng, high, medium = random.Random(5), R.HIGH_QUALITY_IMAGES[0], R.MEDIUM_QUALITY_IMAGES[0]
+    rows = [(rng.choice(["hot"] * 6 + ["a", "b", None]), rng.randrange(40), f"{rng.choice([high, medium, 'none'])}/{rng.randrange(5)}.jpg") for _ in range(600)]
+    images = spark.createDataFrame(rows, "product string, ord int, url string").repartition(5)
+    rated = {u: q for u, q in images.select("url", D.T.image_quality(images["url"])).distinct().collect()}
+    want = []
+    for product in {r[0] for r in rows}:
+        own = sorted({r[1:] for r in rows if r[0] == product and rated[r[2]] in ("high", "medium")})
+        want += [r for r in rows if r[0] == product and (rated[r[2]] == "high" or rated[r[2]] == "medium" and r[1:] in own[:7])]
+    got = D.image_medium_cap(images, 7)
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr) and 0 < len(want) < len(rows)
+    assert "WindowGroupLimit" in got._jdf.queryExecution().executedPlan().toString()
