@@ -84,7 +84,13 @@ def deltas(changes: DataFrame) -> DataFrame:
 
 
 class RollupTable:
-    """Deltas of committed batches below one folder that all executors share."""
+    """Totals of folded batches and deltas of those committed since, below one folder that all executors share.
+
+    A batch folder, and a base with the totals and ids of all batches folded into it, take their names by a rename that fails if the name is
+    there. Readers add the last base and the batches that it doesn't hold; a folder whose id is in the base counts no more. `fold` makes the next
+    base and deletes the batch folders that the base before already held, so readers that began before it still find theirs. The rename is atomic on
+    HDFS; object stores that copy on rename need one writer, or a committer of their own.
+    """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
@@ -92,52 +98,99 @@ class RollupTable:
         self._path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(path).getFileSystem(spark._jsc.hadoopConfiguration())
 
-    def batches(self) -> list[str]:
+    def _names(self, prefix: str) -> list[str]:
         root = self._path(self.path)
         if not self._fs.exists(root):
             return []
         names = [s.getPath().getName() for s in self._fs.listStatus(root)]
-        return sorted(n.removeprefix("batch=") for n in names if n.startswith("batch="))
+        return sorted(n.removeprefix(prefix) for n in names if n.startswith(prefix))
+
+    def batches(self) -> list[str]:
+        """Ids of the batch folders."""
+        return self._names("batch=")
+
+    def base(self) -> str | None:
+        """The folder of the last base."""
+        found = self._names("base=")
+        return f"{self.path}/base={found[-1]}" if found else None
+
+    def _folded(self, ids: list[str], base: str | None) -> set[str]:
+        """Those of ids that the base holds."""
+        if base is None or not ids:
+            return set()
+        return {r[0] for r in self.spark.read.schema("id string").parquet(f"{base}/ids").where(F.col("id").isin(ids)).collect()}
 
     def committed(self, batch_id: str) -> bool:
-        return self._fs.exists(self._path(f"{self.path}/batch={batch_id}"))
+        return self._fs.exists(self._path(f"{self.path}/batch={batch_id}")) or bool(self._folded([batch_id], self.base()))
 
-    def commit(self, batch_id: str, changes: DataFrame) -> bool:
-        """Whether the batch was added: False if its id is committed already."""
-        if self.committed(batch_id):
-            return False
-        staged, target = (self._path(f"{self.path}/{name}") for name in (f"_staged-{uuid.uuid4().hex}", f"batch={batch_id}"))
-        deltas(changes).write.parquet(staged.toString())
-        hadoop = self.spark._jvm.org.apache.hadoop.fs
+    def _rename(self, staged: str, name: str) -> bool:
+        """Give a staged folder its name; False if another writer has it."""
+        hadoop, target = self.spark._jvm.org.apache.hadoop.fs, self._path(f"{self.path}/{name}")
         no_options = self.spark.sparkContext._gateway.new_array(hadoop.Options.Rename, 0)
         try:
             # Unlike FileSystem.rename, which moves into a folder that is there, this fails.
-            hadoop.FileContext.getFileContext(target.toUri(), self.spark._jsc.hadoopConfiguration()).rename(staged, target, no_options)
+            hadoop.FileContext.getFileContext(target.toUri(), self.spark._jsc.hadoopConfiguration()).rename(self._path(staged), target, no_options)
         except Py4JJavaError:
-            if not self.committed(batch_id):
+            if not self._fs.exists(target):
                 raise
-            self._fs.delete(staged, True)
+            self._fs.delete(self._path(staged), True)
             return False
         return True
 
-    def totals(self) -> DataFrame:
-        """(source, lang, tokenizer_version, docs, tokens)."""
-        found = self.batches()
-        if not found:
+    def commit(self, batch_id: str, changes: DataFrame) -> bool:
+        """Whether the batch was added: False if its id is committed already."""
+        if self.committed(batch_id):
+            return False
+        staged = f"{self.path}/_staged-{uuid.uuid4().hex}"
+        deltas(changes).write.parquet(staged)
+        return self._rename(staged, f"batch={batch_id}")
+
+    def fold(self) -> bool:
+        """Fold all committed batches into a new base; False if there are none, or another writer made that base."""
+        base, found = self.base(), self.batches()
+        before = self._folded(found, base)
+        new = [b for b in found if b not in before]
+        if not new:
+            return False
+        staged = f"{self.path}/_staged-{uuid.uuid4().hex}"
+        self._sum(base, new).write.parquet(f"{staged}/totals")
+        ids = self.spark.createDataFrame([(b,) for b in new], "id string")
+        if base:
+            ids = ids.unionByName(self.spark.read.schema("id string").parquet(f"{base}/ids"))
+        ids.coalesce(1).write.parquet(f"{staged}/ids")
+        number = int(base.rpartition("=")[2]) + 1 if base else 0
+        if not self._rename(staged, f"base={number:020d}"):
+            return False
+        for b in before:
+            self._fs.delete(self._path(f"{self.path}/batch={b}"), True)
+        return True
+
+    def _sum(self, base: str | None, batches: list[str]) -> DataFrame:
+        paths = [*([f"{base}/totals"] if base else []), *(f"{self.path}/batch={b}" for b in batches)]
+        if not paths:
             return self.spark.createDataFrame([], _SCHEMA)
-        rows = self.spark.read.schema(_SCHEMA).parquet(*[f"{self.path}/batch={b}" for b in found])
+        rows = self.spark.read.schema(_SCHEMA).parquet(*paths)
         return rows.groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).where("docs <> 0 or tokens <> 0")
 
+    def totals(self) -> DataFrame:
+        """(source, lang, tokenizer_version, docs, tokens)."""
+        base, found = self.base(), self.batches()
+        folded = self._folded(found, base)
+        return self._sum(base, [b for b in found if b not in folded])
+
 
 def copies(docs: DataFrame, id_col: str = "doc_id", digest: str = "digest") -> DataFrame:
-    """The rows of `docs` whose text stands under a lesser id too; works on digests of texts."""
+    """The rows of `docs` whose text stands under a lesser id too; works on digests of texts.
+
+    A row without an id has no lesser one, nor have repeated rows of one id: neither is a copy of the other.
+    """
     first = docs.groupBy(digest).agg(F.min(id_col).alias("__first_id"), F.count("*").alias("__n")).where("__n > 1")
     # Written, so that a digest that many rows share is split by the join at run time.
     return docs.join(cut(first.select(digest, "__first_id")), digest).where(F.col(id_col) > F.col("__first_id")).drop("__first_id")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Inserts all documents under one version, revises all to the next, deletes exact copies, and replays a batch."""
+    """Inserts all documents under one version, revises all to the next, folds these, deletes exact copies, and replays a folded batch."""
     old, new = VERSIONS
     docs = table(spark, sf_dir, "documents")
     digest = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
@@ -150,4 +203,6 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     rollup = RollupTable(spark, f"{ensure_checkpoint_dir(spark)}/rollup-{uuid.uuid4().hex}")
     for name, changes in (("0001", insert), ("0002", revise), ("0003", delete), ("0002", revise)):
         rollup.commit(name, changes)
+        if name == "0002":
+            rollup.fold()
     return rollup.totals()
