@@ -27,14 +27,41 @@ def first_rows(df: DataFrame, keys: list[str], order: str | None = None) -> Data
     return known.groupBy(*keys).agg(least.alias("__row")).select(*[F.col(c) if c in keys else F.col(f"__row.`{c}`").alias(c) for c in df.columns])
 
 
-def lifecycle_join(current: DataFrame, archive: DataFrame, master: DataFrame, keys: list[str], order: str = "ord") -> DataFrame:
-    """keys, in_current, in_archive, in_master and the first row of each side as structs cur, arc, mas; `order` counts where a side has it."""
-    sides = []
-    for name, df in (("cur", current), ("arc", archive), ("mas", master)):
-        one = first_rows(df, keys, order if order in df.columns else None)
-        sides.append(one.select(*keys, F.struct(*one.columns).alias(name)))
-    out = sides[0].join(sides[1], keys, "full").join(sides[2], keys, "full")
-    return out.select(*keys, *[F.col(n).isNotNull().alias(f) for n, f in (("cur", "in_current"), ("arc", "in_archive"), ("mas", "in_master"))], "cur", "arc", "mas")
+def align_sides(sides: dict[str, DataFrame], keys: list[str], order: str = "ord") -> DataFrame:
+    """keys and, for each side, the struct of its first row (null where it lacks the key); `order` counts where a side has it.
+
+    The sides are stacked and grouped once, so each row is shuffled once and no join follows; first rows combine before the shuffle. Rows whose order is
+    null come last, rows with a null key drop out.
+    """
+    stacked = []
+    for name, df in sides.items():
+        known = df.where(reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys]))
+        rest = [F.col(f"`{x}`") for x in df.columns if x not in keys and x != order]
+        row = F.struct(*keys, *rest)
+        if order in df.columns:
+            place = F.struct(F.col(order).isNull(), F.col(order))
+        else:
+            plain = not any(kind in df.schema.simpleString() for kind in ("map<", "variant"))
+            place = F.struct(F.lit(False), F.struct(*rest) if plain and rest else F.to_json(row))
+        stacked.append(known.select(*keys, place.alias(f"__at_{name}"), row.alias(name)))
+    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), stacked)
+    return rows.groupBy(*keys).agg(*[F.min_by(name, f"__at_{name}").alias(name) for name in sides])
+
+
+def _present(aligned: DataFrame, keys: list[str]) -> DataFrame:
+    return aligned.select(*keys, *[F.col(n).isNotNull().alias(f) for n, f in (("cur", "in_current"), ("arc", "in_archive"), ("mas", "in_master"))], "cur", "arc", "mas")
+
+
+def lifecycle_join(current: DataFrame, archive: DataFrame, master: DataFrame, keys: list[str], order: str = "ord", buckets: int | None = None) -> DataFrame:
+    """keys, in_current, in_archive, in_master and the first row of each side as structs cur, arc, mas; `order` counts where a side has it.
+
+    With `buckets` the master is a table in that many buckets of the keys, one row a key (store.read_bucketed): it is joined where it lies, and only
+    the rows of the snapshots are shuffled, to the same buckets.
+    """
+    if buckets is None:
+        return _present(align_sides({"cur": current, "arc": archive, "mas": master}, keys, order), keys)
+    day = align_sides({"cur": current, "arc": archive}, keys, order).repartition(buckets, *keys)
+    return _present(day.join(master.select(*keys, F.struct(*[f"`{x}`" for x in master.columns]).alias("mas")), keys, "full"), keys)
 
 
 def known_names(current: DataFrame, master: DataFrame, keys: list[str]) -> DataFrame:
@@ -91,14 +118,14 @@ def record_precedence(aligned: DataFrame, columns: list[str]) -> DataFrame:
     return aligned.select(*rest, *[pick(c) for c in columns])
 
 
-def update_master(current: DataFrame, archive: DataFrame, master: DataFrame, keys: list[str], as_of: str, prefer_master_dates: bool = False) -> DataFrame:
+def update_master(current: DataFrame, archive: DataFrame, master: DataFrame, keys: list[str], as_of: str, prefer_master_dates: bool = False, buckets: int | None = None) -> DataFrame:
     """The new master: all keys of the three sides with status, dates and the row data that goes first; text fields cleaned.
 
-    With prefer_master_dates the dates of a discontinued row come from the master where it has the row, not from the archive.
+    With prefer_master_dates the dates of a discontinued row come from the master where it has the row, not from the archive. `buckets`: see lifecycle_join.
     """
     skip = {*keys, *STATE, "ord", "snapshot_date"}
     columns = list(dict.fromkeys(c for df in (current, archive, master) for c in df.columns if c not in skip))
-    aligned = lifecycle_dates(lifecycle_status(lifecycle_join(current, archive, master, keys)), as_of, prefer_master_dates)
+    aligned = lifecycle_dates(lifecycle_status(lifecycle_join(current, archive, master, keys, buckets=buckets)), as_of, prefer_master_dates)
     out = record_precedence(aligned, columns).select(*keys, *columns, "status", "first_seen_date", "last_seen_date", F.lit(as_of).alias("last_updated"))
     return clean_fields(out, skip=keys)
 
@@ -118,11 +145,16 @@ def sort_by_status_name(df: DataFrame, name: str = "name") -> DataFrame:
     return df.orderBy(place, name)
 
 
+def status_lines(master: DataFrame, name: str = "name", price: str = "price") -> DataFrame:
+    """name, price label, the date that matters for the status, and the report that the row belongs to; one pass over the master."""
+    date = F.when(F.col("status") == "New", F.col("first_seen_date")).otherwise(F.col("last_seen_date"))
+    return master.where(F.col("status").isin("New", "Available", "Discontinued")).select(name, T.price_label(F.col(price)).alias("price_label"), date.alias("date"), F.col("status").alias("report"))
+
+
 def status_reports(master: DataFrame, name: str = "name", price: str = "price") -> dict[str, DataFrame]:
     """A table for each status: name, price label and the date that matters."""
-    line = master.withColumn("price_label", T.price_label(F.col(price)))
-    dates = {"New": "first_seen_date", "Available": "last_seen_date", "Discontinued": "last_seen_date"}
-    return {s: line.where(F.col("status") == s).select(name, "price_label", F.col(d).alias("date")) for s, d in dates.items()}
+    lines = status_lines(master, name, price)
+    return {s: lines.where(F.col("report") == s).drop("report") for s in ("New", "Available", "Discontinued")}
 
 
 def update_all_brands(current: DataFrame, archive: DataFrame, master: DataFrame, as_of: str, prefer_master_dates: bool = False) -> DataFrame:

@@ -19,6 +19,7 @@ from shelfwise.operators import summary as S
 from shelfwise.operators.reshape import filter_brands
 from shelfwise.plans import adaptors as A
 from shelfwise.sources import files as IO
+from shelfwise.sources import store
 from shelfwise.sources.scratch import scratch
 from shelfwise.streaming import jobs
 
@@ -304,10 +305,21 @@ add("lifecycle_dates_of_master", lambda s, d: L.lifecycle_dates(L.lifecycle_stat
 add("record_precedence", lambda s, d: L.record_precedence(_aligned(s, d), ["price", "category"]).select("name", "price", "category"), f"SELECT name, {_PRICE} AS price, {_CATEGORY} AS category FROM {_ALIGNED}")
 add("update_master", _master, f"SELECT * FROM {_UPDATED}")
 add("update_all_brands", lambda s, d: L.update_all_brands(*_sides(s, d), AS_OF), f"SELECT * FROM {_UPDATED}")
+
+
+def _rolled(spark: SparkSession, d: str) -> DataFrame:
+    """The master is written in buckets, then updated where it lies."""
+    base, (current, archive, master) = scratch(spark, "bucketed"), _sides(spark, d)
+    store.start_master(master, base, KEYS, 64, "2025-08-01")
+    store.roll_master(current, archive, base, AS_OF)
+    return store.read_bucketed(spark, base)[0]
+
+
+add("update_all_brands_bucketed", _rolled, f"SELECT * FROM {_UPDATED}")
 _NOARC = _UPDATED.replace(A.duck(A.ARCHIVE), f"(SELECT * FROM {_A} WHERE false)")
 add("update_master_two_way", lambda s, d: L.update_master_two_way(_sides(s, d)[0], _sides(s, d)[2], KEYS, AS_OF), f"SELECT * FROM {_NOARC}")
 add("sort_by_status_name", lambda s, d: L.sort_by_status_name(_master(s, d)).select("status", "name"), f"SELECT status, name FROM {_UPDATED}")
-add("status_reports", lambda s, d: W.unify_brands([df.withColumn("report", F.lit(k)) for k, df in L.status_reports(_master(s, d)).items()]), f"SELECT name, '€' || price AS price_label, CASE WHEN status = 'New' THEN first_seen_date ELSE last_seen_date END AS date, status AS report FROM {_UPDATED}")
+add("status_reports", lambda s, d: L.status_lines(_master(s, d)), f"SELECT name, '€' || price AS price_label, CASE WHEN status = 'New' THEN first_seen_date ELSE last_seen_date END AS date, status AS report FROM {_UPDATED}")
 add("status_counts", lambda s, d: S.status_counts(_master(s, d)), f"SELECT status, count(*) AS n FROM {_UPDATED} GROUP BY status")
 add("brand_status_summary", lambda s, d: S.brand_status_summary(_master(s, d)), f"SELECT brand, count(*) AS total, count_if(status = 'New')::BIGINT AS new, count_if(status = 'Available')::BIGINT AS available, count_if(status = 'Discontinued')::BIGINT AS discontinued, grouping(brand)::INT AS is_total FROM {_UPDATED} GROUP BY ROLLUP (brand)")
 add_frame("lifecycle_replay", A.SNAPSHOTS, lambda df: L.lifecycle_replay(df, KEYS), "SELECT brand, name, first_seen, last_seen, CASE WHEN last_seen < newest THEN 'Discontinued' WHEN first_seen = newest THEN 'New' ELSE 'Available' END AS status FROM (SELECT brand, name, min(snapshot_date) AS first_seen, max(snapshot_date) AS last_seen FROM {t} GROUP BY 1, 2) JOIN (SELECT brand, max(snapshot_date) AS newest FROM {t} GROUP BY 1) USING (brand)")

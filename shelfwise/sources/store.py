@@ -13,8 +13,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from shelfwise.operators.lifecycle import clean_fields, first_rows
+from shelfwise.operators.lifecycle import clean_fields, first_rows, update_master
 
 
 class Store:
@@ -177,3 +178,49 @@ class BucketedMaster:
         status = F.when(F.col("__last") < number, "Discontinued").when(F.col("__first") == number, "New").otherwise("Available")
         plain = [c for c in rows.columns if c not in ("__first", "__last", "first_seen_date", "last_seen_date")]
         return rows.select(*[f"`{c}`" for c in plain], status.alias("status"), "first_seen_date", "last_seen_date", F.lit(content["as_of"]).alias("last_updated"))
+
+
+def write_bucketed(df: DataFrame, base: str, keys: list[str], buckets: int, ts: str, number: int | None = None) -> int | None:
+    """Write df, one row a key, in buckets of the keys and commit it as `number` (default: the next free one); None if another writer has that number.
+
+    Rows that lie in partitions of the same keys and count (as after a join with such a table) go to one file a bucket without a shuffle.
+    """
+    store, name = Store(df.sparkSession, base), f"bucketed_{uuid.uuid4().hex}"
+    folder = store.stage()
+    df.write.format("parquet").bucketBy(buckets, *keys).sortBy(*keys).option("path", f"{store.base}/{folder}").saveAsTable(name)
+    df.sparkSession.sql(f"DROP TABLE {name}")  # the files stay: tables with a path are external
+    content = {"ts": ts, "folder": folder, "keys": keys, "buckets": buckets, "schema": df.schema.json()}
+    if number is None:
+        return store.append(lambda _: content)
+    return number if store.commit(number, content) else None
+
+
+def read_bucketed(spark: SparkSession, base: str) -> tuple[DataFrame, int, dict]:
+    """The last committed table, known to Spark as bucketed, with its commit."""
+    last = Store(spark, base).latest()
+    if last is None:
+        raise FileNotFoundError(f"no bucketed table below {base}")
+    number, content = last
+    name, path = f"bucketed_{uuid.uuid4().hex}", f"{base.rstrip('/')}/{content['folder']}"
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in StructType.fromJson(json.loads(content["schema"])))
+    keys = ", ".join(f"`{k}`" for k in content["keys"])
+    spark.sql(f"CREATE TABLE {name} ({fields}) USING parquet CLUSTERED BY ({keys}) SORTED BY ({keys}) INTO {content['buckets']} BUCKETS LOCATION '{path}'")
+    df = spark.table(name)
+    df.schema  # noqa: B018 (resolved before the name goes)
+    spark.sql(f"DROP TABLE {name}")
+    return df, number, content
+
+
+def start_master(master: DataFrame, base: str, keys: list[str], buckets: int, ts: str) -> int:
+    """The first bucketed master, its first row of each key."""
+    return write_bucketed(first_rows(master, keys, "ord" if "ord" in master.columns else None), base, keys, buckets, ts)
+
+
+def roll_master(current: DataFrame, archive: DataFrame, base: str, as_of: str, prefer_master_dates: bool = False) -> int:
+    """The master of the next day from a bucketed one: its rows are read and written bucket by bucket, never shuffled; raises if another writer was first."""
+    master, number, content = read_bucketed(current.sparkSession, base)
+    new = update_master(current, archive, master, content["keys"], as_of, prefer_master_dates, content["buckets"])
+    done = write_bucketed(new, base, content["keys"], content["buckets"], as_of, number + 1)
+    if done is None:
+        raise RuntimeError(f"commit {number + 1} below {base} was made by another writer")
+    return done
