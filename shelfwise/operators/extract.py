@@ -145,10 +145,14 @@ def page_profile(pages: DataFrame, patterns: dict[str, str], words: list[str], m
     return pages.select("page_id", F.size(scripts).cast("long").alias("scripts"), F.size(F.filter(scripts, lambda s: s.contains(marker))).cast("long").alias("marked_scripts"), *hits, *flags)
 
 
+def clean_key(key: Column) -> Column:
+    return F.translate(F.lower(F.replace(key, F.lit(":"), F.lit(""))), "-", " ")
+
+
 def map_key(key: Column, rules: list = R.SPEC_KEY_RULES, longest_match: bool = False) -> Column:
     """The field of the first rule (or the longest pattern) that the key contains."""
     ordered = sorted(rules, key=lambda r: -len(r[0])) if longest_match else rules
-    return R.first_rule(F.translate(F.lower(F.replace(key, F.lit(":"), F.lit(""))), "-", " "), ordered)
+    return R.first_rule(clean_key(key), ordered)
 
 
 def map_spec_key(specs: DataFrame, rules: list = R.SPEC_KEY_RULES, longest_match: bool = False, key: str = "key") -> DataFrame:
