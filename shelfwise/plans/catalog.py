@@ -9,11 +9,13 @@ from pyspark.sql import functions as F
 
 from shelfwise.functions import rules as R
 from shelfwise.functions import text as T
+from shelfwise.functions.automaton import first_word
 from shelfwise.operators import dedupe as D
 from shelfwise.operators import export as X
 from shelfwise.operators import extract as E
 from shelfwise.operators import html_blocks as H
 from shelfwise.operators import lifecycle as L
+from shelfwise.operators import overlap as O
 from shelfwise.operators import reshape as W
 from shelfwise.operators import summary as S
 from shelfwise.operators.reshape import filter_brands
@@ -162,6 +164,10 @@ add_column("merge_specs_fill_empty", lambda: _JOINED(T.merge_specs_fill_empty(_M
 add_column("is_track_product", lambda: T.is_track_product(c("name"), c("url")), "coalesce(contains(lower(name), 'track'), false) OR contains(lower(url), 'track')", A.MODELS)
 add_column("component_speed", lambda: T.component_speed(c("shifter")), "coalesce(" + ", ".join(f"(SELECT CASE WHEN max(x::INT) > 5 THEN max(x::INT) END FROM unnest(regexp_extract_all(lower(t.shifter), '{p}', 1)) u(x))" for p in ("(\\d+)[-\\s]*speed", "(\\d+)[-\\s]*versnellingen")) + ")::VARCHAR || ' speed'")
 add_column("map_spec_key", lambda: E.map_key(c("spec_key")), case("replace(lower(replace(spec_key, ':', '')), '-', ' ')", R.SPEC_KEY_RULES))
+_CLEAN_KEY_SQL = "replace(lower(replace(spec_key, ':', '')), '-', ' ')"
+add_column("map_spec_key_automaton", lambda: first_word(E.clean_key(c("spec_key")), R.SPEC_KEY_RULES), case(_CLEAN_KEY_SQL, R.SPEC_KEY_RULES))
+add_column("map_spec_key_longest", lambda: E.map_key(c("spec_key"), longest_match=True), case(_CLEAN_KEY_SQL, sorted(R.SPEC_KEY_RULES, key=lambda r: -len(r[0]))))
+add("component_words_in_documents", lambda s, d: table(s, d, "documents").select("doc_id", first_word(F.lower("text"), R.COMPONENT_TITLE_RULES).alias("field")), f"SELECT doc_id, {case('lower(text)', R.COMPONENT_TITLE_RULES)} AS field FROM documents")
 add_column("map_component_title", lambda: R.first_rule(F.lower("spec_key"), R.COMPONENT_TITLE_RULES), case("lower(spec_key)", R.COMPONENT_TITLE_RULES))
 
 # --- page texts ---------------------------------------------------------------------------------------------------
@@ -323,6 +329,24 @@ add("status_reports", lambda s, d: L.status_lines(_master(s, d)), f"SELECT name,
 add("status_counts", lambda s, d: S.status_counts(_master(s, d)), f"SELECT status, count(*) AS n FROM {_UPDATED} GROUP BY status")
 add("brand_status_summary", lambda s, d: S.brand_status_summary(_master(s, d)), f"SELECT brand, count(*) AS total, count_if(status = 'New')::BIGINT AS new, count_if(status = 'Available')::BIGINT AS available, count_if(status = 'Discontinued')::BIGINT AS discontinued, grouping(brand)::INT AS is_total FROM {_UPDATED} GROUP BY ROLLUP (brand)")
 add_frame("lifecycle_replay", A.SNAPSHOTS, lambda df: L.lifecycle_replay(df, KEYS), "SELECT brand, name, first_seen, last_seen, CASE WHEN last_seen < newest THEN 'Discontinued' WHEN first_seen = newest THEN 'New' ELSE 'Available' END AS status FROM (SELECT brand, name, min(snapshot_date) AS first_seen, max(snapshot_date) AS last_seen FROM {t} GROUP BY 1, 2) JOIN (SELECT brand, max(snapshot_date) AS newest FROM {t} GROUP BY 1) USING (brand)")
+# The registered tables have fewer names a brand than a sketch of 2^20 holds, so its counts are the exact ones of the SQL.
+_LG = 20
+
+
+def _overlaps(df: DataFrame) -> DataFrame:
+    pairs = O.successive(O.snapshot_sketches(df, ["brand", "snapshot_date"], ["name"], _LG), ["brand"], "snapshot_date")
+    return O.overlap_counts(pairs.drop("variants"), lg_k=_LG).drop("error")
+
+
+_DAYS = "(SELECT DISTINCT brand, snapshot_date, name FROM {t})"
+_DATES = "(SELECT brand, snapshot_date, lag(snapshot_date) OVER (PARTITION BY brand ORDER BY snapshot_date) AS before FROM (SELECT DISTINCT brand, snapshot_date FROM {t}))"
+add_frame("snapshot_overlap", A.SNAPSHOTS, _overlaps, f"""WITH s AS {_DAYS}, d AS {_DATES}, now AS (SELECT d.brand, d.snapshot_date, s.name FROM d JOIN s ON s.brand = d.brand AND s.snapshot_date = d.snapshot_date),
+  old AS (SELECT d.brand, d.snapshot_date, s.name FROM d JOIN s ON s.brand = d.brand AND s.snapshot_date = d.before)
+  SELECT coalesce(now.brand, old.brand) AS brand, coalesce(now.snapshot_date, old.snapshot_date) AS snapshot_date, count(now.name) AS models, count(*) FILTER (old.name IS NULL) AS added,
+  count(*) FILTER (now.name IS NOT NULL AND old.name IS NOT NULL) AS kept, count(*) FILTER (now.name IS NULL) AS gone, count(*) AS either
+  FROM now FULL JOIN old ON now.brand = old.brand AND now.snapshot_date = old.snapshot_date AND now.name = old.name GROUP BY 1, 2""")
+add_frame("model_counts_by_sketch", A.DUPLICATES, lambda df: O.model_counts(O.snapshot_sketches(df, ["brand"], ["name"], _LG), _LG).drop("error"), "SELECT brand, count(*) AS variants, count(DISTINCT name) AS models FROM {t} GROUP BY brand")
+add_frame("model_and_variant_counts_by_sketch", A.DUPLICATES, lambda df: O.model_counts(O.merged(O.snapshot_sketches(df, ["brand"], ["name"], _LG), [], _LG), _LG).drop("error"), "SELECT count(*) AS variants, count(DISTINCT name) AS models FROM {t}")
 
 # --- reshape and export ---------------------------------------------------------------------------------------------------
 _SNAP = "SELECT k, CASE WHEN k % 13 = 0 THEN NULL ELSE name END AS name, brand, price, url, spec_a AS spec_frame, spec_b AS spec_rem, CASE WHEN k % 2 = 0 THEN image END AS hero_image_1_url, CASE WHEN k % 2 = 0 THEN 'p' END AS hero_image_1_path, CASE WHEN k % 4 = 0 THEN concat('https://img.example/', cast(k AS STRING)) END AS hero_image_2_url, CASE k % 4 WHEN 1 THEN 'New' WHEN 2 THEN 'Discontinued' ELSE 'Available' END AS status, seen AS first_seen_date, seen AS last_seen_date, concat('2025-08-0', cast(k % 7 + 1 AS STRING)) AS last_updated FROM (" + A.SPECS + ") x"
