@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfwise.functions import rules as R
@@ -26,6 +27,41 @@ def specs_to_wide_dynamic(products: DataFrame, keys: list[str] | None = None, sp
     return products.select(*[c for c in products.columns if c != specs], *wide)
 
 
+def hot_keys(products: DataFrame, n: int = 200, tracked: int = 10_000, specs: str = "specs") -> list[str]:
+    """At most n keys that hold a value most often, found in one pass by a frequent-item sketch of bounded size.
+
+    With N filled values in all, a key that is left out holds at most 2.7 * N / tracked more values than one that is chosen; with fewer distinct keys than
+    `tracked` the choice is exact. Equal counts are broken by the sketch's own order.
+    """
+    key = products.select(F.explode(F.map_entries(specs)).alias("e")).where(F.trim("e.value") != "").select(F.col("e.key").alias("key"))
+    top = key.agg(F.expr(f"approx_top_k(key, {int(n)}, {int(tracked)})").alias("top")).first()["top"]
+    return [r["item"] for r in top or []]
+
+
+def specs_to_wide_hot(products: DataFrame, n: int = 200, tracked: int = 10_000, specs: str = "specs", keys: list[str] | None = None) -> DataFrame:
+    """spec_* columns for the n most frequent keys (or the given ones), everything else in the VARIANT spec_overflow (null where nothing is left).
+
+    Any number of distinct keys may occur and no value is lost: keys that would get the column of another key, or one that the products have, stay in the overflow.
+    """
+    name = lambda k: "spec_" + k.replace(" ", "_").replace("/", "_")
+    taken, chosen = {x.lower() for x in products.columns if x != specs} | {"spec_overflow"}, []
+    for k in hot_keys(products, n, tracked, specs) if keys is None else keys:
+        if name(k).lower() not in taken:
+            taken.add(name(k).lower())
+            chosen.append(k)
+    wide = [F.try_element_at(specs, F.lit(k)).alias(name(k)) for k in sorted(chosen)]
+    rest = F.map_filter(specs, lambda k, v: ~F.coalesce(k.isin(chosen), F.lit(False))) if chosen else F.col(specs)
+    overflow = F.when(F.size(rest) > 0, F.to_variant_object(rest)).alias("spec_overflow")
+    return products.select(*[f"`{c}`" for c in products.columns if c != specs], *wide, overflow)
+
+
+def overflow_value(key: str, overflow: str = "spec_overflow") -> Column:
+    """The text of one key in the overflow; null where it isn't there."""
+    if re.fullmatch(r"[\w ./-]+", key):
+        return F.try_variant_get(overflow, f"$['{key}']", "string")
+    return F.try_element_at(F.try_variant_get(overflow, "$", "map<string,string>"), F.lit(key))  # paths can't quote every key
+
+
 def specs_to_wide_fixed(products: DataFrame, names: list[str] = R.REQUIRED_SPECS, specs: str = "specs") -> DataFrame:
     fields = T.required_spec_defaults(F.col(specs), [*names, *R.EXTRA_SPECS])
     return products.select(*[c for c in products.columns if c != specs], *[f.alias(f"spec_{n}") for f, n in zip(fields, [*names, *R.EXTRA_SPECS])])

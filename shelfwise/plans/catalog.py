@@ -352,6 +352,9 @@ add_frame("model_and_variant_counts_by_sketch", A.DUPLICATES, lambda df: O.model
 _SNAP = "SELECT k, CASE WHEN k % 13 = 0 THEN NULL ELSE name END AS name, brand, price, url, spec_a AS spec_frame, spec_b AS spec_rem, CASE WHEN k % 2 = 0 THEN image END AS hero_image_1_url, CASE WHEN k % 2 = 0 THEN 'p' END AS hero_image_1_path, CASE WHEN k % 4 = 0 THEN concat('https://img.example/', cast(k AS STRING)) END AS hero_image_2_url, CASE k % 4 WHEN 1 THEN 'New' WHEN 2 THEN 'Discontinued' ELSE 'Available' END AS status, seen AS first_seen_date, seen AS last_seen_date, concat('2025-08-0', cast(k % 7 + 1 AS STRING)) AS last_updated FROM (" + A.SPECS + ") x"
 _specs = lambda df: df.select("k", _MAP().alias("specs"))
 add_frame("specs_to_wide_dynamic", A.SPECS, lambda df: W.specs_to_wide_dynamic(_specs(df)), "SELECT k, spec_a AS spec_Frame, spec_b AS spec_Rem FROM {t}")
+# Of three keys the most frequent becomes a column; the other two are read back from the overflow.
+_three = lambda df: df.select("k", F.create_map(F.lit("Frame"), c("spec_a"), F.lit("Rem"), c("spec_b"), F.lit("Wheel size"), c("price")).alias("specs"))
+add_frame("specs_to_wide_hot", A.SPECS, lambda df: W.specs_to_wide_hot(_three(df), 1).select("k", "spec_Wheel_size", W.overflow_value("Frame").alias("frame"), W.overflow_value("Rem").alias("rem")), "SELECT k, price AS \"spec_Wheel_size\", spec_a AS frame, spec_b AS rem FROM {t}")
 add_frame("specs_to_wide_fixed", A.SPECS, lambda df: W.specs_to_wide_fixed(_specs(df), ["Frame", "Rem"]), "SELECT k, coalesce(spec_a, '') AS spec_Frame, coalesce(spec_b, '') AS spec_Rem, '' AS spec_Material, '' AS spec_Weight FROM {t}")
 add_frame("images_to_wide", A.SPECS, lambda df: W.images_to_wide(df.select("k", F.slice(F.array(F.struct(c("image").alias("url"), c("brand").alias("local_path"), c("name").alias("filename")), F.struct(c("url"), c("price").alias("local_path"), c("rear").alias("filename"))), F.lit(1), (c("k") % 3).cast("int")).alias("images")), 2), "SELECT k, " + ", ".join(f"CASE WHEN k % 3 >= {i} THEN {v} END AS hero_image_{i}_{n}" for i, vs in ((1, ("image", "brand", "name")), (2, ("url", "price", "rear"))) for n, v in zip(("url", "path", "filename"), vs)) + " FROM {t}")
 add_frame("explode_colors", A.SPECS, lambda df: W.explode_colors(df.select("k", F.when(c("k") % 2 == 0, F.array("brand", "rear")).alias("colors"))), "SELECT k, brand AS color FROM {t} WHERE k % 2 = 0 UNION ALL SELECT k, rear FROM {t} WHERE k % 2 = 0 UNION ALL SELECT k, '' FROM {t} WHERE k % 2 <> 0")
