@@ -14,6 +14,7 @@ from shelfwise.operators import dedupe as D
 from shelfwise.operators import export as X
 from shelfwise.operators import extract as E
 from shelfwise.operators import html_blocks as H
+from shelfwise.operators import key_filter
 from shelfwise.operators import lifecycle as L
 from shelfwise.operators import overlap as O
 from shelfwise.operators import reshape as W
@@ -321,6 +322,21 @@ def _rolled(spark: SparkSession, d: str) -> DataFrame:
     return store.read_bucketed(spark, base)[0]
 
 
+def _filtered(find: Callable, side: int) -> Query:
+    """Names of one side looked up in a bucketed master behind the filter that is kept with it."""
+
+    def query(spark: SparkSession, d: str) -> DataFrame:
+        base, sides = scratch(spark, "filtered"), _sides(spark, d)
+        store.start_master(sides[2], base, ["name"], 64, "2025-08-01", filter_words=key_filter.words_for(1 << 20))
+        words, n = store.read_filter(spark, base)
+        return find(sides[side], store.read_bucketed(spark, base)[0], ["name"], words, n)
+
+    return query
+
+
+add("known_names_filtered", _filtered(key_filter.known_names, 0), f"SELECT DISTINCT name FROM {_C} WHERE name IN (SELECT name FROM {_M})")
+add("new_names_filtered", _filtered(key_filter.new_names, 0), f"SELECT DISTINCT name FROM {_C} WHERE name NOT IN (SELECT name FROM {_M})")
+add("archive_minus_master_filtered", _filtered(key_filter.new_names, 1), f"SELECT DISTINCT name FROM {_A} WHERE name NOT IN (SELECT name FROM {_M})")
 add("update_all_brands_bucketed", _rolled, f"SELECT * FROM {_UPDATED}")
 _NOARC = _UPDATED.replace(A.duck(A.ARCHIVE), f"(SELECT * FROM {_A} WHERE false)")
 add("update_master_two_way", lambda s, d: L.update_master_two_way(_sides(s, d)[0], _sides(s, d)[2], KEYS, AS_OF), f"SELECT * FROM {_NOARC}")

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from shelfwise.operators import key_filter
 from shelfwise.operators.lifecycle import clean_fields, first_rows, update_master
 
 
@@ -180,7 +181,7 @@ class BucketedMaster:
         return rows.select(*[f"`{c}`" for c in plain], status.alias("status"), "first_seen_date", "last_seen_date", F.lit(content["as_of"]).alias("last_updated"))
 
 
-def write_bucketed(df: DataFrame, base: str, keys: list[str], buckets: int, ts: str, number: int | None = None) -> int | None:
+def write_bucketed(df: DataFrame, base: str, keys: list[str], buckets: int, ts: str, number: int | None = None, more: dict | None = None) -> int | None:
     """Write df, one row a key, in buckets of the keys and commit it as `number` (default: the next free one); None if another writer has that number.
 
     Rows that lie in partitions of the same keys and count (as after a join with such a table) go to one file a bucket without a shuffle.
@@ -189,7 +190,7 @@ def write_bucketed(df: DataFrame, base: str, keys: list[str], buckets: int, ts:
     folder = store.stage()
     df.write.format("parquet").bucketBy(buckets, *keys).sortBy(*keys).option("path", f"{store.base}/{folder}").saveAsTable(name)
     df.sparkSession.sql(f"DROP TABLE {name}")  # the files stay: tables with a path are external
-    content = {"ts": ts, "folder": folder, "keys": keys, "buckets": buckets, "schema": df.schema.json()}
+    content = {"ts": ts, "folder": folder, "keys": keys, "buckets": buckets, "schema": df.schema.json(), **(more or {})}
     if number is None:
         return store.append(lambda _: content)
     return number if store.commit(number, content) else None
@@ -211,16 +212,44 @@ def read_bucketed(spark: SparkSession, base: str) -> tuple[DataFrame, int, dict]
     return df, number, content
 
 
-def start_master(master: DataFrame, base: str, keys: list[str], buckets: int, ts: str) -> int:
-    """The first bucketed master, its first row of each key."""
-    return write_bucketed(first_rows(master, keys, "ord" if "ord" in master.columns else None), base, keys, buckets, ts)
+def _write_filter(words: DataFrame, base: str) -> str:
+    store = Store(words.sparkSession, base)
+    folder = store.stage()
+    words.write.parquet(f"{store.base}/{folder}")
+    return folder
+
+
+def read_filter(spark: SparkSession, base: str) -> tuple[DataFrame, int]:
+    """The Bloom filter of the last committed master's keys, and its number of words."""
+    last = Store(spark, base).latest()
+    if last is None or "filter" not in last[1]:
+        raise FileNotFoundError(f"no filter below {base}")
+    return spark.read.schema("word long, mask long").parquet(f"{base.rstrip('/')}/{last[1]['filter']}"), last[1]["filter_words"]
+
+
+def start_master(master: DataFrame, base: str, keys: list[str], buckets: int, ts: str, filter_words: int | None = None) -> int:
+    """The first bucketed master, its first row of each key; with `filter_words`, a Bloom filter of its keys is kept with it."""
+    more = {}
+    if filter_words is not None:
+        more = {"filter": _write_filter(key_filter.key_filter(master, keys, filter_words), base), "filter_words": filter_words}
+    return write_bucketed(first_rows(master, keys, "ord" if "ord" in master.columns else None), base, keys, buckets, ts, more=more)
 
 
 def roll_master(current: DataFrame, archive: DataFrame, base: str, as_of: str, prefer_master_dates: bool = False) -> int:
-    """The master of the next day from a bucketed one: its rows are read and written bucket by bucket, never shuffled; raises if another writer was first."""
-    master, number, content = read_bucketed(current.sparkSession, base)
-    new = update_master(current, archive, master, content["keys"], as_of, prefer_master_dates, content["buckets"])
-    done = write_bucketed(new, base, content["keys"], content["buckets"], as_of, number + 1)
+    """The master of the next day from a bucketed one: its rows are read and written bucket by bucket, never shuffled; raises if another writer was first.
+
+    A filter that is kept with it gets the day's keys; keys never leave a master, so the old ones are not read for it.
+    """
+    spark, more = current.sparkSession, {}
+    master, number, content = read_bucketed(spark, base)
+    keys = content["keys"]
+    if "filter" in content:
+        n = content["filter_words"]
+        day = key_filter.key_filter(current.select(*keys).unionByName(archive.select(*keys)), keys, n)
+        old = spark.read.schema("word long, mask long").parquet(f"{base.rstrip('/')}/{content['filter']}")
+        more = {"filter": _write_filter(key_filter.merge_filters(old, day), base), "filter_words": n}
+    new = update_master(current, archive, master, keys, as_of, prefer_master_dates, content["buckets"])
+    done = write_bucketed(new, base, keys, content["buckets"], as_of, number + 1, more)
     if done is None:
         raise RuntimeError(f"commit {number + 1} below {base} was made by another writer")
     return done
