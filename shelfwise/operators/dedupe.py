@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfwise.functions import text as T
+from shelfwise.sources.scratch import scratch
 
 
 def first_by(df: DataFrame, keys: list, ord_col: str = "ord") -> DataFrame:
@@ -51,8 +52,9 @@ def best_archive(scores: DataFrame) -> DataFrame:
 def retention(manifest: DataFrame, n: int, by: list[str], mtime: str = "mtime", tie: str = "path") -> DataFrame:
     """Manifest with archive = beyond the newest n of its group; an empty `by` counts all files together.
 
-    No group is sorted whole: each task keeps its newest n files of a group, the n-th of these is the cut, and every row is compared with the
-    cut of its group. Only rows that equal it in both columns are numbered.
+    No group is sorted whole: each task keeps its newest n + 1 files of a group, the n-th of these is the cut, and every row is compared with the
+    cut of its group. The cuts are written, so the manifest is read twice: for them and for the result. Only where the file after the cut equals
+    it in both columns (a manifest that lists a file twice), a third read numbers the rows that equal a cut.
     """
     if n <= 0:
         return manifest.withColumn("archive", F.lit(True))
@@ -60,22 +62,28 @@ def retention(manifest: DataFrame, n: int, by: list[str], mtime: str = "mtime",
     keyed = manifest.withColumns({x: F.col(f"`{b}`") for x, b in zip(names, by)} | {"__key": F.struct(F.col(mtime).alias("m"), F.col(tie).alias("t"))})
     if by:
         w = Window.partitionBy(*names).orderBy(F.col("__key").desc())
-        newest = keyed.select(*names, "__key", F.row_number().over(w).alias("__place")).where(F.col("__place") <= n)
+        newest = keyed.select(*names, "__key", F.row_number().over(w).alias("__place")).where(F.col("__place") <= n + 1)
     else:
-        newest = keyed.select("__key").orderBy(F.col("__key").desc()).limit(n)
-    cuts = newest.groupBy(*names).agg(F.array_sort(F.collect_list("__key")).alias("__top"))
-    last = F.when(F.size("__top") == n, F.get("__top", F.lit(0)))
-    cuts = cuts.select(*[F.col(x).alias(f"{x}c") for x in names], last.alias("__last"), F.size(F.filter("__top", lambda k: k > last)).alias("__newer"))
+        newest = keyed.select("__key").orderBy(F.col("__key").desc()).limit(n + 1)
+    cuts = newest.groupBy(*names).agg(F.sort_array(F.collect_list("__key"), asc=False).alias("__top"))
+    last, after = F.get("__top", F.lit(n - 1)), F.get("__top", F.lit(n))
+    cuts = cuts.select(*[F.col(x).alias(f"{x}c") for x in names], last.alias("__last"), F.size(F.filter("__top", lambda k: k > last)).alias("__newer"), (after == last).alias("__more"))
+    path = scratch(manifest.sparkSession, "cuts")
+    cuts.write.parquet(path)
+    cuts = manifest.sparkSession.read.schema(cuts.schema).parquet(path)
     if by:
         same = reduce(lambda a, b: a & b, [F.col(x).eqNullSafe(F.col(f"{x}c")) for x in names])
         rows = keyed.join(cuts, same)
     else:
         rows = keyed.crossJoin(F.broadcast(cuts))  # one row
-    tied = F.coalesce(F.col("__key") == F.col("__last"), F.lit(False))
+    out = [*[f"`{x}`" for x in manifest.columns if x != "archive"], "archive"]
+    older = F.coalesce(F.col("__key") < F.col("__last"), F.lit(False))
+    if cuts.where("__more").isEmpty():
+        return rows.withColumn("archive", older).select(*out)
+    tied = F.coalesce(F.col("__more") & (F.col("__key") == F.col("__last")), F.lit(False))
     inside = Window.partitionBy(*names, "__key").orderBy(F.col(tie).desc())
     numbered = rows.where(tied).withColumn("archive", F.row_number().over(inside) + F.col("__newer") > n)
-    others = rows.where(~tied).withColumn("archive", F.coalesce(F.col("__key") < F.col("__last"), F.lit(False)))
-    return others.unionByName(numbered).select(*[f"`{x}`" for x in manifest.columns if x != "archive"], "archive")
+    return rows.where(~tied).withColumn("archive", older).unionByName(numbered).select(*out)
 
 
 def archive_target_name(to_archive: DataFrame, archived: DataFrame, ts: str, name: str = "file_name") -> DataFrame:
