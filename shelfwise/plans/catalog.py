@@ -453,6 +453,21 @@ def _round_trip(write: Callable, read: Callable) -> Query:
 for _name, _write in (("read_snapshot_csv", IO.write_csv_quote_all), ("write_csv_quote_all", IO.write_csv_quote_all), ("write_csv_minimal", IO.write_csv_minimal)):
     add(_name, _round_trip(_write, IO.read_snapshot_csv), _BACK.replace("{t}", A.duck(_ROWS)))
 add("write_json_records", _round_trip(IO.write_json_records, lambda s, p: s.read.schema("k string, name string, note string, brand string").json(p)), f"SELECT * FROM {A.duck(_ROWS)}")
+# Three snapshots of each brand, of different rows and columns.
+_ARCHIVED = {"20250718_102343": ("p_partkey % 5 <> 0", ["name", "price"]), "20250718_102836": ("p_partkey % 2 = 0", ["name", "price", "category"]), "20250719_101500": ("p_partkey % 3 = 0", ["name", "category"])}
+_ARCHIVE_ROWS = "SELECT lower(replace(p_brand, '#', '_')) AS brand_name, p_partkey, concat('a \"', p_name, '\", b', chr(10), p_partkey) AS name, cast(p_size AS STRING) AS price, p_type AS category FROM {part}"
+
+
+def _best_archives(spark: SparkSession, d: str) -> DataFrame:
+    base, rows = scratch(spark, "archives"), A.frame(spark, d, _ARCHIVE_ROWS)
+    for ts, (where, columns) in _ARCHIVED.items():
+        named = rows.where(where).select(F.concat("brand_name", F.lit(f"_bikes_{ts}.csv")).alias("f"), *columns)
+        named.repartition("f").write.mode("append").partitionBy("f").option("header", True).option("escape", '"').csv(base)
+    return IO.read_best_archives(spark, f"{base}/*")
+
+
+_SNAPS = " UNION ALL ".join(f"SELECT brand_name, '{ts}' AS snapshot, name, {', '.join(x if x in cols else f'NULL AS {x}' for x in ('price', 'category'))}, {len(cols)} AS n_cols FROM {A.duck(_ARCHIVE_ROWS)} WHERE {where}" for ts, (where, cols) in _ARCHIVED.items())
+add("best_archive_rows", _best_archives, f"WITH s AS ({_SNAPS}), b AS (SELECT brand_name, snapshot, row_number() OVER (PARTITION BY brand_name ORDER BY count(*) * max(n_cols) DESC, snapshot DESC) AS place FROM s GROUP BY 1, 2) SELECT s.brand_name, s.snapshot, substr(s.snapshot, 10) AS snapshot_date, s.name, s.price, s.category FROM s JOIN b ON s.brand_name = b.brand_name AND s.snapshot = b.snapshot AND place = 1")
 # Arrays of bounded size: a brand has a file for each 1,000 part keys.
 _ARRAY = "SELECT p_brand AS brand, p_partkey div 1000 AS part_range, concat('[', array_join(array_sort(collect_list(concat('{{\"name\": \"', p_name, ' ', p_partkey, '\", \"price\": ', p_size, ', \"specifications\": {{\"Frame\": \"', p_type, '\"}}}}'))), ','), ']') AS value FROM {part} GROUP BY p_brand, p_partkey div 1000"
 

@@ -20,7 +20,7 @@ from typing import NamedTuple
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -275,14 +275,8 @@ def names_of(head: str) -> list[str]:
     return [f"_c{i}" if not n else f"{n}{i}" if n in again else n for i, n in enumerate(found)]
 
 
-def read_csv(spark: SparkSession, path: str | list[str]) -> Tables:
-    """Quoted CSV with line breaks in fields, as text columns. Each file has its header; columns that a file doesn't have are null.
-
-    Short records are filled with nulls; records with more fields than their header, and what follows a quote that is never closed, are bad.
-    Empty lines are skipped, unquoted empty fields are null; partition folders give no columns.
-    """
-    found = read_records(spark, path, QuotedLines)
-    columns = list(dict.fromkeys(n for h in found.heads.values() for n in names_of(h)))
+def _parse_csv(found: Records) -> tuple[DataFrame, Column]:
+    """(parsed, long): records without the headers, with a struct of fields for each header, and whether a record has more fields than its header."""
     # A file whose header ends in CR LF has such line ends, in fields too; elsewhere CR is a letter.
     windows = F.col("head").isin([crc for crc, h in found.heads.items() if h.endswith("\r")])
     text = F.when(windows, F.regexp_replace(F.replace("text", F.lit("\r\n"), F.lit("\n")), "\r$", "")).otherwise(F.col("text"))
@@ -297,11 +291,35 @@ def read_csv(spark: SparkSession, path: str | list[str]) -> Tables:
     long = F.lit(False)
     for crc, head in found.heads.items():
         long = long | F.coalesce(F.col(f"v{crc}.__wrong").isNotNull() & (n_fields > len(names_of(head))), F.lit(False))
+    return parsed, long
+
+
+def read_csv(spark: SparkSession, path: str | list[str], file_column: str | None = None) -> Tables:
+    """Quoted CSV with line breaks in fields, as text columns. Each file has its header; columns that a file doesn't have are null.
+
+    Short records are filled with nulls; records with more fields than their header, and what follows a quote that is never closed, are bad.
+    Empty lines are skipped, unquoted empty fields are null; partition folders give no columns. With `file_column` the first column names the file.
+    """
+    found = read_records(spark, path, QuotedLines)
+    columns = list(dict.fromkeys(n for h in found.heads.values() for n in names_of(h)))
+    parsed, long = _parse_csv(found)
     value = {n: F.coalesce(*[F.col(f"v{crc}.c{names_of(h).index(n)}") for crc, h in found.heads.items() if n in names_of(h)]) for n in columns}
-    rows = parsed.where(~long).select(*[value[n].alias(n) for n in columns]) if columns else spark.createDataFrame([], "struct<>")
+    file = [F.col("file").alias(file_column)] if file_column else []
+    rows = parsed.where(~long).select(*file, *[value[n].alias(n) for n in columns]) if columns else spark.createDataFrame([], "struct<>")
     return Tables(rows, _bad(parsed.where(long), "more fields than the header").unionByName(_bad(found.unclosed, "quote without an end")))
 
 
+def csv_sizes(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(file, n_rows, n_cols, n_bad) of every file that has more than a header: records that can be read, columns of its header, records that can't be."""
+    found = read_records(spark, path, QuotedLines)
+    parsed, long = _parse_csv(found)
+    width = F.lit(0)
+    for crc, head in found.heads.items():
+        width = F.when(F.col("head") == crc, len(names_of(head))).otherwise(width)
+    seen = parsed.select("file", width.alias("n_cols"), long.alias("bad")).unionByName(found.unclosed.select("file", F.lit(0).alias("n_cols"), F.lit(True).alias("bad")))
+    return seen.groupBy("file").agg(F.count_if(~F.col("bad")).alias("n_rows"), F.max("n_cols").cast("long").alias("n_cols"), F.count_if("bad").alias("n_bad"))
+
+
 def read_json_objects(spark: SparkSession, path: str | list[str], schema=None) -> Tables:
     """The objects of JSON array files (or of files with one object after the other): columns by `schema`, or one VARIANT column `record` without.
 
