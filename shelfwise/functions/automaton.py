@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: Characters walked at a time; longer texts are cut into overlapping stretches.
 STRETCH = 512
+#: Characters held at a time as numbers, whatever the size of a batch or of a text.
+BLOCK = 1 << 20
 #: Words from which `rules.first_rule` takes the automaton instead of a CASE.
 MANY_WORDS = 200
 
@@ -38,7 +40,7 @@ class Automaton:
             place[state] = min(place[state], i)
         self.table = np.zeros((len(children), len(code) + 1), dtype=np.int32)
         self.place = np.array(place, dtype=np.int64)
-        self.longest = max((len(w) for w in words), default=0)
+        self.reach = max([len(w) - 1 for w in words if w], default=0)
         waiting, back = deque([0]), [0] * len(children)
         while waiting:
             state = waiting.popleft()
@@ -51,20 +53,36 @@ class Automaton:
                 waiting.append(child)
 
     def first(self, texts: list[str | None]) -> np.ndarray:
-        """The place of the first word that each text contains; the number of words where it has none or is null."""
+        """The place of the first word that each text contains; the number of words where it has none or is null. Works on BLOCK characters at a time."""
         best = np.full(len(texts), self.place[0], dtype=np.int64)
-        lengths = np.fromiter((len(t) if t else 0 for t in texts), dtype=np.int64, count=len(texts))
-        if not len(self.alphabet) or not lengths.sum():
+        rows, parts, held = [], [], 0
+        for i, text in enumerate(texts):
+            for at in range(0, len(text or ""), BLOCK):
+                rows.append(i)
+                parts.append(text[at : at + BLOCK + self.reach])
+                held += len(parts[-1])
+                if held >= BLOCK:
+                    np.minimum.at(best, rows, self._walk(parts))
+                    rows, parts, held = [], [], 0
+        if parts:
+            np.minimum.at(best, rows, self._walk(parts))
+        return best
+
+    def _walk(self, texts: list[str]) -> np.ndarray:
+        """`first` of texts that are not empty, all at once: one step for each character of a stretch, over all stretches that are as long."""
+        best = np.full(len(texts), self.place[0], dtype=np.int64)
+        if not len(self.alphabet):
             return best
-        chars = np.frombuffer("".join(t for t in texts if t).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        lengths = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
+        chars = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
         at = np.minimum(np.searchsorted(self.alphabet, chars), len(self.alphabet) - 1)
-        classes = np.where(self.alphabet[at] == chars, at + 1, 0)
+        classes = np.where(self.alphabet[at] == chars, at + 1, 0).astype(np.int32)
         # Stretches begin STRETCH apart and reach as far into the next one as a word can.
         pieces = -(-lengths // STRETCH)
         row = np.repeat(np.arange(len(texts)), pieces)
         inside = (np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * STRETCH
         begin = (np.cumsum(lengths) - lengths)[row] + inside
-        size = np.minimum(lengths[row] - inside, STRETCH + max(self.longest - 1, 0))
+        size = np.minimum(lengths[row] - inside, STRETCH + self.reach)
         order = np.argsort(-size, kind="stable")
         begin, size, row = begin[order], size[order], row[order]
         state, found = np.zeros(len(row), dtype=np.int32), np.full(len(row), self.place[0], dtype=np.int64)

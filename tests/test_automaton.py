@@ -32,6 +32,15 @@ def test_words_across_stretches():
     assert M.Automaton(("",)).first(["a", ""]).tolist() == [0, 0]
 
 
+def test_blocks_of_long_texts(monkeypatch):
+    monkeypatch.setattr(M, "BLOCK", 700)
+    rng = random.Random(5)
+    words = ("abcabc", "cba" * 10, "bb")
+    texts = ["".join(rng.choice("abc" if rng.random() < 0.2 else "ac") for _ in range(rng.choice([0, 5, 699, 700, 701, 5000]))) for _ in range(60)]
+    texts += ["-" * cut + "cba" * 10 + "-" * 900 for cut in range(665, 705)] + [None]
+    assert M.Automaton(words).first(texts).tolist() == [brute(words, t) for t in texts]
+
+
 def test_equals_case_for_all_rules(spark):
     rng = random.Random(2)
     words = [w for w, _ in R.SPEC_KEY_RULES + R.COMPONENT_TITLE_RULES]
