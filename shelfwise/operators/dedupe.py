@@ -71,18 +71,21 @@ def retention(manifest: DataFrame, n: int, by: list[str], mtime: str = "mtime",
     path = scratch(manifest.sparkSession, "cuts")
     cuts.write.parquet(path)
     cuts = manifest.sparkSession.read.schema(cuts.schema).parquet(path)
-    if by:
-        same = reduce(lambda a, b: a & b, [F.col(x).eqNullSafe(F.col(f"{x}c")) for x in names])
-        rows = keyed.join(cuts, same)
-    else:
-        rows = keyed.crossJoin(F.broadcast(cuts))  # one row
+
+    def beside(limits: DataFrame) -> DataFrame:
+        if not by:
+            return keyed.crossJoin(F.broadcast(limits))  # one row at most
+        return keyed.join(limits, reduce(lambda a, b: a & b, [F.col(x).eqNullSafe(F.col(f"{x}c")) for x in names]))
+
+    rows, twice = beside(cuts), cuts.where("__more")
     out = [*[f"`{x}`" for x in manifest.columns if x != "archive"], "archive"]
     older = F.coalesce(F.col("__key") < F.col("__last"), F.lit(False))
-    if cuts.where("__more").isEmpty():
+    if by and twice.isEmpty():
         return rows.withColumn("archive", older).select(*out)
+    # With one cut for all, adaptive execution drops this branch where `twice` is empty.
     tied = F.coalesce(F.col("__more") & (F.col("__key") == F.col("__last")), F.lit(False))
     inside = Window.partitionBy(*names, "__key").orderBy(F.col(tie).desc())
-    numbered = rows.where(tied).withColumn("archive", F.row_number().over(inside) + F.col("__newer") > n)
+    numbered = beside(twice).where(tied).withColumn("archive", F.row_number().over(inside) + F.col("__newer") > n)
     return rows.where(~tied).withColumn("archive", older).unionByName(numbered).select(*out)
 
 
