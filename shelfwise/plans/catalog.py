@@ -463,7 +463,7 @@ def _best_archives(spark: SparkSession, d: str) -> DataFrame:
     for ts, (where, columns) in _ARCHIVED.items():
         named = rows.where(where).select(F.concat("brand_name", F.lit(f"_bikes_{ts}.csv")).alias("f"), *columns)
         named.repartition("f").write.mode("append").partitionBy("f").option("header", True).option("escape", '"').csv(base)
-    return IO.read_best_archives(spark, f"{base}/*")
+    return IO.read_best_archives(spark, f"{base}/*", columns=["name", "price", "category"])
 
 
 _SNAPS = " UNION ALL ".join(f"SELECT brand_name, '{ts}' AS snapshot, name, {', '.join(x if x in cols else f'NULL AS {x}' for x in ('price', 'category'))}, {len(cols)} AS n_cols FROM {A.duck(_ARCHIVE_ROWS)} WHERE {where}" for ts, (where, cols) in _ARCHIVED.items())

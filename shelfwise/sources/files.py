@@ -39,30 +39,35 @@ _ARCHIVE_NAME = r"([^/=]+)_bikes_(\d{8}_\d{6})\.csv"
 
 
 def archive_scores(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """(brand, snapshot, score, files): rows times columns of each archived snapshot; the brand is the part of its name, in small letters.
+    """(brand, snapshot, score, files, columns): rows times columns of each archived snapshot; the brand is the part of its name, in small letters.
 
     Snapshots with a record that can't be read are left out, as are other files; empty ones have no row.
     """
     sizes = ranges.csv_sizes(spark, path)
-    named = sizes.select(F.lower(F.regexp_extract("file", _ARCHIVE_NAME, 1)).alias("brand"), F.regexp_extract("file", _ARCHIVE_NAME, 2).alias("snapshot"), "file", "n_rows", "n_cols", "n_bad")
-    whole = named.where("brand <> ''").groupBy("brand", "snapshot").agg((F.sum("n_rows") * F.max("n_cols")).alias("score"), F.sum("n_bad").alias("n_bad"), F.collect_list("file").alias("files"))
+    named = sizes.select(F.lower(F.regexp_extract("file", _ARCHIVE_NAME, 1)).alias("brand"), F.regexp_extract("file", _ARCHIVE_NAME, 2).alias("snapshot"), "file", "n_rows", "n_cols", "n_bad", "columns")
+    whole = named.where("brand <> ''").groupBy("brand", "snapshot").agg((F.sum("n_rows") * F.max("n_cols")).alias("score"), F.sum("n_bad").alias("n_bad"), F.collect_list("file").alias("files"), F.array_distinct(F.flatten(F.sort_array(F.collect_set("columns")))).alias("columns"))
     return whole.where("n_bad = 0").drop("n_bad")
 
 
-def read_best_archives(spark: SparkSession, path: str | list[str], max_brands: int = 10_000) -> DataFrame:
+def read_best_archives(spark: SparkSession, path: str | list[str], max_brands: int = 10_000, columns: list[str] | None = None) -> DataFrame:
     """Rows of the most complete snapshot of each brand, the newest of equal ones, with brand_name, snapshot and snapshot_date (the time part of its name).
 
     All files are counted; only the chosen ones are read as rows. Their names come to the driver: a snapshot for each brand, an error beyond max_brands.
+    Columns are those of all counted snapshots, chosen or not, in the order of brands and snapshots, or `columns`; null where a file doesn't have them.
     """
     scores = archive_scores(spark, path).persist()
     best = dedupe.best_archive(scores)
     chosen = scores.join(best, ["brand", "snapshot"]).select("files").limit(max_brands + 1).collect()
+    if columns is None:
+        heads = scores.groupBy("columns").agg(F.min(F.struct("brand", "snapshot")).alias("first")).orderBy("first").collect()
+        columns = list(dict.fromkeys(n for r in heads for n in r["columns"]))
     scores.unpersist()
     if len(chosen) > max_brands:
         raise ValueError(f"more than {max_brands} brands")
     if not chosen:
-        return spark.createDataFrame([], "brand_name string, snapshot string, snapshot_date string")
-    rows = ranges.read_csv(spark, [f for r in chosen for f in r["files"]], file_column="__file").rows
+        named = T.StructType([T.StructField(n, T.StringType()) for n in ("brand_name", "snapshot", "snapshot_date", *columns)])
+        return spark.createDataFrame([], named)
+    rows = ranges.read_csv(spark, [f for r in chosen for f in r["files"]], file_column="__file", columns=columns).rows
     part = lambda g: F.regexp_extract("__file", _ARCHIVE_NAME, g)
     return rows.select(F.lower(part(1)).alias("brand_name"), part(2).alias("snapshot"), F.substring_index(part(2), "_", -1).alias("snapshot_date"), *[f"`{c}`" for c in rows.columns if c != "__file"])
 

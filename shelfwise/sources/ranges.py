@@ -223,7 +223,7 @@ MAX_HEADS = 1000
 
 
 class Records(NamedTuple):
-    """(file, start, number, head, text) of all records; pieces of records without an end; the different first records by their CRC-32."""
+    """(file, start, number, head, text) of all records; pieces of records without an end; the different first records by their CRC-32, in the order of files."""
 
     whole: DataFrame
     unclosed: DataFrame
@@ -236,7 +236,7 @@ def read_records(spark: SparkSession, path: str | list[str], form: Format) -> Re
     found = survey(rows, form).persist()
     crc = lambda text: zlib.crc32(text.encode()) if text is not None else 0
     known = {(r["file"], r["start"]): Start(r["inside"], r["depth"], r["bare"], crc(r["head"])) for r in found.where("start > 0").toLocalIterator()}
-    heads = [r["head"] for r in found.where("start = 0").select("head").distinct().limit(MAX_HEADS + 1).collect()] if form.starts else []
+    heads = [r["head"] for r in found.where("start = 0").groupBy("head").agg(F.min("file").alias("file")).orderBy("file").limit(MAX_HEADS + 1).collect()] if form.starts else []
     found.unpersist()
     if len(heads) > MAX_HEADS or None in heads:
         raise ValueError(f"more than {MAX_HEADS} different headers" if None not in heads else "a file's first record is longer than its first split or has no end")
@@ -294,30 +294,34 @@ def _parse_csv(found: Records) -> tuple[DataFrame, Column]:
     return parsed, long
 
 
-def read_csv(spark: SparkSession, path: str | list[str], file_column: str | None = None) -> Tables:
+def read_csv(spark: SparkSession, path: str | list[str], file_column: str | None = None, columns: list[str] | None = None) -> Tables:
     """Quoted CSV with line breaks in fields, as text columns. Each file has its header; columns that a file doesn't have are null.
 
     Short records are filled with nulls; records with more fields than their header, and what follows a quote that is never closed, are bad.
     Empty lines are skipped, unquoted empty fields are null; partition folders give no columns. With `file_column` the first column names the file.
+    Columns are those of the headers in the order of files, or `columns`, whatever files have them.
     """
     found = read_records(spark, path, QuotedLines)
-    columns = list(dict.fromkeys(n for h in found.heads.values() for n in names_of(h)))
+    columns = list(dict.fromkeys(n for h in found.heads.values() for n in names_of(h))) if columns is None else columns
     parsed, long = _parse_csv(found)
-    value = {n: F.coalesce(*[F.col(f"v{crc}.c{names_of(h).index(n)}") for crc, h in found.heads.items() if n in names_of(h)]) for n in columns}
+    null = F.lit(None).cast("string")
+    value = {n: F.coalesce(null, *[F.col(f"v{crc}.c{names_of(h).index(n)}") for crc, h in found.heads.items() if n in names_of(h)]) for n in columns}
     file = [F.col("file").alias(file_column)] if file_column else []
     rows = parsed.where(~long).select(*file, *[value[n].alias(n) for n in columns]) if columns else spark.createDataFrame([], "struct<>")
     return Tables(rows, _bad(parsed.where(long), "more fields than the header").unionByName(_bad(found.unclosed, "quote without an end")))
 
 
 def csv_sizes(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """(file, n_rows, n_cols, n_bad) of every file that has more than a header: records that can be read, columns of its header, records that can't be."""
+    """(file, n_rows, n_cols, n_bad, columns) of every file that has more than a header: records that can be read, columns of its header, records that can't
+    be, names of its columns."""
     found = read_records(spark, path, QuotedLines)
     parsed, long = _parse_csv(found)
-    width = F.lit(0)
+    seen = parsed.select("file", "head", long.alias("bad")).unionByName(found.unclosed.select("file", "head", F.lit(True).alias("bad")))
+    sizes = seen.groupBy("file").agg(F.count_if(~F.col("bad")).alias("n_rows"), F.count_if("bad").alias("n_bad"), F.max("head").alias("head"))
+    names = F.array().cast("array<string>")
     for crc, head in found.heads.items():
-        width = F.when(F.col("head") == crc, len(names_of(head))).otherwise(width)
-    seen = parsed.select("file", width.alias("n_cols"), long.alias("bad")).unionByName(found.unclosed.select("file", F.lit(0).alias("n_cols"), F.lit(True).alias("bad")))
-    return seen.groupBy("file").agg(F.count_if(~F.col("bad")).alias("n_rows"), F.max("n_cols").cast("long").alias("n_cols"), F.count_if("bad").alias("n_bad"))
+        names = F.when(F.col("head") == crc, F.array(*map(F.lit, names_of(head)))).otherwise(names)
+    return sizes.select("file", "n_rows", F.size(names).cast("long").alias("n_cols"), "n_bad", names.alias("columns"))
 
 
 def read_json_objects(spark: SparkSession, path: str | list[str], schema=None) -> Tables:

@@ -40,6 +40,20 @@ def test_a_folder_of_part_files_is_one_snapshot(spark, tmp_path):
     assert got.count() == 4 and {r["snapshot"] for r in got.collect()} == {"20250701_101010"}
 
 
+def test_columns_of_snapshots_that_are_not_chosen(spark, tmp_path):
+    write(tmp_path, "a_bikes_20250701_101010.csv", "name,price\nx,1\ny,2\nz,3\n")
+    write(tmp_path, "a_bikes_20250702_101010.csv", "name,price,category\nx,1,c\n")
+    write(tmp_path, "b_bikes_20250701_101010.csv", "name,category\nu,d\n")
+    want = [("a", "20250701_101010", "101010", n, p, None) for n, p in (("x", "1"), ("y", "2"), ("z", "3"))]
+    got = IO.read_best_archives(spark, f"{tmp_path}/a*")
+    assert got.columns == ["brand_name", "snapshot", "snapshot_date", "name", "price", "category"]
+    assert rows(got) == want
+    assert rows(IO.read_best_archives(spark, str(tmp_path))) == sorted([*want, ("b", "20250701_101010", "101010", "u", None, "d")], key=repr)
+    named = IO.read_best_archives(spark, str(tmp_path), columns=["category", "weight", "name"])
+    assert named.columns[3:] == ["category", "weight", "name"]
+    assert ("b", "20250701_101010", "101010", "d", None, "u") in rows(named)
+
+
 def test_none(spark, tmp_path):
     write(tmp_path, "notes.csv", "a,b\n1,2\n")
     assert IO.read_best_archives(spark, str(tmp_path)).count() == 0
