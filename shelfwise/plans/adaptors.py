@@ -6,6 +6,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from shelfwise.sources.files import dealt
+
 # Current, archived and master products: part keys by three bits, so every combination of the three sides occurs.
 CURRENT = "SELECT concat(p_name, ' ', p_partkey) AS name, p_brand AS brand, cast(p_size AS STRING) AS price, p_type AS category FROM {part} WHERE (p_partkey & 1) <> 0"
 ARCHIVE = "SELECT concat(p_name, ' ', p_partkey) AS name, p_brand AS brand, cast(p_size + 1 AS STRING) AS price, p_type AS category, '18-07-2025' AS snapshot_date FROM {part} WHERE (p_partkey & 2) <> 0"
@@ -57,9 +59,10 @@ DETAIL_PAGES = """SELECT p_partkey AS page_id, concat('<html><h1>', p_name, '</h
   '<a class="color" data-color-id="', cast(p_partkey AS STRING), '" data-color-name="Red" href="/r"></a><a class="color" data-color-id="2" data-color-name="Members only"></a><p class="classification">Use: max ', cast(100 + p_size AS STRING), ' kg</p></html>') AS html FROM {part}"""
 
 
-def frame(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
+def frame(spark: SparkSession, sf_dir: str, sql: str, deal: bool = False) -> DataFrame:
+    """The input of a query; with `deal`, for work that takes long over few bytes, the rows of small tables are dealt out to all cores first."""
     tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in set(re.findall(r"\{(\w+)\}", sql))}
-    return spark.sql(sql, **tables)
+    return spark.sql(sql, **{t: dealt(df) for t, df in tables.items()} if deal else tables)
 
 
 def duck(sql: str) -> str:

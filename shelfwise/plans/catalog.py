@@ -36,9 +36,9 @@ def add(name: str, query: Query, sql: str) -> None:
     _QUERIES[name], _SQL[name] = query, sql
 
 
-def add_frame(name: str, source: str, make: Callable[[DataFrame], DataFrame], sql: str) -> None:
+def add_frame(name: str, source: str, make: Callable[[DataFrame], DataFrame], sql: str, deal: bool = False) -> None:
     """A query on one adaptor; {t} in the SQL is the input."""
-    add(name, lambda spark, d: make(A.frame(spark, d, source)), sql.replace("{t}", A.duck(source)))
+    add(name, lambda spark, d: make(A.frame(spark, d, source, deal)), sql.replace("{t}", A.duck(source)))
 
 
 def add_column(name: str, out: Callable[[], Column], sql: str, source: str = A.SPECS, key: str = "k") -> None:
@@ -434,6 +434,7 @@ add_frame(
     A.SPECS,
     _enriched,
     f"SELECT k, (SELECT {_SIZED} FROM (SELECT {_sql_of('clean_weight').replace('weight', 't.weight')} AS w1)) AS Gewicht, {_sql_of('extract_weight_limit')} AS Gewichtslimiet, {_sql_of('frame_material')} AS Frame, {_sql_of('shifter_speed')} AS Shifter_speed, {_sql_of('predict_chain')} || '*' AS Ketting, CASE WHEN ({_REASON0}) IS NOT NULL OR {_SCORE} >= 3 THEN '1x, geen voorderailleur' WHEN {_DOUBLE} THEN '2x systeem, voorderailleur aanwezig' END AS Voorderailleur FROM {{t}} t",
+    deal=True,
 )
 
 # --- writers and readers: each query writes to a shared scratch folder and reads back -----------------------------------------

@@ -72,6 +72,15 @@ def read_best_archives(spark: SparkSession, path: str | list[str], max_brands: i
     return rows.select(F.lower(part(1)).alias("brand_name"), part(2).alias("snapshot"), F.substring_index(part(2), "_", -1).alias("snapshot_date"), *[f"`{c}`" for c in rows.columns if c != "__file"])
 
 
+def dealt(table: DataFrame, per_core: int = 4) -> DataFrame:
+    """A table as read from files; where these give fewer than `per_core` splits a core, its rows are dealt out to so many partitions.
+
+    A few MB of Parquet are one split, and a row group is never shared, so one task would do all of the work that follows. Larger tables are not shuffled.
+    """
+    wanted = per_core * table.sparkSession.sparkContext.defaultParallelism
+    return table.repartition(wanted) if table.rdd.getNumPartitions() < wanted else table
+
+
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).select("page_id", "url", "html")
 

@@ -195,3 +195,16 @@ def test_snapshot_json_query_returns_all_parts(spark, sf_dir):
     found = catalog.queries()["read_snapshot_json"](spark, sf_dir)
     want = spark.read.parquet(f"{sf_dir}/part.parquet").selectExpr("p_name || ' ' || p_partkey AS name", "string(p_size) AS price", "p_type AS frame")
     assert found.exceptAll(want).isEmpty() and want.exceptAll(found).isEmpty()
+
+
+def test_small_tables_are_dealt_out_before_costly_work(spark, sf_dir):
+    from shelfwise.plans import catalog
+
+    table = spark.read.parquet(f"{sf_dir}/part.parquet")
+    assert table.rdd.getNumPartitions() == 1
+    wanted = 4 * spark.sparkContext.defaultParallelism
+    dealt = IO.dealt(table)
+    assert dealt.rdd.getNumPartitions() == wanted and dealt.count() == table.count()
+    assert IO.dealt(dealt).rdd.getNumPartitions() == wanted
+    rows = catalog.queries()["enrich_specs"](spark, sf_dir)
+    assert rows.select(F.spark_partition_id().alias("p")).distinct().count() > spark.sparkContext.defaultParallelism
