@@ -106,10 +106,7 @@ def blocks_of(html: str, kinds: Iterable[str] = KINDS) -> list[dict]:
 
 
 def extract_blocks(pages: DataFrame, kinds: Iterable[str] = KINDS) -> DataFrame:
-    """(page_id, ord, kind, title, name, features, key, value) of the asked kinds of every page; null pages have none.
-
-    A table of fewer partitions than the cluster has cores (one small file) is dealt out by page first; larger ones are parsed where they are.
-    """
+    """(page_id, ord, kind, title, name, features, key, value) of the asked kinds of every page; null pages have none. Pages are parsed where they are."""
     asked = frozenset(kinds)
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,15 +118,12 @@ def extract_blocks(pages: DataFrame, kinds: Iterable[str] = KINDS) -> DataFrame:
                 columns.append(pa.array([b.get(name) for _, _, b in rows], pa.list_(pa.string()) if name == "features" else pa.string()))
             yield pa.RecordBatch.from_arrays(columns, ["page_id", "ord", "kind", "title", "name", "features", "key", "value"])
 
-    rows, cores = pages.select(F.col("page_id").cast("long").alias("page_id"), "html"), pages.sparkSession.sparkContext.defaultParallelism
-    if rows.rdd.getNumPartitions() < cores:
-        rows = rows.repartition(cores, "page_id")
-    return rows.mapInArrow(parse, _SCHEMA)
+    return pages.select(F.col("page_id").cast("long").alias("page_id"), "html").mapInArrow(parse, _SCHEMA)
 
 
-def _pairs(blocks: DataFrame, kind: str) -> DataFrame:
+def _pairs(blocks: DataFrame, *kinds: str) -> DataFrame:
     key = F.trim(F.regexp_replace(F.regexp_replace("key", r"^\*+", ""), r":+\s*$", ""))
-    rows = blocks.where(F.col("kind") == kind).select("page_id", "ord", key.alias("key"), F.trim("value").alias("value"))
+    rows = blocks.where(F.col("kind").isin(*kinds)).select("page_id", "ord", "kind", key.alias("key"), F.trim("value").alias("value"))
     return rows.where("key <> '' and value <> '' and key <> value")
 
 
@@ -140,9 +134,9 @@ def extract_spec_table(blocks: DataFrame, max_key: int = 100, max_value: int = 5
 
 
 def extract_spec_dl(blocks: DataFrame) -> DataFrame:
-    """Table pairs, overwritten by definition lists."""
-    both = _pairs(blocks, "table").withColumn("p", F.lit(0)).unionByName(_pairs(blocks, "dl").withColumn("p", F.lit(1)))
-    return last_value_by_key(both.withColumn("ord", F.struct("p", "ord")), ["page_id", "key"], "value")
+    """Table pairs, overwritten by definition lists. Both come from one pass over the blocks, so a page is parsed once."""
+    both = _pairs(blocks, "table", "dl").withColumn("ord", F.struct(F.col("kind") == "dl", "ord"))
+    return last_value_by_key(both, ["page_id", "key"], "value")
 
 
 def extract_spec_rows_mapped(blocks: DataFrame, max_value: int = 200) -> DataFrame:

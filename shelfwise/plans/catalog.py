@@ -408,14 +408,14 @@ add("export_per_brand_and_all", _exported, _UNIFIED.replace("{t}", A.duck(_SNAP)
 _TABLE = "SELECT page_id, 'Frame' AS key, 'Carbon' || p_size AS value FROM p UNION ALL SELECT page_id, 'Rem', {rem} FROM p"
 _P = "WITH p AS (SELECT p_partkey AS page_id, * FROM part) "
 _blocks = lambda df, *kinds: H.extract_blocks(df, kinds)
-add_frame("extract_spec_table", A.DETAIL_PAGES, lambda df: H.extract_spec_table(_blocks(df, "table")), _P + _TABLE.format(rem="'Disc ' || p_type"))
-add_frame("extract_spec_dl", A.DETAIL_PAGES, lambda df: H.extract_spec_dl(_blocks(df, "table", "dl")), _P + _TABLE.format(rem="CASE WHEN page_id % 2 = 0 THEN 'Hydraulic' ELSE 'Disc ' || p_type END") + " UNION ALL SELECT page_id, 'Weight', p_size || ' kg' FROM p WHERE page_id % 2 = 0")
-add_frame("extract_spec_rows_mapped", A.DETAIL_PAGES, lambda df: H.extract_spec_rows_mapped(_blocks(df, "table", "dl")), _P + _TABLE.format(rem="CASE WHEN page_id % 2 = 0 THEN 'Hydraulic' ELSE 'Disc ' || p_type END").replace("AS key", "AS field") + " UNION ALL SELECT page_id, 'Weight', p_size || ' kg' FROM p WHERE page_id % 2 = 0")
-add_frame("extract_components", A.DETAIL_PAGES, lambda df: H.extract_components(_blocks(df, "component")).select("page_id", "title", "name", F.array_join("features", "|").alias("features")), _P + "SELECT page_id, 'Wiel' AS title, p_brand AS name, CASE WHEN page_id % 3 = 0 THEN '12x100' ELSE '12x142' END AS features FROM p")
-add_frame("component_special_rules", A.DETAIL_PAGES, lambda df: E.component_special_rules(H.extract_components(_blocks(df, "component"))), _P + "SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'Naaf_voor' ELSE 'Naaf_achter' END AS field, p_brand AS value FROM p UNION ALL SELECT page_id, 'Velg', p_brand FROM p")
-add_frame("extract_description", A.DETAIL_PAGES, lambda df: H.extract_description(_blocks(df, "block")), _P + "SELECT page_id, 'A long enough description of this very good bicycle ' || p_name || '.' AS description FROM p")
-add_frame("extract_color_picker", A.DETAIL_PAGES, lambda df: H.extract_color_picker(_blocks(df, "color")).select("page_id", F.array_join(F.transform("colors", lambda x: F.concat_ws(":", x["id"], x["name"], x["url"])), "|").alias("colors")), _P + "SELECT page_id, page_id || ':Red:/r' AS colors FROM p")
-add_frame("extract_classification_limit", A.DETAIL_PAGES, lambda df: H.extract_classification_limit(_blocks(df, "classification")), _P + "SELECT page_id, (100 + p_size) || ' kg' AS weight_limit FROM p")
+add_frame("extract_spec_table", A.DETAIL_PAGES, lambda df: H.extract_spec_table(_blocks(df, "table")), _P + _TABLE.format(rem="'Disc ' || p_type"), deal=True)
+add_frame("extract_spec_dl", A.DETAIL_PAGES, lambda df: H.extract_spec_dl(_blocks(df, "table", "dl")), _P + _TABLE.format(rem="CASE WHEN page_id % 2 = 0 THEN 'Hydraulic' ELSE 'Disc ' || p_type END") + " UNION ALL SELECT page_id, 'Weight', p_size || ' kg' FROM p WHERE page_id % 2 = 0", deal=True)
+add_frame("extract_spec_rows_mapped", A.DETAIL_PAGES, lambda df: H.extract_spec_rows_mapped(_blocks(df, "table", "dl")), _P + _TABLE.format(rem="CASE WHEN page_id % 2 = 0 THEN 'Hydraulic' ELSE 'Disc ' || p_type END").replace("AS key", "AS field") + " UNION ALL SELECT page_id, 'Weight', p_size || ' kg' FROM p WHERE page_id % 2 = 0", deal=True)
+add_frame("extract_components", A.DETAIL_PAGES, lambda df: H.extract_components(_blocks(df, "component")).select("page_id", "title", "name", F.array_join("features", "|").alias("features")), _P + "SELECT page_id, 'Wiel' AS title, p_brand AS name, CASE WHEN page_id % 3 = 0 THEN '12x100' ELSE '12x142' END AS features FROM p", deal=True)
+add_frame("component_special_rules", A.DETAIL_PAGES, lambda df: E.component_special_rules(H.extract_components(_blocks(df, "component"))), _P + "SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'Naaf_voor' ELSE 'Naaf_achter' END AS field, p_brand AS value FROM p UNION ALL SELECT page_id, 'Velg', p_brand FROM p", deal=True)
+add_frame("extract_description", A.DETAIL_PAGES, lambda df: H.extract_description(_blocks(df, "block")), _P + "SELECT page_id, 'A long enough description of this very good bicycle ' || p_name || '.' AS description FROM p", deal=True)
+add_frame("extract_color_picker", A.DETAIL_PAGES, lambda df: H.extract_color_picker(_blocks(df, "color")).select("page_id", F.array_join(F.transform("colors", lambda x: F.concat_ws(":", x["id"], x["name"], x["url"])), "|").alias("colors")), _P + "SELECT page_id, page_id || ':Red:/r' AS colors FROM p", deal=True)
+add_frame("extract_classification_limit", A.DETAIL_PAGES, lambda df: H.extract_classification_limit(_blocks(df, "classification")), _P + "SELECT page_id, (100 + p_size) || ' kg' AS weight_limit FROM p", deal=True)
 
 
 def _enriched(df: DataFrame) -> DataFrame:

@@ -208,3 +208,18 @@ def test_small_tables_are_dealt_out_before_costly_work(spark, sf_dir):
     assert IO.dealt(dealt).rdd.getNumPartitions() == wanted
     rows = catalog.queries()["enrich_specs"](spark, sf_dir)
     assert rows.select(F.spark_partition_id().alias("p")).distinct().count() > spark.sparkContext.defaultParallelism
+
+
+def test_spec_dl_parses_each_page_once(spark):
+    n = spark.sparkContext.accumulator(0)
+
+    def seen(rows):
+        for r in rows:
+            n.add(1)
+            yield r
+
+    html = "<table><tr><td>Rem</td><td>Old</td></tr></table><dl><dt>Rem</dt><dd>Hydraulic</dd></dl><table><tr><td>Rem</td><td>New</td></tr><tr><td>Frame</td><td>Steel</td></tr></table>"
+    pages = spark.createDataFrame(spark.sparkContext.parallelize([(i, html) for i in range(30)], 3).mapPartitions(seen), "page_id long, html string")
+    found = H.extract_spec_dl(H.extract_blocks(pages, ["table", "dl"])).collect()
+    assert sorted(map(tuple, found)) == sorted((i, k, v) for i in range(30) for k, v in (("Rem", "Hydraulic"), ("Frame", "Steel")))
+    assert n.value == 30
