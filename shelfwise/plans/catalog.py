@@ -469,13 +469,13 @@ def _best_archives(spark: SparkSession, d: str) -> DataFrame:
 
 _SNAPS = " UNION ALL ".join(f"SELECT brand_name, '{ts}' AS snapshot, name, {', '.join(x if x in cols else f'NULL AS {x}' for x in ('price', 'category'))}, {len(cols)} AS n_cols FROM {A.duck(_ARCHIVE_ROWS)} WHERE {where}" for ts, (where, cols) in _ARCHIVED.items())
 add("best_archive_rows", _best_archives, f"WITH s AS ({_SNAPS}), b AS (SELECT brand_name, snapshot, row_number() OVER (PARTITION BY brand_name ORDER BY count(*) * max(n_cols) DESC, snapshot DESC) AS place FROM s GROUP BY 1, 2) SELECT s.brand_name, s.snapshot, substr(s.snapshot, 10) AS snapshot_date, s.name, s.price, s.category FROM s JOIN b ON s.brand_name = b.brand_name AND s.snapshot = b.snapshot AND place = 1")
-# Arrays of bounded size: a brand has a file for each 1,000 part keys.
+# Arrays of bounded size, a row for a brand and 1,000 part keys; those of 100,000 keys are written as one array, a file, whose parts are never together in memory.
 _ARRAY = "SELECT p_brand AS brand, p_partkey div 1000 AS part_range, concat('[', array_join(array_sort(collect_list(concat('{{\"name\": \"', p_name, ' ', p_partkey, '\", \"price\": ', p_size, ', \"specifications\": {{\"Frame\": \"', p_type, '\"}}}}'))), ','), ']') AS value FROM {part} GROUP BY p_brand, p_partkey div 1000"
 
 
 def _json(spark: SparkSession, d: str) -> DataFrame:
     path = scratch(spark, "json")
-    A.frame(spark, d, _ARRAY).repartition("brand", "part_range").write.partitionBy("brand", "part_range").text(path)
+    IO.write_json_arrays(A.frame(spark, d, _ARRAY).withColumn("ranges", F.expr("part_range div 100")), path, ["brand", "ranges"], "part_range")
     return IO.read_snapshot_json(spark, path).select("name", "price", c("specifications")["Frame"].alias("frame"))
 
 

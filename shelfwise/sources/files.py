@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -110,6 +110,19 @@ def write_json_records(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
+def write_json_arrays(arrays: DataFrame, path: str, keys: list[str], ord_col: str, value: str = "value") -> None:
+    """JSON arrays (texts, none empty) with the same `keys` one after another, as the array of one file below key=.../key=...
+
+    Few large files instead of one for each array; the objects of a file are never one text.
+    """
+    along = Window.partitionBy(*keys).orderBy(ord_col)
+    inside = F.expr(f"substring(`{value}`, 2, length(`{value}`) - 2)")
+    first, last = F.lag(value).over(along).isNull(), F.lead(value).over(along).isNull()
+    line = F.concat(F.when(first, "[").otherwise(","), inside, F.when(last, "]").otherwise(""))
+    lines = arrays.select(*keys, ord_col, line.alias(value)).sortWithinPartitions(*keys, ord_col)
+    lines.drop(ord_col).write.partitionBy(*keys).text(path)
+
+
 def write_versioned_latest(df: DataFrame, base: str, ts: str) -> None:
     """One version for each time stamp, kept; readers see it when it is whole, through a commit."""
     store.write_version(df, base, ts)

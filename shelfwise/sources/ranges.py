@@ -96,8 +96,14 @@ class Start(NamedTuple):
 
 def chunks(spark: SparkSession, path: str | list[str], form: Format) -> DataFrame:
     """(file, start, size, value): the chunks of every split, in order."""
+    return _chunks(spark, path, form)
+
+
+def _chunks(spark: SparkSession, path: str | list[str], form: Format, cut_files: bool = False) -> DataFrame:
+    """`chunks`; with `cut_files` only those of files that have more than one split."""
     m = F.col("_metadata")
     rows = spark.read.option("lineSep", form.separator).text(path)
+    rows = rows.where(m["file_block_length"] < m["file_size"]) if cut_files else rows
     return rows.select(m["file_path"].alias("file"), m["file_block_start"].alias("start"), m["file_size"].alias("size"), F.col("value"))
 
 
@@ -233,7 +239,8 @@ class Records(NamedTuple):
 def read_records(spark: SparkSession, path: str | list[str], form: Format) -> Records:
     """Both passes. The first runs now; a row for each split that doesn't begin a file, and the different first records, come to the driver."""
     rows = chunks(spark, path, form)
-    found = survey(rows, form).persist()
+    # Where nothing is asked of a file's first record, files of one split need no survey: nothing precedes their split.
+    found = survey(rows if form.starts else _chunks(spark, path, form, cut_files=True), form).persist()
     crc = lambda text: zlib.crc32(text.encode()) if text is not None else 0
     known = {(r["file"], r["start"]): Start(r["inside"], r["depth"], r["bare"], crc(r["head"])) for r in found.where("start > 0").toLocalIterator()}
     heads = [r["head"] for r in found.where("start = 0").groupBy("head").agg(F.min("file").alias("file")).orderBy("file").limit(MAX_HEADS + 1).collect()] if form.starts else []

@@ -223,3 +223,19 @@ def test_spec_dl_parses_each_page_once(spark):
     found = H.extract_spec_dl(H.extract_blocks(pages, ["table", "dl"])).collect()
     assert sorted(map(tuple, found)) == sorted((i, k, v) for i in range(30) for k, v in (("Rem", "Hydraulic"), ("Frame", "Steel")))
     assert n.value == 30
+
+
+def test_json_arrays_of_a_brand_share_a_file(spark, tmp_path):
+    import json
+
+    from shelfwise.plans import catalog
+
+    part = spark.range(150_000).selectExpr("id AS p_partkey", "concat('n', id) AS p_name", "if(id % 3 = 0, 'a', 'b') AS p_brand", "1 AS p_size", "'t' AS p_type")
+    arrays = spark.sql(catalog._ARRAY, part=part).withColumn("ranges", F.expr("part_range div 100"))
+    IO.write_json_arrays(arrays.repartition(7), f"{tmp_path}/j", ["brand", "ranges"], "part_range")
+    files = list((tmp_path / "j").glob("brand=*/ranges=*/part-*"))
+    assert len(files) == 4  # 300 arrays
+    found = {f.parent.parent.name + f.parent.name: json.loads(f.read_text()) for f in files}
+    assert sum(map(len, found.values())) == 150_000
+    assert {int(r["name"].split()[1]) // 1000 for r in found["brand=aranges=1"]} == set(range(100, 150))
+    assert [int(r["name"].split()[1]) // 1000 for r in found["brand=branges=0"]] == sorted(int(r["name"].split()[1]) // 1000 for r in found["brand=branges=0"])

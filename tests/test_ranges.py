@@ -128,3 +128,15 @@ def test_snapshot_readers_use_them(spark, tmp_path, split_size):
     (tmp_path / "s.csv").write_text('name,note\n' + 'x,"a\nb"\n' * 50)
     got = IO.read_snapshot_csv(spark, f"{tmp_path}/s.csv")
     assert got.rdd.getNumPartitions() > 3 and Counter(map(tuple, got.collect())) == {("x", "a\nb"): 50}
+
+
+def test_only_json_files_of_several_splits_are_surveyed(spark, tmp_path, split_size):
+    (tmp_path / "a.json").write_text("[" + ",".join(json.dumps({"name": f"n{i}"}) for i in range(200)) + "]")
+    (tmp_path / "b.json").write_text('[{"name": "small"}]')
+    split_size(500)
+    cut = R.survey(R._chunks(spark, str(tmp_path), R.JsonObjects, cut_files=True), R.JsonObjects)
+    assert {r["file"].rsplit("/", 1)[1] for r in cut.select("file").distinct().collect()} == {"a.json"} and cut.count() > 3
+    assert IO.read_snapshot_json(spark, str(tmp_path)).count() == 201
+    split_size(1 << 20)
+    assert R._chunks(spark, str(tmp_path), R.JsonObjects, cut_files=True).isEmpty()
+    assert IO.read_snapshot_json(spark, str(tmp_path)).count() == 201
