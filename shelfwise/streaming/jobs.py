@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 from typing import Any
 
 from pyspark.sql import DataFrame, Row, SparkSession
@@ -30,21 +31,22 @@ class FirstRecords(StatefulProcessor):
         self.handle, self.state = handle, handle.getListState("intervals", _INTERVAL)
 
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
-        found = self._load()
-        for r in rows:
-            found = merged(found, (r["__at"], r["__at"], r["__ord"], r["__row"], False), self.keep)
-        self._store(found)
+        before = found = self._load()
+        while some := list(islice(rows, AT_ONCE)):
+            at, order, row = (some[0].__fields__.index(n) for n in ("__at", "__ord", "__row"))
+            found = joined([*found, *[(r[at], r[at], r[order], r[row], False) for r in some]], self.keep)
+        self._store(before, found)
         return iter(())
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
-        now, left = timerValues.getCurrentWatermarkInMs() * 1000, []
-        for first, last, order, row, out in self._load():
+        now, left, before = timerValues.getCurrentWatermarkInMs() * 1000, [], self._load()
+        for first, last, order, row, out in before:
             if not out and first < now:
                 yield Row(row=row)
                 row, out = None, True
             if not out or last + self.keep >= now:
                 left.append((first, last, order, row, out))
-        self._store(left)
+        self._store(before, left, fired=True)
 
     def close(self) -> None:
         pass
@@ -52,28 +54,43 @@ class FirstRecords(StatefulProcessor):
     def _load(self) -> list[tuple]:
         return [tuple(x) for x in self.state.get()]
 
-    def _store(self, found: list[tuple]) -> None:
-        for t in list(self.handle.listTimers()):
-            self.handle.deleteTimer(t)
-        if not found:
+    def _due(self, found: list[tuple]) -> int | None:
+        """The one timer of a key follows from its intervals, so it need not be asked for."""
+        return min((last + self.keep if out else first for first, last, _, _, out in found), default=None)
+
+    def _store(self, before: list[tuple], found: list[tuple], fired: bool = False) -> None:
+        old, new = self._due(before), self._due(found)
+        if found:
+            self.state.put(found)
+        else:
             self.state.clear()
-            return
-        self.state.put(found)
-        due = min(last + self.keep if out else first for first, last, _, _, out in found)
-        self.handle.registerTimer(due // 1000 + 1)
+        if old != new:
+            if old is not None and not fired:  # a fired timer is gone by itself
+                self.handle.deleteTimer(old // 1000 + 1)
+            if new is not None:
+                self.handle.registerTimer(new // 1000 + 1)
 
 
-def merged(found: list[tuple], new: tuple, keep: int) -> list[tuple]:
-    """The intervals with a new one; what it links becomes one, with the least first record, given out if any part was."""
-    apart = []
-    for old in found:
-        if old[0] - keep <= new[1] and new[0] <= old[1] + keep:
-            least = min(old, new, key=lambda x: (x[0], x[2], x[3] or ""))
-            out = old[4] or new[4]
-            new = (least[0], max(old[1], new[1]), least[2], None if out else least[3], out)
+#: Records of a key that are held in Python at a time.
+AT_ONCE = 4096
+
+
+def joined(intervals: list[tuple], keep: int) -> list[tuple]:
+    """Intervals in one sweep by time; what is linked becomes one, with the least first record, given out if any part was."""
+    found: list[tuple] = []
+    for x in sorted(intervals, key=lambda x: (x[0], x[2], x[3] or "")):
+        if found and x[0] <= found[-1][1] + keep:
+            first, last, order, row, out = found[-1]
+            out = out or x[4]
+            found[-1] = (first, max(last, x[1]), order, None if out else row, out)
         else:
-            apart.append(old)
-    return sorted([*apart, new], key=lambda x: x[0])
+            found.append(x)
+    return found
+
+
+def merged(found: list[tuple], new: tuple, keep: int) -> list[tuple]:
+    """The intervals with a new one."""
+    return joined([*found, new], keep)
 
 
 def stream_first_by_key(stream: DataFrame, keys: list[str], ts: str = "ts", ord_col: str | None = None, delay: str = "10 minutes", keep: str = "1 day") -> DataFrame:
@@ -93,7 +110,7 @@ def stream_first_by_key(stream: DataFrame, keys: list[str], ts: str = "ts", ord_
         F.to_json(F.struct(*[f"`{c}`" for c in names]), {**form, "ignoreNullFields": "false"}).alias("__row"),
     )
     timed = rows.where(F.col("__ts").isNotNull()).withColumn("__at", F.unix_micros("__ts")).withWatermark("__ts", delay)
-    keyed = timed.withColumn("__name", F.to_json("__key", {"ignoreNullFields": "false"}))
+    keyed = timed.withColumn("__name", F.to_json("__key", {"ignoreNullFields": "false"})).drop("__key")
     out = keyed.groupBy("__name").transformWithState(FirstRecords(kept), "row string", "append", "EventTime")
     return out.select(F.from_json("row", stream.schema, form).alias("r")).select(*[F.col(f"r.`{c}`").alias(c) for c in names])
 

@@ -95,3 +95,61 @@ def test_intervals():
             else:
                 want.append((t, t, o, row, False))
         assert got == want
+
+
+def test_many_records_at_once_are_joined_in_one_sweep():
+    rng = random.Random(3)
+    for _ in range(200):
+        rows = [(t := rng.randrange(60), t, rng.randrange(3), f"r{i}", False) for i in range(rng.randrange(1, 20))]
+        half = len(rows) // 2
+        before = [(*x[:3], None, True) if rng.random() < 0.3 else x for x in jobs.joined(rows[:half], 5)]
+        one_by_one = before
+        for r in rows[half:]:
+            one_by_one = jobs.merged(one_by_one, r, 5)
+        assert jobs.joined([*before, *rows[half:]], 5) == one_by_one
+
+
+class _Handle:
+    """A state and its timers in memory, counting the calls that go to the JVM."""
+
+    def __init__(self):
+        self.found, self.timers, self.calls = [], set(), 0
+
+    def getListState(self, name, schema):
+        return self
+
+    def get(self):
+        self.calls += 1
+        return iter(self.found)
+
+    def put(self, found):
+        self.calls, self.found = self.calls + 1, list(found)
+
+    def clear(self):
+        self.put([])
+
+    def registerTimer(self, at):
+        self.calls += 1
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self.calls += 1
+        self.timers.remove(at)
+
+    def listTimers(self):
+        self.calls += 1
+        return iter(self.timers)
+
+
+def test_calls_to_the_state_do_not_follow_the_records():
+    from pyspark.sql import Row
+
+    handle, processor = _Handle(), jobs.FirstRecords(10_000_000)
+    processor.init(handle)
+    rows = [Row(__ts=None, __ord=i, __row=f"r{i}", __at=i * 1_000_000, __name="k") for i in range(10_000, 0, -1)]
+    list(processor.handleInputRows(("k",), iter(rows), None))
+    assert handle.found == [(1_000_000, 10_000_000_000, 1, "r1", False)] and handle.timers == {1001} and handle.calls == 3
+    list(processor.handleInputRows(("k",), iter([Row(__ts=None, __ord=0, __row="r0", __at=500_000, __name="k")]), None))
+    assert handle.found == [(500_000, 10_000_000_000, 0, "r0", False)] and handle.timers == {501} and handle.calls == 7
+    list(processor.handleInputRows(("k",), iter(rows[:5]), None))
+    assert handle.timers == {501} and handle.calls == 9
