@@ -7,7 +7,8 @@ from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -108,14 +109,24 @@ def first_word(text: Column, rules: list[tuple[str, str]], default: str | None =
     words = tuple(w for w, _ in rules)
     values = np.array([*(v for _, v in rules), default], dtype=object)
 
-    @F.pandas_udf("string")
-    def look_up(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("string")
+    def look_up(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         found = automaton(words)
         for batch in batches:
-            texts = [t if isinstance(t, str) else None for t in batch]
-            at = found.first(texts)
-            out = values[at]
-            out[[t is None for t in texts]] = default
-            yield pd.Series(out, dtype=object)
+            yield pa.concat_arrays([pa.array([], pa.string()), *[place(found, part.to_pylist()) for part in slices(batch)]])
+
+    def place(found: Automaton, texts: list[str | None]) -> pa.Array:
+        out = values[found.first(texts)]
+        out[[t is None for t in texts]] = default
+        return pa.array(out, pa.string())
 
     return look_up(text)
+
+
+def slices(texts: pa.Array) -> Iterator[pa.Array]:
+    """Stretches of a batch, a text and what follows it in fewer than BLOCK bytes: only one of them becomes Python strings at a time."""
+    group = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)) // BLOCK
+    ends = [*(np.flatnonzero(np.diff(group)) + 1).tolist(), len(texts)]
+    for a, b in zip([0, *ends], ends):
+        if b > a:
+            yield texts.slice(a, b - a)

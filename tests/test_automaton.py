@@ -72,3 +72,14 @@ def test_time_does_not_follow_the_number_of_words():
             made.first(texts)
             spent[n].append(time.process_time() - began)
     assert min(spent[6000]) < 5 * min(spent[60])  # a hundred times as many words
+
+
+def test_only_slices_of_a_batch_become_strings(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(M, "BLOCK", 100)
+    texts = [None, "", "é" * 30, "x" * 450, None, *["ab" * i for i in range(40)], ""]
+    parts = [p.to_pylist() for p in M.slices(pa.array(texts, pa.string()))]
+    assert [t for p in parts for t in p] == texts
+    assert max(sum(len((t or "").encode()) for t in p[1:]) for p in parts) < 100 and len(parts) > 10
+    assert list(M.slices(pa.array([], pa.string()))) == []
